@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, jaccard, mixing, packing, pii, quality, suffix_dedup, token_binary
+from tidemark.llm import ann, jaccard, mixing, packing, pii, quality, suffix_dedup, token_binary, toxicity
 from tidemark.llm.common import table
 from tidemark.llm.tokens import default_path
 
@@ -28,6 +28,17 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.encode_documents(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), end_id=2)
 
 
+def categories() -> dict[str, Column]:
+    """The categories of the chain in order, from the label columns."""
+    return {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"), categories(), max_labelled=20_000)
+    return toxicity.score(docs, chain).drop("text")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -55,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_private_data": op1_private_data,
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_token_binary": op3_token_binary,
+    "op4_toxicity": op4_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,
     "op7_quality_rules": op7_quality_rules,
