@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, jaccard, mixing, packing, pii, quality, suffix_dedup, token_binary, toxicity
+from tidemark.llm import ann, html_extract, jaccard, mixing, packing, pii, quality, suffix_dedup, token_binary, toxicity
 from tidemark.llm.common import table
 from tidemark.llm.tokens import default_path
 
@@ -54,6 +54,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_main_text": op8_main_text,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
