@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 
 import numpy as np
 
 #: Two white-space characters, then a third or the end: a cut inside could change the split.
 _RUN = re.compile(r"\s\s(?:\s|\Z)")
+#: A stop or comma that may belong to the run of marks before or after it; elsewhere it stands by itself.
+_JOINED = {"byte": re.compile(r"[.,](?<![^\W_].)"), "word": re.compile(r"[.,_](?:(?<=_)|(?<=[^\w\s].)|(?=[^\w\s]))", re.S)}
 _ENCODERS: dict[tuple[str, str], "PieceEncoder"] = {}
 
 
@@ -36,34 +39,62 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
-        todo = list(pieces)
-        encoded = self.library.encode_batch_fast(todo, add_special_tokens=False)
-        self.cache.update(zip(todo, [array("I", found.ids).tobytes() for found in encoded], strict=True))
+    def _learn(self, pieces: list[str]) -> None:
+        """Plain words go to the library together, a thousand to a text; it tells which ids belong to which word."""
+        byte = self.mode == "byte"
+        plain = [p for p in pieces if (p[:1] == " " and p[1:].isalpha() if byte else p.isalpha())]
+        other = [p for p in pieces if not (p[:1] == " " and p[1:].isalpha() if byte else p.isalpha())]
+        groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
+        joined = self.library.encode_batch(["".join(g) if byte else " ".join(g) for g in groups], add_special_tokens=False)
+        for group, found in zip(groups, joined, strict=True):
+            of_word = np.array(found.word_ids, dtype=np.int64)
+            starts = np.flatnonzero(np.diff(of_word, prepend=-1))
+            if len(starts) != len(group):
+                other += group
+                continue
+            raw, at = array("I", found.ids).tobytes(), [*(4 * starts).tolist(), 4 * len(of_word)]
+            self.cache.update(zip(group, [raw[i:j] for i, j in zip(at, at[1:], strict=False)], strict=True))
+        encoded = self.library.encode_batch(other, add_special_tokens=False)
+        self.cache.update(zip(other, [array("I", found.ids).tobytes() for found in encoded], strict=True))
 
     def _pieces(self, text: str) -> list[str]:
+        alone = not _JOINED[self.mode].search(text)
         if self.mode == "word":
+            if "Σ" not in text and unicodedata.is_normalized("NFC", text):
+                text = text.lower()  # the library lowers every character by itself
+            if alone:
+                text = text.replace(",", " , ").replace(".", " . ")
             return text.replace("\n", " ").split(" ")
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        text = text.replace(" ", "\0 ").replace("\n", "\0\n")
+        if alone:
+            text = text.replace(",", "\0,").replace(".", "\0.")
+        return text.split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes, equal to the library's own for the whole text."""
-        cut: list[list[str] | None] = []
-        missing: set[str] = set()
         if len(self.cache) > self.cache_pieces:  # frequent pieces come back from the older half
             self.older, self.cache = self.cache, {}
+        out: list[bytes] = []
+        waiting: list[tuple[int, list[str], list[bytes | None]]] = []
+        missing: set[str] = set()
         for text in texts:
             if any(s in text for s in self.special) or (self.mode == "byte" and ("\0" in text or _RUN.search(text))):
-                cut.append(None)
+                out.append(self.whole(text))
+                continue
+            pieces = self._pieces(text)
+            found = list(map(self.cache.get, pieces))
+            if None in found:
+                missing.update([p for p, ids in zip(pieces, found, strict=True) if ids is None])
+                waiting.append((len(out), pieces, found))
+                out.append(b"")
             else:
-                cut.append(self._pieces(text))
-                missing.update(cut[-1])
-        missing.difference_update(self.cache)
-        for piece in missing.intersection(self.older):
-            self.cache[piece] = self.older[piece]
-        self._learn(missing.difference(self.older))
-        known = self.cache.__getitem__
-        return [self.whole(text) if pieces is None else b"".join(map(known, pieces)) for text, pieces in zip(texts, cut, strict=True)]
+                out.append(b"".join(found))
+        known = {p: self.older[p] for p in missing if p in self.older}
+        self.cache.update(known)
+        self._learn([p for p in missing if p not in known])
+        for i, pieces, found in waiting:
+            out[i] = b"".join([self.cache[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)])
+        return out
 
 
 def encoder(path: str, mode: str) -> PieceEncoder:
