@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,35 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.storage import new_path, shared_dir, stored
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table of a data folder, through Spark's own reader."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    own = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    spark.sparkContext.setCheckpointDir(own)
-    return own
 
+__all__ = ["new_path", "partitions", "shared_dir", "shared_keys", "stored", "table", "text_or_empty"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives a lost executor."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One input table of a data folder, through Spark's own reader."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -51,14 +29,15 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def shared_keys(batches: Iterator[pa.RecordBatch], key: str, owner: str) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: those of keys with two owners (16-byte values) or more. Holds one key's rows at a time."""
+    """Rows sorted by key: those of keys with two owners (16-byte values or numbers) or more. Holds one key's rows at a time."""
     carry: pa.Table | None = None
 
     def kept(rows: pa.Table) -> pa.Table:
         keys = rows.column(key).to_numpy()
         if not len(keys):
             return rows
-        owners = np.frombuffer(b"".join(rows.column(owner).to_pylist()), dtype="V16")
+        column = rows.column(owner)
+        owners = column.to_numpy() if pa.types.is_integer(column.type) else np.frombuffer(b"".join(column.to_pylist()), dtype="V16")
         first = np.r_[True, keys[1:] != keys[:-1]]
         start = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
         several = np.add.reduceat((owners != owners[start]).astype(np.int64), np.flatnonzero(first)) > 0

@@ -5,9 +5,10 @@
 2. A second scan orders each set rare-first by those counts and emits the prefix that any partner
    must meet (prefix filter). Postings of one class only are dropped.
 3. Postings give candidate pairs under the length and positional filters. First each class meets
-   the leading class of its posting lists (few pairs however large a group of copies is); pairs
-   found linked are merged into components; then all pairs of lists whose ends are still in
-   different components follow. A pair inside a component can add nothing to it.
+   the leading class of its posting lists, then one class of each component does (few pairs however
+   large a group of copies is); linked pairs are merged into components; then all pairs of lists
+   whose ends are still in different components follow. A pair inside a component can add nothing
+   to it.
 4. Each candidate pair is tested once: the suffix filter compares counts of hash ranges, what
    remains is compared set against set.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import partitions, shared_keys, stored
-from tidemark.llm.components import connected_components
+from tidemark.operators.components import connected_components
 
 BUCKETS = 1 << 20
 _CHUNK = 1 << 14
@@ -57,6 +58,13 @@ def fingerprint(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
+def short_key(fp: bytes) -> int:
+    """The class key of postings, equal to the built-in xxhash64(fp). Two classes with one key would only add candidates."""
+    import xxhash
+
+    return int.from_bytes(xxhash.xxh64(fp, seed=42).digest(), "big", signed=True)
+
+
 def _binary(values: list[bytes] | np.ndarray) -> pa.Array:
     return pa.array(values, pa.binary())
 
@@ -109,7 +117,7 @@ def scan_sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def prefix_postings(docs: DataFrame, counts: np.ndarray, size: int, num: int, den: int) -> DataFrame:
-    """(token, fp, n, pos): the rare-first prefix of each class, kept where another class has the token too."""
+    """(token, key, n, pos): the rare-first prefix of each class, kept where another class has the token too."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))  # fixed size
 
@@ -131,15 +139,15 @@ def prefix_postings(docs: DataFrame, counts: np.ndarray, size: int, num: int, de
                     h, r = h[few], r[few]
                 tokens.append(h[np.lexsort((h, r))][:keep].view(np.int64))
                 places.append(np.arange(keep, dtype=np.int32))
-                prints += [fp] * keep
+                prints.append(np.full(keep, short_key(fp)))
                 sizes.append(np.full(keep, n, np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), _binary(prints), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "fp", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(prints)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "key", "n", "pos"])
 
-    schema = "token long, fp binary, n int, pos int"
+    schema = "token long, key long, n int, pos int"
     source = docs.select(F.col("text").cast("string").alias("text"))
     rows = source.mapInArrow(prefixes, schema).repartition(partitions(spark), "token").sortWithinPartitions("token")
-    return stored(rows.mapInArrow(lambda b: shared_keys(b, "token", "fp"), schema).distinct(), "postings")
+    return stored(rows.mapInArrow(lambda b: shared_keys(b, "token", "key"), schema).distinct(), "postings")
 
 
 def _overlap(n1: Column, n2: Column, num: int, den: int) -> Column:
@@ -148,14 +156,17 @@ def _overlap(n1: Column, n2: Column, num: int, den: int) -> Column:
 
 
 def _may_link(a: str, b: str, num: int, den: int) -> Column:
-    """Length and positional filters; a is the shorter set, and its place must lie in the shorter index prefix."""
+    """Length and positional filters: from the first common token on, both sets must hold enough tokens."""
     na, nb, pa_, pb = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
-    need = _overlap(na, nb, num, den)
-    return (den * na >= num * nb) & (1 + F.least(na - pa_, nb - pb) - 1 >= need)
+    return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & (F.least(na - pa_, nb - pb) >= _overlap(na, nb, num, den))
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.least("a.key", "b.key").alias("ka"), F.greatest("a.key", "b.key").alias("kb")).distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of class fingerprints whose sets are linked."""
+    """The pairs (a, b) of class fingerprints whose sets are linked, of candidates (ka, kb)."""
 
     def ranges_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,8 +192,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, n
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = lambda end: classes.select(F.col("fp").alias(end), F.col("n").alias(f"n{end}"), F.col("ranges").alias(f"r{end}"))
-    near = stored(pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(ranges_fit, "a binary, b binary"), "near")
+    one = lambda end: classes.select(F.col("key").alias(f"k{end}"), F.col("fp").alias(end), F.col("n").alias(f"n{end}"), F.col("ranges").alias(f"r{end}"))
+    near = stored(pairs.join(one("a"), "ka").join(one("b"), "kb").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(ranges_fit, "a binary, b binary"), "near")
     ends = near.select(F.col("a").alias("fp")).union(near.select(F.col("b").alias("fp"))).distinct()
     needed = stored(ends.join(classes.select("fp", "first_doc"), "fp"), "ends")
     names = needed.select(F.col("first_doc").alias("_doc")).distinct()
@@ -199,25 +210,36 @@ def near_duplicate_classes(docs: DataFrame, *, size: int, num: int, den: int) ->
     without links are left out of the second table. Null ids count as larger than any other.
     """
     rows, counts = scan_sets(docs, size)
-    classes = stored(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("ranges").alias("ranges")), "classes")
+    classes = stored(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("ranges").alias("ranges")).withColumn("key", F.xxhash64("fp")), "classes")
     postings = prefix_postings(docs, counts, size, num, den)
 
-    lead = stored(postings.groupBy("token").agg(F.min(F.struct("n", "fp", "pos")).alias("lead")), "leads")
-    star = postings.alias("b").join(lead.select("token", "lead.*").alias("a"), "token").where((F.col("a.fp") != F.col("b.fp")) & _may_link("a", "b", num, den))
-    tried = stored(star.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct(), "pairs")
+    # first: each class of a list with the class that has the least rare tokens of its own before the shared one
+    lead = stored(postings.groupBy("token").agg(F.min(F.struct("pos", "n", "key")).alias("lead")).select("token", "lead.*"), "leads")
+    tried = stored(_pairs(postings.alias("b").join(lead.alias("a"), "token").where((F.col("a.key") != F.col("b.key")) & _may_link("a", "b", num, den))), "pairs")
     links = verified(tried, classes, docs, size, num, den)
-    labels = connected_components(links)
 
-    named = stored(postings.join(labels.select(F.col("id").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
-    mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    open_ = stored(named.join(mixed, "token", "left_semi"), "open")
-    # the shorter set meets the longer one inside its index prefix, which is shorter than the prefix
+    def open_lists(links: DataFrame) -> DataFrame:
+        """Postings with their component, of tokens that more than one component has."""
+        labels = connected_components(links).select(F.xxhash64("id").alias("key"), "component")
+        named = stored(postings.join(labels, "key", "left").withColumn("component", F.coalesce("component", F.col("key").cast("string").cast("binary"))), "named")
+        several = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+        return stored(named.join(several, "token", "left_semi"), "open")
+
+    # second: one class of each component in a list with the list's leading class
+    open_ = open_lists(links)
+    fronts = open_.groupBy("token", "component").agg(F.min(F.struct("pos", "n", "key")).alias("f")).select("token", "component", "f.*")
+    heads = stored(open_.groupBy("token").agg(F.min(F.struct("pos", "n", "key", "component")).alias("f")).select("token", "f.*"), "heads")
+    pairs = _pairs(fronts.alias("b").join(heads.alias("a"), (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & _may_link("a", "b", num, den)))
+    pairs = stored(pairs.join(tried, ["ka", "kb"], "left_anti"), "pairs")
+    tried, links = tried.union(pairs), links.union(verified(pairs, classes, docs, size, num, den))
+
+    # last: all that is left; the shorter set meets the longer one inside its index prefix
+    open_ = open_lists(links)
     index = F.col("n") - F.ceil(2 * num * F.col("n") / F.lit(float(num + den)) - F.lit(1e-9)) + 1
-    shorter = F.struct("a.n", "a.fp") < F.struct("b.n", "b.fp")
+    shorter = F.struct("a.n", "a.key") < F.struct("b.n", "b.key")
     rest = open_.where(F.col("pos") < index).alias("a").join(open_.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & shorter & _may_link("a", "b", num, den))
-    pairs = rest.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(stored(pairs, "pairs"), classes, docs, size, num, den)
-    labels = stored(connected_components(links.union(more)), "labels")
+    pairs = stored(_pairs(rest).join(tried, ["ka", "kb"], "left_anti"), "pairs")
+    labels = stored(connected_components(links.union(verified(pairs, classes, docs, size, num, den))), "labels")
 
     # each class with the smallest document of its component; doc_id null sorts last
     order = F.struct(F.col("first_doc").isNull().alias("no"), F.col("first_doc").alias("id"), F.col("fp").alias("fp"))
