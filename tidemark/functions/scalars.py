@@ -38,6 +38,11 @@ def one_place(x: Column) -> Column:
     return F.floor(x * 10 + 0.5 + 1e-9) / 10
 
 
+def cents(x: Column) -> Column:
+    """Money to two places, half up; sums whose last bits depend on the order of addition give the same cents."""
+    return F.floor(x * 100 + 0.5 + 1e-6) / 100
+
+
 def logit(p: Column) -> Column:
     q = F.least(F.greatest(p, F.lit(1e-5)), F.lit(1 - 1e-5))
     return F.ln(q / (1 - q))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.scalars import clip, flag, one_place, safe_divide, zero
+from tidemark.functions.scalars import cents, clip, flag, one_place, safe_divide, zero
 from tidemark.functions.windows import first_by
 
 ID = "golden_customer_id"
@@ -37,7 +37,7 @@ def min_max(value: str) -> Column:
 
 
 def category_margin(tx: DataFrame) -> DataFrame:
-    m = tx.groupBy("category").agg(F.countDistinct("order_id").alias("orders"), F.round(F.sum("net_sales"), 2).alias("sales"), F.round(F.sum("gross_margin"), 2).alias("margin"))
+    m = tx.groupBy("category").agg(F.countDistinct("order_id").alias("orders"), cents(F.sum("net_sales")).alias("sales"), cents(F.sum("gross_margin")).alias("margin"))
     m = m.withColumns({"margin_per_order": safe_divide(F.col("margin"), F.col("orders")), "margin_rate": safe_divide(F.col("margin"), F.col("sales"))})
     return m.withColumn("margin_score", min_max("margin_per_order"))
 
@@ -79,15 +79,15 @@ def transaction_behaviour(tx: DataFrame) -> DataFrame:
     """Discount habits, margin rate, main category and channel of each customer."""
     base = tx.groupBy(ID).agg(
         F.countDistinct("order_id").alias("tx_orders"),
-        F.round(F.sum("net_sales"), 2).alias("tx_sales"),
-        F.round(F.sum("gross_margin"), 2).alias("tx_margin"),
+        cents(F.sum("net_sales")).alias("tx_sales"),
+        cents(F.sum("gross_margin")).alias("tx_margin"),
         F.avg("net_sales").alias("tx_aov"),
         F.avg((F.col("discount_pct") > 0).cast("int")).alias("discounted_order_share"),
         F.avg("discount_pct").alias("avg_discount_pct"),
         F.countDistinct("category").alias("categories_used"),
         F.countDistinct("channel").alias("channels_used"),
     ).withColumn("tx_margin_rate", safe_divide(F.col("tx_margin"), F.col("tx_sales")))
-    cat = tx.groupBy(ID, "category").agg(F.countDistinct("order_id").alias("n"), F.round(F.sum("gross_margin"), 2).alias("m"))
+    cat = tx.groupBy(ID, "category").agg(F.countDistinct("order_id").alias("n"), cents(F.sum("gross_margin")).alias("m"))
     cat = first_by(cat, [ID], [F.desc("n"), F.desc("m"), F.asc("category")]).select(ID, F.col("category").alias("dominant_category"), F.col("n").alias("_n"))
     ch = first_by(tx.groupBy(ID, "channel").agg(F.countDistinct("order_id").alias("n")), [ID], [F.desc("n"), F.asc("channel")]).select(ID, F.col("channel").alias("preferred_channel"))
     return base.join(cat, ID).join(ch, ID).withColumn("dominant_category_share", F.col("_n") / F.col("tx_orders")).drop("_n")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.functions.scalars import clean_text, flag, normalise_address, normalise_email, normalise_phone, normalise_postcode
+from tidemark.functions.scalars import cents, clean_text, flag, normalise_address, normalise_email, normalise_phone, normalise_postcode
 from tidemark.functions.windows import first_by
 from tidemark.operators.components import connected_components
 from tidemark.sources.storage import stored
@@ -240,8 +240,8 @@ def golden_master(resolution: DataFrame) -> DataFrame:
 def reconciliation(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows, orders and money before and after resolution, with their differences."""
     def sums(df: DataFrame, name: str) -> DataFrame:
-        m = {"transactions": F.count("*").cast("double"), "orders": F.countDistinct("order_id").cast("double"), "units": F.sum("units").cast("double"), "net_sales": F.round(F.sum("net_sales"), 2), "cost": F.round(F.sum("cost"), 2), "gross_margin": F.round(F.sum("gross_margin"), 2)}
+        m = {"transactions": F.count("*").cast("double"), "orders": F.countDistinct("order_id").cast("double"), "units": F.sum("units").cast("double"), "net_sales": cents(F.sum("net_sales")), "cost": cents(F.sum("cost")), "gross_margin": cents(F.sum("gross_margin"))}
         one = df.agg(*[v.alias(k) for k, v in m.items()])
         return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias(name)) for k in m])).alias("x")).select("x.*")
 
-    return sums(before, "before_value").join(sums(after, "after_value"), "metric").withColumn("difference", F.round(F.col("after_value") - F.col("before_value"), 2))
+    return sums(before, "before_value").join(sums(after, "after_value"), "metric").withColumn("difference", cents(F.col("after_value") - F.col("before_value")))

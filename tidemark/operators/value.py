@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Config
-from tidemark.functions.scalars import clip, flag, one_place, zero
+from tidemark.functions.scalars import cents, clip, flag, one_place, zero
 from tidemark.functions.windows import pct_rank_average, quintile_first
 
 ID = "golden_customer_id"
@@ -27,8 +27,8 @@ def rfm_base(tx: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return tx.groupBy(ID).agg(
         F.datediff(F.lit(cfg.as_of), F.max("transaction_date")).alias("recency_days"),
         F.countDistinct("order_id").alias("frequency"),
-        F.round(F.sum("net_sales"), 2).alias("monetary_sales"),
-        F.round(F.sum("gross_margin"), 2).alias("monetary_margin"),
+        cents(F.sum("net_sales")).alias("monetary_sales"),
+        cents(F.sum("gross_margin")).alias("monetary_margin"),
     )
 
 
@@ -61,7 +61,7 @@ def rfm_segment(orders: Column, r: Column, f: Column, m: Column) -> Column:
 
 def add_value(df: DataFrame) -> DataFrame:
     """customer_value_tier and commercial_value_score from trailing margin and sales and the number of orders."""
-    out = df.withColumns({"_m": F.round(zero(F.col("trailing_12m_margin")), 2), "_s": F.round(zero(F.col("trailing_12m_sales")), 2)})
+    out = df.withColumns({"_m": cents(zero(F.col("trailing_12m_margin"))), "_s": cents(zero(F.col("trailing_12m_sales")))})
     out = pct_rank_average(pct_rank_average(out, "_m", "margin_pct"), "_s", "sales_pct")
     score = one_place(100 * (0.65 * F.col("margin_pct") + 0.35 * F.col("sales_pct")))
     none = F.coalesce("orders", F.lit(0)) == 0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.scalars import safe_divide
+from tidemark.functions.scalars import cents, safe_divide
 
 ID = "golden_customer_id"
 LIFECYCLE = ("On Cadence", "Watch", "At Risk", "Highly Lapsed", "Active / Limited History", "Inactive / Limited History", "Acquired / Never Purchased", "Unclassified")
@@ -64,7 +64,7 @@ def value_mix(priority: DataFrame) -> DataFrame:
 def decision_queue(priority: DataFrame, groups: Sequence[str], least: float, size: int) -> DataFrame:
     """The customers to act on first: highest priority, then margin, then id."""
     q = priority.where(F.col("decision_group").isin(*groups) & (F.col("priority_score") >= least))
-    return q.orderBy(F.desc("priority_score"), F.desc(F.round("trailing_12m_margin", 2)), ID).limit(size).select(ID, "decision_group", "priority_score", "priority_band", "customer_value_tier")
+    return q.orderBy(F.desc("priority_score"), F.desc(cents(F.col("trailing_12m_margin"))), ID).limit(size).select(ID, "decision_group", "priority_score", "priority_band", "customer_value_tier")
 
 
 def watchlist(priority: DataFrame, size: int = 20) -> DataFrame:

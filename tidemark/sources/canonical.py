@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Config
+from tidemark.functions.scalars import cents
 
 # Parts from which identity records and campaigns are made.
 FIRST_NAMES = ("olivia", "noah", "amelia", "jack", "isla", "leo", "mia", "henry", "ava", "lucas", "grace", "ethan", "zoe", "liam", "ruby", "owen")
@@ -37,9 +38,9 @@ def transactions(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> Dat
     orders = lines.groupBy("l_orderkey").agg(
         main.alias("main"),
         F.sum("l_quantity").cast("long").alias("units"),
-        F.round(F.sum("l_extendedprice"), 2).alias("gross_sales"),
-        F.round(F.sum(net), 2).alias("net_sales"),
-        F.round(F.sum(net * (0.12 + 0.43 * (F.col("p_size") - 1) / 49)), 2).alias("gross_margin"),
+        cents(F.sum("l_extendedprice")).alias("gross_sales"),
+        cents(F.sum(net)).alias("net_sales"),
+        cents(F.sum(net * (0.12 + 0.43 * (F.col("p_size") - 1) / 49))).alias("gross_margin"),
     )
     kept = read(spark, sf_dir, "orders").withColumn("transaction_date", F.to_date("o_orderdate")).where(F.col("transaction_date") <= F.lit(cfg.as_of))
     status = F.col("o_orderstatus")
@@ -51,9 +52,9 @@ def transactions(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> Dat
         F.col("main.p_type").alias("category"),
         "units",
         "gross_sales",
-        F.greatest(F.lit(0.0), F.round(F.col("main.l_discount") - 0.05, 2)).alias("discount_pct"),
+        F.greatest(F.lit(0.0), cents(F.col("main.l_discount") - 0.05)).alias("discount_pct"),
         "net_sales",
-        F.round(F.col("net_sales") - F.col("gross_margin"), 2).alias("cost"),
+        cents(F.col("net_sales") - F.col("gross_margin")).alias("cost"),
         "gross_margin",
     )
 
