@@ -33,14 +33,18 @@ def plain(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Tables:
-    """The chain of customer tables of one data folder, each built when first asked for."""
+    """The chain of customer tables of one data folder, each built when first asked for.
+
+    Transactions and priorities feed most queries, so they are persisted: Spark finds them again by
+    their plan, in any later query over the same folder, and rebuilds partitions that are lost.
+    """
 
     spark: SparkSession
     sf_dir: str
 
     @cached_property
     def tx(self) -> DataFrame:
-        return canonical.transactions(self.spark, self.sf_dir)
+        return canonical.transactions(self.spark, self.sf_dir).persist()
 
     @cached_property
     def master(self) -> DataFrame:
@@ -64,7 +68,7 @@ class Tables:
 
     @cached_property
     def priority(self) -> DataFrame:
-        return value.customer_priority(self.value, self.features, self.momentum, self.trend)
+        return value.customer_priority(self.value, self.features, self.momentum, self.trend).persist()
 
     @cached_property
     def ltv(self) -> DataFrame:
