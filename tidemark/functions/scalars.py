@@ -73,6 +73,25 @@ def month_cos(d: Column) -> Column:
     return F.cos(2 * F.pi() * F.month(d) / 12)
 
 
+def slope_p_value(r2: Column, n: Column) -> Column:
+    """Two-sided p-value of a straight line's slope from its fit and number of points, by the finite series of the t distribution.
+
+    With n - 2 degrees of freedom the squared cosine of the series' angle is 1 - r2. Null under three points.
+    """
+    free, sine, cos2 = n - 2, F.sqrt(r2), 1 - r2
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def series(last: Column, up: Column) -> Column:
+        """1 + sum of products of (2k - 1 + up) / (2k + up) times cos2, k = 1 .. last."""
+        step = lambda s, k: F.struct((s.term * cos2 * (2 * k - 1 + up) / (2 * k + up)).alias("term"), (s.total + s.term * cos2 * (2 * k - 1 + up) / (2 * k + up)).alias("total"))
+        return F.when(last >= 1, F.aggregate(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), start, step, lambda s: s.total)).otherwise(1.0)
+
+    even = sine * series((free / 2 - 1).cast("int"), F.lit(0))
+    odd = F.asin(sine) + F.when(free > 1, sine * F.sqrt(cos2) * series(((free - 3) / 2).cast("int"), F.lit(1))).otherwise(0.0)
+    inside = F.when(free % 2 == 0, even).otherwise(odd * 2 / F.pi())
+    return F.when(free >= 1, F.greatest(F.lit(0.0), 1 - inside))
+
+
 def clean_text(x: Column) -> Column:
     kept = F.regexp_replace(F.lower(F.trim(x)), r"[^a-z0-9\s]", "")
     return F.coalesce(F.trim(F.regexp_replace(kept, r"\s+", " ")), F.lit(""))

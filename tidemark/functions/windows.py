@@ -6,32 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.sources.storage import stored
 
-def value_positions(df: DataFrame, value: str, out: str) -> DataFrame:
+
+def running_sums(values: DataFrame, key: str, sums: list[str]) -> DataFrame:
+    """Add {c}_below (the sum of c over smaller keys) and {c}_total for each c; key is unique and not null.
+
+    Rows are dealt by ranges of the key and written, so that the ranges stay the same for both
+    readings; only one row for each range is summed in one task.
+    """
+    ranged = stored(values.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = ranged.groupBy("_part").agg(*[F.sum(c).alias(c) for c in sums])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    parts = parts.select("_part", *[x for c in sums for x in (F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}_before"), F.sum(c).over(Window.partitionBy()).alias(f"{c}_total"))])
+    inside = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(F.broadcast(parts), "_part")
+    return placed.select(*values.columns, *[x for c in sums for x in ((F.col(f"_{c}_before") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_below"), F.col(f"{c}_total"))])
+
+
+def value_positions(df: DataFrame, value: str, out: str, source: DataFrame | None = None) -> DataFrame:
     """Add {out}_below (rows with a smaller value), {out}_ties and {out}_n, by joining counts of distinct values.
 
-    Only the table of distinct values is sorted in one place, and rows themselves are never gathered
-    in one task; null values get null.
+    Only the table of distinct values is sorted, and rows themselves are never gathered in one task;
+    null values get null. source is the table the values come from where df already has added
+    columns, so that chained calls don't each read all that came before.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias(f"{out}_ties"))
-    ranged = counts.repartitionByRange("_v").withColumn("_part", F.spark_partition_id())
-    sums = ranged.groupBy("_part").agg(F.sum(f"{out}_ties").alias("_sum"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    sums = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy()).alias(f"{out}_n"))
-    inside = Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.join(F.broadcast(sums), "_part").select("_v", f"{out}_ties", f"{out}_n", (F.col("_before") + F.coalesce(F.sum(f"{out}_ties").over(inside), F.lit(0))).alias(f"{out}_below"))
-    return df.join(placed, df[value] == placed["_v"], "left").drop("_v")
+    counts = (df if source is None else source).where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_t"))
+    placed = running_sums(counts, "_v", ["_t"]).select("_v", F.col("_t").alias(f"{out}_ties"), F.col("_t_total").alias(f"{out}_n"), F.col("_t_below").alias(f"{out}_below"))
+    return df.join(placed, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
-def pct_rank_average(df: DataFrame, value: str, out: str) -> DataFrame:
+def pct_rank_average(df: DataFrame, value: str, out: str, source: DataFrame | None = None) -> DataFrame:
     """Add the fractional rank: average rank among ties over the number of values."""
-    placed = value_positions(df, value, "_p")
+    placed = value_positions(df, value, "_p", source)
     return placed.withColumn(out, (F.col("_p_below") + (F.col("_p_ties") + 1) / 2) / F.col("_p_n")).drop("_p_below", "_p_ties", "_p_n")
 
 
-def quintile_first(df: DataFrame, value: str, key: str, out: str) -> DataFrame:
+def quintile_first(df: DataFrame, value: str, key: str, out: str, source: DataFrame | None = None) -> DataFrame:
     """Add quintiles 1..5 of the rank in which ties follow the key; null values stay null."""
-    placed = value_positions(df, value, "_q")
+    placed = value_positions(df, value, "_q", source)
     rank = F.col("_q_below") + F.row_number().over(Window.partitionBy(value).orderBy(key))
     quintile = F.when(F.col("_q_n") == 1, 1).otherwise(F.greatest(F.lit(1), F.ceil(5 * (rank - 1) / (F.col("_q_n") - 1))))
     return placed.withColumn(out, F.when(F.col(value).isNotNull(), quintile).cast("int")).drop("_q_below", "_q_ties", "_q_n")

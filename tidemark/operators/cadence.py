@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.config import DEFAULT, Config
-from tidemark.functions.scalars import flag, pct_change, safe_divide, zero
+from tidemark.functions.scalars import flag, pct_change, safe_divide, slope_p_value, zero
 
 ID = "golden_customer_id"
 
@@ -195,6 +195,7 @@ def cadence_trend(tx: DataFrame, master: DataFrame) -> DataFrame:
         "trend_gaps",
         F.when(enough, F.col("slope")).alias("trend_slope"),
         F.when(enough, F.col("trend_r2")).alias("trend_r2"),
+        F.when(enough, slope_p_value(F.col("trend_r2"), F.col("trend_gaps"))).alias("trend_p_value"),
         F.when(enough & (F.col("med") > 0), F.col("slope") / F.col("med")).alias("gap_trend_pct"),
         F.when(enough & (F.col("early") > 0), (F.col("late") - F.col("early")) / F.col("early")).alias("recent_vs_early_pct"),
     )

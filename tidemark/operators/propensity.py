@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.scalars import band, logit
-from tidemark.functions.windows import value_positions
+from tidemark.functions.windows import running_sums, value_positions
 
 ID, T = "golden_customer_id", "observation_date"
 REENGAGEMENT = ["days_since_last_purchase", "purchase_tenure_days", "lifetime_orders", "lifetime_sales", "lifetime_margin", "lifetime_units", "avg_order_value", "avg_margin_per_order", "avg_discount_pct", "discounted_order_share", "channels_used", "categories_used", "margin_rate", "orders_prior_180d", "sales_prior_180d", "margin_prior_180d", "orders_prior_365d", "sales_prior_365d", "margin_prior_365d", "observed_purchase_gaps", "median_purchase_gap_days", "mean_purchase_gap_days", "std_purchase_gap_days", "cadence_cv", "adjusted_lapse_ratio", "order_change_pct", "sales_change_pct", "margin_change_pct", "dominant_category_share", "preferred_channel_share"]
 CROSS_SELL = [*REENGAGEMENT[:13], "orders_prior_180d", "sales_prior_180d", "orders_prior_365d", "sales_prior_365d", "categories_prior_180d", "categories_prior_365d", "dominant_category_share", "dominant_category_sales_share", "category_concentration", "preferred_channel_share", "category_whitespace_count", "category_coverage_pct"]
-FORBIDDEN = ("purchased_next_90d", "future_orders_90d", "future_sales_90d", "future_margin_90d", "new_categories", "new_category_count", "cross_sell_next_180d", "responded", ID, T)
+PROMOTION = ["discount_depth", "days_since_last_purchase", "customer_tenure_days", "lifetime_orders", "lifetime_sales", "lifetime_margin", "average_order_value", "average_discount_pct", "discounted_order_share", "lifetime_categories", "lifetime_channels", "lifetime_margin_rate", "orders_prior_180d", "sales_prior_180d", "margin_prior_180d", "categories_prior_180d", "channels_prior_180d", "avg_discount_prior_180d", "discounted_order_share_prior_180d", "offer_category_prior_orders", "offer_category_prior_sales", "offer_category_order_share", "offer_category_seen_before", "recent_margin_rate", "orders_per_30d_tenure", "campaign_month_sin", "campaign_month_cos"]
+PROMOTION_KINDS = {"campaign_channel": ("Email", "SMS", "App"), "offer_category": ("ECONOMY", "STANDARD", "PROMO", "MEDIUM", "SMALL", "LARGE")}
+FORBIDDEN = ("treatment_flag", "purchased_next_90d", "future_orders_90d", "future_sales_90d", "future_margin_90d", "new_categories", "new_category_count", "cross_sell_next_180d", "responded", ID, T)
 # Least AUC, PR lift, top-decile and top-quintile lift; greatest calibration gap.
 GATES = {"reengagement": (0.55, 1.10, 1.20, None, 0.05), "cross_sell": (0.60, 1.10, 1.20, 1.12, 0.05), "promotion": (0.60, 1.08, 1.15, 1.10, 0.05)}
 
@@ -77,11 +79,8 @@ def evaluate_predictions(df: DataFrame, score: str, label: str) -> DataFrame:
     """ROC-AUC from average ranks, average precision over score ties, log-loss, Brier, base rate, mean score and their gap."""
     p = F.least(F.greatest(F.col(score), F.lit(1e-6)), F.lit(1 - 1e-6))
     d = df.select(p.alias("p"), F.col(label).cast("double").alias("y"))
-    v = d.groupBy("p").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    ranked = value_positions(d, "p", "_r").groupBy("p").agg(F.first("_r_below").alias("below"), F.first("_r_n").alias("total"))
-    v = v.join(ranked, "p")
-    positives = value_positions_of_positives(d)
-    v = v.join(positives, "p", "left")
+    v = running_sums(d.groupBy("p").agg(F.sum("y").alias("pos"), F.count("*").alias("n")), "p", ["pos", "n"])
+    v = v.withColumns({"below": F.col("n_below"), "total": F.col("n_total"), "hits_at_least": F.col("pos_total") - F.col("pos_below")})
     auc = (F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2)) - F.sum("pos") * (F.sum("pos") + 1) / 2) / (F.sum("pos") * (F.sum("n") - F.sum("pos")))
     # precision at a score counts all rows scored at least as high
     at_least, hits = F.col("total") - F.col("below"), F.col("hits_at_least")
@@ -91,12 +90,6 @@ def evaluate_predictions(df: DataFrame, score: str, label: str) -> DataFrame:
     return rest.crossJoin(one).withColumn("calibration_gap", F.abs(F.col("mean_probability") - F.col("base_rate")))  # one row each
 
 
-def value_positions_of_positives(d: DataFrame) -> DataFrame:
-    """(p, hits_at_least) for every score that a positive has: the positives scored at least as high."""
-    pos = value_positions(d.where("y = 1").select("p"), "p", "_h").distinct()
-    return pos.select("p", (F.col("_h_n") - F.col("_h_below")).alias("hits_at_least"))
-
-
 def ranked_by_score(df: DataFrame, score: str, key: str) -> DataFrame:
     """Adds _rank (1 is the highest score, ties by key) and _n, without a global sort in one task."""
     out = value_positions(df, score, "_v")
@@ -135,6 +128,69 @@ def probability_band(p: Column) -> Column:
     return band(p, [(0.25, "Low"), (0.50, "Medium"), (0.75, "High")], "Very High")
 
 
+def one_hot(df: DataFrame, kinds: dict[str, Sequence[str]]) -> tuple[DataFrame, list[str]]:
+    """An indicator column for each known value; unknown values have none set."""
+    columns = {f"{c}_is_{v.lower()}": (F.col(c) == v).cast("double") for c, values in kinds.items() for v in values}
+    return df.withColumns({n: F.coalesce(c, F.lit(0.0)) for n, c in columns.items()}), list(columns)
+
+
+def baseline(validation: DataFrame, test: DataFrame, label: str) -> DataFrame:
+    """Metrics on the test date of the constant score that is the validation date's rate."""
+    rate = validation.agg(F.avg(F.col(label).cast("double")).alias("base_score"))
+    return evaluate_predictions(test.crossJoin(F.broadcast(rate)), "base_score", label)  # one row
+
+
+def coefficients(model, features: Sequence[str], spark) -> DataFrame:  # noqa: ANN001
+    """Features of a logistic model by the size of their coefficient."""
+    rows = [(f, float(c), abs(float(c)), "Increases" if c > 0 else "Decreases") for f, c in zip(features, model.coefficients, strict=True)]
+    return spark.createDataFrame(sorted(rows, key=lambda r: (-r[2], r[0])), "feature string, coefficient double, strength double, direction string")
+
+
+def model_is_accepted(gates: DataFrame | None) -> bool:
+    """Whether a governance table says ACCEPTED, or all its gates passed; a missing or empty one does not."""
+    if gates is None:
+        return False
+    rows = gates.take(100)  # a few gates
+    if not rows:
+        return False
+    if "model_status" in gates.columns:
+        return any(r.model_status == "ACCEPTED" for r in rows)
+    return "passed" in gates.columns and all(str(r.passed).strip().lower() in ("true", "1", "yes", "pass") for r in rows)
+
+
+def governed_model(data: DataFrame, features: Sequence[str], label: str, dates: tuple, model: str, key: str) -> tuple[DataFrame, DataFrame, dict]:
+    """(gates, metrics by candidate, split and score, metadata) of a full out-of-time run."""
+    spark = data.sparkSession
+    parts = split_by_time(data, *dates)
+    z = {k: df.select(key, F.col(label).cast("double").alias(label), "vector").persist() for k, df in standardised(parts["train"], {k: parts[k] for k in ("validation", "test")}, features).items()}
+    empty = [k for k, df in z.items() if not df.take(1)]
+    if empty:
+        raise ValueError(f"no rows in {empty}")
+    fits, rows, tests = {"logistic": fit_logistic(z["train"], label), "boosted": fit_boosted(z["train"], label)}, None, {}
+    for name, m in fits.items():
+        scored = {s: with_probability(m, z[s]).select(key, label, "raw_score") for s in ("validation", "test")}
+        turn = calibrate(scored["validation"], label)
+        for split, df in scored.items():
+            both = df.withColumn("calibrated", calibrated(F.col("raw_score"), turn)).persist()
+            tests[name, split] = both
+            for kind in ("raw_score", "calibrated"):
+                one = evaluate_predictions(both, kind, label).withColumns({"candidate": F.lit(name), "split": F.lit(split), "score": F.lit(kind)})
+                rows = one if rows is None else rows.unionByName(one)
+    metrics = spark.createDataFrame(rows.collect(), rows.schema)  # eight rows
+    raw = {r.candidate: r for r in metrics.where("split = 'validation' and score = 'raw_score'").collect()}
+    champion = "boosted" if (raw["boosted"].roc_auc or 0) - (raw["logistic"].roc_auc or 0) >= 0.02 else "logistic"
+    final = tests[champion, "test"]
+    base = baseline(z["validation"], z["test"], label).select(F.col("brier").alias("baseline_brier"))
+    chosen = metrics.where((F.col("candidate") == champion) & (F.col("split") == "test") & (F.col("score") == "calibrated"))
+    gates = governance(chosen, top_fraction_lift(final, "calibrated", label, key, 0.1), top_fraction_lift(final, "calibrated", label, key, 0.2), base, model)
+    gates = spark.createDataFrame(gates.collect(), gates.schema)  # six rows
+    for df in (*z.values(), *tests.values()):
+        df.unpersist()
+    accepted = model_is_accepted(gates)
+    about = {"model": model, "champion": champion, "status": "ACCEPTED" if accepted else "REJECTED", "activation_allowed": accepted, "train_from": str(dates[0]), "validation": str(dates[1]), "test": str(dates[2]), "features": list(features)}
+    return gates, metrics, about
+
+
 def train_and_score(data: DataFrame, features: Sequence[str], label: str, dates: tuple, model: str) -> DataFrame:
     """Fit both candidates, keep the logistic one unless boosting clearly wins, calibrate, and score the test date."""
     parts = split_by_time(data, *dates)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.config import DEFAULT, Config
-from tidemark.functions.scalars import flag, safe_divide
+from tidemark.functions.scalars import flag, month_cos, month_sin, safe_divide
 
 ID, T = "golden_customer_id", "observation_date"
 
@@ -115,6 +115,13 @@ def promotion_training(tx: DataFrame, exposures: DataFrame) -> DataFrame:
         F.sum("gross_margin").alias("lifetime_margin"),
         F.avg("net_sales").alias("average_order_value"),
         F.avg("discount_pct").alias("average_discount_pct"),
+        F.avg((F.coalesce("discount_pct", F.lit(0.0)) > 0).cast("int")).alias("discounted_order_share"),
+        F.countDistinct("category").alias("lifetime_categories"),
+        F.countDistinct("channel").alias("lifetime_channels"),
+        F.countDistinct(F.when(near, F.col("category"))).alias("categories_prior_180d"),
+        F.countDistinct(F.when(near, F.col("channel"))).alias("channels_prior_180d"),
+        F.avg(F.when(near, F.col("discount_pct"))).alias("avg_discount_prior_180d"),
+        F.avg(F.when(near, (F.col("discount_pct") > 0).cast("int"))).alias("discounted_order_share_prior_180d"),
         F.datediff(F.first("campaign_date"), F.max("transaction_date")).alias("days_since_last_purchase"),
         F.datediff(F.first("campaign_date"), F.min("transaction_date")).alias("customer_tenure_days"),
         *_sums(near, "prior_180d"),
@@ -126,5 +133,8 @@ def promotion_training(tx: DataFrame, exposures: DataFrame) -> DataFrame:
         "offer_category_order_share": safe_divide(F.col("offer_category_prior_orders"), F.col("lifetime_orders")),
         "offer_category_seen_before": (F.col("offer_category_prior_orders") > 0).cast("int"),
         "lifetime_margin_rate": safe_divide(F.col("lifetime_margin"), F.col("lifetime_sales")),
+        "recent_margin_rate": safe_divide(F.col("margin_prior_180d"), F.col("sales_prior_180d")),
+        "campaign_month_sin": month_sin(F.col("campaign_date")),
+        "campaign_month_cos": month_cos(F.col("campaign_date")),
         "orders_per_30d_tenure": F.col("lifetime_orders") / (F.greatest(F.col("customer_tenure_days"), F.lit(1)) / 30),
     })

@@ -122,35 +122,64 @@ def search_customers(master: DataFrame, text: str) -> DataFrame:
     return master.where(F.lower("state").contains(needle) | F.lower("market_segment").contains(needle))
 
 
-def require_columns(df: DataFrame, names: Sequence[str], what: str = "table") -> DataFrame:
-    missing = sorted(set(names) - set(df.columns))
-    if missing:
-        raise ValueError(f"{what} lacks columns: {missing}")
-    return df
+def lapse_by_lifecycle(features: DataFrame) -> DataFrame:
+    """Customers and median lapse ratio of each lifecycle status."""
+    return features.groupBy("lifecycle_status").agg(F.count("*").alias("customers"), F.median("adjusted_lapse_ratio").alias("median_lapse_ratio"))
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that occur more than once; none in a valid table."""
-    return df.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1")
+def commercial_summary(priority: DataFrame) -> DataFrame:
+    """Sales, margin and risk counts of each segment."""
+    group = F.col("decision_group")
+    return priority.groupBy("rfm_segment").agg(
+        F.count("*").alias("customers"),
+        F.sum("trailing_12m_sales").alias("sales"),
+        F.sum("trailing_12m_margin").alias("margin"),
+        F.count_if(group == "Protect Now").alias("protect_now"),
+        F.count_if(group == "Proactive Retention").alias("proactive_retention"),
+        F.avg("priority_score").alias("avg_priority"),
+    )
 
 
-def require_unique(df: DataFrame, keys: Sequence[str], what: str = "table") -> DataFrame:
-    if duplicate_keys(df, keys).take(1):
-        raise ValueError(f"{what} repeats {list(keys)}")
-    return df
+def identity_evidence(resolution: DataFrame) -> DataFrame:
+    """Records, systems and confidence behind each golden customer."""
+    g = resolution.groupBy(ID).agg(F.count("*").alias("records"), F.concat_ws(" | ", F.array_sort(F.collect_set("source_system"))).alias("systems"), F.max("match_confidence").alias("best_confidence"), F.min("match_confidence").alias("least_confidence"))
+    return g
+
+
+def queue_kpis(priority: DataFrame, groups: Sequence[str], least: float) -> DataFrame:
+    """Size, exposure and mean priority of a decision queue, by band."""
+    q = priority.where(F.col("decision_group").isin(*groups) & (F.col("priority_score") >= least))
+    return q.groupBy("priority_band").agg(F.count("*").alias("customers"), F.sum("trailing_12m_margin").alias("margin"), F.avg("priority_score").alias("avg_priority"), F.count_if(F.col("customer_value_tier") == "Very High").alias("very_high_value"))
+
+
+def growth_signals(growth: DataFrame, months: int = 12) -> DataFrame:
+    """Movement of the last months against the months before them, in one row."""
+    last = Window.orderBy(F.desc("month"))  # a row for each month
+    g = growth.withColumn("_n", F.row_number().over(last))
+    now, past = F.col("_n") <= months, F.col("_n").between(months + 1, 2 * months)
+    part = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0))
+    out = g.agg(*[part(c, w).alias(f"{p}_{c}") for c in ("new_customers", "reactivated_customers", "lapsed_customers", "net_change") for p, w in (("recent", now), ("previous", past))], F.max(F.when(F.col("_n") == 1, F.col("closing_customers"))).alias("closing_customers"))
+    signal = F.when(F.col("recent_net_change") < 0, "Shrinking").when(F.col("recent_net_change") < F.col("previous_net_change"), "Slowing").otherwise("Growing")
+    return out.withColumn("growth_signal", signal)
+
+
+def cohort_attention(cohorts: DataFrame, size: int = 10) -> DataFrame:
+    """The cohorts whose six-month retention lies furthest below their benchmark."""
+    return cohorts.where("m6_delta is not null").orderBy(F.round("m6_delta", 6), "cohort_month").limit(size).select("cohort_month", "customers", "m6_delta", "cohort_trend")
 
 
-def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", validate: str = "many_to_one") -> DataFrame:
-    """A join whose key uniqueness is checked first."""
-    require_unique(right, on, "right side")
-    if validate == "one_to_one":
-        require_unique(left, on, "left side")
-    return left.join(right, list(on), how)
+def action_queue(nba: DataFrame, actions: Sequence[str], least_confidence: float, size: int) -> DataFrame:
+    """The best supported interventions of the chosen actions."""
+    q = nba.where(F.col("recommended_action_nba").isin(*actions) & (F.col("action_confidence") >= least_confidence))
+    return q.orderBy(F.desc("action_confidence"), F.desc("action_score"), ID).limit(size).select(ID, "recommended_action_nba", "action_confidence", "action_score")
 
 
-def write_parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def action_kpis(nba: DataFrame) -> DataFrame:
+    """Customers with an intervention, its margin and how many pay, in one row."""
+    acts = F.col("recommended_action_nba") != "Do Nothing"
+    return nba.agg(F.count("*").alias("customers"), F.count_if(acts).alias("interventions"), F.sum(F.when(acts, F.col("action_margin")).otherwise(0.0)).alias("margin"), F.count_if("economically_positive").alias("economically_positive"))
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def formatted_kpis(kpis: DataFrame) -> DataFrame:
+    """Display texts of the executive figures."""
+    return kpis.select(F.format_number("customers", 0).alias("customers"), F.concat(F.format_number(100 * F.col("active_rate"), 1), F.lit("%")).alias("active_rate"), F.concat(F.lit("$"), F.format_number("trailing_sales", 0)).alias("trailing_sales"))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.config import DEFAULT
-from tidemark.operators import cadence, decisions, growth, identity, propensity, segments, snapshots, value, views
+from tidemark.operators import activation, cadence, decisions, diagnostics, growth, identity, propensity, segments, snapshots, value, views
 from tidemark.plans.sql import cents, one, r4, with_ctes
-from tidemark.sources import canonical
+from tidemark.sources import canonical, formats
 
 ID = "golden_customer_id"
 
@@ -35,8 +35,8 @@ def plain(df: DataFrame) -> DataFrame:
 class Tables:
     """The chain of customer tables of one data folder, each built when first asked for.
 
-    Transactions and priorities feed most queries, so they are persisted: Spark finds them again by
-    their plan, in any later query over the same folder, and rebuilds partitions that are lost.
+    Tables that feed many queries are persisted when first computed; partitions that are lost are
+    built again from their lineage.
     """
 
     spark: SparkSession
@@ -52,7 +52,7 @@ class Tables:
 
     @cached_property
     def features(self) -> DataFrame:
-        return cadence.customer_features(self.tx, self.master)
+        return cadence.customer_features(self.tx, self.master).persist()
 
     @cached_property
     def momentum(self) -> DataFrame:
@@ -64,7 +64,7 @@ class Tables:
 
     @cached_property
     def value(self) -> DataFrame:
-        return value.customer_value(self.tx, self.features)
+        return value.customer_value(self.tx, self.features).persist()
 
     @cached_property
     def priority(self) -> DataFrame:
@@ -80,7 +80,7 @@ class Tables:
 
     @cached_property
     def nba(self) -> DataFrame:
-        return decisions.next_best_action(self.priority, self.tx)
+        return decisions.next_best_action(self.priority, self.tx).persist()
 
     @cached_property
     def records(self) -> DataFrame:
@@ -89,7 +89,18 @@ class Tables:
     @cached_property
     def scored(self) -> DataFrame:
         """A fixed score and outcome for checking the evaluation queries."""
-        return self.priority.select(ID, F.when(F.col("commercial_value_score") > 0, F.col("commercial_value_score") / 100).otherwise(0.005).alias("score"), F.col("active_customer").cast("int").alias("label"))
+        return self.priority.select(ID, F.when(F.col("commercial_value_score") > 0, F.col("commercial_value_score") / 100).otherwise(0.005).alias("score"), F.col("active_customer").cast("int").alias("label")).persist()
+
+
+_TABLES: dict[tuple[str, int, str], Tables] = {}
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The tables of a folder, shared by all queries of a session."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = Tables(spark, sf_dir)
+    return _TABLES[key]
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,7 +108,7 @@ ORACLES: dict[str, str] = {}
 
 
 def add(name: str, build: Callable[[Tables], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: plain(build(Tables(spark, sf_dir)))
+    QUERIES[name] = lambda spark, sf_dir: plain(build(tables(spark, sf_dir)))
     if sql is not None:
         ORACLES[name] = with_ctes(sql)
 
@@ -213,9 +224,47 @@ add("retention_heatmap", lambda t: views.retention_heatmap(growth.cohort_retenti
 add("stratified_sample", lambda t: views.stratified_sample(t.priority.select(ID, "decision_group"), "decision_group", 200), "SELECT golden_customer_id, decision_group FROM (SELECT golden_customer_id, decision_group, row_number() OVER (PARTITION BY decision_group ORDER BY md5('42-'||CAST(golden_customer_id AS VARCHAR)), golden_customer_id) k, count(*) OVER (PARTITION BY decision_group) n, count(*) OVER () total FROM prio) WHERE k <= greatest(1, floor(200*n/total::DOUBLE+0.5))")
 add("customer_search", lambda t: views.search_customers(t.master, "AUTO"), "SELECT golden_customer_id, state, market_segment FROM cust WHERE lower(state) LIKE '%auto%' OR lower(market_segment) LIKE '%auto%'")
 add("filtered_priority", lambda t: views.apply_filters(t.priority.join(t.master, ID), tier="High").groupBy("state").agg(F.count("*").alias("customers")), "SELECT state, CAST(count(*) AS BIGINT) AS customers FROM prio JOIN cust USING (golden_customer_id) WHERE customer_value_tier='High' GROUP BY 1")
-add("duplicate_order_keys", lambda t: views.duplicate_keys(t.tx, ["order_id"]), "SELECT order_id, CAST(count(*) AS BIGINT) AS rows FROM tx GROUP BY 1 HAVING count(*)>1")
+add("duplicate_order_keys", lambda t: formats.duplicate_keys(t.tx, ["order_id"]), "SELECT order_id, CAST(count(*) AS BIGINT) AS rows FROM tx GROUP BY 1 HAVING count(*)>1")
 add("customers_without_recent_orders", lambda t: t.master.join(t.tx.where("transaction_date > '2000-07-31'"), ID, "left_anti").select(ID), "SELECT golden_customer_id FROM cust WHERE golden_customer_id NOT IN (SELECT golden_customer_id FROM tx WHERE transaction_date > DATE '2000-07-31')")
 add("customers_of_both_channels", lambda t: t.tx.where("channel = 'Store'").select(ID).intersect(t.tx.where("channel = 'Online'").select(ID)), "SELECT golden_customer_id FROM tx WHERE channel='Store' INTERSECT SELECT golden_customer_id FROM tx WHERE channel='Online'")
 add("customers_of_store_only", lambda t: t.tx.where("channel = 'Store'").select(ID).subtract(t.tx.where("channel <> 'Store'").select(ID)), "SELECT golden_customer_id FROM tx WHERE channel='Store' EXCEPT SELECT golden_customer_id FROM tx WHERE channel<>'Store'")
 add("campaign_control_benchmark", lambda t: t.exposures.groupBy("campaign_id", "treatment_flag").agg(F.count("*").alias("exposures"), F.avg("responded").alias("response_rate")), f"SELECT campaign_id, CAST(treatment_flag AS BIGINT) AS treatment_flag, CAST(count(*) AS BIGINT) AS exposures, {r4('avg(responded)')} AS response_rate FROM expo GROUP BY 1,2")
 _ = one
+
+# more of the pages
+add("lapse_by_lifecycle", lambda t: views.lapse_by_lifecycle(t.features), f"SELECT lifecycle_status, CAST(count(*) AS BIGINT) AS customers, {r4('median(adjusted_lapse_ratio)')} AS median_lapse_ratio FROM feat GROUP BY 1")
+add("commercial_summary", lambda t: views.commercial_summary(t.priority), f"SELECT rfm_segment, CAST(count(*) AS BIGINT) AS customers, {r4('sum(trailing_12m_sales)')} AS sales, {r4('sum(trailing_12m_margin)')} AS margin, CAST(count(*) FILTER (decision_group='Protect Now') AS BIGINT) AS protect_now, CAST(count(*) FILTER (decision_group='Proactive Retention') AS BIGINT) AS proactive_retention, {r4('avg(priority_score)')} AS avg_priority FROM prio GROUP BY 1")
+add("queue_kpis", lambda t: views.queue_kpis(t.priority, ("Protect Now", "Re-engage"), 30.0), f"SELECT priority_band, CAST(count(*) AS BIGINT) AS customers, {r4('sum(trailing_12m_margin)')} AS margin, {r4('avg(priority_score)')} AS avg_priority, CAST(count(*) FILTER (customer_value_tier='Very High') AS BIGINT) AS very_high_value FROM prio WHERE decision_group IN ('Protect Now','Re-engage') AND priority_score>=30 GROUP BY 1")
+add("growth_signals", lambda t: views.growth_signals(growth.growth_monthly(t.tx)), "SELECT *, CASE WHEN recent_net_change<0 THEN 'Shrinking' WHEN recent_net_change<previous_net_change THEN 'Slowing' ELSE 'Growing' END AS growth_signal FROM (SELECT " + ", ".join(f"CAST(coalesce(sum({c}) FILTER ({w}),0) AS BIGINT) AS {p}_{c}" for c in ("new_customers", "reactivated_customers", "lapsed_customers", "net_change") for p, w in (("recent", "n<=12"), ("previous", "n BETWEEN 13 AND 24"))) + ", CAST(max(closing_customers) FILTER (n=1) AS BIGINT) AS closing_customers FROM (SELECT *, row_number() OVER (ORDER BY month DESC) n FROM gro))")
+add("cohort_attention", lambda t: views.cohort_attention(growth.cohort_summary(t.tx, t.ltv)), f"SELECT cohort_month, customers, {r4('retention_m6-m6_benchmark')} AS m6_delta, CASE WHEN retention_m6-m6_benchmark<=-0.05 THEN 'Deteriorating' WHEN retention_m6-m6_benchmark>=0.05 THEN 'Improving' ELSE 'Stable / Mixed' END AS cohort_trend FROM cs2 WHERE retention_m6-m6_benchmark IS NOT NULL ORDER BY floor((retention_m6-m6_benchmark)*1e6+0.5), cohort_month LIMIT 10")
+add("action_kpis", lambda t: views.action_kpis(t.nba), f"SELECT CAST(count(*) AS BIGINT) AS customers, CAST(count(*) FILTER (act<>'Do Nothing') AS BIGINT) AS interventions, {r4('sum(CASE WHEN act<>' + chr(39) + 'Do Nothing' + chr(39) + ' THEN action_margin ELSE 0 END)')} AS margin, CAST(count(*) FILTER (act<>'Do Nothing' AND action_margin>0) AS BIGINT) AS economically_positive FROM nba")
+add("action_queue", lambda t: views.action_queue(t.nba, ("Protect", "Re-engage", "Cross-sell"), 30.0, 100))
+add("identity_evidence", lambda t: views.identity_evidence(identity.resolve(t.records)[0]))
+add("segment_profile", lambda t: diagnostics.segment_profile(t.priority, "rfm_segment", ["orders", "recency_days", "priority_score"]), f"SELECT rfm_segment, CAST(count(*) AS BIGINT) AS customers, {r4('median(orders)')} AS median_orders, {r4('median(recency_days)')} AS median_recency_days, {r4('median(priority_score)')} AS median_priority_score FROM prio GROUP BY 1")
+
+# quality reports; the market segment stands for the hidden group that is known in synthetic data only
+add("lifecycle_by_market_segment", lambda t: diagnostics.row_shares(t.features.join(t.master, ID), "market_segment", "lifecycle_status").drop("row_pct"), "SELECT market_segment, lifecycle_status, CAST(count(*) AS BIGINT) AS customers FROM feat JOIN cust USING (golden_customer_id) GROUP BY 1,2")
+add("segment_enrichment", lambda t: diagnostics.enrichment(t.priority.join(t.master, ID), "rfm_segment", "market_segment").select("rfm_segment", "market_segment", "customers", "share", "baseline_share", "enrichment"), f"SELECT rfm_segment, market_segment, n AS customers, {r4('share')} AS share, {r4('base')} AS baseline_share, {r4('share/base')} AS enrichment FROM (SELECT rfm_segment, market_segment, n, n/sum(n) OVER (PARTITION BY rfm_segment)::DOUBLE share, sum(n) OVER (PARTITION BY market_segment)/sum(n) OVER ()::DOUBLE base, row_number() OVER (PARTITION BY rfm_segment ORDER BY n DESC, market_segment) k FROM (SELECT rfm_segment, market_segment, count(*) n FROM prio JOIN cust USING (golden_customer_id) GROUP BY 1,2)) WHERE k=1")
+add("detection_summary", lambda t: diagnostics.detection_summary(t.trend.join(t.master, ID), "market_segment", F.col("cadence_trend_status").isin("Deteriorating", "Strongly Deteriorating")), f"SELECT market_segment, CAST(count(*) AS BIGINT) AS customers, {r4('avg(CASE WHEN cadence_trend_status IN (' + chr(39) + 'Deteriorating' + chr(39) + ',' + chr(39) + 'Strongly Deteriorating' + chr(39) + ') THEN 1 ELSE 0 END)')} AS detected_rate FROM trend JOIN cust USING (golden_customer_id) GROUP BY 1")
+add("identity_contamination", lambda t: diagnostics.cluster_contamination(identity.resolve(t.records)[0]))
+add("identity_methods", lambda t: diagnostics.match_methods(identity.resolve(t.records)[0]))
+add("identity_summary", lambda t: (lambda r: diagnostics.identity_summary(r[0], r[1], identity.evaluate(r[0])))(identity.resolve(t.records)))
+add("table_expectations", lambda t: diagnostics.expectations(t.priority, "customer_priority", {"priority in 0..100": F.col("priority_score").between(0, 100), "known band": F.col("priority_band").isin("Critical", "High", "Medium", "Low"), "orders not negative": F.col("orders") >= 0}), "SELECT 'customer_priority' AS \"table\", e AS expectation, CAST(f AS BIGINT) AS failures FROM (SELECT count(*) FILTER (NOT priority_score BETWEEN 0 AND 100) a, count(*) FILTER (priority_band NOT IN ('Critical','High','Medium','Low')) b, count(*) FILTER (orders<0) c, count(*)-count(DISTINCT golden_customer_id) d FROM prio), LATERAL (VALUES ('priority in 0..100',a),('known band',b),('orders not negative',c),('unique golden_customer_id',d)) x(e,f)")
+
+# promotion model and activation
+PROMOTION_DATES = ("1999-08-15", "2001-02-15", "2001-05-15")
+
+
+def promotion_data(t: Tables) -> tuple[DataFrame, list[str]]:
+    treated = snapshots.promotion_training(t.tx, t.exposures).where("treatment_flag = 1").withColumn(propensity.T, F.col("campaign_date"))
+    hot, names = propensity.one_hot(treated, propensity.PROMOTION_KINDS)
+    return hot, [*propensity.PROMOTION, *names]
+
+
+add("promotion_features", lambda t: snapshots.promotion_training(t.tx, t.exposures).select("exposure_id", *propensity.PROMOTION))
+add("promotion_governance", lambda t: (lambda d: propensity.governed_model(d[0], d[1], "responded", PROMOTION_DATES, "promotion", "exposure_id")[0])(promotion_data(t)))
+add("cross_sell_metrics", lambda t: propensity.governed_model(snapshots.cross_sell_training(t.tx), propensity.CROSS_SELL, "cross_sell_next_180d", ("1999-07-31", "2000-10-31", "2001-01-31"), "cross_sell", ID)[1].select("candidate", "split", "score", "roc_auc", "pr_auc", "brier", "log_loss", "calibration_gap"))
+add("operational_offers", lambda t: activation.operational_scores(snapshots.promotion_training(t.tx, t.exposures), activation.offers_at(t.priority, t.tx), True))
+add("governed_next_best_action", lambda t: activation.governed_actions(t.priority, t.tx, cross_sell=t.scored.select(ID, F.col("score").alias("probability"))).select(ID, "recommended_action_nba", "action_score", "action_margin", "decision_source"))
+add("recommendation_validation", lambda t: activation.validate_recommendations(t.tx, "2001-01-31"))
+add("reengagement_baseline", lambda t: (lambda p: propensity.baseline(p["validation"], p["test"], "purchased_next_90d"))(propensity.split_by_time(snapshots.reengagement_training(t.tx), "1999-10-31", "2001-01-31", "2001-04-30")).select("rows", "brier", "base_rate", "mean_probability"), f"SELECT CAST(count(*) AS BIGINT) AS rows, {r4('avg((p-y)*(p-y))')} AS brier, {r4('avg(y)')} AS base_rate, {r4('avg(p)')} AS mean_probability FROM (SELECT purchased_next_90d y, (SELECT avg(purchased_next_90d) FROM re_train WHERE observation_date=DATE '2001-01-31') p FROM re_train WHERE observation_date=DATE '2001-04-30')")
