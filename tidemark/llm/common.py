@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.sources.storage import new_path, shared_dir, stored
 
 
-__all__ = ["new_path", "partitions", "shared_dir", "shared_keys", "stored", "table", "text_or_empty"]
+__all__ = ["bounded_batches", "new_path", "partitions", "shared_dir", "shared_keys", "stored", "table", "text_or_empty", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Arrow batches grow to this many bytes; Spark's own bound is eight times as much for each of several buffers a task.
+BATCH_BYTES = 8 << 20
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch of this session exceed BATCH_BYTES (one row may); a smaller setting stays."""
+    now = str(spark.conf.get(_SETTING, "64m")).lower()
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("b")[-1:], 1)
+    number = int("".join(c for c in now if c in "-0123456789"))
+    if number <= 0 or number * unit > BATCH_BYTES:
+        spark.conf.set(_SETTING, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, lengthened until no column has it."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

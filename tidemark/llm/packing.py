@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import stored, text_or_empty
+from tidemark.llm.common import bounded_batches, stored, text_or_empty
 from tidemark.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SALTS = 256
-_SLICE = 256
+_SLICE = 4096
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int | None = 1, with_ids: bool = False) -> DataFrame:
@@ -31,6 +31,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end
 
     Null text is empty. A document without ids (no end id, empty text) has no piece.
     """
+    bounded_batches(docs.sparkSession)
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
     step = 4 * capacity
 

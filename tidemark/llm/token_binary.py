@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import new_path, partitions, text_or_empty
+from tidemark.llm.common import bounded_batches, new_path, partitions, text_or_empty
 from tidemark.llm.tokens import encoder
 
 MAGIC = b"TMTOK001"
@@ -40,7 +40,7 @@ BLOCK_SCHEMA = T.StructType([
     T.StructField("payload", T.BinaryType()),
 ])
 DIGEST_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
-_SLICE = 256
+_SLICE = 4096
 
 
 def serialise(ids: bytes) -> bytes:
@@ -98,6 +98,7 @@ def write_token_corpus(
     sample_bytes); every document is encoded.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     train_dictionary(source, tokenizer_path, sample_docs, sample_bytes, dict_bytes).write.parquet(f"{path}/dictionary")
     shared = spark.read.parquet(f"{path}/dictionary").head()
@@ -169,6 +170,7 @@ def _frames(batches: Iterator[pa.RecordBatch], data: bytes) -> Iterator[tuple[in
 
 
 def _read(spark: SparkSession, path: str) -> tuple[DataFrame, bytes]:
+    bounded_batches(spark)
     shared = spark.read.parquet(f"{path}/dictionary").head()
     columns = ["part_start", "local_start", "doc_ids", "offsets", "sizes", "counts", "payload"]
     return _blocks(spark, path).select(*columns), bytes(shared.dict_bytes) if shared else b""

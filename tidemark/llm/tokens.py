@@ -15,6 +15,8 @@ import unicodedata
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Two white-space characters, then a third or the end: a cut inside could change the split.
 _RUN = re.compile(r"\s\s(?:\s|\Z)")
@@ -26,14 +28,14 @@ _ENCODERS: dict[tuple[str, str], "PieceEncoder"] = {}
 class PieceEncoder:
     """Encodes whole texts to uint32 ids. mode "byte": a leading space belongs to its word; "word": white space is dropped."""
 
-    def __init__(self, path: str, mode: str, cache_pieces: int = 350_000) -> None:
+    def __init__(self, path: str, mode: str, cache_pieces: int = 500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.mode, self.cache_pieces = mode, cache_pieces
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"\1": b""}
         self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -57,43 +59,64 @@ class PieceEncoder:
         encoded = self.library.encode_batch(other, add_special_tokens=False)
         self.cache.update(zip(other, [array("I", found.ids).tobytes() for found in encoded], strict=True))
 
-    def _pieces(self, text: str) -> list[str]:
+    def _cut(self, text: str) -> str:
+        """The text with a NUL at every place where its pieces part."""
         alone = not _JOINED[self.mode].search(text)
         if self.mode == "word":
             if "Σ" not in text and unicodedata.is_normalized("NFC", text):
                 text = text.lower()  # the library lowers every character by itself
             if alone:
-                text = text.replace(",", " , ").replace(".", " . ")
-            return text.replace("\n", " ").split(" ")
+                text = text.replace(",", "\0,\0").replace(".", "\0.\0")
+            return text.replace("\n", "\0").replace(" ", "\0")
         text = text.replace(" ", "\0 ").replace("\n", "\0\n")
-        if alone:
-            text = text.replace(",", "\0,").replace(".", "\0.")
-        return text.split("\0")
+        return text.replace(",", "\0,").replace(".", "\0.") if alone else text
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian uint32 bytes, equal to the library's own for the whole text."""
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, each from the cache or the library."""
         if len(self.cache) > self.cache_pieces:  # frequent pieces come back from the older half
-            self.older, self.cache = self.cache, {}
-        out: list[bytes] = []
-        waiting: list[tuple[int, list[str], list[bytes | None]]] = []
-        missing: set[str] = set()
-        for text in texts:
-            if any(s in text for s in self.special) or (self.mode == "byte" and ("\0" in text or _RUN.search(text))):
-                out.append(self.whole(text))
-                continue
-            pieces = self._pieces(text)
-            found = list(map(self.cache.get, pieces))
-            if None in found:
-                missing.update([p for p, ids in zip(pieces, found, strict=True) if ids is None])
-                waiting.append((len(out), pieces, found))
-                out.append(b"")
+            self.older, self.cache = self.cache, {"\1": b""}
+        found = list(map(self.cache.get, pieces))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        unknown = []
+        for i in missing:
+            p = pieces[i]
+            if p in self.older:
+                self.cache[p] = self.older[p]
+            else:
+                unknown.append(p)
+        self._learn(unknown)
+        for i in missing:
+            found[i] = self.cache[pieces[i]]
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian uint32 bytes, equal to the library's own for the whole text.
+
+        All texts are cut and their pieces made distinct in one column; ids are then gathered by piece.
+        """
+        out = [b""] * len(texts)
+        cut: list[str] = []
+        at: list[int] = []
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.special) or "\0" in text or "\1" in text or (self.mode == "byte" and _RUN.search(text)):
+                out[i] = self.whole(text)
             else:
-                out.append(b"".join(found))
-        known = {p: self.older[p] for p in missing if p in self.older}
-        self.cache.update(known)
-        self._learn([p for p in missing if p not in known])
-        for i, pieces, found in waiting:
-            out[i] = b"".join([self.cache[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)])
+                cut.append(self._cut(text))
+                at.append(i)
+        if not at:
+            return out
+        column = pc.split_pattern(pa.array(["\0\1\0".join(cut)], pa.large_string()), "\0").values.dictionary_encode()
+        pieces, which = column.dictionary.to_pylist(), column.indices.to_numpy()
+        end = pieces.index("\1") if len(at) > 1 else -1
+        ids = self._ids_of(pieces)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        starts, pool = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
+        size = sizes[which]
+        ends = np.cumsum(size)
+        raw = pool[np.repeat((starts[which] - ends + size).astype(np.int32), size) + np.arange(ends[-1], dtype=np.int32)].tobytes()
+        bounds = [0, *(4 * ends[which == end]).tolist(), len(raw)]
+        for i, a, b in zip(at, bounds, bounds[1:], strict=False):
+            out[i] = raw[a:b]
         return out
 
 
