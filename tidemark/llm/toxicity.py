@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import bounded_batches, stored
 
 BUCKETS = 1 << 20
 _EDGE = ".,;:!?\"'()[]{}#*$%&|<>-_/\\…«»“”¡¿"
@@ -144,7 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column],
 
     Word counts by category pick the `words` most telling features; both passes read the sample's
     whole texts in tasks, the driver receives fixed-size counts and the sample's chosen features.
+    Labels may be null; of repeated labels the larger counts. `words` is at most 65,536.
     """
+    bounded_batches(docs.sparkSession)
     names = list(categories)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.cast("double").alias(f"y{i}") for i, c in enumerate(categories.values())])
     marked = marked.where("doc_id is not null").groupBy("doc_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))])
@@ -173,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column],
     import zstandard
 
     counts, rows = np.zeros((1 + len(names), BUCKETS)), np.zeros(1 + len(names))
-    for r in texts.mapInArrow(tally, "counts binary, rows array<double>").toLocalIterator():  # 16 tasks
+    for r in texts.mapInArrow(tally, "counts binary, rows array<double>").collect():  # a row for each of 16 tasks
         counts += np.frombuffer(zstandard.ZstdDecompressor().decompress(r.counts), np.uint32).reshape(counts.shape)
         rows += np.array(r.rows)
     telling = np.zeros(BUCKETS)
@@ -189,16 +191,17 @@ def train(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column],
         lookup = _Lookup(buckets)
         for batch in batches:
             found = [_features(t, lookup) for t in batch.column("text").to_pylist()]
-            arrays = [batch.column("doc_id"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))]
+            arrays = [batch.column("doc_id"), pa.array([f[0].astype("<u2").tobytes() for f in found], pa.binary()), pa.array([f[1].astype("<f4").tobytes() for f in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([*arrays, *[batch.column(y) for y in ys]], names=["doc_id", "columns", "values", *ys])
 
-    schema = "doc_id long, columns array<long>, values array<double>, " + ", ".join(f"{y} double" for y in ys)
-    sample = texts.mapInArrow(chosen, schema).toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
-    sizes = sample["columns"].map(len).to_numpy(dtype=np.int64) if len(sample) else np.empty(0, np.int64)
-    join = lambda name, kind: np.concatenate([np.asarray(v, kind) for v in sample[name]]) if len(sample) else np.empty(0, kind)
-    x = Sparse(np.r_[0, np.cumsum(sizes)].astype(np.int64), join("columns", np.int64), join("values", np.float64), max(1, len(buckets)))
-    folds = (sample["doc_id"].to_numpy(dtype=np.int64) * 2654435761 >> 7) % n_folds if len(sample) else np.empty(0, np.int64)
-    return fit_chain(x, sample[ys].to_numpy(dtype=np.float64).reshape(len(sample), len(ys)), names, folds, buckets, n_folds=n_folds, l2=l2)
+    schema = "doc_id long, columns binary, values binary, " + ", ".join(f"{y} double" for y in ys)
+    sample = sorted(texts.mapInArrow(chosen, schema).collect(), key=lambda r: (r.doc_id, r.columns, r.values))  # six bytes a feature of at most max_labelled texts
+    ids, y = np.array([r.doc_id for r in sample], np.int64), np.array([[np.nan if r[c] is None else r[c] for c in ys] for r in sample], np.float64)
+    columns, values = (np.frombuffer(b"".join([r[name] for r in sample]), kind) for name, kind in (("columns", "<u2"), ("values", "<f4")))
+    x = Sparse(np.r_[0, np.cumsum([len(r.columns) // 2 for r in sample])].astype(np.int64), columns.astype(np.int32), values, max(1, len(buckets)))
+    del sample
+    folds = (ids * 2654435761 >> 7) % n_folds
+    return fit_chain(x, y.reshape(len(ids), len(ys)), names, folds, buckets, n_folds=n_folds, l2=l2)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -208,6 +211,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """
     from pyspark.sql import types as T
 
+    bounded_batches(docs.sparkSession)
     names = [m[0] for m in chain.models]
     own = [*[f"p_{n}" for n in names], *[f"is_{n}" for n in names]]
     kept = docs.drop(*own)
