@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import bounded_batches, stored
 
 _BLOCK = 256
 
@@ -48,8 +48,8 @@ def _beam(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray
     """
     q, n = len(queries), len(points)
     rows = np.arange(q)
-    seen = np.zeros((q, n), bool)
-    seen[:, entry] = True
+    seen = np.zeros((q, n + 1), bool)  # the last column stands for padding
+    seen[:, entry] = seen[:, n] = True
     ids = np.full((q, width), -1, np.int64)
     scores = np.full((q, width), -np.inf, np.float32)
     ids[:, 0], scores[:, 0] = entry, queries @ points[entry]
@@ -61,9 +61,10 @@ def _beam(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray
         node = ids[live, place]
         done[live, place] = True
         near = graph[node]
-        fresh = (near >= 0) & ~seen[live[:, None], near]
+        near = np.where(near >= 0, near, n)
+        fresh = ~seen[live[:, None], near]
+        seen[live[:, None], near] = True
         near = np.where(fresh, near, 0)
-        seen[live[:, None], near] |= fresh
         found = np.where(fresh, np.einsum("qrd,qd->qr", points[near], queries[live]), -np.inf).astype(np.float32)
         all_scores = np.concatenate([scores[live], found], 1)
         all_ids = np.concatenate([ids[live], np.where(fresh, near, -1)], 1)
@@ -77,6 +78,7 @@ def _beam(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray
 def _pruned(points: np.ndarray, node: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Robust pruning: nearest candidate first, dropping those that a kept one is alpha times nearer to than the node is."""
     b, c = candidates.shape
+    candidates = np.sort(candidates, axis=1)  # copies of one stay neighbours among equal distances
     good = (candidates >= 0) & (candidates != node[:, None])
     x = points[np.where(good, candidates, 0)]
     away = ((x - points[node][:, None]) ** 2).sum(2)
@@ -96,7 +98,7 @@ def _pruned(points: np.ndarray, node: np.ndarray, candidates: np.ndarray, degree
     return out
 
 
-def build_graph(x: np.ndarray, *, degree: int = 32, width: int = 48, alpha: float = 1.2) -> tuple[np.ndarray, int]:
+def build_graph(x: np.ndarray, *, degree: int = 48, width: int = 96, alpha: float = 1.2) -> tuple[np.ndarray, int]:
     """(neighbours with -1 as padding, entry node) over distinct vectors."""
     points = _lifted(x)
     n = len(points)
@@ -153,7 +155,7 @@ def _shard_index(ids: np.ndarray, x: np.ndarray, degree: int, width: int, alpha:
     return pickle.dumps((distinct, graph.astype(np.int32), entry, ids[order], starts))
 
 
-def build_index(vectors: DataFrame, *, shards: int, degree: int = 32, width: int = 48, alpha: float = 1.2) -> DataFrame:
+def build_index(vectors: DataFrame, *, shards: int, degree: int = 48, width: int = 96, alpha: float = 1.2) -> DataFrame:
     """(shard, index): one stored row for each shard; `vectors` as usable() returns them."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +174,7 @@ def build_index(vectors: DataFrame, *, shards: int, degree: int = 32, width: int
     return stored(dealt.mapInArrow(build, "shard int, index binary"), "ann-index")
 
 
-def search(index: DataFrame, queries: DataFrame, *, shards: int, k: int = 20, width: int = 64) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, *, shards: int, k: int = 20, width: int = 128) -> DataFrame:
     """query_id, rank, vec_id, score: the k best found for each (vec_id, embedding) query, its own id left out.
 
     Scores are inner products of the original vectors in double precision; ties go to smaller ids.
@@ -226,12 +228,13 @@ def search(index: DataFrame, queries: DataFrame, *, shards: int, k: int = 20, wi
     return merged.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), (-F.col("b.below")).alias("score"))
 
 
-def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, shard_rows: int = 100_000, least_shards: int = 16, degree: int = 32, width: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, shard_rows: int = 25_000, least_shards: int = 16, degree: int = 48, width: int = 128) -> DataFrame:
     """Neighbours of the vectors whose id is divisible by `every` among all others.
 
     Rows that usable() leaves out take no part. Repeated rows are candidates of their own, a query's
     own id is none. Fewer candidates than k are all returned. An empty table gives no rows.
     """
+    bounded_batches(vectors.sparkSession)
     sound = stored(usable(vectors), "vectors")
     shards = max(least_shards, -(-sound.count() // shard_rows))
     index = build_index(sound, shards=shards, degree=degree)
