@@ -79,6 +79,8 @@ def mix(docs: DataFrame, weights: DataFrame, *, block_docs: int = 16) -> DataFra
     """
     own = ["mix_source", "block", "place", "slot"]
     base = docs.drop(*own)
+    names = base.columns
+    base = base.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), "doc_id", "source", "text")  # no name of the input meets one of ours
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     keyed = base.withColumns({"mix_source": source_key(), "_md5": digest, "_bucket": F.substring(digest, 1, 2), "_tie": F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
     sizes = keyed.groupBy("mix_source", "_bucket").agg(F.count("*").alias("_n"))
@@ -92,7 +94,7 @@ def mix(docs: DataFrame, weights: DataFrame, *, block_docs: int = 16) -> DataFra
     turned = ranked.join(F.broadcast(units), "mix_source", "left").withColumn("_nth", F.pmod("block", F.col("units")))
     placed = turned.join(F.broadcast(period.select("mix_source", "_nth", "_slot")), ["mix_source", "_nth"], "left")
     slot = F.floor(F.col("block") / F.col("units")) * F.col("period") + F.col("_slot")
-    return placed.withColumn("slot", F.coalesce(slot, F.lit((1 << 62)) + F.col("block")).cast("long")).select(*base.columns, *own)
+    return placed.withColumn("slot", F.coalesce(slot, F.lit((1 << 62)) + F.col("block")).cast("long")).select("_doc.*", *own)
 
 
 def mixed_order(docs: DataFrame, weights: DataFrame, *, block_docs: int = 16) -> DataFrame:

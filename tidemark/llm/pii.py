@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import unused
+
 ROUNDS = 8
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _DATE = r"(?<![\p{L}\p{N}])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\p{L}\p{N}]|[-./]\d)"
@@ -180,10 +182,10 @@ def pseudonymise(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
     if not key:
         raise ValueError("a secret key is needed")
     rows = docs.drop("n_private") if text != "n_private" else docs
+    found, new = unused("_found", rows.columns), unused("_new", rows.columns)
     may = F.col(text).rlike("[0-9@]") & F.col(text).rlike(PATTERN)
-    found = F.when(may, F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)))
-    named = rows.withColumn("_found", found).withColumn("_new", F.transform("_found", lambda m: pseudonym(key, m)))
-    joined = F.array_join(F.zip_with(F.split(F.col(text), PATTERN, -1), F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    out = {"n_private": F.when(F.col("_found").isNull(), 0).otherwise(changed).cast("long"), text: F.when(F.col("_found").isNull(), F.col(text)).otherwise(joined)}
+    named = rows.withColumn(found, F.when(may, F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)))).withColumn(new, F.transform(found, lambda m: pseudonym(key, m)))
+    joined = F.array_join(F.zip_with(F.split(F.col(text), PATTERN, -1), F.col(new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
+    out = {"n_private": F.when(F.col(found).isNull(), 0).otherwise(changed).cast("long"), text: F.when(F.col(found).isNull(), F.col(text)).otherwise(joined)}
     return named.withColumns(out).select(*rows.columns, "n_private")

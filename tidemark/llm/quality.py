@@ -133,11 +133,11 @@ def quality_verdicts(docs: DataFrame, *, cutoff: float = 60.0, min_group: int =
     and a small language that of all. The estimates come from rows that pass the base rules; if none
     does, nothing is kept. Columns of the same names as the added ones are replaced.
     """
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", *DIMENSIONS, "grp", "d2", "kept"]
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", *DIMENSIONS, "d2", "kept"]
     key = lambda *cols: F.to_json(F.array(*[F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in cols]))
-    rows = statistic_vector(base_statistics(docs.drop(*own))).withColumns({"_g2": key("lang", "source"), "_g1": key("lang")})
     kept = [c for c in docs.columns if c not in own]
-    table = stored(rows, "quality")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"), "text", key("lang", "source").alias("_g2"), key("lang").alias("_g1"))  # no name of the input meets one of ours
+    table = stored(statistic_vector(base_statistics(whole)).drop("text"), "quality")
     sizes = table.where(~F.col("base_failed")).groupBy("_g2", "_g1").agg(F.count("*").alias("_n2"))
     by_lang = sizes.groupBy("_g1").agg(F.sum("_n2").alias("_n1"))
     groups = stored(
@@ -153,4 +153,4 @@ def quality_verdicts(docs: DataFrame, *, cutoff: float = 60.0, min_group: int =
         fitted = model if fitted is None else fitted.unionByName(model)
     judged = _distance(table.join(F.broadcast(groups.select("_g2", "grp")), "_g2", "left").join(F.broadcast(fitted), "grp", "left"))
     verdict = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(False))
-    return judged.withColumn("kept", verdict).select(*kept, *own)
+    return judged.withColumn("kept", verdict).select("_doc.*", *own)
