@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import bounded_batches
+
 CONTENT, BOILER, MIXED = 0, 1, 2
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -304,7 +306,7 @@ def labelled_pages(number: int = 600, seed: int = 11) -> tuple[list[str], list[s
         if kind == "nav":
             return named(["nav", "nav", "div", "ul"], ["nav", "menu", "navbar", "navigation", "topnav", "breadcrumb", "breadcrumbs", "main-menu"], links(3, 9), 0.2)
         if kind == "header":
-            return named(["header", "header", "div"], ["header", "masthead", "site-header", "banner", "top", "logo"], pick(prose(1, 6), link()) + pick("", links(2, 5), "<h2>" + prose(1, 3) + "</h2>"), 0.2)
+            return named(["header", "header", "div"], ["header", "masthead", "site-header", "banner", "top", "logo"], pick(prose(1, 6), link(), "<h1>" + word() + "</h1>", "<h1>" + prose(1, 3) + "</h1>") + pick("", links(2, 5), "<h2>" + prose(1, 3) + "</h2>"), 0.2)
         if kind == "footer":
             return named(["footer", "footer", "div"], ["footer", "site-footer", "copyright", "contentinfo", "bottom", "legal"], pick("&copy; ", "", "Copyright ") + word() + pick(" &middot; ", " | ", " ") + prose(3, 25) + pick("", links(2, 6)), 0.2)
         if kind == "side":
@@ -333,6 +335,8 @@ def labelled_pages(number: int = 600, seed: int = 11) -> tuple[list[str], list[s
             return f"<{tag}>{text}</{tag}>" if rng.random() < 0.8 or tag != "p" else f"<{tag}>{text}"
 
         body = [block(pick("h1", "h1", "h2"), 2, 14)] if rng.random() < 0.8 else []
+        if body and rng.random() < 0.15:
+            body = [f"<header>{body[0]}</header>"]
         terse = rng.random() < 0.12  # verse, transcripts, lists of short lines
         if terse:
             body += [block("p", 1, 4) for _ in range(int(rng.integers(20, 200)))]
@@ -392,6 +396,7 @@ def extract(pages: DataFrame, model: Potentials | None = None, *, column: str =
     A null or empty page, or one without content, gives an empty text. Every content block is kept
     whole, in page order. Columns named text or n_chars are replaced.
     """
+    bounded_batches(pages.sparkSession)
     model = model or trained()
     kept = pages.drop(*[c for c in ("text", "n_chars") if c != column])
 

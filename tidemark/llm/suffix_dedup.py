@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import partitions, shared_keys, stored
+from tidemark.llm.common import bounded_batches, partitions, shared_keys, stored
 
 _STEP, _MIX, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
@@ -125,11 +125,11 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, gram: int = 16, w
     """doc_id, start_word, end_word, n_words: every maximal stretch of words that repeats in another document.
 
     Only repeats across rows count, not those inside one text. Null and empty texts have none.
-    Repeated rows and equal texts are repeats of each other. Stretches that touch or overlap are
-    joined, then those of min_words words or more are returned, for each occurrence. Other columns
-    are not read.
+    Repeated rows and equal texts are repeats of each other. Stretches of min_words words or more
+    are returned for each occurrence, those that touch or overlap as one. Other columns are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     core = min_words - window + 1
     if core < gram:
         raise ValueError("min_words must be at least gram + window - 1")
@@ -189,11 +189,13 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, gram: int = 16, w
     ext = sorted_.mapInArrow(neighbour_extensions, "fp binary, pos int, side int, ext int")
     ext = ext.groupBy("fp", "pos").agg(F.max(F.when(F.col("side") == 0, F.col("ext"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("ext"))).alias("r"))
 
-    reach = runs.join(ext, ["fp", "pos"], "left").select("fp", (F.col("pos") - F.coalesce("l", F.lit(0))).alias("a"), (F.col("pos") + core + F.coalesce("r", F.lit(0))).alias("b"))
+    # a run's suffixes make one stretch; only stretches that are long enough by themselves are then joined
+    nth = F.sum(F.col("first").cast("int")).over(near.rowsBetween(Window.unboundedPreceding, 0))
+    reach = runs.withColumn("run", nth).join(ext, ["fp", "pos"], "left").groupBy("fp", "run").agg(F.min(F.col("pos") - F.coalesce("l", F.lit(0))).alias("a"), F.max(F.col("pos") + core + F.coalesce("r", F.lit(0))).alias("b")).where(F.col("b") - F.col("a") >= min_words)
     before = Window.partitionBy("fp").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("fp").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, 0)
     opened = reach.withColumn("new", F.coalesce(F.col("a") > F.max("b").over(before), F.lit(True)).cast("int")).withColumn("nth", F.sum("new").over(upto))
-    spans = opened.groupBy("fp", "nth").agg(F.min("a").alias("start_word"), F.max("b").alias("end_word")).where(F.col("end_word") - F.col("start_word") >= min_words)
+    spans = opened.groupBy("fp", "nth").agg(F.min("a").alias("start_word"), F.max("b").alias("end_word"))
     whole = classes.where("copies > 1").select("fp", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"))
     parts = spans.select("fp", "start_word", "end_word").join(classes.where("copies = 1").select("fp"), "fp", "left_semi")
     found = stored(whole.unionByName(parts), "spans")
