@@ -75,7 +75,7 @@ def watchlist(priority: DataFrame, size: int = 20) -> DataFrame:
 
 def cross_tab(df: DataFrame, rows: str, columns: str, values: Sequence[str]) -> DataFrame:
     """Row percentages of counts by two columns."""
-    p = df.groupBy(rows).pivot(columns, list(values)).agg(F.count("*")).fillna(0)
+    p = df.groupBy(rows).pivot(columns, list(values)).agg(F.count(F.lit(1))).fillna(0)
     total = sum((F.col(f"`{v}`") for v in values), F.lit(0))
     return p.select(rows, *[safe_divide(100 * F.col(f"`{v}`"), total).alias(v.lower().replace(" ", "_")) for v in values])
 
