@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions, shared_keys, stored
+from tidemark.llm.common import bounded_batches, partitions, shared_keys, stored
 from tidemark.operators.components import connected_components
+from tidemark.sources.storage import Scratch
 
 BUCKETS = 1 << 20
 _CHUNK = 1 << 14
@@ -80,7 +81,7 @@ def scan_sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
         for batch in batches:
             found = [shingles(t, size) for t in batch.column(1).to_pylist()]
             rows = len(found)
-            ranges = [np.minimum(np.bincount((h >> np.uint64(59)).astype(np.int64), minlength=_RANGES), 65535).astype("<u2").tobytes() for h in found]
+            ranges = [np.minimum(np.bincount((h >> np.uint64(59)).astype(np.int64), minlength=_RANGES), 255).astype(np.uint8).tobytes() for h in found]
             values = [batch.column(0), [len(h) for h in found], [fingerprint(h) for h in found], ranges, [None] * rows, [None] * rows]
             yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
             waiting += found
@@ -116,7 +117,7 @@ def scan_sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     return rows.where("chunk is null").select("doc_id", "n", "fp", "ranges"), counts
 
 
-def prefix_postings(docs: DataFrame, counts: np.ndarray, size: int, num: int, den: int) -> DataFrame:
+def prefix_postings(work: Scratch, docs: DataFrame, counts: np.ndarray, size: int, num: int, den: int) -> DataFrame:
     """(token, key, n, pos): the rare-first prefix of each class, kept where another class has the token too."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))  # fixed size
@@ -147,7 +148,7 @@ def prefix_postings(docs: DataFrame, counts: np.ndarray, size: int, num: int, de
     schema = "token long, key long, n int, pos int"
     source = docs.select(F.col("text").cast("string").alias("text"))
     rows = source.mapInArrow(prefixes, schema).repartition(partitions(spark), "token").sortWithinPartitions("token")
-    return stored(rows.mapInArrow(lambda b: shared_keys(b, "token", "key"), schema).distinct(), "postings")
+    return work.stored(rows.mapInArrow(lambda b: shared_keys(b, "token", "key"), schema).distinct(), "postings")
 
 
 def _overlap(n1: Column, n2: Column, num: int, den: int) -> Column:
@@ -165,18 +166,18 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.least("a.key", "b.key").alias("ka"), F.greatest("a.key", "b.key").alias("kb")).distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def verified(work: Scratch, pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of class fingerprints whose sets are linked, of candidates (ka, kb)."""
 
     def ranges_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, nb, ra, rb = batch.columns
+            ka, kb, na, nb, ra, rb = batch.columns
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, _RANGES).astype(np.int32) for c in (ra, rb))
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, _RANGES).astype(np.int32) for c in (ra, rb))  # counts are cut at 255, which only lowers their differences
             total = na.to_numpy().astype(np.int64) + nb.to_numpy()
             need = -(-num * total // (num + den))
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(np.abs(x - y).sum(1) <= total - 2 * need))
+            yield pa.RecordBatch.from_arrays([ka, kb], names=["ka", "kb"]).filter(pa.array(np.abs(x - y).sum(1) <= total - 2 * need))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,15 +193,17 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, n
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = lambda end: classes.select(F.col("key").alias(f"k{end}"), F.col("fp").alias(end), F.col("n").alias(f"n{end}"), F.col("ranges").alias(f"r{end}"))
-    near = stored(pairs.join(one("a"), "ka").join(one("b"), "kb").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(ranges_fit, "a binary, b binary"), "near")
+    one = lambda end: classes.select(F.col("key").alias(f"k{end}"), F.col("n").alias(f"n{end}"), F.col("ranges").alias(f"r{end}"))
+    few = work.stored(pairs.join(one("a"), "ka").join(one("b"), "kb").select("ka", "kb", "na", "nb", "ra", "rb").mapInArrow(ranges_fit, "ka long, kb long"), "near")
+    named = lambda end: classes.select(F.col("key").alias(f"k{end}"), F.col("fp").alias(end))
+    near = work.stored(few.join(named("a"), "ka").join(named("b"), "kb").select("a", "b"), "near")
     ends = near.select(F.col("a").alias("fp")).union(near.select(F.col("b").alias("fp"))).distinct()
-    needed = stored(ends.join(classes.select("fp", "first_doc"), "fp"), "ends")
+    needed = work.stored(ends.join(classes.select("fp", "first_doc"), "fp"), "ends")
     names = needed.select(F.col("first_doc").alias("_doc")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(names, F.col("_id").eqNullSafe(F.col("_doc")), "left_semi")
-    hashed = stored(texts.select("text").mapInArrow(sets, "fp binary, hashes binary").join(needed.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "needed")
+    hashed = work.stored(texts.select("text").mapInArrow(sets, "fp binary, hashes binary").join(needed.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "needed")
     both = near.join(hashed.select(F.col("fp").alias("a"), F.col("hashes").alias("ha")), "a").join(hashed.select(F.col("fp").alias("b"), F.col("hashes").alias("hb")), "b")
-    return stored(both.select("a", "b", "ha", "hb").mapInArrow(linked, "a binary, b binary"), "links")
+    return work.stored(both.select("a", "b", "ha", "hb").mapInArrow(linked, "a binary, b binary"), "links")
 
 
 def near_duplicate_classes(docs: DataFrame, *, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -209,44 +212,48 @@ def near_duplicate_classes(docs: DataFrame, *, size: int, num: int, den: int) ->
     keeper is the fingerprint of the class that holds that document. Classes of a single document
     without links are left out of the second table. Null ids count as larger than any other.
     """
+    bounded_batches(docs.sparkSession)
+    work = Scratch(docs.sparkSession, "jaccard")
     rows, counts = scan_sets(docs, size)
-    classes = stored(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("ranges").alias("ranges")).withColumn("key", F.xxhash64("fp")), "classes")
-    postings = prefix_postings(docs, counts, size, num, den)
+    classes = work.stored(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("ranges").alias("ranges")).withColumn("key", F.xxhash64("fp")), "classes")
+    postings = prefix_postings(work, docs, counts, size, num, den)
 
     # first: each class of a list with the class that has the least rare tokens of its own before the shared one
-    lead = stored(postings.groupBy("token").agg(F.min(F.struct("pos", "n", "key")).alias("lead")).select("token", "lead.*"), "leads")
-    tried = stored(_pairs(postings.alias("b").join(lead.alias("a"), "token").where((F.col("a.key") != F.col("b.key")) & _may_link("a", "b", num, den))), "pairs")
-    links = verified(tried, classes, docs, size, num, den)
+    lead = work.stored(postings.groupBy("token").agg(F.min(F.struct("pos", "n", "key")).alias("lead")).select("token", "lead.*"), "leads")
+    tried = work.stored(_pairs(postings.alias("b").join(lead.alias("a"), "token").where((F.col("a.key") != F.col("b.key")) & _may_link("a", "b", num, den))), "pairs")
+    links = verified(work, tried, classes, docs, size, num, den)
 
     def open_lists(links: DataFrame) -> DataFrame:
         """Postings with their component, of tokens that more than one component has."""
         labels = connected_components(links).select(F.xxhash64("id").alias("key"), "component")
-        named = stored(postings.join(labels, "key", "left").withColumn("component", F.coalesce("component", F.col("key").cast("string").cast("binary"))), "named")
+        named = work.stored(postings.join(labels, "key", "left").withColumn("component", F.coalesce("component", F.col("key").cast("string").cast("binary"))), "named")
         several = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-        return stored(named.join(several, "token", "left_semi"), "open")
+        return work.stored(named.join(several, "token", "left_semi"), "open")
 
     # second: one class of each component in a list with the list's leading class
     open_ = open_lists(links)
     fronts = open_.groupBy("token", "component").agg(F.min(F.struct("pos", "n", "key")).alias("f")).select("token", "component", "f.*")
-    heads = stored(open_.groupBy("token").agg(F.min(F.struct("pos", "n", "key", "component")).alias("f")).select("token", "f.*"), "heads")
+    heads = work.stored(open_.groupBy("token").agg(F.min(F.struct("pos", "n", "key", "component")).alias("f")).select("token", "f.*"), "heads")
     pairs = _pairs(fronts.alias("b").join(heads.alias("a"), (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & _may_link("a", "b", num, den)))
-    pairs = stored(pairs.join(tried, ["ka", "kb"], "left_anti"), "pairs")
-    tried, links = tried.union(pairs), links.union(verified(pairs, classes, docs, size, num, den))
+    pairs = work.stored(pairs.join(tried, ["ka", "kb"], "left_anti"), "pairs")
+    tried, links = tried.union(pairs), links.union(verified(work, pairs, classes, docs, size, num, den))
 
     # last: all that is left; the shorter set meets the longer one inside its index prefix
     open_ = open_lists(links)
     index = F.col("n") - F.ceil(2 * num * F.col("n") / F.lit(float(num + den)) - F.lit(1e-9)) + 1
     shorter = F.struct("a.n", "a.key") < F.struct("b.n", "b.key")
     rest = open_.where(F.col("pos") < index).alias("a").join(open_.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & shorter & _may_link("a", "b", num, den))
-    pairs = stored(_pairs(rest).join(tried, ["ka", "kb"], "left_anti"), "pairs")
-    labels = stored(connected_components(links.union(verified(pairs, classes, docs, size, num, den))), "labels")
+    pairs = work.stored(_pairs(rest).join(tried, ["ka", "kb"], "left_anti"), "pairs")
+    labels = work.stored(connected_components(links.union(verified(work, pairs, classes, docs, size, num, den))), "labels")
 
     # each class with the smallest document of its component; doc_id null sorts last
     order = F.struct(F.col("first_doc").isNull().alias("no"), F.col("first_doc").alias("id"), F.col("fp").alias("fp"))
     joined = classes.join(labels.select(F.col("id").alias("fp"), "component"), "fp", "left").where("component is not null or copies > 1").withColumn("component", F.coalesce("component", "fp"))
-    joined = stored(joined.select("fp", "component", order.alias("o")), "joined")
-    least = stored(joined.groupBy("component").agg(F.min("o").alias("least")), "least")
-    return rows, stored(joined.join(least, "component").select("fp", F.col("least.id").alias("component_id"), F.col("least.fp").alias("keeper")), "class-components")
+    joined = work.stored(joined.select("fp", "component", order.alias("o")), "joined")
+    least = work.stored(joined.groupBy("component").agg(F.min("o").alias("least")), "least")
+    found = stored(joined.join(least, "component").select("fp", F.col("least.id").alias("component_id"), F.col("least.fp").alias("keeper")), "class-components")
+    work.drop()
+    return rows, found
 
 
 def jaccard_components(docs: DataFrame, *, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
