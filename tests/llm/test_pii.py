@@ -58,6 +58,22 @@ def test_number_that_fails_luhn_still_fails(spark: SparkSession) -> None:
     assert n == 1 and not luhn(new)
 
 
+def test_numbers_without_a_check_stay(spark: SparkSession) -> None:
+    texts = ["order 9807915762804490 sent", "at 1700000000001 ms", "1 2 3 4 5 6 7 8 9 10 11", "4539148803436468 123"]
+    assert changed(spark, *texts) == [(t, 0) for t in texts]
+
+
+def test_numbers_are_found_beside_other_digits(spark: SparkSession) -> None:
+    card, other = "4539148803436467", "378282246310005"
+    ((alone, _), (second, _)) = changed(spark, card, other)
+    rows = {f"{card} 123": (f"{alone} 123", 1), f"123 {card}": (f"123 {alone}", 1), "12 34 4539 1488 0343 6467 12": None, f"{card} {other}-99 {card}": (f"{alone} {second}-99 {alone}", 3)}
+    for (new, n), (old, want) in zip(changed(spark, *rows), rows.items(), strict=True):
+        assert (new, n) == want if want else n == 1 and new != old and luhn(new[6:25]) and new[:6] + new[25:] == "12 34  12"
+    texts = ["1234567 555-123-4567", "12345678901 123-45-6789", f"{card[:-1]}8 192.168.1.1", f"{card[:-1]}8 2024-01-02"]
+    for (new, n), old in zip(changed(spark, *texts), texts, strict=True):
+        assert n == 1 and new.split()[0] == old.split()[0] and new.split()[1] != old.split()[1]
+
+
 def test_digit_permutation_is_one_to_one(spark: SparkSession) -> None:
     for size in (2, 3, 4):
         rows = spark.range(10**size).select(F.lpad(F.col("id").cast("string"), size, "0").alias("d")).select("d", pii.permute_digits(KEY, "t", F.col("d")).alias("p"))

@@ -4,8 +4,12 @@ Numbers and dates that pass their format's check are permuted inside that format
 Feistel network, so equal values get equal pseudonyms in every document and different values stay
 different:
 
-- long numbers (13 to 19 digits, card style): the body is permuted, the last digit keeps its
-  distance from the Luhn digit, so valid numbers stay valid;
+- long numbers (13 to 19 digits, card style) whose last digit is their Luhn digit: the body is
+  permuted and the Luhn digit follows, so valid numbers stay valid. A number printed as a card
+  (four groups of four, first digit 3 to 6) passes by its print alone; where its last digit is
+  wrong, it stays as far from the Luhn digit. In a row of digit groups every number is found:
+  a group that is valid alone, else the longest valid part from each group on, of groups of three
+  digits or more, or the whole row;
 - dates (year first, or dotted or slashed with the year last): a permutation of the days of
   1800..2199, a full Gregorian cycle of 146,097 = 189 x 773 days;
 - social security numbers: a permutation of the valid ones (898 x 99 x 9999);
@@ -28,8 +32,11 @@ _DATE = r"(?<![\p{L}\p{N}])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d
 _IP = r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}]|\.\d)"
 _SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)"
 _PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}])"
-_NUMBER = r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])"
-PATTERN = "|".join([_EMAIL, _DATE, _IP, _SSN, _PHONE, _NUMBER])
+_OTHER = "|".join([_EMAIL, _DATE, _IP, _SSN, _PHONE])
+# a whole row of digit groups, up to the next value of another format
+_NUMBER = rf"(?<![\p{{L}}\p{{N}}])(?=\d(?:[ -]?\d){{12}})\d++(?![\p{{L}}\p{{N}}])(?:[ -](?!{_OTHER})\d++(?![\p{{L}}\p{{N}}]))*+"
+_PRINTED = r"^[3-6]\d{3}([ -])\d{4}\1\d{4}\1\d{4}$"
+PATTERN = f"{_OTHER}|{_NUMBER}"
 _FIRST_DAY, _DAYS = "1800-01-01", (189, 773)
 
 
@@ -82,12 +89,44 @@ def _only_digits(m: Column) -> Column:
 
 
 def _number(key: str, m: Column) -> Column:
-    def renewed(digits: Column) -> Column:
-        body, n = F.substring(digits, F.lit(1), F.length(digits) - 1), F.length(digits)
-        offset = F.substring(digits, n, F.lit(1)).cast("int") - luhn_digit(body)
-        return _once(permute_digits(key, "number", body), lambda b: _refill(m, F.concat(b, F.pmod(luhn_digit(b) + offset, F.lit(10)).cast("string"))))
+    """Struct (text, n): a row of digit groups with its n valid numbers renewed."""
 
-    return _once(_only_digits(m), renewed)
+    def renewed(shape: Column) -> Column:
+        def new(digits: Column) -> Column:
+            body, n = F.substring(digits, F.lit(1), F.length(digits) - 1), F.length(digits)
+            offset = F.substring(digits, n, F.lit(1)).cast("int") - luhn_digit(body)
+            return _once(permute_digits(key, "number", body), lambda b: _refill(shape, F.concat(b, F.pmod(luhn_digit(b) + offset, F.lit(10)).cast("string"))))
+
+        return _once(_only_digits(shape), new)
+
+    def row(groups: Column) -> Column:
+        size, joined = F.size(groups), lambda first, n: F.array_join(F.slice(groups, first + 1, n), "")
+
+        def valid(first: Column, n: Column) -> Column:
+            def passes(digits: Column) -> Column:
+                long = F.length(digits)
+                whole = (n == size) | F.forall(F.slice(groups, first + 1, n), lambda g: g.rlike(r"^\d{3}"))
+                luhn = F.substring(digits, long, F.lit(1)).cast("int") == luhn_digit(F.substring(digits, F.lit(1), long - 1))
+                return long.between(13, 19) & whole & (luhn | ((n == size) & m.rlike(_PRINTED)))
+
+            return _once(_only_digits(joined(first, n)), passes)
+
+        def step(state: Column, first: Column) -> Column:
+            longest = F.coalesce(F.when(valid(first, F.lit(1)), 1), F.array_max(F.filter(F.sequence(F.lit(1), F.least(F.lit(19), size - first)), lambda n: valid(first, n))))
+            more = _once(longest, lambda n: F.when(n.isNotNull(), F.struct((first + n).alias("end"), F.concat(state.found, F.array(F.struct(first.alias("first"), n.alias("n")))).alias("found"))))
+            return F.when(first >= state.end, F.coalesce(more, state)).otherwise(state)
+
+        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<first: int, n: int>>").alias("found"))
+
+        def text(found: Column) -> Column:
+            end = lambda k: F.coalesce(F.try_element_at(found, k).first + F.try_element_at(found, k).n, F.lit(0))
+            parts = F.transform(found, lambda x, k: _once(F.when(k > 0, end(F.greatest(k, F.lit(1)))).otherwise(0), lambda e: F.concat(joined(e, x.first - e), renewed(joined(x.first, x.n)))))
+            rest = _once(end(F.lit(-1)), lambda e: joined(e, size - e))
+            return F.when(F.size(found) > 0, F.struct(F.concat(F.array_join(parts, ""), rest).alias("text"), F.size(found).alias("n")))
+
+        return _once(F.aggregate(F.sequence(F.lit(0), size - 1), start, step).found, text)
+
+    return _once(F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0)), row)
 
 
 def _ip(key: str, m: Column) -> Column:
@@ -161,16 +200,17 @@ def _email(key: str, m: Column) -> Column:
 
 
 def pseudonym(key: str, m: Column) -> Column:
-    """The pseudonym of one found value, or the value itself where it fails its check."""
+    """Struct (text, n): one found value's pseudonym and the values in it, or itself and 0 where it fails its check."""
     new = (
         F.when(m.contains("@"), _email(key, m))
         .when(m.rlike(rf"^(?:{_DATE})$"), _date(key, m))
         .when(m.rlike(rf"^(?:{_IP})$"), _ip(key, m))
         .when(m.rlike(rf"^(?:{_SSN})$"), _ssn(key, m))
-        .when(m.rlike(rf"^(?:{_NUMBER})$"), _number(key, m))
+        .when(~m.rlike(rf"^(?:{_PHONE})$"), F.lit(None).cast("string"))
         .otherwise(_phone(key, m))
     )
-    return F.coalesce(new, m)
+    one = _once(F.coalesce(new, m), lambda x: F.struct(x.alias("text"), (x != m).cast("int").alias("n")))
+    return F.when(m.rlike(r"^[0-9 -]+$") & ~m.rlike(rf"^(?:{_OTHER})$"), F.coalesce(_number(key, m), F.struct(m.alias("text"), F.lit(0).alias("n")))).otherwise(one)
 
 
 def pseudonymise(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
@@ -185,7 +225,7 @@ def pseudonymise(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
     found, new = unused("_found", rows.columns), unused("_new", rows.columns)
     may = F.col(text).rlike("[0-9@]") & F.col(text).rlike(PATTERN)
     named = rows.withColumn(found, F.when(may, F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)))).withColumn(new, F.transform(found, lambda m: pseudonym(key, m)))
-    joined = F.array_join(F.zip_with(F.split(F.col(text), PATTERN, -1), F.col(new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
+    joined = F.array_join(F.zip_with(F.split(F.col(text), PATTERN, -1), F.col(new), lambda a, b: F.concat(a, F.coalesce(b.text, F.lit("")))), "")
+    changed = F.aggregate(new, F.lit(0), lambda total, x: total + x.n)
     out = {"n_private": F.when(F.col(found).isNull(), 0).otherwise(changed).cast("long"), text: F.when(F.col(found).isNull(), F.col(text)).otherwise(joined)}
     return named.withColumns(out).select(*rows.columns, "n_private")
