@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_jaccard import brute_components
 from tests.llm.test_quality import base
-from tidemark.llm import packing
+from tidemark.llm import mixing, packing
 from tidemark.llm.tokens import default_path
 
 
@@ -45,3 +47,18 @@ def test_odd_inputs_go_through(spark: SparkSession, small: str, edge_docs: DataF
 
 def test_run(spark: SparkSession, small: str) -> None:
     assert corpus_pipeline.run(spark, small).count() > 0
+
+
+def test_sequences_follow_the_mix(spark: SparkSession, small: str, monkeypatch: pytest.MonkeyPatch) -> None:
+    docs = spark.range(240).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "rare").otherwise("hot").alias("source"), F.lit("the same words " * 400).alias("text"))
+    unpacked = mixing.temperature_weights
+
+    def packed(**weights: float) -> list[int]:
+        monkeypatch.setattr(mixing, "temperature_weights", lambda d: unpacked(d, **weights))
+        rows = corpus_pipeline.packing_stage(spark, docs, small).orderBy("sequence_id", "offset").collect()
+        place = {r.doc_id: (r.slot, r.mix_source, r.place) for r in mixing.mix(docs, mixing.temperature_weights(docs)).collect()}
+        ids = [r.doc_id for r in rows]
+        assert ids == sorted(place, key=place.get)
+        return ids
+
+    assert packed(exponent=0.0) != packed(exponent=3.0)
