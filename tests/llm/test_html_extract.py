@@ -28,6 +28,20 @@ def test_pages(name: str) -> None:
     assert hx.main_texts([page], hx.trained()) == [want]
 
 
+FIRST, LAST = ARTICLE.split("</p>")[0] + "</p>", "<p>A second paragraph goes on, and it has more than enough words to stand as text of the story.</p>"
+BOTH = WANT.split("\n")[0] + "\nA second paragraph goes on, and it has more than enough words to stand as text of the story."
+
+
+@pytest.mark.parametrize("between", ['<svg class="i"/>', "<math/>", "<svg><path d='M0 0'/></svg>", "<svg><path d='M0 0'>", "<object>", "<video>", "<canvas>", "<noscript>", "<audio src='x'>"])
+def test_text_behind_embedded_elements_stays(between: str) -> None:
+    assert hx.main_texts([f"<body><article>{FIRST}{between}{LAST}</article></body>"], hx.trained()) == [BOTH]
+
+
+def test_formulas_and_icons_stay_in_their_paragraph() -> None:
+    page = "<body><article><p>The area is <math><mi>A</mi><mo>=</mo><msup><mi>r</mi><mn>2</mn></msup></math> for <svg><g><path d='M0 0'/></g></svg>the circle, as people said to us<svg/> yesterday.</p></article></body>"
+    assert hx.main_texts([page], hx.trained()) == ["The area is A=r2 for the circle, as people said to us yesterday."]
+
+
 def test_held_out_layouts() -> None:
     pages, answers = hx.labelled_pages(200, seed=99)
     f = hx.forest(map(hx.parse, pages))

@@ -6,6 +6,9 @@ model holds a prior for the root, a potential between each parent's and child's
 observation potentials for tags, words of class and id attributes, lengths and link shares. Sum-
 product messages go up the tree and down again and give each leaf's exact marginal; leaves more
 likely content than not make the text. The potentials are counted from labelled pages.
+
+Comments, script, style, title, iframe and template are no text of the page. What svg and math hold
+belongs to the run of text around them; a block element ends them, as in the standard.
 """
 
 from __future__ import annotations
@@ -28,12 +31,13 @@ CONTENT, BOILER, MIXED = 0, 1, 2
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
-RAW = frozenset("script style noscript template iframe svg math title head object canvas audio video".split())
 CLOSE_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dt dd tr td th".split())
 OWN_SCOPE = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+FOREIGN = frozenset(("svg", "math"))
+BREAKS_OUT = CLOSE_P | {"body", "head"}
 P_SCOPE = frozenset("td th table caption button".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|title|object|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|iframe|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -76,7 +80,7 @@ def parse(page: str | None) -> Tree:
     tree = Tree()
     stack: list[tuple[str, int]] = [("html", tree.add(-1, ("html",)))]  # an inline element repeats its block's node
     run: list[str] = []
-    linked, in_link = 0, 0
+    linked, in_link, foreign = 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -87,11 +91,15 @@ def parse(page: str | None) -> Tree:
             run.clear()
             linked = 0
 
+    def inline(depth: int) -> bool:
+        return stack[depth][1] == stack[depth - 1][1]
+
     def pop_to(depth: int) -> None:
-        nonlocal in_link
-        if any(t not in INLINE for t, _ in stack[depth:]):
+        nonlocal in_link, foreign
+        if not all(inline(d) for d in range(depth, len(stack))):
             flush()
         in_link -= sum(t == "a" for t, _ in stack[depth:])
+        foreign -= sum(t in FOREIGN for t, _ in stack[depth:])
         del stack[depth:]
 
     def words(text: str) -> None:
@@ -114,16 +122,21 @@ def parse(page: str | None) -> Tree:
                 if stack[depth][0] == tag:
                     pop_to(depth)
                     break
-                if tag in INLINE and stack[depth][0] not in INLINE:
+                if (foreign or tag in INLINE) and not inline(depth):
                     break
             continue
         if tag == "br":
             run.append(" ")
             continue
-        if tag in INLINE:
-            if tag not in VOID:
+        if foreign and tag in BREAKS_OUT:
+            pop_to(next(d for d, (t, _) in enumerate(stack) if t in FOREIGN))
+        if tag in INLINE or foreign or tag in FOREIGN:
+            if foreign and tag in ("text", "desc"):
+                run.append(" ")
+            if tag not in VOID and not ((foreign or tag in FOREIGN) and m.group(4).endswith("/")):
                 stack.append((tag, stack[-1][1]))
                 in_link += tag == "a"
+                foreign += tag in FOREIGN
             continue
         if tag in CLOSE_P:
             for depth in range(len(stack) - 1, 0, -1):
