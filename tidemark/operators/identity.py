@@ -13,12 +13,12 @@ from pyspark.sql.window import Window
 from tidemark.functions.scalars import cents, clean_text, flag, normalise_address, normalise_email, normalise_phone, normalise_postcode
 from tidemark.functions.windows import first_by
 from tidemark.operators.components import connected_components
-from tidemark.sources.storage import stored
+from tidemark.sources.storage import Scratch, stored
 
 RECORD = "identity_record_id"
 # Weights of the compared fields, and the thresholds of linking.
 WEIGHTS = {"email": 0.32, "phone": 0.28, "last": 0.14, "address": 0.11, "first": 0.10, "postcode": 0.05}
-PROBABLE, CERTAIN, CLUSTER_MEAN, LARGEST_BLOCK, MEMBERS = 0.90, 0.96, 0.78, 120, 12
+PROBABLE, CERTAIN, CLUSTER_MEAN, LARGEST_BLOCK, MEMBERS, GATHERED = 0.90, 0.96, 0.78, 120, 12, 500
 FIELDS = {"first": "norm_first_name", "last": "norm_last_name", "email": "norm_email", "phone": "norm_phone", "address": "norm_address", "postcode": "norm_postcode"}
 
 
@@ -126,43 +126,54 @@ def pair_verdict(scored: DataFrame) -> DataFrame:
     return out.withColumn("rejection_reason", reason)
 
 
+def _score(fx, fy) -> tuple[float, bool]:  # noqa: ANN001
+    """Weighted score and conflict of two records' fields."""
+    s, total, weight = {}, 0.0, 0.0
+    for f, p, q in zip(FIELDS, fx, fy, strict=True):
+        if f == "postcode":
+            s[f] = float(p == q and p != "")
+        elif f == "phone" and p != q and len(p) >= 8 and len(q) >= 8 and p[-8:] == q[-8:]:
+            s[f] = 0.96
+        else:
+            s[f] = ratio(p, q)
+        if p and q:
+            total, weight = total + WEIGHTS[f] * s[f], weight + WEIGHTS[f]
+    name = s["first"] >= 0.82 and s["last"] >= 0.85
+    bad = (s["first"] < 0.3 and s["last"] < 0.3 and s["email"] < 0.97 and s["phone"] < 0.97) or (0 < s["email"] < 0.35 and 0 < s["phone"] < 0.35 and not name)
+    return (total / weight if weight else 0.0), bad
+
+
+def _refusal(left, right) -> str | None:  # noqa: ANN001
+    """Why two clusters may not be joined, from the fields of the first members of each."""
+    pairs = [_score(x, y) for x in left for y in right]
+    scores = [p for p, _ in pairs]
+    if sum(b for _, b in pairs) / len(pairs) > 0.25:
+        return "Cluster conflict rate too high"
+    if (len(left) > 1 or len(right) > 1) and sum(scores) / len(scores) < CLUSTER_MEAN and max(scores) < CERTAIN:
+        return "Insufficient cluster-wide consistency"
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def refusal(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([_refusal(x, y) for x, y in zip(left, right, strict=True)], dtype=object)
+
+
 def _link(edges: pd.DataFrame) -> pd.DataFrame:
-    """Greedy gated linking inside one candidate component: email, phone, then probable pairs by score."""
+    """Greedy gated linking inside one small candidate component: email, phone, then probable pairs by score."""
     fields = {}
     for r in edges.itertuples(index=False):
         fields[r.a], fields[r.b] = list(r.fa), list(r.fb)
-    names = list(FIELDS)
     cluster = {x: {x} for x in fields}
     best: dict[str, tuple[float, str]] = {}
 
-    def score(x: str, y: str) -> tuple[float, bool]:
-        s, total, weight = {}, 0.0, 0.0
-        for f, p, q in zip(names, fields[x], fields[y], strict=True):
-            if f == "postcode":
-                s[f] = float(p == q and p != "")
-            elif f == "phone" and p != q and len(p) >= 8 and len(q) >= 8 and p[-8:] == q[-8:]:
-                s[f] = 0.96
-            else:
-                s[f] = ratio(p, q)
-            if p and q:
-                total, weight = total + WEIGHTS[f] * s[f], weight + WEIGHTS[f]
-        name = s["first"] >= 0.82 and s["last"] >= 0.85
-        bad = (s["first"] < 0.3 and s["last"] < 0.3 and s["email"] < 0.97 and s["phone"] < 0.97) or (0 < s["email"] < 0.35 and 0 < s["phone"] < 0.35 and not name)
-        return (total / weight if weight else 0.0), bad
-
     out = []
     for r in edges.sort_values(["phase", "order_score", "a", "b"], ascending=[True, False, True, True]).itertuples(index=False):
         left, right = cluster[r.a], cluster[r.b]
         if left is right:
             continue
-        pairs = [score(x, y) for x in sorted(left)[:MEMBERS] for y in sorted(right)[:MEMBERS]]
-        scores = [p for p, _ in pairs]
-        if sum(b for _, b in pairs) / len(pairs) > 0.25:
-            why = "Cluster conflict rate too high"
-        elif (len(left) > 1 or len(right) > 1) and sum(scores) / len(scores) < CLUSTER_MEAN and max(scores) < CERTAIN:
-            why = "Insufficient cluster-wide consistency"
-        else:
-            why = None
+        why = _refusal([fields[x] for x in sorted(left)[:MEMBERS]], [fields[x] for x in sorted(right)[:MEMBERS]])
+        if why is None:
             joined = left | right
             for x in joined:
                 cluster[x] = joined
@@ -181,11 +192,76 @@ def _link(edges: pd.DataFrame) -> pd.DataFrame:
 LINKS = "a string, b string, match_method string, confidence double, accepted boolean, rejection_reason string, cluster string, size long"
 
 
-def resolve(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def link_in_rounds(edges: DataFrame, n: DataFrame) -> DataFrame:
+    """What _link gives, for components of any size, as rounds of joins; no component or cluster is gathered.
+
+    An edge is decided when its outcome can no longer depend on an undecided one: it is the first
+    left of one of its clusters (the partner), and all earlier edges of the other (the hub) are
+    decided before it in this round without changing the hub's first members or bringing it other
+    edges. The first edge of all is always decided, and a star of any size needs a dozen rounds.
+    """
+    scratch = Scratch(n.sparkSession, "links")
+    text = F.array(*[F.col(c) for c in FIELDS.values()])
+    fields = n.select(F.col(RECORD).alias("id"), text.alias("f"))
+    members = scratch.stored(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().join(fields, "id").withColumn("cluster", F.col("id")), "members")
+    decided = []
+    for phase in range(3):
+        left = edges.where(F.col("phase") == phase)
+        while True:
+            of = lambda s, m=members: m.select(F.col("id").alias(s), F.col("cluster").alias(f"c{s}"))
+            pending = left.select("a", "b", "phase", "score", "order_score").join(of("a"), "a").join(of("b"), "b").where("ca <> cb")
+            pending = scratch.stored(pending.withColumn("key", F.struct((-F.col("order_score")).alias("s"), "a", "b")), "pending")
+            if pending.limit(1).count() == 0:
+                break
+            both = pending.select("key", F.col("ca").alias("c"), F.col("cb").alias("d")).union(pending.select("key", "cb", "ca"))
+            first = scratch.stored(both.groupBy("c").agg(F.min("key").alias("first"), F.count("*").alias("degree")), "first")
+            near = both.join(first.select(F.col("c").alias("d"), F.col("first").alias("d_first"), F.col("degree").alias("d_degree")), "d")
+            # up to the first edge whose partner still waits for another
+            waits = near.groupBy("c").agg(F.min(F.when(F.col("d_first") != F.col("key"), F.col("key"))).alias("waits"))
+            open_edges = near.join(waits, "c").where("waits is null or key < waits")
+            rank = F.row_number().over(Window.partitionBy("cluster").orderBy("id"))
+            lead = members.withColumn("_r", rank).where(F.col("_r") <= MEMBERS).groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("id", "f"))).alias("m"))
+            lead = scratch.stored(lead.select("cluster", F.col("m.f").alias("f"), F.element_at("m.id", -1).alias("last")), "lead")
+            side = lambda s, t=lead: t.select(F.col("cluster").alias(f"c{s}"), F.col("f").alias(f"f{s}"))
+            gated = pending.join(open_edges.select("key").distinct(), "key").join(side("a"), "ca").join(side("b"), "cb").withColumn("why", refusal("fa", "fb")).drop("fa", "fb")
+            gated = scratch.stored(gated, "gated")
+            ends = open_edges.join(gated.select("key", F.col("why").isNull().alias("accepted")), "key").join(lead.select(F.col("cluster").alias("c"), (F.size("f") == MEMBERS).alias("full"), "last"), "c")
+            harmless = F.col("full") & (F.col("d") > F.col("last")) & (F.col("d_degree") == 1)
+            ends = scratch.stored(ends.withColumn("stops", F.col("accepted") & ~harmless), "ends")
+            stop = ends.groupBy("c").agg(F.min(F.when(F.col("stops"), F.col("key"))).alias("stop"))
+            ready = scratch.stored(ends.join(stop, "c").where("stop is null or key <= stop").select("key", "c", "d", "d_degree", "accepted"), "ready")
+            now = gated.join(ready.select("key").distinct(), "key")
+            decided.append(scratch.stored(now.select("a", "b", "phase", "score", "why"), "decided"))
+            # one hub an edge: the cluster that may have more edges in this round is the one whose partner has no other
+            hubs = ready.where("accepted").groupBy("key").agg(F.min_by(F.struct("c", "d"), F.struct("d_degree", "c")).alias("e")).select("e.*")
+            named = hubs.groupBy("c").agg(F.least("c", F.min("d")).alias("new"))
+            renamed = named.select(F.col("c").alias("cluster"), "new").union(hubs.join(named, "c").select(F.col("d").alias("cluster"), "new"))
+            members = scratch.stored(members.join(renamed, "cluster", "left").select("id", "f", F.coalesce("new", "cluster").alias("cluster")), "members")
+            left = pending.join(ready.select("key").distinct(), "key", "left_anti")
+    if not decided:
+        return n.sparkSession.createDataFrame([], LINKS)
+    all_decided = decided[0]
+    for part in decided[1:]:
+        all_decided = all_decided.unionByName(part)
+    exact = F.col("phase") < 2
+    method = F.when(F.col("phase") == 0, "Exact Email").when(exact, "Exact Phone").when(F.col("score") >= CERTAIN, "Probabilistic High Confidence").otherwise("Probabilistic")
+    named = all_decided.withColumns({"match_method": method, "confidence": F.when(exact, 0.99).otherwise(F.col("score"))})
+    links = named.select("a", "b", "match_method", "confidence", F.col("why").isNull().alias("accepted"), F.col("why").alias("rejection_reason"), F.lit(None).cast("string").alias("cluster"), F.lit(None).cast("long").alias("size"))
+    best = named.where("why is null").select(F.explode(F.array("a", "b")).alias("id"), F.struct("confidence", "match_method").alias("m")).groupBy("id").agg(F.max("m").alias("m"))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
+    whole = members.select("id", "cluster").join(sizes, "cluster").join(best, "id", "left")
+    out = links.unionByName(whole.select(F.col("id").alias("a"), F.col("cluster").alias("b"), "m.match_method", "m.confidence", F.lit(None).cast("boolean").alias("accepted"), F.lit(None).cast("string").alias("rejection_reason"), "cluster", "size"))
+    out = stored(out, "links")
+    scratch.drop()
+    return out
+
+
+def resolve(records: DataFrame, *, gathered: int = GATHERED) -> tuple[DataFrame, DataFrame]:
     """(resolution, edge audit). Components of candidate edges are linked independently, each in the fixed order.
 
     A record without candidates stands alone. Missing fields are never evidence; linking reads no
-    ground-truth column. A component is bounded by the block size and the gates, and is one task's work.
+    ground-truth column. A component of at most GATHERED edges is one task's work; larger ones are
+    linked in rounds of joins, with the same result.
     """
     n = stored(add_normalised_fields(records), "normalised")
     probable = pair_verdict(pair_components(candidate_pairs(n), n)).where("rejection_reason is null").select("a", "b", F.lit(2).alias("phase"), "score")
@@ -193,9 +269,12 @@ def resolve(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     label = connected_components(edges.select("a", "b"))
     text = F.array(*[F.col(c) for c in FIELDS.values()])
     side = lambda s: n.select(F.col(RECORD).alias(s), text.alias(f"f{s}"))
-    work = edges.join(label.select(F.col("id").alias("a"), "component"), "a").join(side("a"), "a").join(side("b"), "b")
-    work = work.withColumn("order_score", F.when(F.col("phase") < 2, 0.0).otherwise(F.col("score")))
-    linked = stored(work.groupBy("component").applyInPandas(_link, LINKS), "links")
+    edges = edges.join(label.select(F.col("id").alias("a"), "component"), "a").withColumn("order_score", F.when(F.col("phase") < 2, 0.0).otherwise(F.col("score")))
+    large = stored(edges.groupBy("component").agg(F.count("*").alias("edges")).where(F.col("edges") > gathered).select("component"), "large")
+    small = edges.join(large, "component", "left_anti").join(side("a"), "a").join(side("b"), "b")
+    linked = stored(small.groupBy("component").applyInPandas(_link, LINKS), "links")
+    if large.limit(1).count():
+        linked = linked.unionByName(link_in_rounds(stored(edges.join(large, "component"), "large-edges"), n))
     audit = linked.where("accepted is not null").select("a", "b", "match_method", "confidence", "accepted", "rejection_reason")
     member = linked.where("cluster is not null").select(F.col("a").alias(RECORD), "cluster", "size", "match_method", "confidence")
     out = records.join(member, RECORD, "left").withColumns({"cluster": F.coalesce("cluster", RECORD), "records_linked": F.coalesce("size", F.lit(1))})
