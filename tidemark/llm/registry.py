@@ -50,7 +50,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdicts = quality.quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    verdicts = quality.quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), with_text=False)
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
