@@ -92,3 +92,35 @@ def test_one_of_each(edge_docs: DataFrame) -> None:
 def test_empty_table(no_docs: DataFrame) -> None:
     assert found(jaccard.jaccard_components(no_docs)) == []
     assert jaccard.one_of_each(no_docs).count() == 0
+
+
+def test_lists_keep_all_that_may_link() -> None:
+    """Streamed lists against all pairs, for lists of any length and batches of any size."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    rows = set()
+    for token in range(60):
+        for _ in range(rng.choice([1, 2, 3, 5, 40, 64, 65, 66, 130, 200])):
+            n = rng.randrange(5, 40)
+            rows.add((token, rng.randrange(1 << 40), n, rng.randrange(0, n // 5 + 1)))
+    ordered = sorted(rows, key=lambda r: (r[0], r[3], r[2], r[1]))
+    repeated = [r for r in ordered for _ in range(rng.choice([1, 1, 3]))]
+    want = set()
+    for token in range(60):
+        part = [r for r in ordered if r[0] == token]
+        for r in part:
+            may = any(q is not r and 100 * min(r[2], q[2]) >= 80 * max(r[2], q[2]) and min(r[2] - r[3], q[2] - q[3]) >= -(-80 * (r[2] + q[2]) // 180) for q in part)
+            if len(part) > 64 or may:
+                want.add((*r, part[0][1], part[0][2], part[0][3]))
+    for size in (1, 7, 64, 1000, 100_000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in b]), pa.array([r[1] for r in b]), pa.array([r[2] for r in b], pa.int32()), pa.array([r[3] for r in b], pa.int32())], names=["token", "key", "n", "pos"]) for b in (repeated[i : i + size] for i in range(0, len(repeated), size))]
+        got = [tuple(r.values()) for out in jaccard.with_leads(iter(batches), 80, 100) for r in out.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want
+    a, b = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 700, np.int64)).view(np.uint64) * np.uint64(2), None
+    b = np.unique(np.r_[a[:390], a[390:] + np.uint64(1)])
+    real = len(np.setxor1d(a, b))
+    for x, y in ((a, b), (a, a[:300]), (a[:20], b)):
+        assert jaccard.least_difference(jaccard.range_counts(x), jaccard.range_counts(y)) <= len(np.setxor1d(x, y))
+    assert real and jaccard.least_difference(jaccard.range_counts(a), jaccard.range_counts(a)) == 0

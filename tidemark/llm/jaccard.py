@@ -3,14 +3,16 @@
 1. A scan gives each document's set of 64-bit shingle hashes, its 128-bit fingerprint (documents
    with equal sets form one class) and adds every hash to a fixed-size table of counts.
 2. A second scan orders each set rare-first by those counts and emits the prefix that any partner
-   must meet (prefix filter). Postings of one class only are dropped.
+   must meet (prefix filter). Postings are sorted by token, rarest places first; one streaming pass
+   drops those that fit no other of their list by length and position and gives every posting the
+   leading one of its list.
 3. Postings give candidate pairs under the length and positional filters. First each class meets
-   the leading class of its posting lists, then one class of each component does (few pairs however
-   large a group of copies is); linked pairs are merged into components; then all pairs of lists
-   whose ends are still in different components follow. A pair inside a component can add nothing
-   to it.
-4. Each candidate pair is tested once: the suffix filter compares counts of hash ranges, what
-   remains is compared set against set.
+   the leading class of its lists (few pairs however large a group of copies is); linked pairs are
+   merged into components. Then come all pairs of a list whose ends are still in different
+   components, each a class outside the list's largest component with any other. A pair inside a
+   component can add nothing to it.
+4. Each candidate pair is tested once: the suffix filter bounds the overlap by the counts of hash
+   ranges of both sets (some 16 hashes a range, halved alike), what remains is compared set against set.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, partitions, shared_keys, stored
+from tidemark.llm.common import bounded_batches, partitions, stored
 from tidemark.operators.components import connected_components
 from tidemark.sources.storage import Scratch
 
 BUCKETS = 1 << 20
 _CHUNK = 1 << 14
-_RANGES = 32
+_RANGES, _IN_RANGE = 32, 16
+_LONG = 64
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SHUT = np.uint64(32)
 
@@ -60,12 +63,34 @@ def fingerprint(hashes: np.ndarray) -> bytes:
 
 
 def short_key(fp: bytes) -> int:
-    """The class key of postings, equal to the built-in xxhash64(fp). Two classes with one key would only add candidates."""
+    """The class key of postings, equal to the built-in xxhash64(fp). Two classes share one with a chance of 2 ** -64."""
     import xxhash
 
     return int.from_bytes(xxhash.xxh64(fp, seed=42).digest(), "big", signed=True)
 
 
+def range_counts(hashes: np.ndarray) -> bytes:
+    """Counts (255 at most) of the hashes in equal ranges: 32, doubled while a range would hold more than 16 on average."""
+    ranges = _RANGES
+    while len(hashes) > _IN_RANGE * ranges:
+        ranges *= 2
+    where = (hashes >> np.uint64(64 - ranges.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(where, minlength=ranges), 255).astype(np.uint8).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of how many hashes two sets do not share, from their range counts; the finer ranges are joined to the coarser ones."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < len(b):
+        if (b == 255).any():  # a cut count says nothing of a sum
+            return 0
+        b = b.reshape(len(a), -1).sum(1)
+        b = np.where(a == 255, np.minimum(b, 255), b)
+    return int(np.abs(a - b).sum())
+
+
 def _binary(values: list[bytes] | np.ndarray) -> pa.Array:
     return pa.array(values, pa.binary())
 
@@ -81,7 +106,7 @@ def scan_sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
         for batch in batches:
             found = [shingles(t, size) for t in batch.column(1).to_pylist()]
             rows = len(found)
-            ranges = [np.minimum(np.bincount((h >> np.uint64(59)).astype(np.int64), minlength=_RANGES), 255).astype(np.uint8).tobytes() for h in found]
+            ranges = list(map(range_counts, found))
             values = [batch.column(0), [len(h) for h in found], [fingerprint(h) for h in found], ranges, [None] * rows, [None] * rows]
             yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
             waiting += found
@@ -117,8 +142,78 @@ def scan_sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     return rows.where("chunk is null").select("doc_id", "n", "fp", "ranges"), counts
 
 
+LISTED = "token long, key long, n int, pos int, lead_key long, lead_n int, lead_pos int"
+
+
+def with_leads(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows (token, key, n, pos) sorted by token, pos, n, key: each once, with the first of its token, where another row of the token may link with it.
+
+    The filters are tried on all pairs of a list of up to 64 rows; of a longer one every row stays.
+    No more than a batch and 64 rows are held, however long a list is.
+    """
+
+    def fits(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray) -> np.ndarray:
+        need = -(-num * (n1 + n2) // (num + den))
+        return (den * np.minimum(n1, n2) >= num * np.maximum(n1, n2)) & (np.minimum(n1 - p1, n2 - p2) >= need)
+
+    def out(rows: np.ndarray, heads: np.ndarray) -> pa.RecordBatch:
+        whole = [0, 1, 4]
+        values = [*rows, *heads]
+        return pa.RecordBatch.from_arrays([pa.array(v if i in whole else v.astype(np.int32)) for i, v in enumerate(values)], names=["token", "key", "n", "pos", "lead_key", "lead_n", "lead_pos"])
+
+    held = np.empty((4, 0), np.int64)  # a list that may go on
+    long: np.ndarray | None = None  # first row of a long list of which rows went out
+    last: np.ndarray | None = None
+
+    def settled(rows: np.ndarray, more: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, long
+        token = rows[0]
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        sizes = np.diff(np.r_[starts, len(token)])
+        end = len(token)
+        if more:  # the last list may go on
+            end = starts[-1]
+            held = rows[:, end:]
+            if sizes[-1] > _LONG:
+                long, held, end = held[:, 0], held[:, :0], len(token)
+        keep = np.zeros(len(token), bool)
+        keep[np.repeat(sizes > _LONG, sizes)] = True
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(token))  # rows of the list from each on
+        small = np.flatnonzero(~keep)
+        for d in range(1, _LONG):
+            small = small[left[small] > d]
+            if not len(small):
+                break
+            good = small[fits(rows[2, small], rows[3, small], rows[2, small + d], rows[3, small + d])]
+            keep[good] = keep[good + d] = True
+        keep[end:] = False
+        heads = rows[1:, np.repeat(starts, sizes)]
+        yield out(rows[:, keep], heads[:, keep])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.array([c.to_numpy().astype(np.int64) for c in batch.columns])
+        fresh = np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(0)]
+        fresh[0] = last is None or bool((rows[:, 0] != last).any())
+        last = rows[:, -1]
+        rows = rows[:, fresh]
+        if long is not None:
+            same = rows[0] == long[0]
+            yield out(rows[:, same], np.repeat(long[1:, None], int(same.sum()), axis=1))
+            rows = rows[:, ~same]
+            if rows.shape[1]:
+                long = None
+        rows = np.concatenate([held, rows], axis=1)
+        if rows.shape[1]:
+            held = held[:, :0]
+            yield from settled(rows, True)
+    if held.shape[1]:
+        yield from settled(held, False)
+
+
 def prefix_postings(work: Scratch, docs: DataFrame, counts: np.ndarray, size: int, num: int, den: int) -> DataFrame:
-    """(token, key, n, pos): the rare-first prefix of each class, kept where another class has the token too."""
+    """The rare-first prefix of each class as (token, key, n, pos) with the leading row of its token's list, where it may link with another class of the list."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))  # fixed size
 
@@ -145,10 +240,9 @@ def prefix_postings(work: Scratch, docs: DataFrame, counts: np.ndarray, size: in
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(prints)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "key", "n", "pos"])
 
-    schema = "token long, key long, n int, pos int"
     source = docs.select(F.col("text").cast("string").alias("text"))
-    rows = source.mapInArrow(prefixes, schema).repartition(partitions(spark), "token").sortWithinPartitions("token")
-    return work.stored(rows.mapInArrow(lambda b: shared_keys(b, "token", "key"), schema).distinct(), "postings")
+    rows = source.mapInArrow(prefixes, "token long, key long, n int, pos int").repartition(partitions(spark), "token").sortWithinPartitions("token", "pos", "n", "key")
+    return work.stored(rows.mapInArrow(lambda b: with_leads(b, num, den), LISTED), "postings")
 
 
 def _overlap(n1: Column, n2: Column, num: int, den: int) -> Column:
@@ -172,17 +266,18 @@ def verified(work: Scratch, pairs: DataFrame, classes: DataFrame, docs: DataFram
     def ranges_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ka, kb, na, nb, ra, rb = batch.columns
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, _RANGES).astype(np.int32) for c in (ra, rb))  # counts are cut at 255, which only lowers their differences
             total = na.to_numpy().astype(np.int64) + nb.to_numpy()
             need = -(-num * total // (num + den))
-            yield pa.RecordBatch.from_arrays([ka, kb], names=["ka", "kb"]).filter(pa.array(np.abs(x - y).sum(1) <= total - 2 * need))
+            differ = np.fromiter(map(least_difference, ra.to_pylist(), rb.to_pylist()), np.int64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([ka, kb], names=["ka", "kb"]).filter(pa.array(differ <= total - 2 * need))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            found = [shingles(t, size) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([_binary([fingerprint(h) for h in found]), _binary([h.tobytes() for h in found])], names=["fp", "hashes"])
+            found = {fingerprint(h): h for h in (shingles(t, size) for t in batch.column(0).to_pylist())}
+            fresh = [fp for fp in found if fp not in seen]
+            seen.update(fresh)
+            yield pa.RecordBatch.from_arrays([_binary(fresh), _binary([found[fp].tobytes() for fp in fresh])], names=["fp", "hashes"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +296,8 @@ def verified(work: Scratch, pairs: DataFrame, classes: DataFrame, docs: DataFram
     needed = work.stored(ends.join(classes.select("fp", "first_doc"), "fp"), "ends")
     names = needed.select(F.col("first_doc").alias("_doc")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(names, F.col("_id").eqNullSafe(F.col("_doc")), "left_semi")
-    hashed = work.stored(texts.select("text").mapInArrow(sets, "fp binary, hashes binary").join(needed.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "needed")
+    # a class whose rows share an id may come once for each task; that repeats a link, no more
+    hashed = work.stored(texts.select("text").mapInArrow(sets, "fp binary, hashes binary").join(needed.select("fp"), "fp", "left_semi"), "needed")
     both = near.join(hashed.select(F.col("fp").alias("a"), F.col("hashes").alias("ha")), "a").join(hashed.select(F.col("fp").alias("b"), F.col("hashes").alias("hb")), "b")
     return work.stored(both.select("a", "b", "ha", "hb").mapInArrow(linked, "a binary, b binary"), "links")
 
@@ -218,31 +314,24 @@ def near_duplicate_classes(docs: DataFrame, *, size: int, num: int, den: int) ->
     classes = work.stored(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("ranges").alias("ranges")).withColumn("key", F.xxhash64("fp")), "classes")
     postings = prefix_postings(work, docs, counts, size, num, den)
 
-    # first: each class of a list with the class that has the least rare tokens of its own before the shared one
-    lead = work.stored(postings.groupBy("token").agg(F.min(F.struct("pos", "n", "key")).alias("lead")).select("token", "lead.*"), "leads")
-    tried = work.stored(_pairs(postings.alias("b").join(lead.alias("a"), "token").where((F.col("a.key") != F.col("b.key")) & _may_link("a", "b", num, den))), "pairs")
+    # first: each class of a list with its leading class
+    ends = lambda k, n, pos: F.struct(F.col(k).alias("key"), F.col(n).alias("n"), F.col(pos).alias("pos"))
+    led = postings.select(ends("key", "n", "pos").alias("b"), ends("lead_key", "lead_n", "lead_pos").alias("a")).where("a.key <> b.key")
+    tried = work.stored(_pairs(led.where(_may_link("a", "b", num, den))), "pairs")
     links = verified(work, tried, classes, docs, size, num, den)
 
-    def open_lists(links: DataFrame) -> DataFrame:
-        """Postings with their component, of tokens that more than one component has."""
-        labels = connected_components(links).select(F.xxhash64("id").alias("key"), "component")
-        named = work.stored(postings.join(labels, "key", "left").withColumn("component", F.coalesce("component", F.col("key").cast("string").cast("binary"))), "named")
-        several = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-        return work.stored(named.join(several, "token", "left_semi"), "open")
-
-    # second: one class of each component in a list with the list's leading class
-    open_ = open_lists(links)
-    fronts = open_.groupBy("token", "component").agg(F.min(F.struct("pos", "n", "key")).alias("f")).select("token", "component", "f.*")
-    heads = work.stored(open_.groupBy("token").agg(F.min(F.struct("pos", "n", "key", "component")).alias("f")).select("token", "f.*"), "heads")
-    pairs = _pairs(fronts.alias("b").join(heads.alias("a"), (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & _may_link("a", "b", num, den)))
-    pairs = work.stored(pairs.join(tried, ["ka", "kb"], "left_anti"), "pairs")
-    tried, links = tried.union(pairs), links.union(verified(work, pairs, classes, docs, size, num, den))
-
-    # last: all that is left; the shorter set meets the longer one inside its index prefix
-    open_ = open_lists(links)
-    index = F.col("n") - F.ceil(2 * num * F.col("n") / F.lit(float(num + den)) - F.lit(1e-9)) + 1
-    shorter = F.struct("a.n", "a.key") < F.struct("b.n", "b.key")
-    rest = open_.where(F.col("pos") < index).alias("a").join(open_.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & shorter & _may_link("a", "b", num, den))
+    # then all that is left: pairs of a list in different components, of which one end is outside the
+    # list's largest component; the shorter set meets the longer one inside its index prefix
+    labels = connected_components(links).select(F.xxhash64("id").alias("key"), F.xxhash64("component").alias("component"))
+    named = work.stored(postings.select("token", "key", "n", "pos").join(labels, "key", "left").select("token", "key", "n", "pos", F.coalesce("component", "key").alias("component")), "named")
+    parts = named.repartition("token").groupBy("token", "component").agg(F.count("*").alias("c"))
+    largest = work.stored(parts.groupBy("token").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("m.component").alias("largest")), "open")
+    open_ = work.stored(named.join(largest, "token").select("token", "key", "n", "pos", "component", (F.col("component") == F.col("largest")).alias("in_largest")), "open")
+    index = lambda x: F.col(f"{x}.pos") < F.col(f"{x}.n") - F.ceil(2 * num * F.col(f"{x}.n") / F.lit(float(num + den)) - F.lit(1e-9)) + 1
+    order = lambda x: F.struct(F.col(f"{x}.n"), F.col(f"{x}.key"))
+    shorter = F.when(order("a") < order("b"), index("a")).otherwise(index("b"))
+    apart = (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & (F.col("b.in_largest") | (order("a") < order("b")))
+    rest = open_.where("not in_largest").alias("a").join(open_.alias("b"), apart & shorter & _may_link("a", "b", num, den))
     pairs = work.stored(_pairs(rest).join(tried, ["ka", "kb"], "left_anti"), "pairs")
     labels = work.stored(connected_components(links.union(verified(work, pairs, classes, docs, size, num, den))), "labels")
 
