@@ -72,3 +72,27 @@ def test_whole_table(spark: SparkSession, small: str) -> None:
 
 def test_empty_table(no_docs: DataFrame) -> None:
     assert found(suffix_dedup.repeated_passages(no_docs)) == []
+
+
+def test_halves_of_different_partners_do_not_make_a_passage(spark: SparkSession) -> None:
+    """49 words shared with one text and 49 with another, 12 words further on: no passage of 50."""
+    rows = []
+    for family in range(40):
+        w = [f"f{family}w{i}" for i in range(61)]
+        rows += [(3 * family, " ".join(w)), (3 * family + 1, " ".join([*w[:49], "x"])), (3 * family + 2, " ".join(["y", *w[12:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(suffix_dedup.repeated_passages(docs)) == brute(rows, 50) == []
+
+
+def test_overlapping_partners(spark: SparkSession) -> None:
+    """Stretches that end at every offset, shared with others of other contexts, some of which have copies."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(140)]
+    rows = []
+    for i in range(90):
+        a = rng.randrange(0, 90)
+        b = rng.randrange(a + 30, 141)
+        rows.append((i, " ".join([f"l{rng.randrange(3)}"] * rng.randrange(0, 2) + base[a:b] + [f"r{rng.randrange(3)}"] * rng.randrange(0, 2))))
+    rows += [(200, rows[3][1]), (201, rows[4][1]), (None, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(suffix_dedup.repeated_passages(docs)) == brute(rows, 50)

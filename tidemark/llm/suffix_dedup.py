@@ -3,13 +3,19 @@
 A suffix is retained where a document's minimiser lies: the smallest hash among `window` successive
 word n-grams, so the same passage retains the same suffixes wherever it stands. Any passage of
 min_words words holds a retained suffix that still covers `core` = min_words - window + 1 words of
-it. Retained suffixes are sorted by their first `core` words (as a hash) and then by their text;
-neighbours from different documents share at least the core. Where a run of such suffixes begins or
-ends, the texts before and behind are sorted among the suffixes of the same core, and the longest
-match of a sorted neighbour extends the passage to the left or right.
-
-All repeated passages of min_words words or more are found with their exact ends. Documents with
-the same words form one class; a class of several documents repeats as a whole.
+it. Suffixes are ordered by their first `core` words (as a hash); neighbours of different documents
+with the same core share it.
+
+A suffix answers for the passages of min_words words whose first minimiser it is, wherever they
+stand. Its match is extended left and right over all of them at once; where a neighbour has the same
+extension, every one of these passages repeats. Where none has (a stretch begins or ends there, or
+its halves belong to different partners), each passage is compared by itself, with d words left of
+the suffix and the rest right of it. So what is reported is shared with one partner from end to end
+of each passage, and ends are exact.
+
+Whether a key has two owners is found by the least and the greatest owner, summed before any
+shuffle, and a join brings that back; no key's rows meet in one task, however frequent it is.
+Documents with the same words form one class; a class of several documents repeats as a whole.
 """
 
 from __future__ import annotations
@@ -22,9 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import bounded_batches, partitions, shared_keys, stored
+from tidemark.llm.common import bounded_batches, stored
+from tidemark.sources.storage import Scratch
 
-_STEP, _MIX, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
+_STEP, _MIX, _HALF = np.uint64(0x9E3779B97F4A7C1F), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C1F, -1, 1 << 64))
+_POWERS: dict[str, np.ndarray] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -38,101 +47,64 @@ def print_of(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def _rolled(one: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of `width` words from each place."""
-    with np.errstate(over="ignore"):
-        out = one[at]
-        for k in range(1, width):
-            out = out * _STEP + one[at + k]
-        out = (out ^ (out >> _HALF)) * _MIX
-    return out ^ (out >> _HALF)
+def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 .. base ** n, modulo 2 ** 64."""
+    if len(_POWERS.get(name, ())) <= n:
+        with np.errstate(over="ignore"):
+            _POWERS[name] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 16), base, np.uint64)])
+    return _POWERS[name]
 
 
-def retained(words: list[bytes], gram: int, window: int, core: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, core hashes) of the retained suffixes that hold `core` words at least."""
-    import xxhash
+class Rolling:
+    """Hashes of any stretch of a text's words, from sums of the words' hashes times powers of a fixed number."""
 
-    n = len(words)
-    if n < max(core, gram + window - 1):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    one = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
-    grams = _rolled(one, np.arange(n - gram + 1), gram)
-    places = np.unique(np.lib.stride_tricks.sliding_window_view(grams, window).argmin(1) + np.arange(len(grams) - window + 1))
-    places = places[places <= n - core]
-    return places, _rolled(one, places, core)
+    def __init__(self, words: list[bytes]) -> None:
+        import xxhash
 
+        n = len(words)
+        one = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+        with np.errstate(over="ignore"):
+            self.sums = np.r_[np.uint64(0), np.cumsum(one * _powers("back", _BACK, n)[:n])]
+        self.up = _powers("step", _STEP, n)
 
-def _common(a: bytes, b: bytes) -> int:
-    """Leading words two contexts share; every word ends with a space."""
-    if a == b:
-        return a.count(b" ")
-    size = min(len(a), len(b))
-    x, y = np.frombuffer(a, np.uint8, size), np.frombuffer(b, np.uint8, size)
-    differ = np.flatnonzero(x != y)
-    return a[: int(differ[0]) if len(differ) else size].count(b" ")
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            out = (self.sums[end] - self.sums[start]) * self.up[start]
+            out = (out ^ (out >> _HALF)) * _MIX + (end - start).astype(np.uint64)
+            out = (out ^ (out >> _HALF)) * _STEP
+        return out ^ (out >> _HALF)
 
 
-def neighbour_extensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, side, ctx, fp, pos, wanted) sorted by h, side, ctx: for wanted rows the longest match with a sorted neighbour of another class.
+def retained(rolling: Rolling, n: int, min_words: int, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, first, last): the retained suffixes of n words, and the first and last start of the passages each answers for."""
+    at = np.arange(n - gram + 1)
+    grams = rolling.of(at, at + gram)
+    starts = np.arange(n - min_words + 1)
+    places = np.lib.stride_tricks.sliding_window_view(grams, window)[: len(starts)].argmin(1) + starts
+    first = np.flatnonzero(np.diff(places, prepend=-1))
+    return places[first], first, np.r_[first[1:], len(starts)] - 1
 
-    Between equal classes the nearest other one counts: the match over several steps is the least of
-    the steps' matches. One pass ahead, one pass back over the rows of one (h, side).
-    """
 
-    def solve(group: list[tuple[bytes, bytes, int, bool]]) -> list[int]:
-        n = len(group)
-        step = [0] * n  # match of each row with the one before it
-        for i in range(1, n):
-            step[i] = _common(group[i - 1][0], group[i][0])
-        best = [0] * n
-        for order in (range(n), range(n - 1, -1, -1)):
-            run = 0  # match of the present row with the nearest row of another class on this side
-            last: int | None = None
-            for i in order:
-                if last is not None:
-                    near = step[i] if i > last else step[last]
-                    run = near if group[last][1] != group[i][1] else min(run, near)
-                    best[i] = max(best[i], run)
-                last = i
-        return best
-
-    at: tuple[int, int] | None = None
-    group: list[tuple[bytes, bytes, int, bool]] = []
-    out: list[tuple[bytes, int, int, int]] = []
-
-    def flush() -> None:
-        if at is not None:
-            out.extend((fp, pos, at[1], best) for (_, fp, pos, wanted), best in zip(group, solve(group), strict=True) if wanted)
-
-    def batch_of(rows: list[tuple[bytes, int, int, int]]) -> pa.RecordBatch:
-        types = [pa.binary(), pa.int32(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["fp", "pos", "side", "ext"])
-
-    for batch in batches:
-        for h, side, ctx, fp, pos, wanted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if (h, side) != at:
-                flush()
-                at, group = (h, side), []
-            group.append((ctx, fp, pos, wanted))
-        if out:
-            yield batch_of(out)
-            out.clear()
-    flush()
-    yield batch_of(out)
+def _shared(rows: DataFrame, key: str, also: str = "false") -> DataFrame:
+    """The keys that rows of two classes have; partial sums leave a row for each key and task."""
+    owner = F.xxhash64("fp")
+    return rows.groupBy(key).agg(F.min(owner).alias("_lo"), F.max(owner).alias("_hi"), F.max(F.expr(also)).alias("_also")).where("_lo <> _hi or _also").select(key)
 
 
 def repeated_passages(docs: DataFrame, *, min_words: int = 50, gram: int = 16, window: int = 16) -> DataFrame:
-    """doc_id, start_word, end_word, n_words: every maximal stretch of words that repeats in another document.
+    """doc_id, start_word, end_word, n_words: every stretch of words of which each min_words words repeat in another document.
 
-    Only repeats across rows count, not those inside one text. Null and empty texts have none.
-    Repeated rows and equal texts are repeats of each other. Stretches of min_words words or more
-    are returned for each occurrence, those that touch or overlap as one. Other columns are not read.
+    That is: each passage of min_words words or more that a text shares with one other text, those
+    that touch or overlap as one. Only repeats across rows count, not those inside one text. Null and
+    empty texts have none. Repeated rows and equal texts are repeats of each other. Other columns are
+    not read.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     core = min_words - window + 1
     if core < gram:
         raise ValueError("min_words must be at least gram + window - 1")
+    work = Scratch(spark, "passages")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,62 +113,65 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, gram: int = 16, w
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([print_of(w) for w in words], pa.binary()), pa.array(list(map(len, words)), pa.int32())], names=["doc_id", "fp", "n_words"])
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each retained suffix: the core's hash, the hash of its full extension, and that extension's ends."""
         seen: set[bytes] = set()
         for batch in batches:
-            hashes, prints, places = [], [], []
+            columns: list[list[np.ndarray]] = [[], [], [], []]
+            prints: list[bytes] = []
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
                 if len(words) < min_words or (fp := print_of(words)) in seen:
                     continue
                 seen.add(fp)
-                at, h = retained(words, gram, window, core)
-                hashes.append(h.view(np.int64))
-                places.append(at.astype(np.int32))
+                rolling = Rolling(words)
+                at, first, last = retained(rolling, len(words), min_words, gram, window)
+                for column, value in zip(columns, (rolling.of(at, at + core).view(np.int64), rolling.of(first, last + min_words).view(np.int64), first.astype(np.int32), (last - first).astype(np.int8)), strict=True):
+                    column.append(value)
                 prints += [fp] * len(at)
-            if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(prints, pa.binary()), pa.array(np.concatenate(places))], names=["h", "fp", "pos"])
+            if prints:
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(c)) for c in columns], pa.array(prints, pa.binary())], names=["h", "whole", "first", "more", "fp"])
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.bool_()]
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each marked suffix: the hash of every passage it answers for."""
         for batch in batches:
-            out: list[tuple] = []
+            keys, starts, prints = [], [], []
+            sure: list[np.ndarray] = []
             for text, fp, marks in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 words = words_of(text)
                 if print_of(words) != fp:  # another row with the same id
                     continue
-                for m in marks:
-                    p = m["pos"]
-                    left = b"".join(w + b" " for w in reversed(words[max(0, p - window) : p]))
-                    right = b"".join(w + b" " for w in words[p + core : p + core + window])
-                    out += [(m["h"], 0, left, fp, p, m["first"]), (m["h"], 1, right, fp, p, m["last"])]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=["h", "side", "ctx", "fp", "pos", "wanted"])
+                sizes = np.array([m["more"] + 1 for m in marks])
+                at = np.repeat([m["first"] for m in marks], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                keys.append(Rolling(words).of(at, at + min_words).view(np.int64))
+                starts.append(at.astype(np.int32))
+                sure.append(np.repeat([m["sure"] for m in marks], sizes))
+                prints += [fp] * len(at)
+            if prints:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(starts)), pa.array(prints, pa.binary()), pa.array(np.concatenate(sure))], names=["passage", "first", "fp", "sure"])
 
     rows = stored(source.mapInArrow(scan, "doc_id long, fp binary, n_words int"), "texts")
-    classes = stored(rows.where(F.col("n_words") >= min_words).groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("n_words").alias("n_words")), "classes")
-    all_suffixes = source.select("text").mapInArrow(suffixes, "h long, fp binary, pos int").repartition(partitions(spark), "h").sortWithinPartitions("h")
-    hits = stored(all_suffixes.mapInArrow(lambda b: shared_keys(b, "h", "fp"), "h long, fp binary, pos int").distinct(), "suffixes")
-
-    near = Window.partitionBy("fp").orderBy("pos")
-    first = F.coalesce(F.col("pos") - F.lag("pos").over(near) > window, F.lit(True))
-    last = F.coalesce(F.lead("pos").over(near) - F.col("pos") > window, F.lit(True))
-    runs = stored(hits.withColumns({"first": first, "last": last}), "runs")
-    ends = runs.where(F.col("first") | F.col("last")).select("h").distinct()
-    marks = runs.join(ends, "h", "left_semi").groupBy("fp").agg(F.collect_list(F.struct("h", "pos", "first", "last")).alias("marks"))  # at most a document's own suffixes
-    marked = stored(marks.join(classes.select("fp", "first_doc"), "fp"), "marks")
+    classes = work.stored(rows.where(F.col("n_words") >= min_words).groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("n_words").alias("n_words")), "classes")
+    every = work.stored(source.select("text").mapInArrow(suffixes, "h long, whole long, first int, more tinyint, fp binary"), "suffixes")
+    hits = work.stored(every.join(_shared(every, "h").hint("merge"), "h", "left_semi").distinct(), "hits")
+    told = work.stored(hits.join(_shared(hits, "whole").withColumn("extends", F.lit(True)).hint("merge"), "whole", "left").withColumn("extends", F.coalesce("extends", F.lit(False))), "extended")
+
+    # those that no neighbour extends in full, and against them one of each extension that several classes have
+    open_ = told.where("not extends").select("h").distinct()
+    others = told.where("extends").join(open_, "h", "left_semi").groupBy("whole").agg(F.min(F.struct("fp", "first", "more")).alias("m")).select("m.*", F.lit(True).alias("sure"))
+    marks = told.where("not extends").select("fp", "first", "more", F.lit(False).alias("sure")).unionByName(others).groupBy("fp").agg(F.collect_list(F.struct("first", "more", "sure")).alias("marks"))  # at most a document's own suffixes
+    marked = work.stored(marks.join(classes.select("fp", "first_doc"), "fp"), "marks")
     named = source.join(marked.withColumnRenamed("first_doc", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")))
-    around = named.select("text", "fp", "marks").mapInArrow(contexts, "h long, side int, ctx binary, fp binary, pos int, wanted boolean")
-    sorted_ = around.repartition(partitions(spark), "h").sortWithinPartitions("h", "side", "ctx", "fp", "pos")
-    ext = sorted_.mapInArrow(neighbour_extensions, "fp binary, pos int, side int, ext int")
-    ext = ext.groupBy("fp", "pos").agg(F.max(F.when(F.col("side") == 0, F.col("ext"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("ext"))).alias("r"))
-
-    # a run's suffixes make one stretch; only stretches that are long enough by themselves are then joined
-    nth = F.sum(F.col("first").cast("int")).over(near.rowsBetween(Window.unboundedPreceding, 0))
-    reach = runs.withColumn("run", nth).join(ext, ["fp", "pos"], "left").groupBy("fp", "run").agg(F.min(F.col("pos") - F.coalesce("l", F.lit(0))).alias("a"), F.max(F.col("pos") + core + F.coalesce("r", F.lit(0))).alias("b")).where(F.col("b") - F.col("a") >= min_words)
+    ends = work.stored(named.select("text", "fp", "marks").mapInArrow(passages, "passage long, first int, fp binary, sure boolean"), "ends")
+    single = ends.where("not sure").join(_shared(ends, "passage", "sure").hint("merge"), "passage", "left_semi")
+
+    near = told.where("extends").select("fp", F.col("first").alias("a"), (F.col("first") + F.col("more") + min_words).alias("b"))
+    alone = classes.where("copies = 1").select("fp")  # what has copies repeats as a whole
+    reach = near.unionByName(single.select("fp", F.col("first").alias("a"), (F.col("first") + min_words).alias("b"))).join(alone, "fp", "left_semi").distinct()
     before = Window.partitionBy("fp").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("fp").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, 0)
     opened = reach.withColumn("new", F.coalesce(F.col("a") > F.max("b").over(before), F.lit(True)).cast("int")).withColumn("nth", F.sum("new").over(upto))
-    spans = opened.groupBy("fp", "nth").agg(F.min("a").alias("start_word"), F.max("b").alias("end_word"))
+    spans = opened.groupBy("fp", "nth").agg(F.min("a").alias("start_word"), F.max("b").alias("end_word")).select("fp", "start_word", "end_word")
     whole = classes.where("copies > 1").select("fp", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"))
-    parts = spans.select("fp", "start_word", "end_word").join(classes.where("copies = 1").select("fp"), "fp", "left_semi")
-    found = stored(whole.unionByName(parts), "spans")
+    found = stored(whole.unionByName(spans), "spans")
+    work.drop()
     return rows.join(found, "fp").select("doc_id", F.col("start_word").cast("long").alias("start_word"), F.col("end_word").cast("long").alias("end_word"), F.col("n_words").cast("long").alias("n_words"))
