@@ -24,6 +24,7 @@ from tidemark.llm.tokens import encoder
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SALTS = 256
 _SLICE = 4096
+_CHUNK = 32
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int | None = 1, with_ids: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
@@ -126,8 +127,10 @@ def pack(pieces: DataFrame, *, capacity: int = 4096, order: tuple[str, ...] = ()
     by_length: dict[int, list[Row]] = {}
     for s in slots:
         by_length.setdefault(s.length, []).append(s)
-    schema = "length long, slots array<struct<length: long, first: long, last: long, copies: long, base: long, place: long>>"
-    layout = spark.createDataFrame([(n, s) for n, s in by_length.items()], schema)  # bounded by capacity
+    # slots of a length in chunks, so that a piece looks at the square root of their number
+    schema = "length long, chunks array<struct<first: long, last: long, slots: array<struct<length: long, first: long, last: long, copies: long, base: long, place: long>>>>"
+    chunks = lambda s: [Row(first=c[0].first, last=c[-1].last, slots=c) for c in (s[i : i + _CHUNK] for i in range(0, len(s), _CHUNK))]
+    layout = spark.createDataFrame([(n, chunks(s)) for n, s in by_length.items()], schema)  # bounded by capacity
 
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
     if order:
@@ -140,8 +143,8 @@ def pack(pieces: DataFrame, *, capacity: int = 4096, order: tuple[str, ...] = ()
     within = Window.partitionBy("length", "_salt").orderBy(*order, "doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("_rank", F.row_number().over(within) - 1).join(sizes, ["length", "_salt"])
     placed = ranked.join(F.broadcast(layout), "length").withColumn("_rank", F.col("_rank") + F.col("_before"))
-    slot = F.filter("slots", lambda s: (s.first <= F.col("_rank")) & (F.col("_rank") < s.last))[0]
-    placed = placed.withColumn("_slot", slot).withColumn("_in", F.col("_rank") - F.col("_slot.first"))
+    holds = lambda s: (s.first <= F.col("_rank")) & (F.col("_rank") < s.last)
+    placed = placed.withColumn("_slot", F.filter(F.filter("chunks", holds)[0].slots, holds)[0]).withColumn("_in", F.col("_rank") - F.col("_slot.first"))
     return placed.select(
         *[c for c in pieces.columns if c not in order],
         (F.col("_slot.base") + F.floor(F.col("_in") / F.col("_slot.copies"))).cast("long").alias("sequence_id"),

@@ -3,8 +3,8 @@
 Both vocabularies split a text before merging, so a text cut at a point where their split must cut
 too gives the same ids piece by piece. Pieces repeat a great deal; each distinct piece is encoded
 once by the tokenizers library and its ids are kept as little-endian uint32 bytes. Texts where a
-cut could fall inside a run of white space, or that hold a special token's string, go to the
-library whole.
+cut could fall inside a run of white space, or that hold a special token's string or a control or
+format character, go to the library whole.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 _RUN = re.compile(r"\s\s(?:\s|\Z)")
 #: A stop or comma that may belong to the run of marks before or after it; elsewhere it stands by itself.
 _JOINED = {"byte": re.compile(r"[.,](?<![^\W_].)"), "word": re.compile(r"[.,_](?:(?<=_)|(?<=[^\w\s].)|(?=[^\w\s]))", re.S)}
+#: Control, format and rare space characters, of which the library's splits hold other views than re's classes.
+_ODD = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\xad\u0600-\u0605\u061c\u06dd\u070f\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff\ufff9-\ufffb\U000e0000-\U000e007f]")
 _ENCODERS: dict[tuple[str, str], "PieceEncoder"] = {}
 
 
@@ -98,7 +100,7 @@ class PieceEncoder:
         cut: list[str] = []
         at: list[int] = []
         for i, text in enumerate(texts):
-            if any(s in text for s in self.special) or "\0" in text or "\1" in text or (self.mode == "byte" and _RUN.search(text)):
+            if any(s in text for s in self.special) or _ODD.search(text) or (self.mode == "byte" and _RUN.search(text)):
                 out[i] = self.whole(text)
             else:
                 cut.append(self._cut(text))
