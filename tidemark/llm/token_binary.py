@@ -56,7 +56,10 @@ def deserialise(data: bytes) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, sample_docs: int, sample_bytes: int, dict_bytes: int) -> DataFrame:
-    """(dict_hash, dict_bytes) trained in one task on at most sample_docs documents, the ones with the smallest id hash."""
+    """(dict_hash, dict_bytes) trained in one task on at most sample_docs distinct documents, the ones with the smallest hash of id and text.
+
+    The hashes are picked first and alone; only the picked documents' texts are then sent to that task.
+    """
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -74,7 +77,9 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, sample_docs: int, sam
             data = b"".join(samples)[:dict_bytes]
         yield pa.RecordBatch.from_pydict({"dict_hash": [hashlib.sha256(data).hexdigest()], "dict_bytes": [data]})
 
-    picked = docs.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_docs).select("text").coalesce(1)
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("_h"), "text")
+    least = hashed.select("_h").distinct().orderBy("_h").limit(sample_docs)
+    picked = hashed.join(F.broadcast(least), "_h", "left_semi").groupBy("_h").agg(F.first("text").alias("text")).coalesce(1).sortWithinPartitions("_h").select("text")  # sample_docs numbers
     return picked.mapInArrow(train, "dict_hash string, dict_bytes binary")
 
 
@@ -93,7 +98,8 @@ def write_token_corpus(
     """Tokenise whole texts and write them in ascending doc_id order; returns path.
 
     A null text is an empty one, a document then holds its end id alone. Null ids come first.
-    Repeated ids are kept, ordered by a hash of their text. Other columns are not read. An empty
+    Repeated ids are kept, ordered by a hash of their text, by which an id of many rows is also dealt
+    to several tasks. Other columns are not read. An empty
     table writes an empty corpus. The dictionary alone comes from a bounded sample (sample_docs,
     sample_bytes); every document is encoded.
     """
@@ -138,7 +144,7 @@ def write_token_corpus(
         if ids:
             yield row()
 
-    ordered = source.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ordered = source.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered.mapInArrow(encode, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
     sums = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("total").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each written part
