@@ -16,7 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 256
+from tidemark.llm.common import stored
+
+#: Rows that one bucket of a source is to hold; buckets are the leading hex digits of the order's digest.
+BUCKET_ROWS = 50_000
 
 
 def source_key(column: str = "source") -> Column:
@@ -67,32 +70,37 @@ def pfair_period(weights: DataFrame) -> DataFrame:
     return slots.select(F.col("w")[F.col("i")].source_key.alias("source_key"), nth.cast("long").alias("nth"), F.col("slot").cast("long").alias("slot"), F.col("w")[F.col("i")].units.alias("units"), "period")
 
 
-def mix(docs: DataFrame, weights: DataFrame, *, block_docs: int = 16) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame, *, block_docs: int = 16, with_text: bool = True) -> DataFrame:
     """Add block, slot and mix_key columns; ordering by (slot, place) is the mixed corpus.
 
-    Within a source documents come in a fixed pseudo-random order (md5 of the id), cut into blocks
-    of block_docs. Documents of a source without a weight come after all others. A null id hashes
-    as the empty text; equal ids are ordered by a hash of their text. The ranks come from 256 id
-    buckets of each source and a sum over bucket sizes, so a source that holds most rows is spread.
-    Columns added: mix_source, block, place (in the block), slot. Clashing names of the input are
-    replaced in the result.
+    Within a source documents come in a fixed pseudo-random order (md5 of the id and the text's md5),
+    cut into blocks of block_docs. Documents of a source without a weight come after all others. A
+    null id or text hashes as the empty one; only rows equal in both tie, and may change places.
+    Ranks come from buckets of each source, as many as the table's size asks for, and a sum over
+    bucket sizes, so a source that holds most rows is spread. Columns added: mix_source, block, place
+    (in the block), slot. Clashing names of the input are replaced in the result. Without with_text
+    the texts are hashed where they are read and go no further.
     """
     own = ["mix_source", "block", "place", "slot"]
     base = docs.drop(*own)
-    names = base.columns
-    base = base.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), "doc_id", "source", "text")  # no name of the input meets one of ours
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    keyed = base.withColumns({"mix_source": source_key(), "_md5": digest, "_bucket": F.substring(digest, 1, 2), "_tie": F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
+    names = [c for c in base.columns if with_text or c != "text"]
+    digits, left = 2, docs.count() // BUCKET_ROWS
+    while left >= 256:
+        digits, left = digits + 1, left // 16
+    hashed = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    order = F.md5(F.concat_ws("|", hashed("doc_id"), F.md5(hashed("text").cast("binary"))).cast("binary"))
+    keyed = base.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), source_key().alias("mix_source"), order.alias("_order"), F.substring(order, 1, digits).alias("_bucket"))  # no name of the input meets one of ours
     sizes = keyed.groupBy("mix_source", "_bucket").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("mix_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows at most
+    earlier = Window.partitionBy("mix_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
     sizes = sizes.select("mix_source", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("mix_source", "_bucket").orderBy("_md5", "doc_id", "_tie")
+    within = Window.partitionBy("mix_source", "_bucket").orderBy("_order")
     ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1).join(sizes, ["mix_source", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     ranked = ranked.withColumns({"block": F.floor(F.col("_rank") / block_docs).cast("long"), "place": F.pmod("_rank", F.lit(block_docs)).cast("long")})
-    period = pfair_period(weights).select(F.col("source_key").alias("mix_source"), F.col("nth").alias("_nth"), F.col("slot").alias("_slot"), "units", "period")
+    # a stored table of one row for each slot of the period: Spark broadcasts it if its size allows
+    period = stored(pfair_period(weights), "period").select(F.col("source_key").alias("mix_source"), F.col("nth").alias("_nth"), F.col("slot").alias("_slot"), "units", "period")
     units = period.where("_nth = 0").select("mix_source", "units", "period")
-    turned = ranked.join(F.broadcast(units), "mix_source", "left").withColumn("_nth", F.pmod("block", F.col("units")))
-    placed = turned.join(F.broadcast(period.select("mix_source", "_nth", "_slot")), ["mix_source", "_nth"], "left")
+    turned = ranked.join(units, "mix_source", "left").withColumn("_nth", F.pmod("block", F.col("units")))
+    placed = turned.join(period.select("mix_source", "_nth", "_slot"), ["mix_source", "_nth"], "left")
     slot = F.floor(F.col("block") / F.col("units")) * F.col("period") + F.col("_slot")
     return placed.withColumn("slot", F.coalesce(slot, F.lit((1 << 62)) + F.col("block")).cast("long")).select("_doc.*", *own)
 
