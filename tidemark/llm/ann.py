@@ -36,7 +36,14 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(common), F.size("embedding") == F.col("d")).drop("d")
 
 
+def _single(x: np.ndarray, *, each: bool = False) -> np.ndarray:
+    """Single precision after division by the greatest component, of all rows or of each: a positive factor changes no order of inner products."""
+    top = np.abs(x).max(axis=1 if each else None, keepdims=True, initial=0)
+    return (x / np.maximum(top, np.finfo(np.float64).tiny)).astype(np.float32)
+
+
 def _lifted(x: np.ndarray) -> np.ndarray:
+    x = _single(x).astype(np.float64)
     norms = (x * x).sum(1)
     return np.concatenate([x, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]], 1).astype(np.float32)
 
@@ -159,18 +166,26 @@ def build_index(vectors: DataFrame, *, shards: int, degree: int = 48, width: int
     """(shard, index): one stored row for each shard; `vectors` as usable() returns them."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        at, parts = -1, []
+
+        def done() -> pa.RecordBatch:
+            index = _shard_index(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), degree, width, alpha)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([index], pa.binary())], names=["shard", "index"])
+
         for batch in batches:
             shard, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 0))
             for s in np.unique(shard):
-                held.setdefault(int(s), []).append((ids[shard == s], x[shard == s]))
-        for s, parts in held.items():
-            index = _shard_index(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), degree, width, alpha)
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([index], pa.binary())], names=["shard", "index"])
+                if parts and s != at:
+                    yield done()
+                    parts = []
+                at = int(s)
+                parts.append((ids[shard == s], x[shard == s]))
+        if parts:
+            yield done()
 
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    dealt = vectors.select(shard.alias("shard"), "vec_id", "embedding").repartition(shards, "shard")
+    dealt = vectors.select(shard.alias("shard"), "vec_id", "embedding").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
     return stored(dealt.mapInArrow(build, "shard int, index binary"), "ann-index")
 
 
@@ -178,27 +193,33 @@ def search(index: DataFrame, queries: DataFrame, *, shards: int, k: int = 20, wi
     """query_id, rank, vec_id, score: the k best found for each (vec_id, embedding) query, its own id left out.
 
     Scores are inner products of the original vectors in double precision; ties go to smaller ids.
+    Each query id is to come once.
     Each shard's index meets the stream of all queries in blocks, and answers k rows a query.
     """
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[int, tuple] = {}
+        loaded: dict[int, tuple] = {}  # one shard at a time
+        blobs: dict[int, bytes] = {}
         for batch in batches:
             shard, blob, ids, vectors = (batch.column(i) for i in range(4))
             kinds = np.asarray(shard.to_numpy())
             for s, b in zip(kinds.tolist(), blob.to_pylist(), strict=True):
                 if b is not None:
-                    loaded[s] = pickle.loads(b)  # noqa: S301  written by build_index
+                    blobs[s] = b
             asked = ids.is_valid().to_numpy(zero_copy_only=False)
             for s in np.unique(kinds[asked]):
                 if int(s) not in loaded:
-                    continue
-                distinct, graph, entry, members, starts = loaded[int(s)]
+                    if int(s) not in blobs:
+                        continue
+                    loaded.clear()
+                    found_index = pickle.loads(blobs.pop(int(s)))  # noqa: S301  written by build_index
+                    loaded[int(s)] = (*found_index, _single(found_index[0]))
+                distinct, graph, entry, members, starts, narrow = loaded[int(s)]
                 rows = pa.array(np.flatnonzero(asked & (kinds == s)))
                 own = ids.take(rows).to_numpy()
                 x = vectors.take(rows).flatten().to_numpy().reshape(len(own), -1)
                 for i in range(0, len(own), _BLOCK):
-                    nodes, _ = _beam(distinct.astype(np.float32), graph, entry, x[i : i + _BLOCK].astype(np.float32), width)
+                    nodes, _ = _beam(narrow, graph, entry, _single(x[i : i + _BLOCK], each=True), width)
                     out_q, out_v, out_s = [], [], []
                     for q, vector, found in zip(own[i : i + _BLOCK], x[i : i + _BLOCK], nodes, strict=True):
                         found = found[found >= 0]
@@ -221,7 +242,7 @@ def search(index: DataFrame, queries: DataFrame, *, shards: int, k: int = 20, wi
 
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(None).cast("binary").alias("index"), "vec_id", "embedding")
     stocked = index.select("shard", "index", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("embedding"))
-    both = stocked.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", F.col("index").isNull())
+    both = stocked.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("index").isNull())
     answers = both.mapInArrow(answer, "query_id long, ids array<long>, scores array<double>")
     pairs = F.transform(F.arrays_zip("ids", "scores"), lambda p: F.struct((-p.scores).alias("below"), p.ids.alias("id")))
     merged = answers.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k).alias("best"))  # k rows a shard
@@ -232,11 +253,11 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, shard_rows: int
     """Neighbours of the vectors whose id is divisible by `every` among all others.
 
     Rows that usable() leaves out take no part. Repeated rows are candidates of their own, a query's
-    own id is none. Fewer candidates than k are all returned. An empty table gives no rows.
+    own id is none; of several vectors with a query's id the smallest, component by component, is searched. Fewer candidates than k are all returned. An empty table gives no rows.
     """
     bounded_batches(vectors.sparkSession)
     sound = stored(usable(vectors), "vectors")
     shards = max(least_shards, -(-sound.count() // shard_rows))
     index = build_index(sound, shards=shards, degree=degree)
-    queries = sound.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
+    queries = sound.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     return search(index, queries, shards=shards, k=k, width=width)
