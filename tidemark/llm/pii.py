@@ -11,9 +11,15 @@ different:
   a group that is valid alone, else the longest valid part from each group on, of groups of three
   digits or more, or the whole row;
 - dates (year first, or dotted or slashed with the year last): a permutation of the days of
-  1800..2199, a full Gregorian cycle of 146,097 = 189 x 773 days;
+  1800..2199, a full Gregorian cycle of 146,097 = 189 x 773 days. A slashed date with the year last
+  is read month first where it can be; one that cannot (day 13 to 31 first) keeps to its kind: the
+  88,497 = 9 x 9833 days after the twelfth of a month are permuted among themselves;
 - social security numbers: a permutation of the valid ones (898 x 99 x 9999);
-- telephone numbers: the ten national digits; IPv4 addresses: the 2**32 addresses;
+- international bank account numbers whose check digits hold (remainder 1 modulo 97): the digits of
+  the account part are permuted, letters stay, and new check digits follow;
+- telephone numbers: the ten national digits; with + and a country code, the 7 to 14 digits behind
+  it; of five pairs with a leading 0, the four last pairs. IPv4 addresses: the 2**32 addresses, but
+  not a version's or section's number;
 - e-mail addresses: letters and digits of the local part, each in its own alphabet.
 
 Separators, lengths and country codes stay. A value that fails its check is left as it is.
@@ -29,15 +35,20 @@ from tidemark.llm.common import unused
 ROUNDS = 8
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _DATE = r"(?<![\p{L}\p{N}])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\p{L}\p{N}]|[-./]\d)"
-_IP = r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}]|\.\d)"
+_IP = r"(?<![\p{L}\p{N}.])(?<!(?:[Vv]ersion|[Vv]er\.?|[Rr]elease|[Bb]uild|[Ss]ection|[Cc]hapter|§)[ :]{0,2})(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}]|\.\d)"
 _SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)"
 _PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}])"
-_OTHER = "|".join([_EMAIL, _DATE, _IP, _SSN, _PHONE])
+_IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])"
+# Country codes of one digit, and of two; all others have three.
+_CODE = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+_WORLD = rf"(?<![\p{{L}}\p{{N}}+])\+(?=(?:[ .()-]{{0,2}}\d){{8,15}}(?![\p{{L}}\p{{N}}]|[ .()-]\d)){_CODE}(?:[ .-]?\(?\d{{1,8}}\)?){{1,7}}(?![\p{{L}}\p{{N}}]|[ .-]\d)"
+_PAIRS = r"(?<![\p{L}\p{N}+]|\d[ .-])0[1-9](?:(?: \d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4})(?![\p{L}\p{N}]|[ .-]\d)"
+_OTHER = "|".join([_EMAIL, _DATE, _IP, _SSN, _IBAN, _WORLD, _PHONE, _PAIRS])
 # a whole row of digit groups, up to the next value of another format
 _NUMBER = rf"(?<![\p{{L}}\p{{N}}])(?=\d(?:[ -]?\d){{12}})\d++(?![\p{{L}}\p{{N}}])(?:[ -](?!{_OTHER})\d++(?![\p{{L}}\p{{N}}]))*+"
 _PRINTED = r"^[3-6]\d{3}([ -])\d{4}\1\d{4}\1\d{4}$"
 PATTERN = f"{_OTHER}|{_NUMBER}"
-_FIRST_DAY, _DAYS = "1800-01-01", (189, 773)
+_FIRST_DAY, _DAYS, _LATE = "1800-01-01", (189, 773), (9, 9833)
 
 
 def _round_number(key: str, kind: str, i: Column, value: Column) -> Column:
@@ -61,7 +72,7 @@ def _once(value: Column, use) -> Column:  # noqa: ANN001
 
 
 def permute_digits(key: str, kind: str, digits: Column) -> Column:
-    """A keyed permutation of the digit strings of one length (2 to 18)."""
+    """A keyed permutation of the digit strings of one length (2 to 30)."""
     n = F.length(digits)
     half = F.floor(n / 2).cast("int")
     ten = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("long")
@@ -153,7 +164,65 @@ def _phone(key: str, m: Column) -> Column:
     return _once(F.substring(m, F.length(head) + 1, F.length(m)), lambda rest: F.concat(head, _refill(rest, permute_digits(key, "phone", _only_digits(rest)))))
 
 
+def _world_phone(key: str, m: Column) -> Column:
+    head = F.regexp_extract(m, rf"^\+{_CODE}", 0)
+    return _once(F.substring(m, F.length(head) + 1, F.length(m)), lambda rest: F.concat(head, _refill(rest, permute_digits(key, "phone", _only_digits(rest)))))
+
+
+def _pair_phone(key: str, m: Column) -> Column:
+    return _once(F.substring(m, F.lit(3), F.length(m)), lambda rest: F.concat(F.substring(m, 1, 2), _refill(rest, permute_digits(key, "phone", _only_digits(rest)))))
+
+
+def mod97(text: Column) -> Column:
+    """Remainder modulo 97 of digits and letters, letters as 10 to 35."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    characters = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.aggregate(characters, F.lit(0), lambda a, c: _once(value(c), lambda v: F.pmod(a * F.when(v > 9, 100).otherwise(10) + v, F.lit(97))))
+
+
+def _iban(key: str, m: Column) -> Column:
+    def renewed(plain: Column) -> Column:
+        country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+        digits = _only_digits(account)
+        checked = (mod97(F.concat(account, F.substring(plain, 1, 4))) == 1) & F.length(plain).between(15, 34) & F.length(digits).between(2, 30)
+
+        def new(body: Column) -> Column:
+            check = _once(mod97(F.concat(body, country, F.lit("00"))), lambda r: F.lpad((98 - r).cast("string"), 2, "0"))
+            return F.concat(country, check, body)
+
+        def spaced(out: Column) -> Column:
+            return F.when(m.contains(" "), F.array_join(F.filter(F.regexp_extract_all(out, F.lit(".{1,4}"), F.lit(0)), lambda g: g != ""), " ")).otherwise(out)
+
+        return F.when(checked, _once(_once(_refill(account, permute_digits(key, "iban", digits)), new), spaced))
+
+    return _once(F.regexp_replace(m, " ", ""), renewed)
+
+
+def _late_day(rank: Column) -> Column:
+    """The date of a rank among the days 13 and later of each month since the first day."""
+    first = F.lit(_FIRST_DAY).cast("date")
+    start = lambda month: F.datediff(F.add_months(first, month), first) - 12 * month  # noqa: E731  ranks before a month
+    near = F.floor(rank / (_LATE[0] * _LATE[1] / 4800)).cast("int")
+    month = F.array_max(F.filter(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda k: F.greatest(near + k, F.lit(0))), lambda month: start(month) <= rank))
+    return _once(month, lambda month: F.date_add(F.add_months(first, month), (rank - start(month) + 12).cast("int")))
+
+
 def _date(key: str, m: Column) -> Column:
+    def day_first(write) -> Column:  # noqa: ANN001
+        """A slashed date that cannot be read month first, permuted among those."""
+        fields = F.split(m, "/")
+        day = F.try_to_date(F.concat_ws("-", fields[2], fields[1], fields[0]), "yyyy-MM-dd")
+
+        def new(day: Column) -> Column:
+            first = F.lit(_FIRST_DAY).cast("date")
+            past = F.datediff(day, first)
+            month = 12 * (F.year(day) - F.year(first)) + F.month(day) - 1
+            rank = past - 12 * (month + 1)
+            s = feistel(key, "late-date", F.floor(rank / _LATE[1]), rank % _LATE[1], F.lit(_LATE[0]), F.lit(_LATE[1]))
+            return F.when(past.between(0, _DAYS[0] * _DAYS[1] - 1), _once(_once(s, lambda x: _once((x.l * _LATE[1] + x.r).cast("int"), _late_day)), write))
+
+        return F.when((fields[0].cast("int") > 12) & day.isNotNull(), _once(day, new))
+
     def permuted(day: Column, write) -> Column:  # noqa: ANN001
         past = F.datediff(day, F.lit(_FIRST_DAY).cast("date"))
         s = feistel(key, "date", F.floor(past / _DAYS[1]), past % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1]))
@@ -172,7 +241,7 @@ def _date(key: str, m: Column) -> Column:
         F.when(m.rlike(r"^\d{4}-"), by((0, 1, 2), "-"))
         .when(m.rlike(r"^\d{4}/"), by((0, 1, 2), "/"))
         .when(m.contains("."), by((2, 1, 0), "."))
-        .otherwise(F.coalesce(by((2, 0, 1), "/"), by((2, 1, 0), "/")))
+        .otherwise(F.coalesce(by((2, 0, 1), "/"), day_first(lambda x: F.date_format(x, "dd/MM/yyyy"))))
     )
 
 
@@ -206,8 +275,10 @@ def pseudonym(key: str, m: Column) -> Column:
         .when(m.rlike(rf"^(?:{_DATE})$"), _date(key, m))
         .when(m.rlike(rf"^(?:{_IP})$"), _ip(key, m))
         .when(m.rlike(rf"^(?:{_SSN})$"), _ssn(key, m))
-        .when(~m.rlike(rf"^(?:{_PHONE})$"), F.lit(None).cast("string"))
-        .otherwise(_phone(key, m))
+        .when(m.rlike(rf"^(?:{_IBAN})$"), _iban(key, m))
+        .when(m.rlike(rf"^(?:{_PHONE})$"), _phone(key, m))
+        .when(m.rlike(rf"^(?:{_WORLD})$"), _world_phone(key, m))
+        .when(m.rlike(rf"^(?:{_PAIRS})$"), _pair_phone(key, m))
     )
     one = _once(F.coalesce(new, m), lambda x: F.struct(x.alias("text"), (x != m).cast("int").alias("n")))
     return F.when(m.rlike(r"^[0-9 -]+$") & ~m.rlike(rf"^(?:{_OTHER})$"), F.coalesce(_number(key, m), F.struct(m.alias("text"), F.lit(0).alias("n")))).otherwise(one)
@@ -216,8 +287,8 @@ def pseudonym(key: str, m: Column) -> Column:
 def pseudonymise(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
     """Replace personal values in the text column and add n_private, the number of values replaced.
 
-    One pass over each row without a shuffle; a null text stays null with n_private 0; other columns
-    pass through, a column named n_private is replaced.
+    One pass over each row without a shuffle, so repeated rows and ties have no bearing on it. A null
+    text stays null with n_private 0; other columns pass through, a column named n_private is replaced.
     """
     if not key:
         raise ValueError("a secret key is needed")
