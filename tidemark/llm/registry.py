@@ -45,7 +45,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.mix(docs, mixing.temperature_weights(docs), block_docs=16)
+    mixed = mixing.mix(docs, mixing.temperature_weights(docs), block_docs=16, with_text=False)
     return mixed.select("doc_id", "source", "block", "place", "slot")
 
 
@@ -79,4 +79,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+_MIXING = """
+WITH RECURSIVE
+docs AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END k, md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))) o FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o) - 1 r FROM docs),
+units AS (SELECT k, CAST(greatest(1, round(400 * pow(n, 0.5) / sum(pow(n, 0.5)) OVER ())) AS BIGINT) u FROM (SELECT k, count(*) n FROM docs GROUP BY k)),
+w AS (SELECT list(k ORDER BY k) ks, list(u ORDER BY k) us, CAST(sum(u) AS BIGINT) a FROM units),
+schedule AS (
+    SELECT CAST(-1 AS BIGINT) slot, list_transform(us, lambda x: CAST(0 AS BIGINT)) given, CAST(NULL AS BIGINT) pick FROM w
+    UNION ALL
+    SELECT slot + 1, list_transform(given, lambda g, j: CASE WHEN j = nxt THEN g + 1 ELSE g END), nxt
+    FROM (SELECT slot, given, a, list_sort(list_filter(list_transform(range(1, len(us) + 1), lambda i: CASE WHEN floor(given[i] * a / us[i]) <= slot + 1 THEN {'d': ceil((given[i] + 1) * a / us[i]), 'i': i} END), lambda x: x IS NOT NULL))[1].i nxt FROM schedule, w)
+    WHERE slot + 1 < a),
+slots AS (SELECT ks[pick] k, us[pick] u, a, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 nth FROM schedule, w WHERE pick IS NOT NULL)
+SELECT doc_id, source, CAST(r // 16 AS BIGINT) AS block, CAST(r % 16 AS BIGINT) AS place, CAST((r // 16) // u * a + slot AS BIGINT) AS slot
+FROM ranked JOIN slots ON ranked.k = slots.k AND (r // 16) % u = nth"""
+
+_PASSAGES = f"""
+WITH docs AS (SELECT row_number() OVER () row_id, doc_id, {_WORDS.format("coalesce(text, '')")} w FROM documents),
+windows AS (SELECT row_id, doc_id, len(w) n, i, md5(array_to_string(w[i + 1:i + 50], ' ')) h FROM docs, LATERAL (SELECT unnest(range(0, len(w) - 49)) i) x WHERE len(w) >= 50),
+shared AS (SELECT h FROM windows GROUP BY h HAVING min(row_id) <> max(row_id)),
+hits AS (SELECT row_id, doc_id, n, i, CASE WHEN i > lag(i) OVER (PARTITION BY row_id ORDER BY i) + 50 OR lag(i) OVER (PARTITION BY row_id ORDER BY i) IS NULL THEN 1 ELSE 0 END new FROM windows SEMI JOIN shared USING (h)),
+spans AS (SELECT *, sum(new) OVER (PARTITION BY row_id ORDER BY i) nth FROM hits)
+SELECT doc_id, CAST(min(i) AS BIGINT) AS start_word, CAST(max(i) + 50 AS BIGINT) AS end_word, CAST(any_value(n) AS BIGINT) AS n_words FROM spans GROUP BY row_id, doc_id, nth"""
+
+_JACCARD = f"""
+WITH RECURSIVE
+docs AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} w FROM documents),
+sets AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END s FROM docs, LATERAL (SELECT unnest(range(1, greatest(len(w) - 1, 2))) i) x WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) n FROM sets GROUP BY doc_id),
+prefixes AS (SELECT doc_id, s, n, row_number() OVER (PARTITION BY doc_id ORDER BY f, s) p FROM sets JOIN sizes USING (doc_id) JOIN (SELECT s, count(*) f FROM sets GROUP BY s) USING (s)),
+pairs AS (SELECT DISTINCT a.doc_id a, b.doc_id b, a.n an, b.n bn FROM prefixes a JOIN prefixes b ON a.s = b.s AND a.doc_id < b.doc_id WHERE a.p <= a.n - ceil(0.9::DOUBLE * a.n) + 1 AND b.p <= b.n - ceil(0.9::DOUBLE * b.n) + 1 AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)),
+links AS (SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b AND y.s = x.s GROUP BY a, b, an, bn HAVING 100 * count(*) >= 90 * (an + bn - count(*))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reached r JOIN edges e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a doc_id, min(b) c FROM reached GROUP BY a) USING (doc_id)"""
+
+#: Texts that other models read or fit, keyed digests and the library's ids have no SQL.
+ORACLES: dict[str, str] = {"op6_source_mixing": _MIXING, "op9_repeated_passages": _PASSAGES, "op10_ngram_jaccard": _JACCARD}
