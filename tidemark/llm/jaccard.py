@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, partitions, stored
+from tidemark.llm.common import bounded_batches, partitions, stored, unused
 from tidemark.operators.components import connected_components
 from tidemark.sources.storage import Scratch
 
@@ -32,6 +32,7 @@ BUCKETS = 1 << 20
 _CHUNK = 1 << 14
 _RANGES, _IN_RANGE = 32, 16
 _LONG = 64
+BITS = 1 << 25
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SHUT = np.uint64(32)
 
@@ -95,6 +96,23 @@ def _binary(values: list[bytes] | np.ndarray) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
+def bit_set(keys: DataFrame) -> np.ndarray:
+    """A table of BITS bits, whatever the corpus holds, in which the hashes in column `bit` are set.
+
+    It only spares rows a shuffle: a row whose bit is set is then joined exactly.
+    """
+    at = F.col("bit").bitwiseAND(BITS - 1)
+    words = keys.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(bit & {63} as int))")).alias("m")).toArrow()  # BITS / 64 rows at most
+    out = np.zeros(BITS >> 6, np.uint64)
+    out[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
+    return out
+
+
+def is_set(bits: np.ndarray, hashes: pa.Array) -> np.ndarray:
+    at = hashes.to_numpy() & (BITS - 1)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 def scan_sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, fp, ranges) for every document, and counts of all shingle hashes in BUCKETS buckets."""
     spark = docs.sparkSession
@@ -274,7 +292,8 @@ def verified(work: Scratch, pairs: DataFrame, classes: DataFrame, docs: DataFram
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            found = {fingerprint(h): h for h in (shingles(t, size) for t in batch.column(0).to_pylist())}
+            texts = batch.column(1).filter(pa.array(is_set(bits.value, batch.column(0))))
+            found = {fingerprint(h): h for h in (shingles(t, size) for t in texts.to_pylist())}
             fresh = [fp for fp in found if fp not in seen]
             seen.update(fresh)
             yield pa.RecordBatch.from_arrays([_binary(fresh), _binary([found[fp].tobytes() for fp in fresh])], names=["fp", "hashes"])
@@ -294,10 +313,10 @@ def verified(work: Scratch, pairs: DataFrame, classes: DataFrame, docs: DataFram
     near = work.stored(few.join(named("a"), "ka").join(named("b"), "kb").select("a", "b"), "near")
     ends = near.select(F.col("a").alias("fp")).union(near.select(F.col("b").alias("fp"))).distinct()
     needed = work.stored(ends.join(classes.select("fp", "first_doc"), "fp"), "ends")
-    names = needed.select(F.col("first_doc").alias("_doc")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(names, F.col("_id").eqNullSafe(F.col("_doc")), "left_semi")
-    # a class whose rows share an id may come once for each task; that repeats a link, no more
-    hashed = work.stored(texts.select("text").mapInArrow(sets, "fp binary, hashes binary").join(needed.select("fp"), "fp", "left_semi"), "needed")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_set(needed.select(F.xxhash64("first_doc").alias("bit"))))  # fixed size
+    texts = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("bit"), F.col("text").cast("string").alias("text"))
+    # a class may come once for each task, and one that was not asked for too; the joins pass over that
+    hashed = work.stored(texts.mapInArrow(sets, "fp binary, hashes binary"), "needed")
     both = near.join(hashed.select(F.col("fp").alias("a"), F.col("hashes").alias("ha")), "a").join(hashed.select(F.col("fp").alias("b"), F.col("hashes").alias("hb")), "b")
     return work.stored(both.select("a", "b", "ha", "hb").mapInArrow(linked, "a binary, b binary"), "links")
 
@@ -367,15 +386,29 @@ def one_of_each(docs: DataFrame, *, size: int = 5, num: int = 80, den: int = 100
     stays = (F.col("fp") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
     marks = stored(go.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), stays.alias("_stays"), F.col("copies").alias("_copies")), "decisions")
 
-    def print_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # only rows that a mark may name are joined; all others stay where they are
+    share = docs.sparkSession.sparkContext.broadcast
+    bits, again = (share(bit_set(m.select(F.xxhash64("_id").alias("bit")))) for m in (marks, marks.where("_copies > 1")))  # fixed size
+
+    def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            free = batch.filter(pa.array(~is_set(bits.value, batch.column(batch.num_columns - 1))))
+            yield pa.RecordBatch.from_arrays(free.columns[:-1], names=names)
+
+    def print_of(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
         for batch in batches:
-            prints = [fingerprint(shingles(t, size)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, _binary(prints)], names=[*batch.schema.names, "_print"])
+            rest = batch.filter(pa.array(is_set(bits.value, batch.column(batch.num_columns - 1))))
+            prints = [fingerprint(shingles(t, size)) for t in rest.column(names.index("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*rest.columns[:-1], _binary(prints)], names=[*names, unused("_print", names)])
 
     from pyspark.sql import types as T
 
-    printed = docs.mapInArrow(print_of, T.StructType([*docs.schema.fields, T.StructField("_print", T.BinaryType())]))
-    joined = printed.join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_fp")), "left")
+    names, print_ = docs.columns, unused("_print", docs.columns)
+    hashed = docs.select("*", F.xxhash64(F.col("doc_id").cast("long")).alias(unused("_bit", names)))
+    schema = T.StructType([*docs.schema.fields, T.StructField(print_, T.BinaryType())])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col(print_) == F.col("_fp"))
+    joined = hashed.mapInArrow(lambda b: print_of(b, bits), schema).join(marks, same, "left")
     single = joined.where("_fp is null or (_stays and _copies = 1)").select(*docs.columns)
-    repeated = joined.where("_stays and _copies > 1").dropDuplicates(["doc_id", "_print"]).select(*docs.columns)
-    return single.unionByName(repeated)
+    joined = hashed.mapInArrow(lambda b: print_of(b, again), schema).join(marks.where("_stays and _copies > 1"), same)
+    repeated = joined.dropDuplicates(["doc_id", print_]).select(*docs.columns)
+    return hashed.mapInArrow(unmarked, docs.schema).unionByName(single).unionByName(repeated)
