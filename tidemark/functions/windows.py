@@ -42,12 +42,31 @@ def pct_rank_average(df: DataFrame, value: str, out: str, source: DataFrame | No
     return placed.withColumn(out, (F.col("_p_below") + (F.col("_p_ties") + 1) / 2) / F.col("_p_n")).drop("_p_below", "_p_ties", "_p_n")
 
 
+def positions(df: DataFrame, order: list[Column], key: str) -> DataFrame:
+    """(key, _rank from 1, _n): the place of each row in a total order, without a sort or a tied value in one task.
+
+    Rows are dealt by ranges of the whole order and written, so a value that many rows share is split
+    by what follows it; only one row for each range is summed in one task. key is unique.
+    """
+    named = df.select(F.col(key), *[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    by = [F.col(f"_o{i}") for i in range(len(order))]
+    ranged = stored(named.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    parts = ranged.groupBy("_part").agg(F.count("*").alias("_c")).select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
+    return ranged.join(F.broadcast(parts), "_part").select(key, (F.col("_before") + inside).alias("_rank"), "_n")
+
+
 def quintile_first(df: DataFrame, value: str, key: str, out: str, source: DataFrame | None = None) -> DataFrame:
     """Add quintiles 1..5 of the rank in which ties follow the key; null values stay null."""
-    placed = value_positions(df, value, "_q", source)
-    rank = F.col("_q_below") + F.row_number().over(Window.partitionBy(value).orderBy(key))
-    quintile = F.when(F.col("_q_n") == 1, 1).otherwise(F.greatest(F.lit(1), F.ceil(5 * (rank - 1) / (F.col("_q_n") - 1))))
-    return placed.withColumn(out, F.when(F.col(value).isNotNull(), quintile).cast("int")).drop("_q_below", "_q_ties", "_q_n")
+    placed = positions((df if source is None else source).where(F.col(value).isNotNull()), [F.col(value), F.col(key)], key)
+    quintile = F.when(F.col("_n") == 1, 1).otherwise(F.greatest(F.lit(1), F.ceil(5 * (F.col("_rank") - 1) / (F.col("_n") - 1))))
+    return df.join(placed.select(key, quintile.cast("int").alias(out)), key, "left")
+
+
+def qcut_labels(rank: Column, n: Column, size: int) -> Column:
+    """Bin 1..size of rank 1..n with the edges of linear quantiles of the ranks; a value on an edge belongs to the lower bin."""
+    return F.when(n == 1, 1).otherwise(F.greatest(F.lit(1), F.ceil(size * (rank - 1) / (n - 1)))).cast("int")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Config
-from tidemark.functions.scalars import band, clip, one_place, zero
+from tidemark.functions.scalars import clip, one_place, zero
 from tidemark.functions.windows import first_by
 from tidemark.operators import decisions, propensity, snapshots
 
@@ -34,26 +34,27 @@ def offers_at(priority: DataFrame, tx: DataFrame, cfg: Config = DEFAULT) -> Data
     return offers.join(features, ID)
 
 
-def operational_scores(training: DataFrame, offers: DataFrame, accepted: bool, *, until: str = "2001-05-15") -> DataFrame:
+def operational_scores(training: DataFrame, offers: DataFrame, gates: DataFrame | None, *, champion: str = "logistic", until: str = "2001-05-15", rounds: int | None = None) -> DataFrame:
     """The best offer of each customer: greatest expected contribution, then response, then the smaller discount.
 
-    Champion features are refitted on campaigns before `until` and calibrated on that one. Without an
-    accepted model no offer is made: the result is empty, with the same columns.
+    The champion is refitted on campaigns before `until` and calibrated on that one. Without a
+    governance table that accepts the model no offer is made: the result is empty, with the same columns.
     """
     schema = f"{ID} long, campaign_channel string, offer_category string, discount_depth double, promotion_propensity double, expected_contribution double, propensity_band string"
-    if not accepted:
+    if not propensity.model_is_accepted(gates):
         return training.sparkSession.createDataFrame([], schema)
     train, names = propensity.one_hot(training.where("treatment_flag = 1"), propensity.PROMOTION_KINDS)
     target, _ = propensity.one_hot(offers, propensity.PROMOTION_KINDS)
     early, last = train.where(F.col("campaign_date") < F.lit(until)), train.where(F.col("campaign_date") == F.lit(until))
     z = propensity.standardised(early, {"last": last, "offers": target}, [*propensity.PROMOTION, *names])
-    model = propensity.fit_logistic(z["train"], "responded")
+    number, least = propensity.ROUNDS["promotion"]
+    model = propensity.fit_boosted(z["train"], "responded", "exposure_id", rounds=rounds or number, least=least) if champion == "boosted" else propensity.fit_logistic(z["train"], "responded")
     turn = propensity.calibrate(propensity.with_probability(model, z["last"]), "responded")
     p = propensity.calibrated(F.col("raw_score"), turn)
     scored = propensity.with_probability(model, z["offers"]).withColumn("promotion_propensity", p)
     scored = scored.withColumn("expected_contribution", F.col("promotion_propensity") * F.col("average_order_value") * F.col("margin_after_discount"))
     best = first_by(scored, [ID], [F.desc(F.round("expected_contribution", 6)), F.desc(F.round("promotion_propensity", 9)), F.asc("discount_depth"), F.asc("campaign_channel")])
-    level = band(F.col("promotion_propensity"), [(0.5, "Low"), (0.6, "Medium"), (0.7, "High")], "Very High")
+    level = propensity.probability_band(F.col("promotion_propensity"), "promotion")
     return best.select(ID, "campaign_channel", "offer_category", "discount_depth", "promotion_propensity", "expected_contribution", level.alias("propensity_band"))
 
 

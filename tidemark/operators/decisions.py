@@ -193,8 +193,8 @@ def next_best_action(priority: DataFrame, tx: DataFrame) -> DataFrame:
 def offer_candidates(priority: DataFrame, tx: DataFrame) -> DataFrame:
     """Active customers of medium value or more, times three channels and four discount depths (fixed twelve)."""
     cat = transaction_behaviour(tx).select(ID, "dominant_category", "tx_aov", "tx_margin_rate")
-    who = priority.where(F.col("active_customer") & F.col("customer_value_tier").isin("Medium", "High", "Very High")).select(ID, "customer_value_tier").join(cat, ID)
+    who = priority.where(F.col("active_customer") & F.col("customer_value_tier").isin("Medium", "High", "Very High")).select(ID, "customer_value_tier", safe_divide(F.col("trailing_12m_margin"), F.col("trailing_12m_sales")).alias("recent_margin_rate")).join(cat, ID)
     channels = F.explode(F.array(*[F.lit(x) for x in ("Email", "SMS", "App")]))
     depths = F.explode(F.array(*[F.lit(x) for x in (0.10, 0.15, 0.20, 0.25)]))
     out = who.withColumn("campaign_channel", channels).withColumn("discount_depth", depths)
-    return out.withColumn("margin_after_discount", F.greatest(F.coalesce("tx_margin_rate", F.lit(0.30)) - F.col("discount_depth"), F.lit(0.01)))
+    return out.withColumn("margin_after_discount", F.greatest(F.coalesce("tx_margin_rate", "recent_margin_rate", F.lit(0.30)) - F.col("discount_depth"), F.lit(0.01)))

@@ -64,22 +64,37 @@ def block_keys(n: DataFrame) -> DataFrame:
     return n.select(RECORD, F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
 
 
-def candidate_pairs(n: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of records in one block of 2 to 120 members; larger blocks say too little to compare."""
+def dropped_blocks(n: DataFrame, largest: int = LARGEST_BLOCK) -> DataFrame:
+    """(rule, blocks, records) of the blocks that are too large to compare."""
+    sizes = block_keys(n).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > largest)
+    return sizes.groupBy(F.substring("key", 1, 2).alias("rule")).agg(F.count("*").alias("blocks"), F.sum("n").alias("records"))
+
+
+def candidate_pairs(n: DataFrame, largest: int | None = LARGEST_BLOCK) -> DataFrame:
+    """Distinct (a, b), a < b, of records in one block of 2 to `largest` members; larger blocks say too little to compare.
+
+    None compares every block, whatever its size.
+    """
     keys = block_keys(n)
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, LARGEST_BLOCK)).select("key")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") >= 2) & (F.lit(largest is None) | (F.col("n") <= (largest or 0)))).select("key")
     kept = keys.join(sizes, "key")
     a, b = kept.select("key", F.col(RECORD).alias("a")), kept.select("key", F.col(RECORD).alias("b"))
     return a.join(b, "key").where("a < b").select("a", "b").distinct()
 
 
-def exact_pairs(n: DataFrame) -> DataFrame:
-    """(a, b, phase) of records with one email (phase 0) or phone (phase 1), each joined to the first of its group."""
+def exact_pairs(n: DataFrame, *, whole: int = 40) -> DataFrame:
+    """(a, b, phase) of records with one email (phase 0) or phone (phase 1): all pairs of a group of up to `whole` records.
+
+    Pairs of a larger group would grow with its square; each of its records is joined to the first instead.
+    """
     out = None
     for phase, column in enumerate(("norm_email", "norm_phone")):
         has = n.where(F.col(column) != "").select(F.col(column).alias("v"), RECORD)
-        lead = has.groupBy("v").agg(F.min(RECORD).alias("a"))
-        part = has.join(lead, "v").where(F.col("a") < F.col(RECORD)).select("a", F.col(RECORD).alias("b"), F.lit(phase).alias("phase"))
+        groups = has.groupBy("v").agg(F.min(RECORD).alias("lead"), F.count("*").alias("size")).where("size > 1")
+        small = has.join(groups.where(F.col("size") <= whole), "v")
+        pairs = small.select("v", F.col(RECORD).alias("a")).join(small.select("v", F.col(RECORD).alias("b")), "v").where("a < b").select("a", "b")
+        star = has.join(groups.where(F.col("size") > whole), "v").where(F.col("lead") < F.col(RECORD)).select(F.col("lead").alias("a"), F.col(RECORD).alias("b"))
+        part = pairs.unionByName(star).withColumn("phase", F.lit(phase))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -3,24 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.scalars import band, logit
-from tidemark.functions.windows import running_sums, value_positions
+from tidemark.functions.windows import positions, qcut_labels, running_sums
+from tidemark.sources.formats import read_json, write_json
+from tidemark.sources.storage import new_path, stored
 
 ID, T = "golden_customer_id", "observation_date"
+# The features of each model, and the columns that tell its outcome.
 REENGAGEMENT = ["days_since_last_purchase", "purchase_tenure_days", "lifetime_orders", "lifetime_sales", "lifetime_margin", "lifetime_units", "avg_order_value", "avg_margin_per_order", "avg_discount_pct", "discounted_order_share", "channels_used", "categories_used", "margin_rate", "orders_prior_180d", "sales_prior_180d", "margin_prior_180d", "orders_prior_365d", "sales_prior_365d", "margin_prior_365d", "observed_purchase_gaps", "median_purchase_gap_days", "mean_purchase_gap_days", "std_purchase_gap_days", "cadence_cv", "adjusted_lapse_ratio", "order_change_pct", "sales_change_pct", "margin_change_pct", "dominant_category_share", "preferred_channel_share"]
 CROSS_SELL = [*REENGAGEMENT[:13], "orders_prior_180d", "sales_prior_180d", "orders_prior_365d", "sales_prior_365d", "categories_prior_180d", "categories_prior_365d", "dominant_category_share", "dominant_category_sales_share", "category_concentration", "preferred_channel_share", "category_whitespace_count", "category_coverage_pct"]
 PROMOTION = ["discount_depth", "days_since_last_purchase", "customer_tenure_days", "lifetime_orders", "lifetime_sales", "lifetime_margin", "average_order_value", "average_discount_pct", "discounted_order_share", "lifetime_categories", "lifetime_channels", "lifetime_margin_rate", "orders_prior_180d", "sales_prior_180d", "margin_prior_180d", "categories_prior_180d", "channels_prior_180d", "avg_discount_prior_180d", "discounted_order_share_prior_180d", "offer_category_prior_orders", "offer_category_prior_sales", "offer_category_order_share", "offer_category_seen_before", "recent_margin_rate", "orders_per_30d_tenure", "campaign_month_sin", "campaign_month_cos"]
 PROMOTION_KINDS = {"campaign_channel": ("Email", "SMS", "App"), "offer_category": ("ECONOMY", "STANDARD", "PROMO", "MEDIUM", "SMALL", "LARGE")}
 FORBIDDEN = ("treatment_flag", "purchased_next_90d", "future_orders_90d", "future_sales_90d", "future_margin_90d", "new_categories", "new_category_count", "cross_sell_next_180d", "responded", ID, T)
 # Least AUC, PR lift, top-decile and top-quintile lift; greatest calibration gap.
+ROUNDS = {"reengagement": (220, 35), "cross_sell": (250, 40), "promotion": (250, 40)}  # boosting rounds, least rows of a leaf
+DECILE_GAIN = {"cross_sell": 0.08, "promotion": 0.05}
+BANDS = {"promotion": (0.5, 0.6, 0.7)}
 GATES = {"reengagement": (0.55, 1.10, 1.20, None, 0.05), "cross_sell": (0.60, 1.10, 1.20, 1.12, 0.05), "promotion": (0.60, 1.08, 1.15, 1.10, 0.05)}
 
 
@@ -56,8 +63,18 @@ def fit_logistic(train: DataFrame, label: str):  # noqa: ANN201
     return LogisticRegression(featuresCol="vector", labelCol=label, regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=100).fit(train)
 
 
-def fit_boosted(train: DataFrame, label: str, *, rounds: int = 20, least: int = 40):  # noqa: ANN201
-    return GBTClassifier(featuresCol="vector", labelCol=label, stepSize=0.1, maxIter=rounds, maxDepth=4, minInstancesPerNode=least, seed=42).fit(train)
+def fit_boosted(train: DataFrame, label: str, key: str, *, rounds: int = 250, least: int = 40):  # noqa: ANN201
+    """Trees of depth 4 (up to 16 leaves) with a step of 0.04, until `rounds` or until a tenth of the rows, held out by a hash of the key, is fitted no better.
+
+    Small tables are joined to few partitions: a round is many short jobs.
+    """
+    held = F.pmod(F.xxhash64(key), F.lit(10)) == 0
+    parts = max(1, min(train.sparkSession.sparkContext.defaultParallelism, train.count() // 20_000))
+    rows = train.withColumn("_held", held).select("vector", F.col(label), "_held")
+    rows = (rows.coalesce(parts) if parts < train.sparkSession.sparkContext.defaultParallelism else rows).persist()
+    model = GBTClassifier(featuresCol="vector", labelCol=label, stepSize=0.04, maxIter=rounds, maxDepth=4, minInstancesPerNode=least, validationIndicatorCol="_held", validationTol=0.001, maxMemoryInMB=512, seed=42).fit(rows)
+    rows.unpersist()
+    return model
 
 
 def with_probability(model, df: DataFrame, out: str = "raw_score") -> DataFrame:  # noqa: ANN001
@@ -91,15 +108,16 @@ def evaluate_predictions(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def ranked_by_score(df: DataFrame, score: str, key: str) -> DataFrame:
-    """Adds _rank (1 is the highest score, ties by key) and _n, without a global sort in one task."""
-    out = value_positions(df, score, "_v")
-    within = F.row_number().over(Window.partitionBy(score).orderBy(key))
-    return out.withColumns({"_rank": F.col("_v_n") - F.col("_v_below") - F.col("_v_ties") + within, "_n": F.col("_v_n")}).drop("_v_n", "_v_below", "_v_ties")
+    """Adds _rank (1 is the highest score, ties by key) and _n, without a global sort or a tied score in one task."""
+    return df.join(positions(df, [-F.col(score), F.col(key)], key), key)
+
 
+def lift_table(df: DataFrame, score: str, label: str, key: str, *, quantiles: bool = False) -> DataFrame:
+    """Deciles by score: size, actual rate, mean score and lift over all.
 
-def lift_table(df: DataFrame, score: str, label: str, key: str) -> DataFrame:
-    """Deciles by score: size, actual rate, mean score and lift over all."""
-    decile = F.least(F.lit(10), F.greatest(F.lit(1), F.ceil(10 * F.col("_rank") / F.col("_n"))))
+    With quantiles, as for re-engagement, deciles end at quantiles of the rank; else at tenths of the rows.
+    """
+    decile = qcut_labels(F.col("_rank"), F.col("_n"), 10) if quantiles else F.least(F.lit(10), F.greatest(F.lit(1), F.ceil(10 * F.col("_rank") / F.col("_n"))))
     g = ranked_by_score(df, score, key).groupBy(decile.cast("int").alias("decile")).agg(F.count("*").alias("customers"), F.avg(F.col(label).cast("double")).alias("actual_rate"), F.avg(score).alias("mean_probability"))
     overall = df.agg(F.avg(F.col(label).cast("double")).alias("overall_rate"))
     return g.crossJoin(F.broadcast(overall)).withColumn("lift", F.try_divide("actual_rate", "overall_rate"))  # one row
@@ -124,8 +142,9 @@ def governance(metrics: DataFrame, decile_lift: DataFrame, quintile_lift: DataFr
     return out.withColumn("model_status", F.when(F.every("passed").over(Window.partitionBy()), "ACCEPTED").otherwise("REJECTED"))  # six rows
 
 
-def probability_band(p: Column) -> Column:
-    return band(p, [(0.25, "Low"), (0.50, "Medium"), (0.75, "High")], "Very High")
+def probability_band(p: Column, model: str = "") -> Column:
+    low, middle, high = BANDS.get(model, (0.25, 0.50, 0.75))
+    return band(p, [(low, "Low"), (middle, "Medium"), (high, "High")], "Very High")
 
 
 def one_hot(df: DataFrame, kinds: dict[str, Sequence[str]]) -> tuple[DataFrame, list[str]]:
@@ -158,50 +177,71 @@ def model_is_accepted(gates: DataFrame | None) -> bool:
     return "passed" in gates.columns and all(str(r.passed).strip().lower() in ("true", "1", "yes", "pass") for r in rows)
 
 
-def governed_model(data: DataFrame, features: Sequence[str], label: str, dates: tuple, model: str, key: str) -> tuple[DataFrame, DataFrame, dict]:
-    """(gates, metrics by candidate, split and score, metadata) of a full out-of-time run."""
+def select_candidate(metrics: Sequence[Row], model: str) -> str:
+    """The candidate with the best raw validation scores: AUC, then PR-AUC, then top-decile lift, then Brier.
+
+    Boosted trees win only by 0.02 of AUC, or, where the model has such a rule, by its gain in top-decile lift.
+    """
+    rows = {r.candidate: r for r in metrics if r.split == "validation" and r.score == "raw_score"}
+    order = lambda r: (-(r.roc_auc or 0), -(r.pr_auc or 0), -(r.top_decile_lift or 0) if model in DECILE_GAIN else 0, r.brier, r.candidate)
+    best = min(rows.values(), key=order)
+    if best.candidate != "boosted":
+        return best.candidate
+    gain = (best.roc_auc or 0) - (rows["logistic"].roc_auc or 0)
+    lift = (best.top_decile_lift or 0) - (rows["logistic"].top_decile_lift or 0)
+    return "boosted" if gain >= 0.02 or lift >= DECILE_GAIN.get(model, float("inf")) else "logistic"
+
+
+@dataclass
+class Governed:
+    """A full out-of-time run: gates, metrics by candidate, split and score, the champion's test scores, coefficients, and what was written as metadata."""
+
+    gates: DataFrame
+    metrics: DataFrame
+    scores: DataFrame
+    coefficients: DataFrame
+    about: dict
+
+
+def governed_model(data: DataFrame, features: Sequence[str], label: str, dates: tuple, model: str, key: str, *, rounds: int | None = None) -> Governed:
+    """Fit both candidates before the validation date, choose, calibrate on that date and judge on the test date.
+
+    The metadata goes to a JSON document in the shared folder and is what its readers get back. Only
+    tables of a few rows (metrics, gates) reach the driver.
+    """
     spark = data.sparkSession
     parts = split_by_time(data, *dates)
-    z = {k: df.select(key, F.col(label).cast("double").alias(label), "vector").persist() for k, df in standardised(parts["train"], {k: parts[k] for k in ("validation", "test")}, features).items()}
+    z = {k: df.select(key, T, F.col(label).cast("double").alias(label), "vector").persist() for k, df in standardised(parts["train"], {k: parts[k] for k in ("validation", "test")}, features).items()}
     empty = [k for k, df in z.items() if not df.take(1)]
     if empty:
         raise ValueError(f"no rows in {empty}")
-    fits, rows, tests = {"logistic": fit_logistic(z["train"], label), "boosted": fit_boosted(z["train"], label)}, None, {}
+    number, least = ROUNDS[model]
+    fits, rows, tests = {"logistic": fit_logistic(z["train"], label), "boosted": fit_boosted(z["train"], label, key, rounds=rounds or number, least=least)}, None, {}
     for name, m in fits.items():
-        scored = {s: with_probability(m, z[s]).select(key, label, "raw_score") for s in ("validation", "test")}
+        scored = {s: with_probability(m, z[s]).select(key, T, label, "raw_score") for s in ("validation", "test")}
         turn = calibrate(scored["validation"], label)
         for split, df in scored.items():
             both = df.withColumn("calibrated", calibrated(F.col("raw_score"), turn)).persist()
             tests[name, split] = both
             for kind in ("raw_score", "calibrated"):
-                one = evaluate_predictions(both, kind, label).withColumns({"candidate": F.lit(name), "split": F.lit(split), "score": F.lit(kind)})
+                lifts = [top_fraction_lift(both, kind, label, key, f).select(F.col("lift").alias(f"top_{n}_lift")) for f, n in ((0.1, "decile"), (0.2, "quintile"))]
+                one = evaluate_predictions(both, kind, label).crossJoin(lifts[0]).crossJoin(lifts[1]).withColumns({"candidate": F.lit(name), "split": F.lit(split), "score": F.lit(kind)})  # one row each
                 rows = one if rows is None else rows.unionByName(one)
-    metrics = spark.createDataFrame(rows.collect(), rows.schema)  # eight rows
-    raw = {r.candidate: r for r in metrics.where("split = 'validation' and score = 'raw_score'").collect()}
-    champion = "boosted" if (raw["boosted"].roc_auc or 0) - (raw["logistic"].roc_auc or 0) >= 0.02 else "logistic"
-    final = tests[champion, "test"]
+    found = rows.collect()  # eight rows
+    metrics = spark.createDataFrame(found, rows.schema)
+    champion = select_candidate(found, model)
     base = baseline(z["validation"], z["test"], label).select(F.col("brier").alias("baseline_brier"))
     chosen = metrics.where((F.col("candidate") == champion) & (F.col("split") == "test") & (F.col("score") == "calibrated"))
-    gates = governance(chosen, top_fraction_lift(final, "calibrated", label, key, 0.1), top_fraction_lift(final, "calibrated", label, key, 0.2), base, model)
-    gates = spark.createDataFrame(gates.collect(), gates.schema)  # six rows
+    gates = governance(chosen, chosen.select(F.col("top_decile_lift").alias("lift")), chosen.select(F.col("top_quintile_lift").alias("lift")), base, model)
+    gates = stored(gates, f"{model}-governance")
+    accepted = model_is_accepted(gates)
+    status = "ACCEPTED" if accepted else "REJECTED"
+    p = F.col("calibrated")
+    scores = tests[champion, "test"].select(key, T, F.col(label).alias("label"), "raw_score", p.alias("probability"), probability_band(p, model).alias("probability_band"), F.lit(champion).alias("champion"), F.lit(model).alias("model"), F.lit(status).alias("model_status"), F.lit(accepted).alias("eligible_for_activation"))
+    scores = stored(scores, f"{model}-scores")
+    about = {"model": model, "version": "1", "champion": champion, "status": status, "activation_allowed": accepted, "train_from": str(dates[0]), "validation": str(dates[1]), "test": str(dates[2]), "features": list(features), "metrics": chosen.drop("candidate", "split", "score").head().asDict()}
+    path = new_path(spark, f"{model}-metadata")
+    write_json(spark, about, path)
     for df in (*z.values(), *tests.values()):
         df.unpersist()
-    accepted = model_is_accepted(gates)
-    about = {"model": model, "champion": champion, "status": "ACCEPTED" if accepted else "REJECTED", "activation_allowed": accepted, "train_from": str(dates[0]), "validation": str(dates[1]), "test": str(dates[2]), "features": list(features)}
-    return gates, metrics, about
-
-
-def train_and_score(data: DataFrame, features: Sequence[str], label: str, dates: tuple, model: str) -> DataFrame:
-    """Fit both candidates, keep the logistic one unless boosting clearly wins, calibrate, and score the test date."""
-    parts = split_by_time(data, *dates)
-    z = standardised(parts["train"], {k: parts[k] for k in ("validation", "test")}, features)
-    train = z["train"].cache()
-    candidates = {"logistic": fit_logistic(train, label), "boosted": fit_boosted(train, label)}
-    auc = {}
-    for name, m in candidates.items():
-        auc[name] = evaluate_predictions(with_probability(m, z["validation"]), "raw_score", label).head().roc_auc or 0.0
-    champion = "boosted" if auc["boosted"] - auc["logistic"] >= 0.02 else "logistic"
-    train.unpersist()
-    fit = calibrate(with_probability(candidates[champion], z["validation"]), label)
-    scored = with_probability(candidates[champion], z["test"]).withColumn("probability", calibrated(F.col("raw_score"), fit))
-    return scored.select(ID, T, F.col(label).alias("label"), "raw_score", "probability", probability_band(F.col("probability")).alias("probability_band"), F.lit(champion).alias("champion"), F.lit(model).alias("model"))
+    return Governed(gates, metrics, scores, coefficients(fits["logistic"], features, spark), read_json(spark, path))

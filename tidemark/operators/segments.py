@@ -54,12 +54,18 @@ def _vectors(z: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(z)
 
 
-def evaluate_clusters(features: DataFrame, ks: range = range(3, 10), seed: int = 42) -> DataFrame:
-    """Silhouette (squared Euclidean), cost and cluster sizes for each k."""
+def best_of(v: DataFrame, k: int, starts: int, seed: int):  # noqa: ANN201
+    """The fit of least cost among several parallel-initialised starts."""
+    fits = (KMeans(k=k, seed=seed + i, featuresCol="vector", predictionCol="cluster").fit(v) for i in range(starts))
+    return min(fits, key=lambda m: m.summary.trainingCost)
+
+
+def evaluate_clusters(features: DataFrame, ks: range = range(3, 10), seed: int = 42, *, starts: int = 3) -> DataFrame:
+    """Silhouette (squared Euclidean), cost and cluster sizes for each k, of the best of `starts` fits."""
     v = _vectors(prepared(features)).cache()
     rows = []
     for k in ks:
-        model = KMeans(k=k, seed=seed, featuresCol="vector", predictionCol="cluster").fit(v)
+        model = best_of(v, k, starts, seed)
         sizes = model.summary.clusterSizes
         rows.append((k, float(ClusteringEvaluator(featuresCol="vector", predictionCol="cluster").evaluate(model.transform(v))), float(model.summary.trainingCost), min(sizes), max(sizes), min(sizes) / sum(sizes)))
     v.unpersist()
@@ -72,13 +78,12 @@ def choose_k(evaluation: DataFrame) -> DataFrame:
     return evaluation.agg(F.coalesce(fits, F.max(F.struct("silhouette", F.col("k").alias("kk")))).kk.alias("k"))
 
 
-def customer_clusters(features: DataFrame, *, k: int = 6, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
-    """Cluster, segment name and two principal coordinates of every customer; the best of several seeds counts."""
+def customer_clusters(features: DataFrame, *, k: int = 6, starts: int = 10, seed: int = 42) -> DataFrame:
+    """Cluster, segment name and two principal coordinates of every customer, by the best of `starts` fits."""
     v = _vectors(prepared(features)).cache()
     if not v.take(1):
         return features.sparkSession.createDataFrame([], f"{ID} long, cluster int, cluster_name string, pca_1 double, pca_2 double")
-    models = [KMeans(k=k, seed=s, featuresCol="vector", predictionCol="cluster").fit(v) for s in seeds]
-    model = min(models, key=lambda m: m.summary.trainingCost)
+    model = best_of(v, k, starts, seed)
     centres = [[float(x) for x in c] for c in model.clusterCenters()]
     names, free = {}, set(range(len(centres)))
     for column, name in NAMES:

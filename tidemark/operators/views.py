@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -108,12 +109,36 @@ def retention_heatmap(retention: DataFrame, ages: int = 12) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, column: str, size: int, seed: int = 42) -> DataFrame:
-    """About `size` rows in proportion to each value's share, one at least, chosen by a hash of the id."""
+    """About `size` rows in proportion to each value's share, one at least, chosen by a hash of the id.
+
+    Each of 64 parts of a value offers its first rows, so no task ranks a whole value.
+    """
     counts = df.groupBy(column).agg(F.count("*").alias("_n"))
-    quota = counts.withColumn("_q", F.greatest(F.lit(1), F.floor(size * F.col("_n") / F.sum("_n").over(Window.partitionBy()) + 0.5)))  # a row for each value
+    quota = counts.withColumn("_q", F.greatest(F.lit(1), F.floor(size * F.col("_n") / F.sum("_n").over(Window.partitionBy()) + 0.5))).drop("_n")  # a row for each value
+    h = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(ID).cast("string")).cast("binary"))
+    hashed = df.join(quota, column).withColumns({"_h": h, "_part": F.pmod(F.xxhash64(ID), F.lit(64))})
+    for keys in ([column, "_part"], [column]):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", ID))
+        hashed = hashed.withColumn("_nth", nth).where(F.col("_nth") <= F.col("_q"))
+    return hashed.drop("_q", "_nth", "_h", "_part")
+
+
+def uniform_sample(df: DataFrame, size: int, seed: int = 42) -> DataFrame:
+    """`size` rows (all, if there are fewer) with the least hashes of the id."""
     h = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(ID).cast("string")).cast("binary"))
-    nth = F.row_number().over(Window.partitionBy(column).orderBy(h, ID))
-    return df.join(F.broadcast(quota), column).withColumn("_nth", nth).where(F.col("_nth") <= F.col("_q")).drop("_n", "_q", "_nth")
+    return df.orderBy(h, ID).limit(size)
+
+
+def slugged(df: DataFrame) -> DataFrame:
+    """Columns named in lower case, each run of other characters than letters and digits as one underscore; names that then meet get a number."""
+    names: list[str] = []
+    for c in df.columns:
+        name = base = re.sub(r"[^a-z0-9]+", "_", c.lower()).strip("_") or "column"
+        nth = 2
+        while name in names:
+            name, nth = f"{base}_{nth}", nth + 1
+        names.append(name)
+    return df.toDF(*names)
 
 
 def search_customers(master: DataFrame, text: str) -> DataFrame:

@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 
 from tidemark.config import DEFAULT
 from tidemark.operators import activation, cadence, decisions, diagnostics, growth, identity, propensity, segments, snapshots, value, views
-from tidemark.plans.sql import cents, one, r4, with_ctes
+from tidemark.plans.sql import cents, r4, with_ctes
 from tidemark.sources import canonical, formats
+from tidemark.sources.storage import new_path
+from tidemark.streaming import movement
 
 ID = "golden_customer_id"
 
@@ -86,6 +88,35 @@ class Tables:
     def records(self) -> DataFrame:
         return canonical.identity_records(self.spark, self.sf_dir)
 
+    @cached_property
+    def clusterings(self) -> DataFrame:
+        return segments.evaluate_clusters(segments.clustering_features(self.tx))
+
+    @cached_property
+    def resolution(self) -> tuple[DataFrame, DataFrame]:
+        return identity.resolve(self.records)
+
+    @cached_property
+    def reengagement_model(self) -> propensity.Governed:
+        return propensity.governed_model(snapshots.reengagement_training(self.tx), propensity.REENGAGEMENT, "purchased_next_90d", ("1999-10-31", "2001-01-31", "2001-04-30"), "reengagement", ID)
+
+    @cached_property
+    def cross_sell_model(self) -> propensity.Governed:
+        return propensity.governed_model(snapshots.cross_sell_training(self.tx), propensity.CROSS_SELL, "cross_sell_next_180d", ("1999-07-31", "2000-10-31", "2001-01-31"), "cross_sell", ID)
+
+    @cached_property
+    def promotion_model(self) -> propensity.Governed:
+        treated = snapshots.promotion_training(self.tx, self.exposures).where("treatment_flag = 1").withColumn(propensity.T, F.col("campaign_date"))
+        hot, names = propensity.one_hot(treated, propensity.PROMOTION_KINDS)
+        return propensity.governed_model(hot, [*propensity.PROMOTION, *names], "responded", ("1999-08-15", "2001-02-15", "2001-05-15"), "promotion", "exposure_id")
+
+    @cached_property
+    def offers(self) -> DataFrame:
+        """The best offer of each customer, none while the promotion model is not accepted."""
+        model = self.promotion_model
+        training = snapshots.promotion_training(self.tx, self.exposures)
+        return activation.operational_scores(training, activation.offers_at(self.priority, self.tx), model.gates, champion=model.about["champion"])
+
     @cached_property
     def scored(self) -> DataFrame:
         """A fixed score and outcome for checking the evaluation queries."""
@@ -103,6 +134,12 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return _TABLES[key]
 
 
+def forget(spark: SparkSession) -> None:
+    """Drop all tables that queries shared, and their storage."""
+    _TABLES.clear()
+    spark.catalog.clearCache()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -178,7 +215,7 @@ simple("transaction_behaviour", lambda t: decisions.transaction_behaviour(t.tx),
 add("action_scores", lambda t: t.nba.select(ID, "eligible_protect", "eligible_reengage", "eligible_develop", "eligible_cross_sell", "eligible_promote", "score_protect", "score_reengage", "score_develop", "score_cross_sell", "score_promote", "score_do_nothing"), "SELECT golden_customer_id, e_protect AS eligible_protect, e_reengage AS eligible_reengage, e_develop AS eligible_develop, e_cross_sell AS eligible_cross_sell, e_promote AS eligible_promote, " + ", ".join(f"{r4('s_' + n)} AS score_{m}" for n, m in (("protect", "protect"), ("reengage", "reengage"), ("develop", "develop"), ("cross_sell", "cross_sell"), ("promote", "promote"), ("nothing", "do_nothing"))) + " FROM nb3")
 add("next_best_action", lambda t: t.nba.select(ID, "recommended_action_nba", "action_score", "action_margin", "economically_positive"), f"SELECT golden_customer_id, act AS recommended_action_nba, {r4('action_score')} AS action_score, {r4('action_margin')} AS action_margin, act<>'Do Nothing' AND action_margin>0 AS economically_positive FROM nba")
 add("nba_action_summary", lambda t: t.nba.groupBy("recommended_action_nba").agg(F.count("*").alias("customers"), F.sum("action_margin").alias("margin"), F.avg("action_score").alias("avg_score")), f"SELECT act AS recommended_action_nba, CAST(count(*) AS BIGINT) AS customers, {r4('sum(action_margin)')} AS margin, {r4('avg(action_score)')} AS avg_score FROM nba GROUP BY 1")
-add("nba_explained", lambda t: t.nba.select(ID, "recommended_action_nba", "alternative_action", "action_confidence", "primary_driver", "action_rationale"))
+add("nba_explained", lambda t: t.nba.select(ID, "recommended_action_nba", "alternative_action", "action_confidence", "primary_driver", "action_rationale"), f"SELECT golden_customer_id, act AS recommended_action_nba, alternative_action, {r4('action_confidence')} AS action_confidence, primary_driver, action_rationale FROM nbx")
 add("offer_candidates", lambda t: decisions.offer_candidates(t.priority, t.tx).select(ID, "campaign_channel", "discount_depth", "margin_after_discount"), f"SELECT p.golden_customer_id, c AS campaign_channel, CAST(d AS DOUBLE) AS discount_depth, {r4('greatest(coalesce(tx_margin_rate,0.30)-d::DOUBLE,0.01::DOUBLE)')} AS margin_after_discount FROM prio p JOIN beh b ON p.golden_customer_id=b.golden_customer_id, (VALUES ('Email'),('SMS'),('App')) c(c), (VALUES (0.10),(0.15),(0.20),(0.25)) d(d) WHERE active_customer AND customer_value_tier IN ('Medium','High','Very High')")
 
 # identity and golden layer
@@ -186,26 +223,32 @@ add("identity_records", lambda t: t.records.groupBy("source_system").agg(F.count
 add("identity_normalised", lambda t: identity.add_normalised_fields(t.records).select("identity_record_id", "norm_full_name", "norm_email", "norm_phone", "norm_address", "norm_postcode"))
 add("identity_candidates", lambda t: identity.candidate_pairs(identity.add_normalised_fields(t.records)))
 add("identity_pair_verdicts", lambda t: (lambda n: identity.pair_verdict(identity.pair_components(identity.candidate_pairs(n), n)))(identity.add_normalised_fields(t.records)))
-add("identity_resolution", lambda t: identity.resolve(t.records)[0].select("identity_record_id", ID, "records_linked", "match_method", "match_confidence", "identity_resolution_status"))
-add("identity_edge_audit", lambda t: identity.resolve(t.records)[1])
-add("identity_evaluation", lambda t: identity.evaluate(identity.resolve(t.records)[0]))
-add("golden_master", lambda t: identity.golden_master(identity.resolve(t.records)[0]))
+add("identity_resolution", lambda t: t.resolution[0].select("identity_record_id", ID, "records_linked", "match_method", "match_confidence", "identity_resolution_status"))
+add("identity_edge_audit", lambda t: t.resolution[1])
+add("identity_evaluation", lambda t: identity.evaluate(t.resolution[0]))
+add("golden_master", lambda t: identity.golden_master(t.resolution[0]))
 add("golden_reconciliation", lambda t: identity.reconciliation(t.tx, identity.golden_transactions(t.tx.withColumn("source_customer_id", F.format_string("SRC_%07d_01", ID)), t.records.where("source_role = 'Primary'").select("source_customer_id", F.col("true_person_id").alias(ID)))), " UNION ALL ".join(f"SELECT '{m}' AS metric, {x} AS before_value, {x} AS after_value, 0.0::DOUBLE AS difference FROM tx" for m, x in (("transactions", "CAST(count(*) AS DOUBLE)"), ("orders", "CAST(count(DISTINCT order_id) AS DOUBLE)"), ("units", "CAST(sum(units) AS DOUBLE)"), ("net_sales", cents("sum(net_sales)")), ("cost", cents("sum(cost)")), ("gross_margin", cents("sum(gross_margin)")))))
 
 # segments
 add("clustering_features", lambda t: segments.clustering_features(t.tx).select(ID, "orders", "avg_order_value", "units_per_order", "discounted_order_share", "store_share", "online_share", "category_concentration", "cadence_cv"), f"SELECT golden_customer_id, count(DISTINCT order_id) AS orders, {r4('avg(net_sales)')} AS avg_order_value, {r4('avg(units)')} AS units_per_order, {r4('avg(CASE WHEN discount_pct>0 THEN 1 ELSE 0 END)')} AS discounted_order_share, " + ", ".join(f"floor((avg(CASE WHEN channel='{c}' THEN 1 ELSE 0 END))*10000+0.5+1e-6)/10000 AS {n}" for c, n in (("Store", "store_share"), ("Online", "online_share"))) + ", any_value(category_concentration) AS category_concentration, any_value(cadence_cv) AS cadence_cv FROM tx LEFT JOIN (SELECT golden_customer_id, " + r4("sum(n*n)/(sum(n)*sum(n))::DOUBLE") + " AS category_concentration FROM (SELECT golden_customer_id, category, count(DISTINCT order_id) n FROM tx GROUP BY 1,2) GROUP BY 1) k USING (golden_customer_id) LEFT JOIN (SELECT golden_customer_id, " + r4("cadence_cv") + " AS cadence_cv FROM cad) c USING (golden_customer_id) GROUP BY 1")
-add("clustering_prepared", lambda t: segments.prepared(segments.clustering_features(t.tx)).agg(*[F.round(F.avg(c), 3).alias(f"mean_{c}") for c in segments.FEATURES[:4]], F.count("*").alias("customers")))
-add("cluster_evaluation", lambda t: segments.evaluate_clusters(segments.clustering_features(t.tx), range(3, 7)))
-add("cluster_choice", lambda t: segments.choose_k(segments.evaluate_clusters(segments.clustering_features(t.tx), range(3, 6))))
+add("clustering_prepared", lambda t: segments.prepared(segments.clustering_features(t.tx)).agg(*[F.round(F.avg(c), 3).alias(f"mean_{c}") for c in segments.FEATURES], F.count("*").alias("customers")))
+add("cluster_evaluation", lambda t: t.clusterings)
+add("cluster_choice", lambda t: segments.choose_k(t.clusterings))
 add("customer_clusters", lambda t: segments.customer_clusters(segments.clustering_features(t.tx)))
 
 # model evaluation on a fixed score, and the fitted models
 add("evaluate_predictions", lambda t: propensity.evaluate_predictions(t.scored, "score", "label").select("rows", "roc_auc", "brier", "log_loss", "base_rate", "mean_probability", "pr_auc", "calibration_gap"), "SELECT CAST(count(*) AS BIGINT) AS rows, " + ", ".join(f"{r4(x)} AS {n}" for n, x in (("roc_auc", "(sum(label*rk)-sum(label)*(sum(label)+1)/2.0::DOUBLE)/(sum(label)*(count(*)-sum(label)))"), ("brier", "avg((p-label)*(p-label))"), ("log_loss", "avg(-(label*ln(p)+(1-label)*ln(1-p)))"), ("base_rate", "avg(label)"), ("mean_probability", "avg(p)"), ("pr_auc", "sum(label*hits/ge::DOUBLE)/sum(label)"), ("calibration_gap", "abs(avg(p)-avg(label))"))) + " FROM (SELECT label, p, rank() OVER (ORDER BY p)+(count(*) OVER (PARTITION BY p)-1)/2.0::DOUBLE rk, sum(label) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING) hits, count(*) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING) ge FROM (SELECT label, least(greatest(score,1e-6),1-1e-6) p FROM sdet))")
 add("lift_table", lambda t: propensity.lift_table(t.scored, "score", "label", ID).select("decile", "customers", "actual_rate", "mean_probability", "lift"), f"SELECT CAST(least(10,greatest(1,ceil(10.0::DOUBLE*rk/n))) AS BIGINT) AS decile, CAST(count(*) AS BIGINT) AS customers, {r4('avg(label)')} AS actual_rate, {r4('avg(score)')} AS mean_probability, {r4('avg(label)/any_value(o)')} AS lift FROM (SELECT *, row_number() OVER (ORDER BY score DESC, golden_customer_id) rk, count(*) OVER () n, avg(label) OVER () o FROM sdet) GROUP BY 1")
 add("top_fraction_lift", lambda t: propensity.top_fraction_lift(t.scored, "score", "label", ID, 0.2), f"SELECT {r4('avg(label) FILTER (rk<=greatest(1,ceil(n*0.2::DOUBLE)))/avg(label)')} AS lift, CAST(0.2 AS DOUBLE) AS fraction FROM (SELECT *, row_number() OVER (ORDER BY score DESC, golden_customer_id) rk, count(*) OVER () n FROM sdet)")
-add("governance", lambda t: propensity.governance(propensity.evaluate_predictions(t.scored, "score", "label"), propensity.top_fraction_lift(t.scored, "score", "label", ID, 0.1), propensity.top_fraction_lift(t.scored, "score", "label", ID, 0.2), t.scored.agg(F.avg("label").alias("b")).select((F.col("b") * (1 - F.col("b"))).alias("baseline_brier")), "cross_sell"))
-add("propensity_reengagement", lambda t: propensity.train_and_score(snapshots.reengagement_training(t.tx), propensity.REENGAGEMENT, "purchased_next_90d", ("1999-10-31", "2001-01-31", "2001-04-30"), "reengagement"))
-add("propensity_cross_sell", lambda t: propensity.train_and_score(snapshots.cross_sell_training(t.tx), propensity.CROSS_SELL, "cross_sell_next_180d", ("1999-07-31", "2000-10-31", "2001-01-31"), "cross_sell"))
+add("reengagement_lift_table", lambda t: propensity.lift_table(t.scored, "score", "label", ID, quantiles=True).select("decile", "customers", "actual_rate", "mean_probability", "lift"), f"SELECT CAST(greatest(1,ceil(10.0::DOUBLE*(rk-1)/(n-1))) AS BIGINT) AS decile, CAST(count(*) AS BIGINT) AS customers, {r4('avg(label)')} AS actual_rate, {r4('avg(score)')} AS mean_probability, {r4('avg(label)/any_value(o)')} AS lift FROM (SELECT *, row_number() OVER (ORDER BY score DESC, golden_customer_id) rk, count(*) OVER () n, avg(label) OVER () o FROM sdet) GROUP BY 1")
+add("governance", lambda t: t.reengagement_model.gates)
+add("cross_sell_governance", lambda t: t.cross_sell_model.gates)
+add("promotion_governance", lambda t: t.promotion_model.gates)
+add("propensity_reengagement", lambda t: t.reengagement_model.scores)
+add("propensity_cross_sell", lambda t: t.cross_sell_model.scores)
+add("propensity_promotion", lambda t: t.promotion_model.scores)
+add("model_coefficients", lambda t: t.cross_sell_model.coefficients)
+add("model_metadata", lambda t: t.spark.createDataFrame([(str(k), str(v)) for m in (t.reengagement_model, t.cross_sell_model, t.promotion_model) for k, v in {"model": m.about["model"], **m.about}.items()], "field string, value string"))
 
 # presentation
 add("executive_kpis", lambda t: views.executive_kpis(t.priority), f"SELECT CAST(count(*) AS BIGINT) AS customers, CAST(count(*) FILTER (active_customer) AS BIGINT) AS active_customers, {r4('avg(active_customer::INT)')} AS active_rate, CAST(count(*) FILTER (decision_group='Protect Now') AS BIGINT) AS protect_now, CAST(count(*) FILTER (decision_group='Proactive Retention') AS BIGINT) AS proactive_retention, " + r4("sum(CASE WHEN priority_band IN ('Critical','High') THEN trailing_12m_margin ELSE 0 END)") + f" AS priority_margin, {r4('sum(trailing_12m_sales)')} AS trailing_sales, {r4('sum(trailing_12m_margin)')} AS trailing_margin FROM prio")
@@ -229,7 +272,6 @@ add("customers_without_recent_orders", lambda t: t.master.join(t.tx.where("trans
 add("customers_of_both_channels", lambda t: t.tx.where("channel = 'Store'").select(ID).intersect(t.tx.where("channel = 'Online'").select(ID)), "SELECT golden_customer_id FROM tx WHERE channel='Store' INTERSECT SELECT golden_customer_id FROM tx WHERE channel='Online'")
 add("customers_of_store_only", lambda t: t.tx.where("channel = 'Store'").select(ID).subtract(t.tx.where("channel <> 'Store'").select(ID)), "SELECT golden_customer_id FROM tx WHERE channel='Store' EXCEPT SELECT golden_customer_id FROM tx WHERE channel<>'Store'")
 add("campaign_control_benchmark", lambda t: t.exposures.groupBy("campaign_id", "treatment_flag").agg(F.count("*").alias("exposures"), F.avg("responded").alias("response_rate")), f"SELECT campaign_id, CAST(treatment_flag AS BIGINT) AS treatment_flag, CAST(count(*) AS BIGINT) AS exposures, {r4('avg(responded)')} AS response_rate FROM expo GROUP BY 1,2")
-_ = one
 
 # more of the pages
 add("lapse_by_lifecycle", lambda t: views.lapse_by_lifecycle(t.features), f"SELECT lifecycle_status, CAST(count(*) AS BIGINT) AS customers, {r4('median(adjusted_lapse_ratio)')} AS median_lapse_ratio FROM feat GROUP BY 1")
@@ -238,33 +280,58 @@ add("queue_kpis", lambda t: views.queue_kpis(t.priority, ("Protect Now", "Re-eng
 add("growth_signals", lambda t: views.growth_signals(growth.growth_monthly(t.tx)), "SELECT *, CASE WHEN recent_net_change<0 THEN 'Shrinking' WHEN recent_net_change<previous_net_change THEN 'Slowing' ELSE 'Growing' END AS growth_signal FROM (SELECT " + ", ".join(f"CAST(coalesce(sum({c}) FILTER ({w}),0) AS BIGINT) AS {p}_{c}" for c in ("new_customers", "reactivated_customers", "lapsed_customers", "net_change") for p, w in (("recent", "n<=12"), ("previous", "n BETWEEN 13 AND 24"))) + ", CAST(max(closing_customers) FILTER (n=1) AS BIGINT) AS closing_customers FROM (SELECT *, row_number() OVER (ORDER BY month DESC) n FROM gro))")
 add("cohort_attention", lambda t: views.cohort_attention(growth.cohort_summary(t.tx, t.ltv)), f"SELECT cohort_month, customers, {r4('retention_m6-m6_benchmark')} AS m6_delta, CASE WHEN retention_m6-m6_benchmark<=-0.05 THEN 'Deteriorating' WHEN retention_m6-m6_benchmark>=0.05 THEN 'Improving' ELSE 'Stable / Mixed' END AS cohort_trend FROM cs2 WHERE retention_m6-m6_benchmark IS NOT NULL ORDER BY floor((retention_m6-m6_benchmark)*1e6+0.5), cohort_month LIMIT 10")
 add("action_kpis", lambda t: views.action_kpis(t.nba), f"SELECT CAST(count(*) AS BIGINT) AS customers, CAST(count(*) FILTER (act<>'Do Nothing') AS BIGINT) AS interventions, {r4('sum(CASE WHEN act<>' + chr(39) + 'Do Nothing' + chr(39) + ' THEN action_margin ELSE 0 END)')} AS margin, CAST(count(*) FILTER (act<>'Do Nothing' AND action_margin>0) AS BIGINT) AS economically_positive FROM nba")
-add("action_queue", lambda t: views.action_queue(t.nba, ("Protect", "Re-engage", "Cross-sell"), 30.0, 100))
-add("identity_evidence", lambda t: views.identity_evidence(identity.resolve(t.records)[0]))
+add("action_queue", lambda t: views.action_queue(t.nba, ("Protect", "Re-engage", "Cross-sell"), 30.0, 100), f"SELECT golden_customer_id, act AS recommended_action_nba, {r4('action_confidence')} AS action_confidence, {r4('action_score')} AS action_score FROM (SELECT * FROM nbx WHERE act IN ('Protect','Re-engage','Cross-sell') AND action_confidence>=30 ORDER BY action_confidence DESC, action_score DESC, golden_customer_id LIMIT 100)")
+add("identity_evidence", lambda t: views.identity_evidence(t.resolution[0]))
 add("segment_profile", lambda t: diagnostics.segment_profile(t.priority, "rfm_segment", ["orders", "recency_days", "priority_score"]), f"SELECT rfm_segment, CAST(count(*) AS BIGINT) AS customers, {r4('median(orders)')} AS median_orders, {r4('median(recency_days)')} AS median_recency_days, {r4('median(priority_score)')} AS median_priority_score FROM prio GROUP BY 1")
 
 # quality reports; the market segment stands for the hidden group that is known in synthetic data only
 add("lifecycle_by_market_segment", lambda t: diagnostics.row_shares(t.features.join(t.master, ID), "market_segment", "lifecycle_status").drop("row_pct"), "SELECT market_segment, lifecycle_status, CAST(count(*) AS BIGINT) AS customers FROM feat JOIN cust USING (golden_customer_id) GROUP BY 1,2")
 add("segment_enrichment", lambda t: diagnostics.enrichment(t.priority.join(t.master, ID), "rfm_segment", "market_segment").select("rfm_segment", "market_segment", "customers", "share", "baseline_share", "enrichment"), f"SELECT rfm_segment, market_segment, n AS customers, {r4('share')} AS share, {r4('base')} AS baseline_share, {r4('share/base')} AS enrichment FROM (SELECT rfm_segment, market_segment, n, n/sum(n) OVER (PARTITION BY rfm_segment)::DOUBLE share, sum(n) OVER (PARTITION BY market_segment)/sum(n) OVER ()::DOUBLE base, row_number() OVER (PARTITION BY rfm_segment ORDER BY n DESC, market_segment) k FROM (SELECT rfm_segment, market_segment, count(*) n FROM prio JOIN cust USING (golden_customer_id) GROUP BY 1,2)) WHERE k=1")
 add("detection_summary", lambda t: diagnostics.detection_summary(t.trend.join(t.master, ID), "market_segment", F.col("cadence_trend_status").isin("Deteriorating", "Strongly Deteriorating")), f"SELECT market_segment, CAST(count(*) AS BIGINT) AS customers, {r4('avg(CASE WHEN cadence_trend_status IN (' + chr(39) + 'Deteriorating' + chr(39) + ',' + chr(39) + 'Strongly Deteriorating' + chr(39) + ') THEN 1 ELSE 0 END)')} AS detected_rate FROM trend JOIN cust USING (golden_customer_id) GROUP BY 1")
-add("identity_contamination", lambda t: diagnostics.cluster_contamination(identity.resolve(t.records)[0]))
-add("identity_methods", lambda t: diagnostics.match_methods(identity.resolve(t.records)[0]))
-add("identity_summary", lambda t: (lambda r: diagnostics.identity_summary(r[0], r[1], identity.evaluate(r[0])))(identity.resolve(t.records)))
+add("identity_contamination", lambda t: diagnostics.cluster_contamination(t.resolution[0]))
+add("identity_methods", lambda t: diagnostics.match_methods(t.resolution[0]))
+add("identity_summary", lambda t: (lambda r: diagnostics.identity_summary(r[0], r[1], identity.evaluate(r[0])))(t.resolution))
 add("table_expectations", lambda t: diagnostics.expectations(t.priority, "customer_priority", {"priority in 0..100": F.col("priority_score").between(0, 100), "known band": F.col("priority_band").isin("Critical", "High", "Medium", "Low"), "orders not negative": F.col("orders") >= 0}), "SELECT 'customer_priority' AS \"table\", e AS expectation, CAST(f AS BIGINT) AS failures FROM (SELECT count(*) FILTER (NOT priority_score BETWEEN 0 AND 100) a, count(*) FILTER (priority_band NOT IN ('Critical','High','Medium','Low')) b, count(*) FILTER (orders<0) c, count(*)-count(DISTINCT golden_customer_id) d FROM prio), LATERAL (VALUES ('priority in 0..100',a),('known band',b),('orders not negative',c),('unique golden_customer_id',d)) x(e,f)")
 
 # promotion model and activation
-PROMOTION_DATES = ("1999-08-15", "2001-02-15", "2001-05-15")
+add("promotion_features", lambda t: snapshots.promotion_training(t.tx, t.exposures).select("exposure_id", *propensity.PROMOTION), "SELECT exposure_id, " + cols("days_since_last_purchase, customer_tenure_days, lifetime_orders, lifetime_categories, lifetime_channels, orders_prior_180d, categories_prior_180d, channels_prior_180d, offer_category_prior_orders, offer_category_seen_before", "discount_depth, lifetime_sales, lifetime_margin, average_order_value, average_discount_pct, discounted_order_share, lifetime_margin_rate, sales_prior_180d, margin_prior_180d, avg_discount_prior_180d, discounted_order_share_prior_180d, offer_category_prior_sales, offer_category_order_share, recent_margin_rate, orders_per_30d_tenure, campaign_month_sin, campaign_month_cos") + " FROM ptf")
+add("cross_sell_metrics", lambda t: t.cross_sell_model.metrics.select("candidate", "split", "score", "roc_auc", "pr_auc", "brier", "log_loss", "calibration_gap", "top_decile_lift", "top_quintile_lift"))
+add("operational_offers", lambda t: t.offers)
 
 
-def promotion_data(t: Tables) -> tuple[DataFrame, list[str]]:
-    treated = snapshots.promotion_training(t.tx, t.exposures).where("treatment_flag = 1").withColumn(propensity.T, F.col("campaign_date"))
-    hot, names = propensity.one_hot(treated, propensity.PROMOTION_KINDS)
-    return hot, [*propensity.PROMOTION, *names]
+def governed(t: Tables) -> DataFrame:
+    """Actions in which each accepted model's probabilities count: cross-sell from the test date's scores, promotion from today's offers."""
+    accepted = lambda m, scores, p: scores.select(ID, F.col(p).alias("probability")) if propensity.model_is_accepted(m.gates) else None
+    return activation.governed_actions(t.priority, t.tx, cross_sell=accepted(t.cross_sell_model, t.cross_sell_model.scores, "probability"), promotion=accepted(t.promotion_model, t.offers, "promotion_propensity"))
 
 
-add("promotion_features", lambda t: snapshots.promotion_training(t.tx, t.exposures).select("exposure_id", *propensity.PROMOTION))
-add("promotion_governance", lambda t: (lambda d: propensity.governed_model(d[0], d[1], "responded", PROMOTION_DATES, "promotion", "exposure_id")[0])(promotion_data(t)))
-add("cross_sell_metrics", lambda t: propensity.governed_model(snapshots.cross_sell_training(t.tx), propensity.CROSS_SELL, "cross_sell_next_180d", ("1999-07-31", "2000-10-31", "2001-01-31"), "cross_sell", ID)[1].select("candidate", "split", "score", "roc_auc", "pr_auc", "brier", "log_loss", "calibration_gap"))
-add("operational_offers", lambda t: activation.operational_scores(snapshots.promotion_training(t.tx, t.exposures), activation.offers_at(t.priority, t.tx), True))
-add("governed_next_best_action", lambda t: activation.governed_actions(t.priority, t.tx, cross_sell=t.scored.select(ID, F.col("score").alias("probability"))).select(ID, "recommended_action_nba", "action_score", "action_margin", "decision_source"))
-add("recommendation_validation", lambda t: activation.validate_recommendations(t.tx, "2001-01-31"))
+add("governed_next_best_action", lambda t: governed(t).select(ID, "recommended_action_nba", "action_score", "action_margin", "decision_source"))
+add("recommendation_validation", lambda t: activation.validate_recommendations(t.tx, "2001-01-31"), "SELECT CAST(count(*) AS BIGINT) AS customers, " + ", ".join(f"{r4(f'avg(CASE WHEN k<={n} THEN 1 ELSE 0 END)')} AS top{n}_rate" for n in (1, 2, 3)) + " FROM hits_")
 add("reengagement_baseline", lambda t: (lambda p: propensity.baseline(p["validation"], p["test"], "purchased_next_90d"))(propensity.split_by_time(snapshots.reengagement_training(t.tx), "1999-10-31", "2001-01-31", "2001-04-30")).select("rows", "brier", "base_rate", "mean_probability"), f"SELECT CAST(count(*) AS BIGINT) AS rows, {r4('avg((p-y)*(p-y))')} AS brier, {r4('avg(y)')} AS base_rate, {r4('avg(p)')} AS mean_probability FROM (SELECT purchased_next_90d y, (SELECT avg(purchased_next_90d) FROM re_train WHERE observation_date=DATE '2001-01-31') p FROM re_train WHERE observation_date=DATE '2001-04-30')")
+
+
+add("identity_dropped_blocks", lambda t: identity.dropped_blocks(identity.add_normalised_fields(t.records)))
+
+
+# streams: all that the stream of event files gives; windows that the watermark has closed
+def events(t: Tables) -> DataFrame:
+    return movement.event_stream(t.spark, t.sf_dir, pattern="events.parquet")
+
+
+add("event_windows_stream", lambda t: movement.run_available(movement.windowed_counts(events(t)), "windows").withColumns({c: F.to_date(c) for c in ("window_start", "window_end")}), f"SELECT * FROM (SELECT CAST(ts AS DATE) AS window_start, CAST(ts AS DATE) + 1 AS window_end, event_type, CAST(count(*) AS BIGINT) AS events, {r4('sum(value)')} AS value FROM events GROUP BY ALL) WHERE window_end <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+add("distinct_events_stream", lambda t: movement.run_available(movement.distinct_events(events(t)).select("event_id", "user_id", "event_type"), "distinct"), "SELECT DISTINCT event_id, user_id, event_type FROM events")
+add("movement_stream", lambda t: movement.run_available(movement.movement_stream(purchase_days(t)), "movement"))
+
+
+def purchase_days(t: Tables) -> DataFrame:
+    """The days on which customers bought, as a stream of a written table."""
+    path = new_path(t.spark, "purchase-days")
+    t.tx.select(ID, "transaction_date").distinct().write.parquet(path)
+    return t.spark.readStream.schema(f"{ID} long, transaction_date date").parquet(path)
+
+
+# small operations of their own
+add("uniform_sample", lambda t: views.uniform_sample(t.master, 100).select(ID, "state"), "SELECT golden_customer_id, state FROM cust ORDER BY md5('42-'||CAST(golden_customer_id AS VARCHAR)), golden_customer_id LIMIT 100")
+add("slugged_columns", lambda t: views.slugged(t.tx.groupBy("channel").agg(F.count("*").alias("Orders & Lines"), F.round(F.sum("net_sales"), 2).alias("Net Sales ($)"))), f"SELECT channel, CAST(count(*) AS BIGINT) AS orders_lines, {r4('floor(sum(net_sales)*100+0.5)/100')} AS net_sales FROM tx GROUP BY 1")
+add("formatted_kpis", lambda t: views.formatted_kpis(views.executive_kpis(t.priority)), "SELECT format('{:,}', count(*)) AS customers, printf('%.1f', 100*avg(active_customer::INT))||'%' AS active_rate, '$'||format('{:,}', CAST(round(sum(trailing_12m_sales)) AS BIGINT)) AS trailing_sales FROM prio")
+add("truth_bridge", lambda t: diagnostics.truth_bridge(t.resolution[0]))

@@ -165,10 +165,26 @@ CTES: dict[str, str] = {
     "nb5": "SELECT *, " + ", ".join(f"e_{n} AND m_{n}>0 AND s_{n}>={t} ok_{n}" for n, t in (("protect", 55), ("reengage", 50), ("develop", 50), ("cross_sell", 55), ("promote", 55))) + " FROM nb4",
     "nb6": "SELECT *, CASE WHEN ok_protect THEN 'Protect' WHEN ok_reengage THEN 'Re-engage' WHEN ok_develop AND (NOT ok_cross_sell OR s_develop>=s_cross_sell) AND (NOT ok_promote OR s_develop>=s_promote) THEN 'Develop' WHEN ok_cross_sell AND (NOT ok_promote OR s_cross_sell>=s_promote) THEN 'Cross-sell' WHEN ok_promote THEN 'Promote' ELSE 'Do Nothing' END act FROM nb5",
     "nba": "SELECT *, CASE act WHEN 'Protect' THEN s_protect WHEN 'Re-engage' THEN s_reengage WHEN 'Develop' THEN s_develop WHEN 'Cross-sell' THEN s_cross_sell WHEN 'Promote' THEN s_promote ELSE s_nothing END action_score, CASE act WHEN 'Protect' THEN m_protect WHEN 'Re-engage' THEN m_reengage WHEN 'Develop' THEN m_develop WHEN 'Cross-sell' THEN m_cross_sell WHEN 'Promote' THEN m_promote ELSE 0 END action_margin FROM nb6",
+    "nbx0": "SELECT *, list_sort(list_filter([" + ", ".join(f"CASE WHEN ok_{n} AND act<>'{a}' THEN {{'s': s_{n}, 'i': {-i}, 'a': '{a}'}} END" for i, (n, a) in enumerate((("protect", "Protect"), ("reengage", "Re-engage"), ("develop", "Develop"), ("cross_sell", "Cross-sell"), ("promote", "Promote")))) + "], lambda x: x IS NOT NULL), 'DESC')[1] alt, list_sort([" + ", ".join(f"{{'v': CAST({v} AS DOUBLE), 'i': {-i}, 'n': '{n}'}}" for i, (n, v) in enumerate((("Customer value", "value_score"), ("Lapse risk", "lapse_score"), ("Momentum risk", "momentum_score"), ("Promotion responsiveness", "promo*100"), ("Category headroom", "head*100")))) + "], 'DESC')[1].n primary_driver FROM nba",
+    "nbx1": "SELECT *, coalesce(alt.a, 'Do Nothing') alternative_action, greatest(0, action_score-coalesce(alt.s, CASE WHEN act='Do Nothing' THEN 0 ELSE s_nothing END)) gap_, CASE cadence_confidence WHEN 'High' THEN 1.0 WHEN 'Medium' THEN 0.7 ELSE 0.4 END::DOUBLE evidence, coalesce(dominant_category,'relevant category') cat_, coalesce(preferred_channel,'preferred channel') ch_ FROM nbx0",
+    "nbx": f"SELECT *, {one('100*(0.45::DOUBLE*action_score/100+0.3::DOUBLE*gap_/100+0.25::DOUBLE*evidence)')} action_confidence, CASE act WHEN 'Protect' THEN customer_value_tier||' value customer with '||lower(lifecycle_status)||' behaviour and elevated lapse or momentum risk. Retain in person via '||ch_||'.' WHEN 'Re-engage' THEN 'Customer of proven value has lapsed. Re-engage through '||ch_||' with '||cat_||' messages.' WHEN 'Develop' THEN 'Active customer with room to grow. Encourage the next purchase before risk rises.' WHEN 'Cross-sell' THEN 'Active customer centred on '||cat_||'; offer '||coalesce(recommended_category,'a neighbouring category')||'.' WHEN 'Promote' THEN 'Customer answers promotions at a profit. Use a targeted offer via '||ch_||'.' ELSE 'No action pays at present. Keep in standard lifecycle activity and watch for change.' END action_rationale FROM nbx1",
+    "ptb": "SELECT e.exposure_id, any_value(e.campaign_date) cd, any_value(e.discount_depth) discount_depth, count(DISTINCT order_id) lifetime_orders, sum(net_sales) lifetime_sales, sum(gross_margin) lifetime_margin, avg(net_sales) average_order_value, avg(discount_pct) average_discount_pct, avg(CASE WHEN discount_pct>0 THEN 1 ELSE 0 END) discounted_order_share, count(DISTINCT category) lifetime_categories, count(DISTINCT channel) lifetime_channels, date_diff('day',max(transaction_date),any_value(e.campaign_date)) days_since_last_purchase, date_diff('day',min(transaction_date),any_value(e.campaign_date)) customer_tenure_days, "
+    + ", ".join(f"{x} FILTER (transaction_date>=campaign_date-180) {n}" for n, x in (("orders_prior_180d", "count(DISTINCT order_id)"), ("sales0", "sum(net_sales)"), ("margin0", "sum(gross_margin)"), ("categories_prior_180d", "count(DISTINCT category)"), ("channels_prior_180d", "count(DISTINCT channel)"), ("avg_discount_prior_180d", "avg(discount_pct)"), ("discounted_order_share_prior_180d", "avg(CASE WHEN discount_pct>0 THEN 1 ELSE 0 END)")))
+    + ", count(DISTINCT order_id) FILTER (category=offer_category) offer_category_prior_orders, coalesce(sum(net_sales) FILTER (category=offer_category),0) offer_category_prior_sales FROM expo e JOIN tx t ON e.golden_customer_id=t.golden_customer_id AND transaction_date<campaign_date GROUP BY 1",
+    "ptf": "SELECT *, coalesce(sales0,0) sales_prior_180d, coalesce(margin0,0) margin_prior_180d, lifetime_margin/nullif(lifetime_sales,0) lifetime_margin_rate, coalesce(margin0,0)/nullif(coalesce(sales0,0),0) recent_margin_rate, offer_category_prior_orders/lifetime_orders::DOUBLE offer_category_order_share, CASE WHEN offer_category_prior_orders>0 THEN 1 ELSE 0 END offer_category_seen_before, lifetime_orders/(greatest(customer_tenure_days,1)/30::DOUBLE) orders_per_30d_tenure, sin(2*pi()*month(cd)/12) campaign_month_sin, cos(2*pi()*month(cd)/12) campaign_month_cos FROM ptb WHERE customer_tenure_days>=90 AND lifetime_orders>=2",
     "idk": f"SELECT *, CAST(person AS VARCHAR)||'-'||CAST(k AS VARCHAR) u FROM (SELECT c_custkey person, unnest(range(1, CASE WHEN {bucket('c_custkey', 'fragments', 100)}<64 THEN 2 WHEN {bucket('c_custkey', 'fragments', 100)}<87 THEN 3 WHEN {bucket('c_custkey', 'fragments', 100)}<96 THEN 4 WHEN {bucket('c_custkey', 'fragments', 100)}<99 THEN 5 ELSE 6 END)) k FROM customer)",
     "sdet": "SELECT golden_customer_id, CASE WHEN commercial_value_score>0 THEN commercial_value_score/100 ELSE 0.005 END score, CASE WHEN active_customer THEN 1 ELSE 0 END label FROM prio",
 }
 
+# the recommendation on the history up to an earlier day, and what was bought in the 180 days after it
+_OLD = ("pen", "cm0", "cm1", "cmar", "own", "adj", "cand", "sc0", "sc1", "sco")
+CTES.update({f"old_{n}": re.sub(rf"\b({'|'.join(('tx', *_OLD))})\b(?![.(])", r"old_\1", CTES[n]) for n in _OLD})
+CTES.update({
+    "old_tx": "SELECT * FROM tx WHERE transaction_date <= DATE '2001-01-31'",
+    "later": "SELECT DISTINCT golden_customer_id, category FROM tx WHERE transaction_date > DATE '2001-01-31' AND transaction_date <= DATE '2001-01-31' + 180 EXCEPT SELECT golden_customer_id, category FROM old_own",
+    "hits_": "SELECT l.golden_customer_id, min(category_rank) k FROM later l JOIN old_sco s ON s.golden_customer_id=l.golden_customer_id AND s.category=l.category GROUP BY 1",
+})
+
 
 def with_ctes(select: str) -> str:
     """A statement with exactly the expressions it needs, in order."""

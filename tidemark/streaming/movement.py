@@ -22,9 +22,9 @@ from tidemark.sources.storage import new_path
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, folder: str, *, files_per_batch: int = 100) -> DataFrame:
-    """Event files of a folder as a stream, with event time as a timestamp."""
-    rows = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.parquet").parquet(folder)
+def event_stream(spark: SparkSession, folder: str, *, files_per_batch: int = 100, pattern: str = "*.parquet") -> DataFrame:
+    """Event files of a folder, those whose names fit the pattern, as a stream, with event time as a timestamp."""
+    rows = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
