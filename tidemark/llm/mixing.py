@@ -64,7 +64,8 @@ def pfair_period(weights: DataFrame) -> DataFrame:
         )
         return picked[0]
 
-    run = one.select("w", "period", F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("period") - 1), start, step).alias("run"))
+    turns = F.when(F.col("period") > 0, F.sequence(F.lit(0).cast("long"), F.greatest(F.col("period") - 1, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+    run = one.select("w", "period", F.aggregate(turns, start, step).alias("run"))
     slots = run.select("w", "period", F.posexplode("run.order").alias("slot", "i"))
     nth = F.row_number().over(Window.partitionBy("i").orderBy("slot")) - 1
     return slots.select(F.col("w")[F.col("i")].source_key.alias("source_key"), nth.cast("long").alias("nth"), F.col("slot").cast("long").alias("slot"), F.col("w")[F.col("i")].units.alias("units"), "period")
