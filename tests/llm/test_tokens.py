@@ -159,3 +159,19 @@ def test_packed_ids_are_kept(spark: SparkSession) -> None:
     docs = spark.createDataFrame([(1, "a few words"), (2, None)], "doc_id long, text string")
     rows = {r.doc_id: bytes(r.ids) for r in packing.pack_documents(docs, WORD, with_ids=True).collect()}
     assert rows == {1: library_ids(WORD, "a few words", 1), 2: library_ids(WORD, None, 1)}
+
+
+@pytest.mark.parametrize(("mode", "name"), [("word", "word_bpe_49k.json"), ("byte", "byte_bpe_50k.json")])
+def test_control_and_space_characters_give_the_librarys_ids(mode: str, name: str) -> None:
+    """Words and marks beside every control, space and format character."""
+    import unicodedata
+
+    from tidemark.llm.tokens import default_path, encoder
+
+    rng = random.Random(5)
+    odd = [chr(c) for c in range(0x20000) if unicodedata.category(chr(c)) in ("Cc", "Zs", "Zl", "Zp", "Cf")]
+    parts = ["end", "next", "it's", "Σας", "12", "a_b", ".", ",", "...", "_", "'", "-", " ", "  ", "\n", "\t", "\r\n", "é", "日本"]
+    texts = ["".join(rng.choice(odd) if rng.random() < 0.15 else rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(6000)]
+    texts += [f"end.{c} next,{c}'x" for c in odd]
+    e = encoder(default_path(name), mode)
+    assert e.encode(texts) == [e.whole(t) for t in texts]
