@@ -71,7 +71,12 @@ def pfair_period(weights: DataFrame) -> DataFrame:
     return slots.select(F.col("w")[F.col("i")].source_key.alias("source_key"), nth.cast("long").alias("nth"), F.col("slot").cast("long").alias("slot"), F.col("w")[F.col("i")].units.alias("units"), "period")
 
 
-def mix(docs: DataFrame, weights: DataFrame, *, block_docs: int = 16, with_text: bool = True) -> DataFrame:
+def text_digest(column: str = "text") -> Column:
+    """The md5 of a text; a null text counts as the empty one."""
+    return F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
+def mix(docs: DataFrame, weights: DataFrame, *, block_docs: int = 16, with_text: bool = True, digest: str | None = None) -> DataFrame:
     """Add block, slot and mix_key columns; ordering by (slot, place) is the mixed corpus.
 
     Within a source documents come in a fixed pseudo-random order (md5 of the id and the text's md5),
@@ -80,7 +85,8 @@ def mix(docs: DataFrame, weights: DataFrame, *, block_docs: int = 16, with_text:
     Ranks come from buckets of each source, as many as the table's size asks for, and a sum over
     bucket sizes, so a source that holds most rows is spread. Columns added: mix_source, block, place
     (in the block), slot. Clashing names of the input are replaced in the result. Without with_text
-    the texts are hashed where they are read and go no further.
+    the texts are hashed where they are read and go no further; with `digest`, a column that holds
+    text_digest already, docs needs no text at all.
     """
     own = ["mix_source", "block", "place", "slot"]
     base = docs.drop(*own)
@@ -88,8 +94,8 @@ def mix(docs: DataFrame, weights: DataFrame, *, block_docs: int = 16, with_text:
     digits, left = 2, docs.count() // BUCKET_ROWS
     while left >= 256:
         digits, left = digits + 1, left // 16
-    hashed = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    order = F.md5(F.concat_ws("|", hashed("doc_id"), F.md5(hashed("text").cast("binary"))).cast("binary"))
+    text = F.col(digest) if digest else text_digest()
+    order = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).cast("binary"))
     keyed = base.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), source_key().alias("mix_source"), order.alias("_order"), F.substring(order, 1, digits).alias("_bucket"))  # no name of the input meets one of ours
     sizes = keyed.groupBy("mix_source", "_bucket").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("mix_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
