@@ -152,17 +152,22 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, gram: int = 16, w
     rows = stored(source.mapInArrow(scan, "doc_id long, fp binary, n_words int"), "texts")
     classes = work.stored(rows.where(F.col("n_words") >= min_words).groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("n_words").alias("n_words")), "classes")
     every = work.stored(source.select("text").mapInArrow(suffixes, "h long, whole long, first int, more tinyint, fp binary"), "suffixes")
-    hits = work.stored(every.join(_shared(every, "h").hint("merge"), "h", "left_semi").distinct(), "hits")
-    told = work.stored(hits.join(_shared(hits, "whole").withColumn("extends", F.lit(True)).hint("merge"), "whole", "left").withColumn("extends", F.coalesce("extends", F.lit(False))), "extended")
+    # keys are stored tables and results are dealt by other columns, so that a join may split a key of very many rows
+    keys = work.stored(_shared(every, "h"), "keys")
+    met = every.join(keys.hint("merge"), "h", "left_semi")
+    hits = work.stored(met.groupBy("fp", "first").agg(*[F.first(c).alias(c) for c in ("h", "whole", "more")]), "hits")  # text and place tell the rest
+    keys = work.stored(_shared(hits, "whole").withColumn("extends", F.lit(True)), "keys")
+    told = work.stored(hits.join(keys.hint("merge"), "whole", "left").withColumn("extends", F.coalesce("extends", F.lit(False))), "extended")
 
     # those that no neighbour extends in full, and against them one of each extension that several classes have
-    open_ = told.where("not extends").select("h").distinct()
+    open_ = work.stored(told.where("not extends").select("h").distinct(), "keys")
     others = told.where("extends").join(open_, "h", "left_semi").groupBy("whole").agg(F.min(F.struct("fp", "first", "more")).alias("m")).select("m.*", F.lit(True).alias("sure"))
     marks = told.where("not extends").select("fp", "first", "more", F.lit(False).alias("sure")).unionByName(others).groupBy("fp").agg(F.collect_list(F.struct("first", "more", "sure")).alias("marks"))  # at most a document's own suffixes
     marked = work.stored(marks.join(classes.select("fp", "first_doc"), "fp"), "marks")
     named = source.join(marked.withColumnRenamed("first_doc", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")))
     ends = work.stored(named.select("text", "fp", "marks").mapInArrow(passages, "passage long, first int, fp binary, sure boolean"), "ends")
-    single = ends.where("not sure").join(_shared(ends, "passage", "sure").hint("merge"), "passage", "left_semi")
+    keys = work.stored(_shared(ends, "passage", "sure"), "keys")
+    single = ends.where("not sure").join(keys.hint("merge"), "passage", "left_semi")
 
     near = told.where("extends").select("fp", F.col("first").alias("a"), (F.col("first") + F.col("more") + min_words).alias("b"))
     alone = classes.where("copies = 1").select("fp")  # what has copies repeats as a whole
