@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, html_extract, jaccard, mixing, packing, pii, quality, suffix_dedup, token_binary, toxicity
+from tidemark.llm import ann, conversation_trie, decontaminate, html_extract, jaccard, mixing, packing, pii, quality, spelling, suffix_dedup, token_binary, toxicity
 from tidemark.llm.common import table
 from tidemark.llm.tokens import default_path
 
@@ -66,6 +66,20 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), min_length=6, min_count=5, ratio=5, typo_every=199)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_private_data": op1_private_data,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -77,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_decontamination": op13_decontamination,
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -118,5 +135,59 @@ reached AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reached r JOIN edg
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a doc_id, min(b) c FROM reached GROUP BY a) USING (doc_id)"""
 
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: crc32 by its table of 256 entries, which is made by rule: eight shifts of each byte.
+_CRC_TABLE = """crc_bits AS (SELECT i, CAST(i AS UBIGINT) c, 0 k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM crc_bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) t FROM crc_bits WHERE k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """SQL of the unsigned crc32 of a string's UTF-8 bytes; the statement must name the table crc."""
+    octets = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: CAST('0x' || hex(encode({text}))[CAST(2 * i - 1 AS BIGINT):CAST(2 * i AS BIGINT)] AS UBIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {octets}), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295::UBIGINT)"
+
+
+_SPELLING = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, w, count(*) k FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[a-z\x{{C0}}-\x{{FF}}]+')) w FROM documents) GROUP BY ALL),
+hashed AS (SELECT w, k, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w")} h FROM runs, crc),
+vocabulary AS (SELECT word, CAST(sum(k) AS BIGINT) n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(w, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END word, k FROM hashed) WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+places AS (SELECT word, n, i, left(word, i) p, substr(word, i + 2) s FROM vocabulary, LATERAL (SELECT unnest(range(0, length(word))) i) x),
+shorter AS (SELECT DISTINCT a.word longer, a.n longer_n, b.word shorter, b.n shorter_n FROM places a JOIN vocabulary b ON b.word = a.p || a.s),
+near AS (SELECT a.word, b.word near, b.n near_n FROM places a JOIN places b USING (i, p, s) WHERE a.word <> b.word UNION ALL SELECT longer, shorter, shorter_n FROM shorter UNION ALL SELECT shorter, longer, longer_n FROM shorter),
+best AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) k FROM near),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) n_near, CASE WHEN near_n >= 5 * v.n THEN near END form, CASE WHEN near_n >= 5 * v.n THEN near_n END form_n FROM vocabulary v LEFT JOIN best b ON b.word = v.word AND b.k = 1),
+followed AS (SELECT word, word root, 0 d FROM forms UNION ALL SELECT f.word, g.form, d + 1 FROM followed f JOIN forms g ON f.root = g.word WHERE g.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, d) root FROM followed GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)"""
+
+_TRIE = f"""
+WITH RECURSIVE {_CRC_TABLE},
+turns AS (SELECT CAST(conv_id AS BIGINT) conv_id, turn, coalesce(role, '') r, length(coalesce(text, '')) chars, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) || printf('%08x', length(coalesce(text, ''))) code FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(code ORDER BY turn NULLS FIRST, r, code) codes, list(chars ORDER BY turn NULLS FIRST, r, code) chars FROM turns GROUP BY conv_id),
+hashed AS (SELECT *, conv_id - conv_id % 100 base, CAST({_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS BIGINT) h FROM own, crc),
+rebuilt AS (SELECT a.conv_id, list_concat(coalesce(b.codes[1:h], []), a.codes[h + 1:]) codes, list_concat(coalesce(b.chars[1:h], []), a.chars[h + 1:]) chars FROM hashed a LEFT JOIN own b ON b.conv_id = a.base),
+members AS (SELECT conv_id, d depth, array_to_string(codes[1:d], '') k, CASE WHEN d > 0 THEN chars[d] ELSE 0 END chars, d = len(codes) ended FROM rebuilt, LATERAL (SELECT unnest(range(0, len(codes) + 1)) d) x),
+nodes AS (SELECT k, depth, min(conv_id) conv_id, count(*) n_convs, any_value(chars) chars, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '') ends FROM members GROUP BY k, depth),
+children AS (SELECT left(k, 40 * (depth - 1)) k, count(*) c FROM nodes WHERE depth > 0 GROUP BY 1),
+counted AS (SELECT n.*, coalesce(c, 0) n_children FROM nodes n LEFT JOIN children USING (k)),
+below AS (SELECT left(k, 40 * d) k, count(*) FILTER (n_children = 0) n_leaves, sum((n_convs - 1) * chars) saved FROM counted, LATERAL (SELECT unnest(range(0, depth + 1)) d) x GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM counted n JOIN below b ON b.k = n.k LEFT JOIN nodes p ON n.depth > 0 AND p.k = left(n.k, 40 * (n.depth - 1))"""
+
+_PLAIN_WORDS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_LEAKS = f"""
+WITH docs AS (SELECT row_number() OVER () row_id, doc_id, {_PLAIN_WORDS} w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) item, {_PLAIN_WORDS} w FROM benchmark),
+patterns AS (SELECT DISTINCT item, least(len(w), 10) k, array_to_string(w[i + 1:i + least(len(w), 10)], ' ') p FROM items, LATERAL (SELECT unnest(range(0, greatest(len(w) - 9, 1))) i) x WHERE len(w) > 0),
+windows AS (SELECT row_id, k, i, array_to_string(w[i + 1:i + k], ' ') p FROM docs, (SELECT DISTINCT k FROM patterns) y, LATERAL (SELECT unnest(range(0, len(w) - k + 1)) i) x),
+hits AS (SELECT row_id, k, i, item FROM windows JOIN patterns USING (k, p)),
+words AS (SELECT row_id, count(DISTINCT i + j) n_hit FROM hits, LATERAL (SELECT unnest(range(0, k)) j) x GROUP BY row_id),
+named AS (SELECT row_id, count(*) n_items, string_agg(item, ',' ORDER BY item) ids FROM (SELECT DISTINCT row_id, item FROM hits WHERE item IS NOT NULL) GROUP BY row_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (row_id) LEFT JOIN named USING (row_id)"""
+
 #: Texts that other models read or fit, keyed digests and the library's ids have no SQL.
-ORACLES: dict[str, str] = {"op6_source_mixing": _MIXING, "op9_repeated_passages": _PASSAGES, "op10_ngram_jaccard": _JACCARD}
+ORACLES: dict[str, str] = {"op6_source_mixing": _MIXING, "op9_repeated_passages": _PASSAGES, "op10_ngram_jaccard": _JACCARD, "op11_spelling_variants": _SPELLING, "op12_conversation_trie": _TRIE, "op13_decontamination": _LEAKS}
