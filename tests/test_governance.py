@@ -56,12 +56,11 @@ def test_ranks_of_tied_values(spark: SparkSession) -> None:
     assert quintile_first(df.withColumn("v", F.lit(None).cast("long")), "v", "k", "q").where("q is not null").count() == 0
 
 
-def test_exact_pairs_are_all_pairs_of_small_groups(spark: SparkSession) -> None:
+def test_exact_links_hold_groups_of_any_size_together(spark: SparkSession) -> None:
     rows = [(f"R{i:03d}", "same@x.org" if i < 5 else "many@x.org" if i < 55 else "", "") for i in range(60)]
     n = spark.createDataFrame(rows, f"{identity.RECORD} string, norm_email string, norm_phone string")
-    got = {(r.a, r.b) for r in identity.exact_pairs(n).collect()}
-    assert {p for p in got if p[0] < "R005"} == {(f"R{i:03d}", f"R{j:03d}") for i in range(5) for j in range(i + 1, 5)}
-    assert {p for p in got if p[0] >= "R005"} == {("R005", f"R{j:03d}") for j in range(6, 55)}
+    got = {(r.a, r.b) for r in identity.exact_links(n).collect()}
+    assert got == {("R000", f"R{j:03d}") for j in range(1, 5)} | {("R005", f"R{j:03d}") for j in range(6, 55)}
 
 
 def test_blocks_too_large_are_reported_and_can_be_kept(spark: SparkSession) -> None:

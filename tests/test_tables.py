@@ -11,7 +11,6 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.operators import activation, growth, identity, views
 from tidemark.plans import catalog
@@ -86,17 +85,3 @@ def test_filters_and_search(spark: SparkSession, small: str) -> None:
 def test_plans_push_down_and_keep_python_out(spark: SparkSession, small: str) -> None:
     plan = spark._jvm.PythonSQLUtils.explainString(catalog.QUERIES["lifecycle_distribution"](spark, small)._jdf.queryExecution(), "formatted")
     assert "ArrowEvalPython" not in plan and "CartesianProduct" not in plan
-
-
-def test_identity_rounds_link_as_one_task_does(spark: SparkSession, small: str, monkeypatch: pytest.MonkeyPatch) -> None:
-    records = catalog.tables(spark, small).records
-    ids = Window.orderBy("identity_record_id")
-    hot = records.withColumn("_i", F.row_number().over(ids)).where("_i <= 90").withColumns({"email": F.when(F.col("_i") % 3 == 0, "one@shared.com").otherwise(F.col("email")), "phone": F.when(F.col("_i") % 4 == 0, "02079460000").otherwise(F.col("phone"))}).drop("_i")
-    want = [sorted(map(str, part.collect())) for part in identity.resolve(hot, gathered=10**9)]
-
-    def gathers(edges: object) -> None:
-        raise AssertionError("a component was gathered")
-
-    monkeypatch.setattr(identity, "_link", gathers)
-    got = [sorted(map(str, part.collect())) for part in identity.resolve(hot, gathered=0)]
-    assert got == want and "records_linked=1," in str(want) and "accepted=False" in str(want)
