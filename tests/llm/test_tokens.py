@@ -175,3 +175,13 @@ def test_control_and_space_characters_give_the_librarys_ids(mode: str, name: str
     texts += [f"end.{c} next,{c}'x" for c in odd]
     e = encoder(default_path(name), mode)
     assert e.encode(texts) == [e.whole(t) for t in texts]
+
+
+def test_capitals_that_lower_to_several_characters_give_the_librarys_ids() -> None:
+    rng = random.Random(6)
+    several = [chr(c) for c in range(0x110000) if len(chr(c).lower()) > 1]
+    assert several
+    parts = [*several, "I", "i", "\u0307", "Σ", "ß", "E", "n", ",", ".", ", ", ". ", "-", "_", " ", "\n", "!", "word", "1"]
+    texts = ["DEN\u0130ZL\u0130, ve", "\u0130, a", "\u0130.", *["".join(rng.choice(several if rng.random() < 0.2 else parts) for _ in range(rng.randrange(1, 12))) for _ in range(8000)]]
+    found = encoder(default_path("word_bpe_49k.json"), "word")
+    assert found.encode(texts) == [found.whole(t) for t in texts]

@@ -3,8 +3,9 @@
 Both vocabularies split a text before merging, so a text cut at a point where their split must cut
 too gives the same ids piece by piece. Pieces repeat a great deal; each distinct piece is encoded
 once by the tokenizers library and its ids are kept as little-endian uint32 bytes. Texts where a
-cut could fall inside a run of white space, or that hold a special token's string or a control or
-format character, go to the library whole.
+cut could fall inside a run of white space, or that hold a special token's string, a control or
+format character or, where letters are lowered, U+0130 (the one that lowers to a letter and a mark),
+go to the library whole.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ class PieceEncoder:
         cut: list[str] = []
         at: list[int] = []
         for i, text in enumerate(texts):
-            if any(s in text for s in self.special) or _ODD.search(text) or (self.mode == "byte" and _RUN.search(text)):
+            if any(s in text for s in self.special) or _ODD.search(text) or (_RUN.search(text) if self.mode == "byte" else "\u0130" in text):
                 out[i] = self.whole(text)
             else:
                 cut.append(self._cut(text))
