@@ -42,6 +42,57 @@ def test_formulas_and_icons_stay_in_their_paragraph() -> None:
     assert hx.main_texts([page], hx.trained()) == ["The area is A=r2 for the circle, as people said to us yesterday."]
 
 
+INSERTS = {
+    "advert": '<div class="ad">Buy our new shoes today, half price for all readers.</div>',
+    "advert paragraph": '<div class="advert"><p>Buy our new shoes today, half price for all readers of this page.</p></div>',
+    "advert link": '<aside class="ad-slot"><a href=x>Buy now</a></aside>',
+    "sponsored": '<section class="sponsored"><p>Our partners offer you a loan with low rates and no questions.</p></section>',
+    "noscript": "<noscript>Please enable javascript</noscript>",
+    "noscript paragraph": "<NOSCRIPT><p>Please enable javascript to see this page in full.</p></NOSCRIPT>",
+    "cookie notice": '<div class="notice">This site uses cookies to work well for you.</div>',
+    "newsletter": '<div class="newsletter"><p>Subscribe to our letter.</p><form><input><button>Go</button></form></div>',
+    "form": "<form><label>Your name</label><input><button>Send</button></form>",
+    "comments": '<div class="comments"><div class="comment"><p>Nice post, I liked it a lot and will come back.</p></div></div>',
+    "comment section": '<section class="comments"><h3>Comments</h3><article class="comment"><p>I do not agree with the author at all, in my view.</p></article></section>',
+    "menu": '<nav class="breadcrumb"><a href=a>Home</a> | <a href=b>News</a></nav>',
+    "share links": '<ul class="share"><li><a href=x>Share</a></li><li><a href=y>Post</a></li></ul>',
+}
+KEPT = {"code": ("<pre>x = 1\ny = 2</pre>", "x = 1 y = 2"), "plain block": ("<div>A plain block in the story, which has words enough to look like prose.</div>", "A plain block in the story, which has words enough to look like prose."), "formula": ("<p>So <math><mi>A</mi><mo>=</mo><mi>B</mi></math> holds for all of them, as was said before.</p>", "So A=B holds for all of them, as was said before."), "quote": ("<blockquote><p>They said that nothing of the kind was known to them at that time.</p></blockquote>", "They said that nothing of the kind was known to them at that time.")}
+FRAMES = ("<body><article>{}</article></body>", '<body><nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav><main><h1>The title of the page</h1>{}</main><footer>&copy; 2024 Site</footer></body>', '<body><div class="post-content">{}</div><div class="sidebar"><ul><li><a href=c>More</a></li></ul></div></body>')
+
+
+def test_inserts_in_articles_go_and_the_rest_stays() -> None:
+    pages, wanted = [], []
+    for frame in FRAMES:
+        title = ["The title of the page"] if "title" in frame else []
+        for inside, text in [*[(x, []) for x in INSERTS.values()], *[(x, [t]) for x, t in KEPT.values()]]:
+            pages.append(frame.format(FIRST + inside + LAST))
+            wanted.append([*title, *BOTH.split("\n")[:1], *text, *BOTH.split("\n")[1:]])
+    got = [x.split("\n") for x in hx.main_texts(pages, hx.trained())]
+    words = lambda blocks: sum(len(b.split()) for b in blocks)
+    common = sum(words([b for b in g if b in w]) for g, w in zip(got, wanted, strict=True))
+    assert 2 * common / (sum(map(words, got)) + sum(map(words, wanted))) >= 0.98
+    assert sum(g != w for g, w in zip(got, wanted, strict=True)) <= len(pages) // 20
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div a='", '<b c="', "<!", "<script x='", "<a '\"", "</script ", "<noscript>", "<p>'", "<div>", "</p>", "<li><ul>", "<svg><a>"])
+def test_malformed_pages_take_linear_time(part: str) -> None:
+    import time
+
+    took = []
+    for size in (50_000, 400_000):
+        page = part * (size // len(part))
+        start = time.process_time()
+        hx.parse(page)
+        hx.parse(page + ">")
+        took.append(time.process_time() - start)
+    assert took[1] < 24 * took[0] + 0.5, took  # eight times the page; its square would be 64
+
+
+def test_tags_without_an_end_are_text() -> None:
+    assert [t[3] for t in hx.tokens("<p>a <b c='d<i>e<!-- f --><script>x</SCRIPT >g</p><u <!-- open")] == ["p", "i", None, None, "p", None]
+
+
 def test_held_out_layouts() -> None:
     pages, answers = hx.labelled_pages(200, seed=99)
     f = hx.forest(map(hx.parse, pages))

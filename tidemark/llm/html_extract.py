@@ -7,7 +7,8 @@ observation potentials for tags, words of class and id attributes, lengths and l
 product messages go up the tree and down again and give each leaf's exact marginal; leaves more
 likely content than not make the text. The potentials are counted from labelled pages.
 
-Comments, script, style, title, iframe and template are no text of the page. What svg and math hold
+Comments, script, style, title, iframe and template are no text of the page, nor is what a noscript
+element with an end holds for browsers without scripts. What svg and math hold
 belongs to the run of text around them; a block element ends them, as in the standard.
 """
 
@@ -16,6 +17,8 @@ from __future__ import annotations
 import functools
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -37,11 +40,78 @@ FOREIGN = frozenset(("svg", "math"))
 BREAKS_OUT = CLOSE_P | {"body", "head"}
 P_SCOPE = frozenset("td th table caption button".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|iframe|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+RAW = frozenset("script style template iframe title noscript".split())
+_OPENS = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*+))")
+#: Attributes up to the tag's end; possessive, so a tag without an end is read once.
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_MARK, _RAW_END = re.compile("[>\"']"), re.compile(r"\s*+>")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class _TagEnds:
+    """Whether a tag that is open at a place has an end: found once for all places of a page, from its last mark to its first."""
+
+    def __init__(self, page: str) -> None:
+        self.marks = [m.start() for m in _MARK.finditer(page)]
+        self.ends = [False] * (len(self.marks) + 1)
+        following: dict[str, int] = {}  # the next mark of each kind
+        for i in range(len(self.marks) - 1, -1, -1):
+            mark = page[self.marks[i]]
+            self.ends[i] = mark == ">" or (mark in following and self.ends[following[mark] + 1])
+            following[mark] = i
+
+    def has(self, at: int) -> bool:
+        return self.ends[bisect_left(self.marks, at)]
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """(start, end, closing, tag, attributes) of every tag, and of comments and elements of raw text with no tag; in linear time.
+
+    A tag without an end is text, and what follows its name is looked at again.
+    """
+    at, last, ends = 0, page.rfind(">"), None
+    lowered: str | None = None
+    last_noscript = -1
+    while m := _OPENS.search(page, at):
+        start, at = m.span()
+        if page.startswith("<!--", start):
+            end = page.find("-->", at)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, False, None, ""
+            continue
+        if start > last:  # no tag ends any more; a comment may still open
+            if (start := page.find("<!--", at)) >= 0:
+                yield start, len(page), False, None, ""
+            return
+        if m.group(2) is None:
+            at = page.find(">", at) + 1
+            yield start, at, False, None, ""
+            continue
+        if ends is not None and not ends.has(at):
+            continue
+        rest = _REST.match(page, at)
+        if rest is None:
+            ends = ends or _TagEnds(page)
+            continue
+        at, tag = rest.end(), m.group(2).lower()
+        if tag in RAW and not m.group(1):
+            if lowered is None:
+                lowered = page.translate(_LOWER)
+                last_noscript = lowered.rfind("</noscript")
+            if tag == "noscript" and at > last_noscript:  # without an end it hides nothing
+                yield start, at, False, None, ""
+                continue
+            end = lowered.find(f"</{tag}", at)
+            while end >= 0 and not (close := _RAW_END.match(page, end + 2 + len(tag))):
+                end = lowered.find(f"</{tag}", end + 1)
+            at = close.end() if end >= 0 else len(page)
+            yield start, at, False, None, ""
+            continue
+        yield start, at, bool(m.group(1)), tag, rest.group(1)
+
+
 @dataclass
 class Tree:
     """Nodes in page order, parents before children; a leaf has a text, an element a name (tag and attribute words)."""
@@ -80,6 +150,7 @@ def parse(page: str | None) -> Tree:
     tree = Tree()
     stack: list[tuple[str, int]] = [("html", tree.add(-1, ("html",)))]  # an inline element repeats its block's node
     run: list[str] = []
+    opened: Counter[str] = Counter()  # open elements by name, so that none is looked for in vain
     linked, in_link, foreign = 0, 0, 0
 
     def flush() -> None:
@@ -98,6 +169,7 @@ def parse(page: str | None) -> Tree:
         nonlocal in_link, foreign
         if not all(inline(d) for d in range(depth, len(stack))):
             flush()
+        opened.subtract(t for t, _ in stack[depth:])
         in_link -= sum(t == "a" for t, _ in stack[depth:])
         foreign -= sum(t in FOREIGN for t, _ in stack[depth:])
         del stack[depth:]
@@ -110,15 +182,13 @@ def parse(page: str | None) -> Tree:
                 linked += len(text.strip())
 
     at, page = 0, page or ""
-    for m in _TOKEN.finditer(page):
-        words(page[at : m.start()])
-        at = m.end()
-        tag = m.group(3)
+    for start, end, closing, tag, attributes in tokens(page):
+        words(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if m.group(2):
-            for depth in range(len(stack) - 1, 0, -1):
+        if closing:
+            for depth in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[depth][0] == tag:
                     pop_to(depth)
                     break
@@ -133,12 +203,13 @@ def parse(page: str | None) -> Tree:
         if tag in INLINE or foreign or tag in FOREIGN:
             if foreign and tag in ("text", "desc"):
                 run.append(" ")
-            if tag not in VOID and not ((foreign or tag in FOREIGN) and m.group(4).endswith("/")):
+            if tag not in VOID and not ((foreign or tag in FOREIGN) and attributes.endswith("/")):
                 stack.append((tag, stack[-1][1]))
+                opened[tag] += 1
                 in_link += tag == "a"
                 foreign += tag in FOREIGN
             continue
-        if tag in CLOSE_P:
+        if tag in CLOSE_P and opened["p"]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == "p":
                     pop_to(depth)
@@ -147,15 +218,16 @@ def parse(page: str | None) -> Tree:
                     break
         if tag in OWN_SCOPE:
             same, within = OWN_SCOPE[tag]
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(opened[t] for t in same) else ():
                 if stack[depth][0] in same:
                     pop_to(depth)
                     break
                 if stack[depth][0] in within:
                     break
         flush()
-        if tag not in VOID and not m.group(4).endswith("/"):
-            stack.append((tag, tree.add(stack[-1][1], node_name(tag, m.group(4)))))
+        if tag not in VOID and not attributes.endswith("/"):
+            stack.append((tag, tree.add(stack[-1][1], node_name(tag, attributes))))
+            opened[tag] += 1
     words(page[at:])
     flush()
     return tree
@@ -165,6 +237,10 @@ def parse(page: str | None) -> Tree:
 LENGTHS, SHARES, LEAVES = np.array([8, 20, 40, 80, 160, 400, 1200]), np.array([0.001, 0.3, 0.7]), np.array([1, 2, 4, 8, 16])
 
 
+#: Weight of these for elements: what an element holds is told by its leaves already.
+INNER = 0.3
+
+
 @dataclass
 class Forest:
     """Many pages' trees as arrays, without elements that hold no text."""
@@ -178,6 +254,11 @@ class Forest:
     bins: np.ndarray  # length, link share, leaves below, ends like a sentence
 
 
+def levels_of(depth: np.ndarray) -> list[np.ndarray]:
+    """Places of each depth, from the roots down."""
+    return np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1]) if len(depth) else []
+
+
 def forest(trees: Iterable[Tree]) -> Forest:
     page, parent, names, texts, links, depth = [], [], [], [], [], []
     for k, t in enumerate(trees):
@@ -200,8 +281,7 @@ def forest(trees: Iterable[Tree]) -> Forest:
     leaf = np.array([t is not None for t in texts], bool)
     length = np.array([len(t) if t else 0 for t in texts], np.float64)
     linked, below = np.array(links, np.float64), leaf.astype(np.float64)
-    for d in range(int(dep.max(initial=0)), 0, -1):
-        at = np.flatnonzero(dep == d)
+    for at in levels_of(dep)[:0:-1]:
         for sums in (length, linked, below):
             np.add.at(sums, par[at], sums[at])
     ends = np.array([bool(t) and t[-1] in ".!?…:\"'»”)" for t in texts], np.int64)
@@ -229,7 +309,7 @@ class Potentials:
                 out[i] = known[name]
         kind = f.leaf.astype(np.int64)
         for k, table in enumerate(self.bins):
-            out += table[kind, f.bins[:, k]]
+            out += table[kind, f.bins[:, k]] * np.where(f.leaf, 1.0, INNER)[:, None]
         out[f.leaf, MIXED] = -1e9
         return out
 
@@ -239,7 +319,7 @@ class Potentials:
         belief = self.observed(f)
         up = np.zeros((n, 3))  # message of each node to its parent
         pair = self.edges[f.leaf.astype(np.int64)]
-        levels = [np.flatnonzero(f.depth == d) for d in range(int(f.depth.max(initial=-1)) + 1)]
+        levels = levels_of(f.depth)
         for at in levels[:0:-1]:
             up[at] = _logsum(pair[at] + belief[at][:, None, :], 2)
             np.add.at(belief, f.parent[at], up[at])
@@ -263,8 +343,7 @@ def fit(pages: Iterable[str], content: Iterable[set[str]]) -> Potentials:
     state = np.array([(CONTENT if t in good[p] else BOILER) if t is not None else -1 for p, t in zip(f.page, f.texts, strict=True)], np.int64)
     has = np.zeros((len(state), 2), bool)
     has[state == CONTENT, 0] = has[state == BOILER, 1] = True
-    for d in range(int(f.depth.max(initial=0)), 0, -1):
-        at = np.flatnonzero(f.depth == d)
+    for at in levels_of(f.depth)[:0:-1]:
         np.logical_or.at(has, f.parent[at], has[at])
     state = np.where(has.all(1), MIXED, np.where(has[:, 0], CONTENT, BOILER))
     kind = f.leaf.astype(np.int64)
@@ -356,7 +435,7 @@ def labelled_pages(number: int = 600, seed: int = 11) -> tuple[list[str], list[s
         for _ in range(0 if terse else int(rng.integers(1, 15))):
             kind = rng.random()
             if kind < 0.7:
-                body.append(block("p", pick(1, 5, 20), pick(22, 40, 160, 900)))
+                body.append(block(pick(*["p"] * 9, "div"), pick(1, 5, 20), pick(22, 40, 160, 900)))
             elif kind < 0.8:
                 body.append(block(pick("h2", "h3"), 1, 8))
             elif kind < 0.87:
@@ -369,8 +448,8 @@ def labelled_pages(number: int = 600, seed: int = 11) -> tuple[list[str], list[s
                 body.append("<figure><img>" + block("figcaption", 3, 15) + "</figure>")
             else:
                 body.append(block("pre", 5, 40))
-            if rng.random() < 0.06:
-                body.append(boiler(pick("ad", "side", "form", "notice", "meta")))
+        for _ in range(int(rng.integers(1, 4)) if rng.random() < 0.4 else 0):  # what does not belong, in the midst
+            body.insert(int(rng.integers(0, len(body) + 1)), boiler(pick("ad", "ad", "side", "form", "notice", "meta", "comments", "nav")))
         inside = "".join(body)
         style = rng.random()
         if style < 0.4:
