@@ -64,6 +64,42 @@ def quintile_first(df: DataFrame, value: str, key: str, out: str, source: DataFr
     return df.join(placed.select(key, quintile.cast("int").alias(out)), key, "left")
 
 
+def _measures(df: DataFrame, measures: dict[str, str], key: str) -> DataFrame:
+    """(key, _m, _v): a row for each measure (by number) that is not null; numbers are compared as doubles."""
+    values = F.array(*[F.struct(F.lit(i).alias("_m"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(measures.values())])
+    return df.select(key, F.explode(values).alias("_x")).select(key, "_x._m", "_x._v").where("_v is not null")
+
+
+def _dealt(rows: DataFrame, *order: str, total: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt by ranges of measure and order and written, and what lies before each range: one deal for all measures."""
+    ranged = stored(rows.repartitionByRange("_m", *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy("_m").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    parts = ranged.groupBy("_part", "_m").agg(total.alias("_c"))
+    return ranged, parts.select("_part", "_m", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy("_m")).alias("_n"))
+
+
+def _spread(placed: DataFrame, measures: dict[str, str], value: Column, key: str) -> DataFrame:
+    """One row for each key with the value of each measure."""
+    return placed.groupBy(key).agg(*[F.max(F.when(F.col("_m") == i, value)).alias(out) for i, out in enumerate(measures)])
+
+
+def quintiles_first(df: DataFrame, measures: dict[str, str], key: str) -> DataFrame:
+    """(key, quintiles): for each name: column of `measures` what quintile_first gives, from one deal of all of them."""
+    ranged, parts = _dealt(_measures(df, measures, key), "_v", key, total=F.count("*"))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_part", "_m").orderBy("_v", key))
+    placed = ranged.join(parts, ["_part", "_m"]).withColumn("_rank", rank)
+    return _spread(placed, measures, qcut_labels(F.col("_rank"), F.col("_n"), 5), key)
+
+
+def pct_ranks_average(df: DataFrame, measures: dict[str, str], key: str) -> DataFrame:
+    """(key, fractional ranks): for each name: column of `measures` what pct_rank_average gives, from one deal of all their distinct values."""
+    rows = _measures(df, measures, key)
+    ranged, parts = _dealt(rows.groupBy("_m", "_v").agg(F.count("*").alias("_t")), "_v", total=F.sum("_t"))
+    inside = F.coalesce(F.sum("_t").over(Window.partitionBy("_part", "_m").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.join(parts, ["_part", "_m"]).select("_m", "_v", ((F.col("_before") + inside + (F.col("_t") + 1) / 2) / F.col("_n")).alias("_pct"))
+    return _spread(rows.join(placed, ["_m", "_v"]), measures, F.col("_pct"), key)
+
+
 def qcut_labels(rank: Column, n: Column, size: int) -> Column:
     """Bin 1..size of rank 1..n with the edges of linear quantiles of the ranks; a value on an edge belongs to the lower bin."""
     return F.when(n == 1, 1).otherwise(F.greatest(F.lit(1), F.ceil(size * (rank - 1) / (n - 1)))).cast("int")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Config
 from tidemark.functions.scalars import cents, clip, flag, one_place, zero
-from tidemark.functions.windows import pct_rank_average, quintile_first
+from tidemark.functions.windows import pct_ranks_average, quintiles_first
 
 ID = "golden_customer_id"
 # Action texts of the decision groups.
@@ -34,9 +34,8 @@ def rfm_base(tx: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def rfm_scores(base: DataFrame) -> DataFrame:
     """Quintiles: recency (fewer days is better), frequency and lifetime margin; ties follow the customer id; the sum reads unknown as 0."""
-    out = quintile_first(base, "recency_days", ID, "_r")
-    out = quintile_first(out, "frequency", ID, "frequency_score", base)
-    out = quintile_first(out, "monetary_margin", ID, "monetary_score", base).withColumn("recency_score", 6 - F.col("_r")).drop("_r")
+    fifths = quintiles_first(base, {"_r": "recency_days", "frequency_score": "frequency", "monetary_score": "monetary_margin"}, ID)
+    out = base.join(fifths, ID, "left").withColumn("recency_score", 6 - F.col("_r")).drop("_r")
     return out.withColumn("rfm_score", sum((F.coalesce(f"{x}_score", F.lit(0)) for x in ("recency", "frequency", "monetary")), F.lit(0)))
 
 
@@ -62,7 +61,7 @@ def rfm_segment(orders: Column, r: Column, f: Column, m: Column) -> Column:
 def add_value(df: DataFrame) -> DataFrame:
     """customer_value_tier and commercial_value_score from trailing margin and sales and the number of orders."""
     base = df.withColumns({"_m": cents(zero(F.col("trailing_12m_margin"))), "_s": cents(zero(F.col("trailing_12m_sales")))})
-    out = pct_rank_average(pct_rank_average(base, "_m", "margin_pct"), "_s", "sales_pct", base)
+    out = base.join(pct_ranks_average(base, {"margin_pct": "_m", "sales_pct": "_s"}, ID), ID)
     score = one_place(100 * (0.65 * F.col("margin_pct") + 0.35 * F.col("sales_pct")))
     none = F.coalesce("orders", F.lit(0)) == 0
     return out.withColumns({"customer_value_tier": value_tier(F.col("orders"), F.col("margin_pct")), "commercial_value_score": F.when(none, 0.0).otherwise(score)}).drop("_m", "_s", "margin_pct", "sales_pct")

@@ -220,8 +220,8 @@ add("offer_candidates", lambda t: decisions.offer_candidates(t.priority, t.tx).s
 
 # identity and golden layer
 add("identity_records", lambda t: t.records.groupBy("source_system").agg(F.count("*").alias("records"), F.countDistinct("true_person_id").alias("people")), "SELECT ['POS','Ecommerce','Loyalty','Service','Marketing'][((k-1+person)%5)+1] AS source_system, CAST(count(*) AS BIGINT) AS records, CAST(count(DISTINCT person) AS BIGINT) AS people FROM idk GROUP BY 1")
-add("identity_normalised", lambda t: identity.add_normalised_fields(t.records).select("identity_record_id", "norm_full_name", "norm_email", "norm_phone", "norm_address", "norm_postcode"))
-add("identity_candidates", lambda t: identity.candidate_pairs(identity.add_normalised_fields(t.records)))
+add("identity_normalised", lambda t: identity.add_normalised_fields(t.records).select("identity_record_id", "norm_full_name", "norm_email", "norm_phone", "norm_address", "norm_postcode"), "SELECT identity_record_id, trim(norm_first_name||' '||norm_last_name) AS norm_full_name, norm_email, norm_phone, norm_address, norm_postcode FROM idn")
+add("identity_candidates", lambda t: identity.candidate_pairs(identity.add_normalised_fields(t.records)), "SELECT DISTINCT x.identity_record_id AS a, y.identity_record_id AS b FROM idb x JOIN idb y ON x.key=y.key AND x.identity_record_id<y.identity_record_id JOIN idz z ON z.key=x.key AND n BETWEEN 2 AND 120")
 add("identity_pair_verdicts", lambda t: (lambda n: identity.pair_verdict(identity.pair_components(identity.candidate_pairs(n), n)))(identity.add_normalised_fields(t.records)))
 add("identity_resolution", lambda t: t.resolution[0].select("identity_record_id", ID, "records_linked", "match_method", "match_confidence", "identity_resolution_status"))
 add("identity_edge_audit", lambda t: t.resolution[1])
@@ -310,7 +310,7 @@ add("recommendation_validation", lambda t: activation.validate_recommendations(t
 add("reengagement_baseline", lambda t: (lambda p: propensity.baseline(p["validation"], p["test"], "purchased_next_90d"))(propensity.split_by_time(snapshots.reengagement_training(t.tx), "1999-10-31", "2001-01-31", "2001-04-30")).select("rows", "brier", "base_rate", "mean_probability"), f"SELECT CAST(count(*) AS BIGINT) AS rows, {r4('avg((p-y)*(p-y))')} AS brier, {r4('avg(y)')} AS base_rate, {r4('avg(p)')} AS mean_probability FROM (SELECT purchased_next_90d y, (SELECT avg(purchased_next_90d) FROM re_train WHERE observation_date=DATE '2001-01-31') p FROM re_train WHERE observation_date=DATE '2001-04-30')")
 
 
-add("identity_dropped_blocks", lambda t: identity.dropped_blocks(identity.add_normalised_fields(t.records)))
+add("identity_dropped_blocks", lambda t: identity.dropped_blocks(identity.add_normalised_fields(t.records)), "SELECT left(key,2) AS rule, CAST(count(*) AS BIGINT) AS blocks, CAST(sum(n) AS BIGINT) AS records FROM idz WHERE n>120 GROUP BY 1")
 
 
 # streams: all that the stream of event files gives; windows that the watermark has closed
@@ -320,13 +320,17 @@ def events(t: Tables) -> DataFrame:
 
 add("event_windows_stream", lambda t: movement.run_available(movement.windowed_counts(events(t)), "windows").withColumns({c: F.to_date(c) for c in ("window_start", "window_end")}), f"SELECT * FROM (SELECT CAST(ts AS DATE) AS window_start, CAST(ts AS DATE) + 1 AS window_end, event_type, CAST(count(*) AS BIGINT) AS events, {r4('sum(value)')} AS value FROM events GROUP BY ALL) WHERE window_end <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
 add("distinct_events_stream", lambda t: movement.run_available(movement.distinct_events(events(t)).select("event_id", "user_id", "event_type"), "distinct"), "SELECT DISTINCT event_id, user_id, event_type FROM events")
-add("movement_stream", lambda t: movement.run_available(movement.movement_stream(purchase_days(t)), "movement"))
+_MINUTE, _MICRO = "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss.SSSSSS"
+add("event_sliding_stream", lambda t: movement.run_available(movement.windowed_counts(events(t), "sliding", size="1 day", slide="6 hours"), "sliding").withColumns({c: F.date_format(c, _MINUTE) for c in ("window_start", "window_end")}), f"SELECT strftime(s, '%Y-%m-%d %H:%M') AS window_start, strftime(s + INTERVAL 1 DAY, '%Y-%m-%d %H:%M') AS window_end, event_type, CAST(count(*) AS BIGINT) AS events, {r4('sum(value)')} AS value FROM (SELECT event_type, value, time_bucket(INTERVAL 6 HOURS, ts) - i * INTERVAL 6 HOURS s FROM events, range(4) r(i)) WHERE s + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY s, event_type")
+add("event_sessions_stream", lambda t: movement.run_available(movement.windowed_counts(events(t), "session", gap="30 minutes"), "sessions").withColumns({c: F.date_format(c, _MICRO) for c in ("window_start", "window_end")}), f"SELECT strftime(a, '%Y-%m-%d %H:%M:%S.%f') AS window_start, strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS window_end, event_type, user_id, events, value FROM (SELECT event_type, user_id, min(ts) a, max(ts) + INTERVAL 30 MINUTES b, CAST(count(*) AS BIGINT) AS events, {r4('sum(value)')} AS value FROM (SELECT *, sum(n) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) g FROM (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) + INTERVAL 30 MINUTES THEN 1 ELSE 0 END n FROM events)) GROUP BY event_type, user_id, g) WHERE b <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+simple("movement_stream", lambda t: movement.run_available(movement.movement_stream(purchase_days(t)), "movement"), "events_", "golden_customer_id, change", "", "event_type, event_date")
 
 
 def purchase_days(t: Tables) -> DataFrame:
-    """The days on which customers bought, as a stream of a written table."""
+    """The days on which customers bought, as a stream of a written table, with a mark at the reference date."""
     path = new_path(t.spark, "purchase-days")
-    t.tx.select(ID, "transaction_date").distinct().write.parquet(path)
+    mark = t.spark.createDataFrame([(movement.MARK, DEFAULT.as_of)], f"{ID} long, transaction_date date")
+    t.tx.select(ID, "transaction_date").distinct().unionByName(mark).write.parquet(path)
     return t.spark.readStream.schema(f"{ID} long, transaction_date date").parquet(path)
 
 

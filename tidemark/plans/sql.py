@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from tidemark.functions.scalars import STREET_TYPES
+from tidemark.sources.canonical import FIRST_NAMES, LAST_NAMES, STREETS
+
 AS_OF = "DATE '2001-07-31'"
 
 
@@ -176,6 +179,22 @@ CTES: dict[str, str] = {
     "sdet": "SELECT golden_customer_id, CASE WHEN commercial_value_score>0 THEN commercial_value_score/100 ELSE 0.005 END score, CASE WHEN active_customer THEN 1 ELSE 0 END label FROM prio",
 }
 
+# identity records, their normal forms and blocks
+_FIRST, _LAST = choose(FIRST_NAMES, bucket("person", "first", 16)), choose(LAST_NAMES, bucket("person", "last", 16))
+_CAPITAL = lambda x: f"upper({x}[1])||substr({x},2)"
+_CLEAN = lambda x: f"coalesce(trim(regexp_replace(regexp_replace(lower(trim({x})),'[^a-z0-9\\s]','','g'),'\\s+',' ','g')),'')"
+_STREET = "lower(trim(address))"
+for _long, _short in STREET_TYPES:
+    _STREET = f"regexp_replace({_STREET},'\\b{_long}\\b','{_short}','g')"
+_DIGITS = "regexp_replace(phone,'\\D','','g')"
+CTES.update({
+    "idp": f"SELECT *, CASE WHEN k=1 THEN 0 ELSE {bucket('u', 'noise', 10)} END noise, {_FIRST} f, {_LAST} l, '04'||CAST({bucket('person', 'phone', 10)} AS VARCHAR)||lpad(CAST(person AS VARCHAR),7,'0') p, CAST({bucket('person', 'house', 300)}+1 AS VARCHAR)||' '||{choose(STREETS, bucket('person', 'street', 8))} st FROM idk",
+    "idr": f"SELECT printf('IDR_%07d_%02d', person, k) identity_record_id, CASE WHEN noise=1 THEN upper(f[1]) ELSE {_CAPITAL('f')} END first_name, CASE WHEN noise=2 THEN {_CAPITAL('l')}||'e' ELSE {_CAPITAL('l')} END last_name, CASE noise WHEN 3 THEN NULL WHEN 4 THEN upper(e) WHEN 5 THEN replace(e,'@','+shop@') ELSE e END email, CASE noise WHEN 6 THEN NULL WHEN 7 THEN '+61 '||substr(p,2) ELSE p END phone, CASE WHEN noise=8 THEN replace(st,'Street','St') ELSE st END address, CAST(2000+{bucket('person', 'postcode', 800)} AS VARCHAR) postcode FROM (SELECT *, f||'.'||l||CAST(person AS VARCHAR)||'@example.com' e FROM idp)",
+    "idn": f"SELECT identity_record_id, {_CLEAN('first_name')} norm_first_name, {_CLEAN('last_name')} norm_last_name, coalesce(regexp_replace(regexp_replace(split_part(lower(email),'@',1),'\\+.*$',''),'\\.','','g')||'@'||split_part(lower(email),'@',2),'') norm_email, coalesce(CASE WHEN {_DIGITS} LIKE '61%' AND length({_DIGITS})>=11 THEN '0'||substr({_DIGITS},3) ELSE {_DIGITS} END,'') norm_phone, {_CLEAN(_STREET)} norm_address, coalesce(regexp_replace(postcode,'\\D','','g'),'') norm_postcode FROM idr",
+    "idb": "SELECT identity_record_id, unnest([CASE WHEN norm_postcode<>'' AND norm_first_name<>'' AND norm_last_name<>'' THEN 'NP|'||norm_postcode||'|'||left(norm_first_name,1)||'|'||left(norm_last_name,3) END, CASE WHEN norm_postcode<>'' AND norm_last_name<>'' THEN 'LP|'||norm_postcode||'|'||left(norm_last_name,4) END, CASE WHEN split_part(norm_email,'@',1)<>'' AND split_part(norm_email,'@',2)<>'' THEN 'EM|'||left(split_part(norm_email,'@',1),4)||'|'||split_part(norm_email,'@',2) END, CASE WHEN length(norm_phone)>=8 THEN 'PH|'||right(norm_phone,8) END, CASE WHEN regexp_extract(norm_address,'^[0-9]+')<>'' AND norm_postcode<>'' AND norm_last_name<>'' THEN 'AD|'||regexp_extract(norm_address,'^[0-9]+')||'|'||norm_postcode||'|'||left(norm_last_name,1) END]) key FROM idn",
+    "idz": "SELECT key, count(*) n FROM idb WHERE key IS NOT NULL GROUP BY key",
+})
+
 # the recommendation on the history up to an earlier day, and what was bought in the 180 days after it
 _OLD = ("pen", "cm0", "cm1", "cmar", "own", "adj", "cand", "sc0", "sc1", "sco")
 CTES.update({f"old_{n}": re.sub(rf"\b({'|'.join(('tx', *_OLD))})\b(?![.(])", r"old_\1", CTES[n]) for n in _OLD})

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tidemark.config import DEFAULT, Config
 from tidemark.sources.storage import new_path
@@ -56,7 +56,10 @@ def distinct_events(events: DataFrame, *, late: str = "1 day") -> DataFrame:
 
 
 MOVEMENT = "golden_customer_id long, event_type string, event_date date, change int"
+#: Stands in for a customer in rows that only say how far time has moved.
+MARK = -(1 << 63)
 _STATE = "last date, gaps array<int>, lapsed date"
+_STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _median(gaps: list[int]) -> float:
@@ -64,51 +67,92 @@ def _median(gaps: list[int]) -> float:
     return (s[(n - 1) // 2] + s[n // 2]) / 2
 
 
-def movement_stream(days: DataFrame, cfg: Config = DEFAULT, *, late: str = "0 seconds") -> DataFrame:
-    """New, Lapsed and Reactivated rows from a stream of (golden_customer_id, transaction_date), in date order by customer.
+class Movement(StatefulProcessor):
+    """One customer's state: the last purchase day, the earlier gaps, and the lapse that was reported since; a timer for the day of the next lapse."""
 
-    A customer's state is the last purchase day and the earlier gaps, bounded by the days of a
-    history. A lapse is reported when its day has passed in event time, or with the purchase that
-    ends it, whichever comes first, and only once. Purchases before the last seen day are ignored.
-    """
-    floor, times = float(cfg.min_expected_return_days), cfg.lapse_multiple
+    def __init__(self, floor: float, times: float) -> None:
+        self.floor, self.times = floor, times
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("customer", _STATE)
+
+    def limit(self, gaps: list[int]) -> float | None:
+        return self.times * max(self.floor, _median(gaps)) if len(gaps) >= 2 else None
+
+    def timer(self, last: dt.date | None, gaps: list[int], lapsed: dt.date | None) -> int | None:
+        """The start, in milliseconds, of the first day that is more than the limit after the last purchase."""
+        most = self.limit(gaps)
+        if last is None or lapsed is not None or most is None:
+            return None
+        day = last + dt.timedelta(days=math.floor(most) + 1)
+        return int(dt.datetime.combine(day, dt.time(), dt.timezone.utc).timestamp() * 1000)
+
+    def _known(self) -> tuple[dt.date | None, list[int], dt.date | None]:
+        if not self.state.exists():
+            return None, [], None
+        last, gaps, lapsed = self.state.get()
+        return last, list(gaps if gaps is not None else []), lapsed
 
-    def limit(gaps: list[int]) -> float | None:
-        return times * max(floor, _median(gaps)) if len(gaps) >= 2 else None
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["golden_customer_id", "event_type", "event_date", "change"])
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        days = sorted({d for part in rows for d in part["transaction_date"]})
+        if key[0] == MARK:
+            yield self._frame([])
+            return
         out: list[tuple] = []
-        last, gaps, lapsed = state.get if state.exists else (None, [], None)
-        gaps = list(gaps or [])
-        for day in sorted({d for part in parts for d in part["transaction_date"]}):
+        last, gaps, lapsed = self._known()
+        due = self.timer(last, gaps, lapsed)
+        for day in days:
             if last is None:
                 out.append((key[0], "New", day, 1))
             elif day <= last:
                 continue
             else:
-                gap, most = (day - last).days, limit(gaps)
+                gap, most = (day - last).days, self.limit(gaps)
                 if most is not None and gap > most:
                     if lapsed is None:
                         out.append((key[0], "Lapsed", last + dt.timedelta(days=math.ceil(most)), -1))
                     out.append((key[0], "Reactivated", day, 1))
                 gaps.append(gap)
             last, lapsed = day, None
-        now, most = state.getCurrentWatermarkMs(), limit(gaps)
-        if last is not None and lapsed is None and most is not None:
-            due = last + dt.timedelta(days=math.ceil(most))
-            # open gaps lapse on the first day that is more than the limit after the last purchase
-            passed = last + dt.timedelta(days=math.floor(most) + 1)
-            at = int(dt.datetime.combine(passed, dt.time(), dt.timezone.utc).timestamp() * 1000)
-            if state.hasTimedOut or at <= now:
-                out.append((key[0], "Lapsed", due, -1))
-                lapsed = due
-            else:
-                state.setTimeoutTimestamp(at)
-        state.update((last, gaps, lapsed))
-        yield pd.DataFrame(out, columns=["golden_customer_id", "event_type", "event_date", "change"])
+        self.state.update((last, gaps, lapsed))
+        now = self.timer(last, gaps, lapsed)
+        if now != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            if now is not None:
+                self.handle.registerTimer(now)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last, gaps, lapsed = self._known()
+        most = self.limit(gaps)
+        if last is None or lapsed is not None or most is None:
+            return
+        lapsed = last + dt.timedelta(days=math.ceil(most))
+        self.state.update((last, gaps, lapsed))
+        yield self._frame([(key[0], "Lapsed", lapsed, -1)])
+
+    def close(self) -> None:
+        pass
+
+
+def movement_stream(days: DataFrame, cfg: Config = DEFAULT, *, late: str = "0 seconds") -> DataFrame:
+    """New, Lapsed and Reactivated rows from a stream of (golden_customer_id, transaction_date), in date order by customer.
 
-    timed = days.withColumn("ts", F.col("transaction_date").cast("timestamp")).withWatermark("ts", late)
-    return timed.select("golden_customer_id", "transaction_date", "ts").groupBy("golden_customer_id").applyInPandasWithState(step, MOVEMENT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    A lapse is reported by a timer when its day has passed in event time, or with the purchase that
+    ends it, whichever comes first, and only once. Purchases before the last seen day and rows without
+    a customer are ignored. A row of the customer MARK stands for the noon of its day: time has moved
+    that far, though nobody bought.
+    """
+    days.sparkSession.conf.set(*_STORE)  # timers and value states need it
+    noon = F.when(F.col("golden_customer_id") == MARK, F.expr("interval 12 hours")).otherwise(F.expr("interval 0 hours"))
+    timed = days.where("golden_customer_id is not null").withColumn("ts", F.col("transaction_date").cast("timestamp") + noon).withWatermark("ts", late)
+    processor = Movement(float(cfg.min_expected_return_days), cfg.lapse_multiple)
+    return timed.select("golden_customer_id", "transaction_date", "ts").groupBy("golden_customer_id").transformWithStateInPandas(processor, MOVEMENT, "Append", "EventTime")
 
 
 def run_available(stream: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
