@@ -136,8 +136,14 @@ def test_sources_and_sinks(spark: SparkSession, tmp_path) -> None:  # noqa: ANN0
     formats.write_json(spark, {"status": "ACCEPTED", "on": dt.date(2001, 1, 1)}, f"{tmp_path}/j")
     assert formats.read_json(spark, f"{tmp_path}/j") == {"status": "ACCEPTED", "on": "2001-01-01"}
     assert [r.month.month for r in formats.month_spine(spark, "2001-01-15", "2001-03-01").collect()] == [1, 2, 3]
-    with pytest.raises(ValueError, match="repeats"):
-        formats.checked_join(df, df.union(df), ["k"])
+    joined = formats.checked_join(df, df.withColumnRenamed("v", "w"), ["k"])
+    assert sorted(map(tuple, joined.collect())) == [(1, "a", "a"), (2, "b", "b")]
+    with pytest.raises(Exception, match="right side repeats"):
+        formats.checked_join(df, df.union(df).withColumnRenamed("v", "w"), ["k"]).collect()
+    with pytest.raises(Exception, match="left side repeats"):
+        formats.checked_join(df.union(df), df.withColumnRenamed("v", "w"), ["k"], validate="one_to_one").count()
+    nulls = spark.createDataFrame([(None, "x"), (None, "y"), (1, "z")], "k int, w string")
+    assert sorted(map(tuple, formats.checked_join(df, nulls, ["k"]).collect())) == [(1, "a", "z"), (2, "b", None)]
     assert formats.first_present(df, ["x", "v"]) == "v"
 
 

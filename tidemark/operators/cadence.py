@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tidemark.config import DEFAULT, Config
 from tidemark.functions.scalars import flag, pct_change, safe_divide, slope_p_value, zero
+from tidemark.sources.formats import checked_join
 
 ID = "golden_customer_id"
 
@@ -92,7 +93,7 @@ def add_lapse(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def customer_features(tx: DataFrame, master: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """The feature table of every customer, one row each."""
-    out = customer_summary(tx, master, cfg).join(cadence_features(tx), ID, "left").join(trailing_value(tx, cfg), ID, "left")
+    out = checked_join(checked_join(customer_summary(tx, master, cfg), cadence_features(tx), [ID], validate="one_to_one"), trailing_value(tx, cfg), [ID])
     out = out.withColumns({"observed_purchase_gaps": F.coalesce("observed_purchase_gaps", F.lit(0)), "trailing_12m_orders": F.coalesce("trailing_12m_orders", F.lit(0)), "trailing_12m_sales": zero(F.col("trailing_12m_sales")), "trailing_12m_margin": zero(F.col("trailing_12m_margin"))})
     out = add_lapse(out, cfg).withColumns({"cadence_confidence": cadence_confidence(F.col("observed_purchase_gaps")), "active_customer": active_flag(F.col("days_since_last_purchase"), cfg.active_window_days)})
     return out.withColumn("lifecycle_status", lifecycle_status(F.col("orders"), F.col("cadence_confidence"), F.col("active_customer"), F.col("adjusted_lapse_ratio")))

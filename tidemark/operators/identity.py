@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from tidemark.functions.scalars import cents, clean_text, flag, normalise_address, normalise_email, normalise_phone, normalise_postcode
 from tidemark.functions.windows import first_by
 from tidemark.operators.components import connected_components
+from tidemark.sources.formats import checked_join
 from tidemark.sources.storage import Scratch, stored
 
 RECORD = "identity_record_id"
@@ -531,8 +532,8 @@ def evaluate(resolution: DataFrame, truth: str = "true_person_id", found: str =
 
 
 def golden_transactions(tx: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Transactions with their golden customer by source id; an unresolved one fails the job."""
-    j = tx.join(lookup.select("source_customer_id", F.col("golden_customer_id").alias("_g")), "source_customer_id", "left")
+    """Transactions with their golden customer by source id; an unresolved one, or a source id that the lookup repeats, fails the job."""
+    j = checked_join(tx, lookup.select("source_customer_id", F.col("golden_customer_id").alias("_g")), ["source_customer_id"])
     found = F.when(F.col("_g").isNull(), F.raise_error(F.lit("a transaction has no golden customer"))).otherwise(F.col("_g"))
     return j.withColumn("golden_customer_id", found).drop("_g")
 

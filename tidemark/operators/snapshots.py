@@ -14,46 +14,89 @@ from tidemark.functions.scalars import flag, month_cos, month_sin, safe_divide
 ID, T = "golden_customer_id", "observation_date"
 
 
-def at_dates(tx: DataFrame, dates: Sequence) -> DataFrame:
-    """Each transaction beside each observation date: a fixed short list, exploded in place without a join."""
-    return tx.withColumn(T, F.explode(F.array(*[F.lit(d).cast("date") for d in dates])))
-
-
-def _sums(inside: Column, suffix: str) -> list[Column]:
-    when = lambda c: F.when(inside, F.col(c))
-    return [F.countDistinct(when("order_id")).alias(f"orders_{suffix}"), F.coalesce(F.sum(when("net_sales")), F.lit(0.0)).alias(f"sales_{suffix}"), F.coalesce(F.sum(when("gross_margin")), F.lit(0.0)).alias(f"margin_{suffix}")]
-
-
-def history_features(rows: DataFrame) -> DataFrame:
-    """Lifetime, 180-day, 365-day, gap and momentum features from transactions up to each date, in one pass by (date, customer)."""
-    h = rows.where(F.col("transaction_date") <= F.col(T))
-    back = F.datediff(T, "transaction_date")
-    discounted = F.coalesce(F.col("discount_pct"), F.lit(0.0)) > 0
-    base = h.groupBy(T, ID).agg(
-        F.countDistinct("order_id").alias("lifetime_orders"),
-        F.sum("net_sales").alias("lifetime_sales"),
-        F.sum("gross_margin").alias("lifetime_margin"),
-        F.sum("units").alias("lifetime_units"),
-        F.avg("net_sales").alias("avg_order_value"),
-        F.avg("gross_margin").alias("avg_margin_per_order"),
-        F.avg("discount_pct").alias("avg_discount_pct"),
-        F.avg(discounted.cast("int")).alias("discounted_order_share"),
-        F.countDistinct("channel").alias("channels_used"),
-        F.countDistinct("category").alias("categories_used"),
-        F.datediff(T, F.max("transaction_date")).alias("days_since_last_purchase"),
-        F.datediff(T, F.min("transaction_date")).alias("purchase_tenure_days"),
-        *_sums(back <= 179, "prior_180d"),
-        *_sums(back <= 364, "prior_365d"),
-        F.countDistinct(F.when(back <= 179, F.col("category"))).alias("categories_prior_180d"),
-        F.countDistinct(F.when(back <= 364, F.col("category"))).alias("categories_prior_365d"),
-        *[c.alias(n) for c, n in zip(_sums(back <= 179, "_"), ("recent_orders", "recent_sales", "recent_margin"), strict=True)],
-        *[c.alias(n) for c, n in zip(_sums((back >= 180) & (back <= 359), "_"), ("prior_orders", "prior_sales", "prior_margin"), strict=True)],
-    )
-    days = h.select(T, ID, "transaction_date").distinct()
-    gap = F.datediff("transaction_date", F.lag("transaction_date").over(Window.partitionBy(T, ID).orderBy("transaction_date")))
-    gaps = days.withColumn("gap", gap).groupBy(T, ID).agg(F.count("gap").alias("observed_purchase_gaps"), F.median("gap").alias("median_purchase_gap_days"), F.avg("gap").alias("mean_purchase_gap_days"), F.stddev_samp("gap").alias("std_purchase_gap_days"))
-    shares = dominant_share(h, "category", "dominant_category_share").join(dominant_share(h, "channel", "preferred_channel_share"), [T, ID])
-    out = base.join(gaps, [T, ID]).join(shares, [T, ID])
+#: Sums kept by customer and day; orders count rows, as an order is one row of the transactions.
+RUNNING = {"orders": F.lit(1), "sales": F.col("net_sales"), "margin": F.col("gross_margin"), "units": F.col("units"), "discount": F.coalesce(F.col("discount_pct"), F.lit(0.0)), "discounted": (F.coalesce(F.col("discount_pct"), F.lit(0.0)) > 0).cast("int")}
+
+
+def running(tx: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """One row for each key with `p`: its days in order, each with the sums of all days so far.
+
+    A history holds at most a row for each calendar day, however many transactions a customer has.
+    """
+    days = tx.groupBy(*keys, F.col("transaction_date").alias("day")).agg(*[F.sum(RUNNING[c]).alias(c) for c in sums])
+    upto = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = days.select(*keys, F.struct("day", *[F.sum(c).over(upto).alias(c) for c in sums]).alias("e"))
+    return so_far.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("p"))
+
+
+def known_on(dates: Sequence, history: DataFrame, ahead: int = 0) -> DataFrame:
+    """Each history beside the observation dates by which (or within so many days after which) it had begun; the dates are a fixed short list."""
+    return history.withColumn(T, F.explode(F.array(*[F.lit(d).cast("date") for d in dates]))).where(F.col("p")[0].day <= F.date_add(T, ahead))
+
+
+def as_of(days: int = 0) -> Column:
+    """The running sums on the observation date, or so many days after it; null before the first day."""
+    return F.try_element_at(F.filter("p", lambda e: e.day <= F.date_add(T, days)), F.lit(-1))
+
+
+def between(sums: str, until: Column, since: Column) -> Column:
+    """What was added to a sum after `since` up to `until`, both as_of(); exactly 0 where no order was."""
+    orders = lambda at: F.coalesce(at.orders, F.lit(0))
+    if sums == "orders":
+        return orders(until) - orders(since)
+    zero = F.lit(0.0)
+    return F.when(orders(until) == orders(since), zero).otherwise(F.coalesce(until[sums], zero) - F.coalesce(since[sums], zero))
+
+
+def _window(name: str, orders: str, until: str, since: str) -> dict[str, Column]:
+    return {orders: between("orders", F.col(until), F.col(since)), **{f"{c}{name}": between(c, F.col(until), F.col(since)) for c in ("sales", "margin")}}
+
+
+def group_shares(tx: DataFrame, dates: Sequence, column: str, *, ahead: int = 0) -> DataFrame:
+    """By date and customer: how many values of a column were bought, ever and lately, how their orders and sales spread, and which values; with `ahead`, those of the days that follow too."""
+    at = known_on(dates, running(tx.where(F.col(column).isNotNull()), [ID, column], ["orders", "sales"]), ahead)
+    at = at.withColumns({"_now": as_of(), "_180": as_of(-180), "_365": as_of(-365), "_next": as_of(ahead)})
+    n, s = F.coalesce(F.col("_now.orders"), F.lit(0)), F.col("_now.sales")
+    new = lambda since: F.count_if(between("orders", F.col("_now"), F.col(since)) > 0)
+    out = at.groupBy(T, ID).agg(
+        F.count_if(n > 0).alias("used"), new("_180").alias("used_180d"), new("_365").alias("used_365d"),
+        safe_divide(F.max(n), F.sum(n)).alias("largest_share"), safe_divide(F.sum(n * n), F.sum(n) * F.sum(n)).alias("concentration"), safe_divide(F.max(s), F.sum(s)).alias("largest_sales_share"),
+        F.collect_set(F.when(n > 0, F.col(column))).alias("past"), F.collect_set(F.when(between("orders", F.col("_next"), F.col("_now")) > 0, F.col(column))).alias("future"),
+    )
+    return out.where("used > 0")
+
+
+def history_features(tx: DataFrame, dates: Sequence, *, ahead: int = 90, categories: DataFrame | None = None) -> DataFrame:
+    """Lifetime, 180-day, 365-day, gap and momentum features of each customer on each date, and orders, sales and margin of the `ahead` days after it (future_*).
+
+    All come from running sums by day: a window is the difference of two of them, so transactions
+    are read and dealt once and are not repeated for each date. `categories` is group_shares of the
+    category column, where the caller has it.
+    """
+    at = known_on(dates, running(tx, [ID], list(RUNNING)))
+    at = at.withColumns({"now": as_of(), "d180": as_of(-180), "d360": as_of(-360), "d365": as_of(-365), "next": as_of(ahead), "days": F.transform(F.filter("p", lambda e: e.day <= F.col(T)), lambda e: e.day)})
+    at = at.withColumn("gaps", F.when(F.size("days") >= 2, F.transform(F.sequence(F.lit(1), F.size("days") - 1), lambda i: F.datediff(F.get("days", i), F.get("days", i - 1)))).otherwise(F.array().cast("array<int>")))
+    n, mean = F.size("gaps"), F.aggregate("gaps", F.lit(0).cast("long"), lambda t, g: t + g) / F.nullif(F.size("gaps"), F.lit(0))
+    middle = F.col("sorted_gaps")
+    at = at.withColumns({"sorted_gaps": F.array_sort("gaps"), "mean_gap": mean})
+    squares = F.aggregate("gaps", F.lit(0.0), lambda t, g: t + (g - F.col("mean_gap")) * (g - F.col("mean_gap")))
+    life = lambda c: F.col(f"now.{c}")
+    base = at.select(
+        T, ID,
+        life("orders").alias("lifetime_orders"), life("sales").alias("lifetime_sales"), life("margin").alias("lifetime_margin"), life("units").alias("lifetime_units"),
+        *[(life(c) / life("orders")).alias(name) for c, name in (("sales", "avg_order_value"), ("margin", "avg_margin_per_order"), ("discount", "avg_discount_pct"), ("discounted", "discounted_order_share"))],
+        F.datediff(T, F.try_element_at("days", F.lit(-1))).alias("days_since_last_purchase"), F.datediff(T, F.get("days", F.lit(0))).alias("purchase_tenure_days"),
+        *[x.alias(name) for a in (_window("_prior_180d", "orders_prior_180d", "now", "d180"), _window("_prior_365d", "orders_prior_365d", "now", "d365")) for name, x in a.items()],
+        *[x.alias(name) for name, x in zip(("recent_orders", "recent_sales", "recent_margin"), _window("", "_", "now", "d180").values(), strict=True)],
+        *[x.alias(name) for name, x in zip(("prior_orders", "prior_sales", "prior_margin"), _window("", "_", "d180", "d360").values(), strict=True)],
+        *[x.alias(f"future_{name}_{ahead}d") for name, x in zip(("orders", "sales", "margin"), _window("", "_", "next", "now").values(), strict=True)],
+        n.cast("long").alias("observed_purchase_gaps"),
+        F.when(n > 0, (F.get(middle, F.floor((n - 1) / 2).cast("int")) + F.get(middle, F.floor(n / 2).cast("int"))) / 2).alias("median_purchase_gap_days"),
+        F.col("mean_gap").alias("mean_purchase_gap_days"), F.when(n > 1, F.sqrt(squares / (n - 1))).alias("std_purchase_gap_days"),
+    )
+    kinds = (categories if categories is not None else group_shares(tx, dates, "category")).select(T, ID, F.col("used").alias("categories_used"), F.col("used_180d").alias("categories_prior_180d"), F.col("used_365d").alias("categories_prior_365d"), F.col("largest_share").alias("dominant_category_share"))
+    channels = group_shares(tx, dates, "channel").select(T, ID, F.col("used").alias("channels_used"), F.col("largest_share").alias("preferred_channel_share"))
+    out = base.join(kinds, [T, ID]).join(channels, [T, ID])
     c = F.col
     out = out.withColumns({
         "margin_rate": safe_divide(c("lifetime_margin"), c("lifetime_sales")),
@@ -68,41 +111,28 @@ def history_features(rows: DataFrame) -> DataFrame:
     return out.withColumn("eligible_reengagement", flag(enough & (c("days_since_last_purchase") >= 45) & (c("adjusted_lapse_ratio") >= 1.5)))
 
 
-def dominant_share(h: DataFrame, column: str, out: str) -> DataFrame:
-    """Largest share of a customer's orders that one value holds."""
-    counts = h.groupBy(T, ID, column).agg(F.countDistinct("order_id").alias("n"))
-    return counts.groupBy(T, ID).agg((F.max("n") / F.sum("n")).alias(out))
-
-
-def reengagement_outcome(rows: DataFrame, days: int = 90) -> DataFrame:
-    """Orders, sales and margin in the days after each date."""
-    after = (F.col("transaction_date") > F.col(T)) & (F.col("transaction_date") <= F.date_add(T, days))
-    return rows.where(after).groupBy(T, ID).agg(F.countDistinct("order_id").alias("future_orders_90d"), F.sum("net_sales").alias("future_sales_90d"), F.sum("gross_margin").alias("future_margin_90d"))
-
-
 def reengagement_training(tx: DataFrame, cfg: Config = DEFAULT, *, eligible_only: bool = True) -> DataFrame:
     """Eligible customers at each quarter end with their outcome over 90 days."""
-    rows = at_dates(tx, cfg.reengagement_dates)
-    out = history_features(rows).join(reengagement_outcome(rows), [T, ID], "left")
-    out = out.fillna(0, subset=["future_orders_90d", "future_sales_90d", "future_margin_90d"]).withColumn("purchased_next_90d", (F.col("future_orders_90d") > 0).cast("int"))
+    out = history_features(tx, cfg.reengagement_dates).withColumn("purchased_next_90d", (F.col("future_orders_90d") > 0).cast("int"))
     return out.where("eligible_reengagement") if eligible_only else out
 
 
 def cross_sell_training(tx: DataFrame, cfg: Config = DEFAULT, *, days: int = 180) -> DataFrame:
     """Customers with room for new categories at each quarter end, and the categories they add within 180 days."""
-    rows = at_dates(tx, cfg.cross_sell_dates)
     total = tx.agg(F.countDistinct("category").alias("total_categories"))
-    before = F.col("transaction_date") <= F.col(T)
-    after = ~before & (F.col("transaction_date") <= F.date_add(T, days))
-    sets = rows.groupBy(T, ID).agg(F.collect_set(F.when(before, F.col("category"))).alias("past"), F.collect_set(F.when(after, F.col("category"))).alias("future"))
-    hhi = rows.where(before).groupBy(T, ID, "category").agg(F.countDistinct("order_id").alias("n"), F.sum("net_sales").alias("s")).groupBy(T, ID)
-    hhi = hhi.agg((F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("category_concentration"), (F.max("s") / F.sum("s")).alias("dominant_category_sales_share"))
-    out = history_features(rows).join(sets, [T, ID]).join(hhi, [T, ID]).crossJoin(F.broadcast(total))  # one row
+    categories = group_shares(tx, cfg.cross_sell_dates, "category", ahead=days)
+    sets = categories.select(T, ID, "past", "future", F.col("concentration").alias("category_concentration"), F.col("largest_sales_share").alias("dominant_category_sales_share"))
+    out = history_features(tx, cfg.cross_sell_dates, categories=categories).join(sets, [T, ID]).crossJoin(F.broadcast(total))  # one row
     out = out.withColumns({"category_whitespace_count": F.col("total_categories") - F.col("categories_used"), "category_coverage_pct": F.col("categories_used") / F.col("total_categories"), "new_categories": F.array_sort(F.array_except("future", "past"))})
     out = out.withColumns({"new_category_count": F.size("new_categories"), "cross_sell_next_180d": (F.size("new_categories") > 0).cast("int")})
     return out.where((F.col("lifetime_orders") >= 3) & (F.col("purchase_tenure_days") >= 180) & (F.col("categories_used") >= 1) & (F.col("category_whitespace_count") > 0)).drop("past", "future")
 
 
+def _sums(inside: Column, suffix: str) -> list[Column]:
+    when = lambda c: F.when(inside, F.col(c))
+    return [F.countDistinct(when("order_id")).alias(f"orders_{suffix}"), F.coalesce(F.sum(when("net_sales")), F.lit(0.0)).alias(f"sales_{suffix}"), F.coalesce(F.sum(when("gross_margin")), F.lit(0.0)).alias(f"margin_{suffix}")]
+
+
 def promotion_training(tx: DataFrame, exposures: DataFrame) -> DataFrame:
     """History before each campaign date joined to its exposures; needs 90 days of tenure and two orders."""
     day = F.col("campaign_date")

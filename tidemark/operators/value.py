@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT, Config
 from tidemark.functions.scalars import cents, clip, flag, one_place, zero
 from tidemark.functions.windows import pct_ranks_average, quintiles_first
+from tidemark.sources.formats import checked_join
 
 ID = "golden_customer_id"
 # Action texts of the decision groups.
@@ -116,8 +117,9 @@ def recommended_action(group: Column) -> Column:
 
 def customer_priority(value: DataFrame, features: DataFrame, momentum: DataFrame, trend: DataFrame) -> DataFrame:
     """Scores, decision group, action and band of every customer."""
-    out = value.join(features.select(ID, "lifecycle_status", "cadence_confidence", "adjusted_lapse_ratio", "active_customer", "days_since_last_purchase"), ID, "left")
-    out = out.join(momentum.select(ID, "momentum_status", "momentum_risk_signals", "order_change_pct", "sales_change_pct"), ID, "left").join(trend.select(ID, "trend_gaps", "gap_trend_pct", "cadence_trend_status"), ID, "left")
+    out = checked_join(value, features.select(ID, "lifecycle_status", "cadence_confidence", "adjusted_lapse_ratio", "active_customer", "days_since_last_purchase"), [ID])
+    out = checked_join(out, momentum.select(ID, "momentum_status", "momentum_risk_signals", "order_change_pct", "sales_change_pct"), [ID])
+    out = checked_join(out, trend.select(ID, "trend_gaps", "gap_trend_pct", "cadence_trend_status"), [ID])
     out = out.withColumns({"value_score": clip(zero(F.col("commercial_value_score")), 0, 100), "lapse_score": lapse_score(F.col("adjusted_lapse_ratio"), F.col("cadence_confidence")), "momentum_score": momentum_score(F.col("cadence_trend_status"))})
     out = out.withColumn("priority_score", priority_score(F.col("value_score"), F.col("lapse_score"), F.col("momentum_score")))
     group = decision_group(F.col("customer_value_tier"), F.col("lifecycle_status"), F.col("cadence_trend_status"), F.col("rfm_segment"), F.col("active_customer"), F.col("orders"))

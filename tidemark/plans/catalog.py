@@ -200,7 +200,7 @@ add("value_funnel", lambda t: growth.value_funnel(t.tx, t.value), " UNION ALL ".
 add("growth_filtered", lambda t: growth.growth_monthly(t.tx.join(t.master.where("market_segment = 'BUILDING'").select(ID), ID, "left_semi")).agg(F.sum("new_customers").alias("new_customers"), F.sum("lapsed_customers").alias("lapsed_customers")), "SELECT CAST(count(DISTINCT (CAST(date_trunc('month',event_date) AS DATE), golden_customer_id)) FILTER (event_type='New') AS BIGINT) AS new_customers, CAST(count(DISTINCT (CAST(date_trunc('month',event_date) AS DATE), golden_customer_id)) FILTER (event_type='Lapsed') AS BIGINT) AS lapsed_customers FROM events_ WHERE golden_customer_id IN (SELECT golden_customer_id FROM cust WHERE market_segment='BUILDING')")
 
 # snapshots
-simple("snapshot_history", lambda t: snapshots.history_features(snapshots.at_dates(t.tx, DEFAULT.reengagement_dates)), "re_all", "golden_customer_id, lifetime_orders, orders_prior_180d, orders_prior_365d, observed_purchase_gaps, days_since_last_purchase", "avg_order_value, margin_rate, cadence_cv, adjusted_lapse_ratio, order_change_pct, dominant_category_share, preferred_channel_share", "observation_date")
+simple("snapshot_history", lambda t: snapshots.history_features(t.tx, DEFAULT.reengagement_dates), "re_all", "golden_customer_id, lifetime_orders, orders_prior_180d, orders_prior_365d, observed_purchase_gaps, days_since_last_purchase", "avg_order_value, margin_rate, cadence_cv, adjusted_lapse_ratio, order_change_pct, dominant_category_share, preferred_channel_share", "observation_date")
 simple("reengagement_training", lambda t: snapshots.reengagement_training(t.tx), "re_train", "golden_customer_id, lifetime_orders, future_orders_90d, purchased_next_90d", "adjusted_lapse_ratio, future_sales_90d", "observation_date")
 simple("cross_sell_training", lambda t: snapshots.cross_sell_training(t.tx), "xs_train", "golden_customer_id, categories_used, category_whitespace_count, new_category_count, cross_sell_next_180d", "category_concentration, dominant_category_sales_share", "observation_date")
 simple("promotion_training", lambda t: snapshots.promotion_training(t.tx, t.exposures), "ptr", "lifetime_orders, days_since_last_purchase, customer_tenure_days, orders_prior_180d, offer_category_prior_orders", "lifetime_sales, average_order_value", "exposure_id", "WHERE customer_tenure_days>=90 AND lifetime_orders>=2")

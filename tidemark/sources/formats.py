@@ -90,9 +90,22 @@ def require_unique(df: DataFrame, keys: Sequence[str], what: str = "table") -> D
     return df
 
 
+def once_each(df: DataFrame, keys: Sequence[str], what: str = "table") -> DataFrame:
+    """The same rows, without those of null keys; one that repeats the keys fails the job that reads it.
+
+    The rows are grouped by the keys on the way, which deals them as a join by the keys needs them: no job of its own.
+    """
+    others = [c for c in df.columns if c not in keys]
+    row = F.first(F.struct(*others)) if others else F.lit(None)
+    grouped = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("_n"), row.alias("_row"))
+    checked = grouped.where(F.when(F.col("_n") > 1, F.raise_error(F.lit(f"{what} repeats {list(keys)}")).isNull()).otherwise(True))
+    return checked.select(*[F.col(f"_row.`{c}`").alias(c) if c in others else F.col(c) for c in df.columns])
+
+
 def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", validate: str = "many_to_one") -> DataFrame:
-    """A join whose key uniqueness is checked first."""
-    require_unique(right, on, "right side")
+    """A join in which a repeated key of the right side (one_to_one: of either side) fails the job, found in the join's own pass."""
+    if validate not in ("many_to_one", "one_to_one"):
+        raise ValueError(f"no validation {validate!r}")
     if validate == "one_to_one":
-        require_unique(left, on, "left side")
-    return left.join(right, list(on), how)
+        left = once_each(left, on, "left side")
+    return left.join(once_each(right, on, "right side"), list(on), how)
