@@ -15,7 +15,7 @@ ID, T = "golden_customer_id", "observation_date"
 
 
 #: Sums kept by customer and day; orders count rows, as an order is one row of the transactions.
-RUNNING = {"orders": F.lit(1), "sales": F.col("net_sales"), "margin": F.col("gross_margin"), "units": F.col("units"), "discount": F.coalesce(F.col("discount_pct"), F.lit(0.0)), "discounted": (F.coalesce(F.col("discount_pct"), F.lit(0.0)) > 0).cast("int")}
+RUNNING = {"orders": "1", "sales": "net_sales", "margin": "gross_margin", "units": "units", "discount": "coalesce(discount_pct, 0.0D)", "discounted": "cast(coalesce(discount_pct, 0.0D) > 0 as int)"}
 
 
 def running(tx: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
@@ -23,7 +23,7 @@ def running(tx: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFram
 
     A history holds at most a row for each calendar day, however many transactions a customer has.
     """
-    days = tx.groupBy(*keys, F.col("transaction_date").alias("day")).agg(*[F.sum(RUNNING[c]).alias(c) for c in sums])
+    days = tx.groupBy(*keys, F.col("transaction_date").alias("day")).agg(*[F.sum(F.expr(RUNNING[c])).alias(c) for c in sums])
     upto = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     so_far = days.select(*keys, F.struct("day", *[F.sum(c).over(upto).alias(c) for c in sums]).alias("e"))
     return so_far.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("p"))
