@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.storage import new_path, shared_dir, stored
 
 
-__all__ = ["bounded_batches", "new_path", "partitions", "shared_dir", "shared_keys", "stored", "table", "text_or_empty", "unused"]
+__all__ = ["bounded_batches", "new_path", "partitions", "shared_dir", "stored", "table", "text_or_empty", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,30 +43,3 @@ def unused(name: str, columns: list[str]) -> str:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
-
-
-def shared_keys(batches: Iterator[pa.RecordBatch], key: str, owner: str) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: those of keys with two owners (16-byte values or numbers) or more. Holds one key's rows at a time."""
-    carry: pa.Table | None = None
-
-    def kept(rows: pa.Table) -> pa.Table:
-        keys = rows.column(key).to_numpy()
-        if not len(keys):
-            return rows
-        column = rows.column(owner)
-        owners = column.to_numpy() if pa.types.is_integer(column.type) else np.frombuffer(b"".join(column.to_pylist()), dtype="V16")
-        first = np.r_[True, keys[1:] != keys[:-1]]
-        start = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
-        several = np.add.reduceat((owners != owners[start]).astype(np.int64), np.flatnonzero(first)) > 0
-        return rows.filter(pa.array(several[np.cumsum(first) - 1]))
-
-    for batch in batches:
-        rows = pa.Table.from_batches([batch]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([batch])])
-        keys = rows.column(key).to_numpy()
-        if not len(keys):
-            continue
-        done = int(np.searchsorted(keys, keys[-1], "left"))
-        carry = rows.slice(done)
-        yield from kept(rows.slice(0, done).combine_chunks()).combine_chunks().to_batches()
-    if carry is not None:
-        yield from kept(carry.combine_chunks()).combine_chunks().to_batches()

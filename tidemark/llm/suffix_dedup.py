@@ -92,10 +92,10 @@ def _shared(rows: DataFrame, key: str, also: str = "false") -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, *, min_words: int = 50, gram: int = 16, window: int = 16) -> DataFrame:
-    """doc_id, start_word, end_word, n_words: every stretch of words of which each min_words words repeat in another document.
+    """doc_id, start_word, end_word, n_words: the words that lie in passages which repeat in another document.
 
-    That is: each passage of min_words words or more that a text shares with one other text, those
-    that touch or overlap as one. Only repeats across rows count, not those inside one text. Null and
+    A passage is min_words words or more that a text shares with one other text from end to end;
+    passages that touch or overlap are given as one stretch, which need not repeat as a whole. Only repeats across rows count, not those inside one text. Null and
     empty texts have none. Repeated rows and equal texts are repeats of each other. Other columns are
     not read.
     """
