@@ -12,10 +12,10 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import activation, growth, identity, views
+from tidemark.operators import activation, decisions, growth, identity, views
 from tidemark.plans import catalog
 
-CHECKED = ["transactions_canonical", "campaign_exposures", "customer_features", "customer_momentum", "cadence_trend", "rfm_scores", "customer_value", "customer_priority", "customer_ltv", "cohort_retention", "movement_events", "growth_monthly", "cohort_summary", "value_funnel", "reengagement_training", "cross_sell_training", "promotion_training", "category_recommendations", "action_scores", "next_best_action", "evaluate_predictions", "lift_table", "segment_summary", "lifecycle_by_tier", "retention_heatmap", "stratified_sample", "growth_signals", "segment_enrichment", "reengagement_baseline", "identity_normalised", "identity_candidates", "identity_dropped_blocks", "event_windows_stream", "event_sliding_stream", "event_sessions_stream", "movement_stream"]
+CHECKED = ["transactions_canonical", "campaign_exposures", "customer_features", "customer_momentum", "cadence_trend", "rfm_scores", "customer_value", "customer_priority", "customer_ltv", "cohort_retention", "movement_events", "growth_monthly", "cohort_summary", "value_funnel", "reengagement_training", "cross_sell_training", "promotion_training", "category_recommendations", "action_scores", "next_best_action", "nba_lifetime_value", "evaluate_predictions", "lift_table", "segment_summary", "lifecycle_by_tier", "retention_heatmap", "stratified_sample", "growth_signals", "segment_enrichment", "reengagement_baseline", "identity_normalised", "identity_candidates", "identity_dropped_blocks", "event_windows_stream", "event_sliding_stream", "event_sessions_stream", "movement_stream"]
 
 
 def plain(v: object) -> object:
@@ -85,3 +85,15 @@ def test_filters_and_search(spark: SparkSession, small: str) -> None:
 def test_plans_push_down_and_keep_python_out(spark: SparkSession, small: str) -> None:
     plan = spark._jvm.PythonSQLUtils.explainString(catalog.QUERIES["lifecycle_distribution"](spark, small)._jdf.queryExecution(), "formatted")
     assert "ArrowEvalPython" not in plan and "CartesianProduct" not in plan
+
+
+def test_actions_name_the_cluster_and_the_lifetime_value(spark: SparkSession, small: str) -> None:
+    t = catalog.tables(spark, small)
+    clusters = t.master.where("golden_customer_id % 2 = 0").select("golden_customer_id", F.lit("Store-Led Shoppers").alias("cluster_name"))
+    nba = decisions.next_best_action(t.priority, t.tx, ltv=t.ltv, clusters=clusters)
+    assert nba.count() == t.priority.count()
+    assert nba.where("cluster_name <> if(golden_customer_id % 2 = 0, 'Store-Led Shoppers', 'Not Yet Clustered')").count() == 0
+    assert nba.where("recommended_action_nba = 'Protect' and not contains(action_rationale, concat(' value ', cluster_name, ' customer with '))").count() == 0
+    assert nba.agg(F.sum("observed_ltv_sales")).head()[0] == pytest.approx(t.tx.agg(F.sum("net_sales")).head()[0], abs=0.01)
+    plain_rows = t.nba.select("golden_customer_id", "recommended_action_nba", "action_score")
+    assert nba.select("golden_customer_id", "recommended_action_nba", "action_score").exceptAll(plain_rows).count() == 0

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.scalars import cents, clip, flag, one_place, safe_divide, zero
 from tidemark.functions.windows import first_by
+from tidemark.sources.formats import checked_join
 
 ID = "golden_customer_id"
 # Fixed values by action: cost, base response, sales uplift, least score.
@@ -93,9 +94,18 @@ def transaction_behaviour(tx: DataFrame) -> DataFrame:
     return base.join(cat, ID).join(ch, ID).withColumn("dominant_category_share", F.col("_n") / F.col("tx_orders")).drop("_n")
 
 
-def nba_features(priority: DataFrame, behaviour: DataFrame, recommendations: DataFrame) -> DataFrame:
-    """What the action rules read; governed propensities are absent in rules mode."""
-    out = priority.join(behaviour, ID, "left").join(recommendations.select(ID, F.col("recommended_category").alias("recommended_cross_sell_category")), ID, "left")
+def nba_features(priority: DataFrame, behaviour: DataFrame, recommendations: DataFrame, *, ltv: DataFrame | None = None, clusters: DataFrame | None = None) -> DataFrame:
+    """What the action rules read; governed propensities are absent in rules mode.
+
+    With `ltv`, observed lifetime sales and margin (0 where none is known); with `clusters`, each
+    customer's cluster_name. Either may hold a customer once only.
+    """
+    out = priority
+    if ltv is not None:
+        out = checked_join(out, ltv.select(ID, F.col("lifetime_sales").alias("observed_ltv_sales"), F.col("lifetime_margin").alias("observed_ltv_margin")), [ID]).fillna(0.0, subset=["observed_ltv_sales", "observed_ltv_margin"])
+    if clusters is not None:
+        out = checked_join(out, clusters.select(ID, "cluster_name"), [ID]).fillna("Not Yet Clustered", subset=["cluster_name"])
+    out = out.join(behaviour, ID, "left").join(recommendations.select(ID, F.col("recommended_category").alias("recommended_cross_sell_category")), ID, "left")
     trailing = safe_divide(F.col("trailing_12m_margin"), F.col("trailing_12m_sales"))
     promo = 0.7 * zero(F.col("discounted_order_share")) + 0.3 * clip(zero(F.col("avg_discount_pct")) / 0.25, 0, 1)
     return out.withColumns({
@@ -171,11 +181,12 @@ def select_action(df: DataFrame) -> DataFrame:
     return out.withColumns({"primary_driver": top, "economically_positive": (chosen != NOTHING) & (F.col("action_margin") > 0)}).drop("_alt")
 
 
-def rationale() -> Column:
-    """A sentence that explains the chosen action."""
+def rationale(cluster: Column | None = None) -> Column:
+    """A sentence that explains the chosen action; it names the customer's cluster where one is given."""
+    kind = F.concat(F.lit(" value "), cluster, F.lit(" customer with ")) if cluster is not None else F.lit(" value customer with ")
     chosen, cat, ch = F.col("recommended_action_nba"), F.coalesce("dominant_category", F.lit("relevant category")), F.coalesce("preferred_channel", F.lit("preferred channel"))
     return (
-        F.when(chosen == "Protect", F.concat(F.col("customer_value_tier"), F.lit(" value customer with "), F.lower("lifecycle_status"), F.lit(" behaviour and elevated lapse or momentum risk. Retain in person via "), ch, F.lit(".")))
+        F.when(chosen == "Protect", F.concat(F.col("customer_value_tier"), kind, F.lower("lifecycle_status"), F.lit(" behaviour and elevated lapse or momentum risk. Retain in person via "), ch, F.lit(".")))
         .when(chosen == "Re-engage", F.concat(F.lit("Customer of proven value has lapsed. Re-engage through "), ch, F.lit(" with "), cat, F.lit(" messages.")))
         .when(chosen == "Develop", F.lit("Active customer with room to grow. Encourage the next purchase before risk rises."))
         .when(chosen == "Cross-sell", F.concat(F.lit("Active customer centred on "), cat, F.lit("; offer "), F.coalesce("recommended_cross_sell_category", F.lit("a neighbouring category")), F.lit(".")))
@@ -184,10 +195,10 @@ def rationale() -> Column:
     )
 
 
-def next_best_action(priority: DataFrame, tx: DataFrame) -> DataFrame:
-    """One explained action for each customer."""
-    features = nba_features(priority, transaction_behaviour(tx), recommend_categories(tx))
-    return select_action(add_economics(add_action_scores(features))).withColumn("action_rationale", rationale())
+def next_best_action(priority: DataFrame, tx: DataFrame, *, ltv: DataFrame | None = None, clusters: DataFrame | None = None) -> DataFrame:
+    """One explained action for each customer, with lifetime value and cluster where they are given."""
+    features = nba_features(priority, transaction_behaviour(tx), recommend_categories(tx), ltv=ltv, clusters=clusters)
+    return select_action(add_economics(add_action_scores(features))).withColumn("action_rationale", rationale(F.col("cluster_name") if clusters is not None else None))
 
 
 def offer_candidates(priority: DataFrame, tx: DataFrame) -> DataFrame:

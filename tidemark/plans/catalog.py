@@ -216,6 +216,8 @@ add("action_scores", lambda t: t.nba.select(ID, "eligible_protect", "eligible_re
 add("next_best_action", lambda t: t.nba.select(ID, "recommended_action_nba", "action_score", "action_margin", "economically_positive"), f"SELECT golden_customer_id, act AS recommended_action_nba, {r4('action_score')} AS action_score, {r4('action_margin')} AS action_margin, act<>'Do Nothing' AND action_margin>0 AS economically_positive FROM nba")
 add("nba_action_summary", lambda t: t.nba.groupBy("recommended_action_nba").agg(F.count("*").alias("customers"), F.sum("action_margin").alias("margin"), F.avg("action_score").alias("avg_score")), f"SELECT act AS recommended_action_nba, CAST(count(*) AS BIGINT) AS customers, {r4('sum(action_margin)')} AS margin, {r4('avg(action_score)')} AS avg_score FROM nba GROUP BY 1")
 add("nba_explained", lambda t: t.nba.select(ID, "recommended_action_nba", "alternative_action", "action_confidence", "primary_driver", "action_rationale"), f"SELECT golden_customer_id, act AS recommended_action_nba, alternative_action, {r4('action_confidence')} AS action_confidence, primary_driver, action_rationale FROM nbx")
+add("nba_lifetime_value", lambda t: decisions.next_best_action(t.priority, t.tx, ltv=t.ltv).select(ID, "recommended_action_nba", "observed_ltv_sales", "observed_ltv_margin", "action_rationale"), f"SELECT golden_customer_id, act AS recommended_action_nba, {r4('coalesce(l.lifetime_sales,0)')} AS observed_ltv_sales, {r4('coalesce(l.lifetime_margin,0)')} AS observed_ltv_margin, action_rationale FROM nbx LEFT JOIN ltv l USING (golden_customer_id)")
+add("nba_by_cluster", lambda t: decisions.next_best_action(t.priority, t.tx, ltv=t.ltv, clusters=segments.customer_clusters(segments.clustering_features(t.tx))).select(ID, "recommended_action_nba", "cluster_name", "observed_ltv_margin", "action_rationale"))
 add("offer_candidates", lambda t: decisions.offer_candidates(t.priority, t.tx).select(ID, "campaign_channel", "discount_depth", "margin_after_discount"), f"SELECT p.golden_customer_id, c AS campaign_channel, CAST(d AS DOUBLE) AS discount_depth, {r4('greatest(coalesce(tx_margin_rate,0.30)-d::DOUBLE,0.01::DOUBLE)')} AS margin_after_discount FROM prio p JOIN beh b ON p.golden_customer_id=b.golden_customer_id, (VALUES ('Email'),('SMS'),('App')) c(c), (VALUES (0.10),(0.15),(0.20),(0.25)) d(d) WHERE active_customer AND customer_value_tier IN ('Medium','High','Very High')")
 
 # identity and golden layer
