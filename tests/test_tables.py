@@ -6,6 +6,8 @@ import datetime as dt
 import glob
 import math
 import os
+import shutil
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -97,3 +99,18 @@ def test_actions_name_the_cluster_and_the_lifetime_value(spark: SparkSession, sm
     assert nba.agg(F.sum("observed_ltv_sales")).head()[0] == pytest.approx(t.tx.agg(F.sum("net_sales")).head()[0], abs=0.01)
     plain_rows = t.nba.select("golden_customer_id", "recommended_action_nba", "action_score")
     assert nba.select("golden_customer_id", "recommended_action_nba", "action_score").exceptAll(plain_rows).count() == 0
+
+
+def test_tables_are_released_when_their_input_changes(spark: SparkSession, small: str, tmp_path: Path) -> None:
+    folder = tmp_path / "in"
+    shutil.copytree(small, folder)
+    first = catalog.tables(spark, str(folder))
+    whole = first.tx.count()
+    assert catalog.tables(spark, str(folder)) is first and first.tx.storageLevel.useMemory
+    kept = spark.read.parquet(f"{small}/orders.parquet").where("o_orderkey % 2 = 0")
+    os.chmod(folder, 0o755)
+    os.rename(folder / "orders.parquet", tmp_path / "old.parquet")
+    kept.write.parquet(f"{folder}/orders.parquet")
+    second = catalog.tables(spark, str(folder))
+    assert second is not first and 0 < second.tx.count() < whole
+    assert not first.held and len(second.held) == 1

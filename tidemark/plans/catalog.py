@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,15 +38,24 @@ class Tables:
     """The chain of customer tables of one data folder, each built when first asked for.
 
     Tables that feed many queries are persisted when first computed; partitions that are lost are
-    built again from their lineage.
+    built again from their lineage. release() gives their storage back.
     """
 
     spark: SparkSession
     sf_dir: str
+    held: list[DataFrame] = field(default_factory=list)
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        self.held.append(df.persist())
+        return self.held[-1]
+
+    def release(self) -> None:
+        while self.held:
+            self.held.pop().unpersist()
 
     @cached_property
     def tx(self) -> DataFrame:
-        return canonical.transactions(self.spark, self.sf_dir).persist()
+        return self.kept(canonical.transactions(self.spark, self.sf_dir))
 
     @cached_property
     def master(self) -> DataFrame:
@@ -54,7 +63,7 @@ class Tables:
 
     @cached_property
     def features(self) -> DataFrame:
-        return cadence.customer_features(self.tx, self.master).persist()
+        return self.kept(cadence.customer_features(self.tx, self.master))
 
     @cached_property
     def momentum(self) -> DataFrame:
@@ -66,11 +75,11 @@ class Tables:
 
     @cached_property
     def value(self) -> DataFrame:
-        return value.customer_value(self.tx, self.features).persist()
+        return self.kept(value.customer_value(self.tx, self.features))
 
     @cached_property
     def priority(self) -> DataFrame:
-        return value.customer_priority(self.value, self.features, self.momentum, self.trend).persist()
+        return self.kept(value.customer_priority(self.value, self.features, self.momentum, self.trend))
 
     @cached_property
     def ltv(self) -> DataFrame:
@@ -82,7 +91,7 @@ class Tables:
 
     @cached_property
     def nba(self) -> DataFrame:
-        return decisions.next_best_action(self.priority, self.tx).persist()
+        return self.kept(decisions.next_best_action(self.priority, self.tx))
 
     @cached_property
     def records(self) -> DataFrame:
@@ -120,22 +129,36 @@ class Tables:
     @cached_property
     def scored(self) -> DataFrame:
         """A fixed score and outcome for checking the evaluation queries."""
-        return self.priority.select(ID, F.when(F.col("commercial_value_score") > 0, F.col("commercial_value_score") / 100).otherwise(0.005).alias("score"), F.col("active_customer").cast("int").alias("label")).persist()
+        return self.kept(self.priority.select(ID, F.when(F.col("commercial_value_score") > 0, F.col("commercial_value_score") / 100).otherwise(0.005).alias("score"), F.col("active_customer").cast("int").alias("label")))
+
 
+_TABLES: dict[tuple[str, int, str], tuple[frozenset, Tables]] = {}
 
-_TABLES: dict[tuple[str, int, str], Tables] = {}
+
+def input_state(spark: SparkSession, sf_dir: str) -> frozenset:
+    """Names, sizes and times of what lies in a data folder, from one listing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return frozenset((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found)
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The tables of a folder, shared by all queries of a session."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    """The tables of a folder, shared by all queries of a session while the folder's files stay as they are.
+
+    When they change, what was persisted is released and built anew.
+    """
+    key, state = (spark.sparkContext.applicationId, id(spark), sf_dir), input_state(spark, sf_dir)
+    if key in _TABLES and _TABLES[key][0] != state:
+        _TABLES.pop(key)[1].release()
     if key not in _TABLES:
-        _TABLES[key] = Tables(spark, sf_dir)
-    return _TABLES[key]
+        _TABLES[key] = state, Tables(spark, sf_dir)
+    return _TABLES[key][1]
 
 
 def forget(spark: SparkSession) -> None:
     """Drop all tables that queries shared, and their storage."""
+    for _, held in _TABLES.values():
+        held.release()
     _TABLES.clear()
     spark.catalog.clearCache()
 
