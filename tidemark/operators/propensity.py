@@ -24,10 +24,11 @@ CROSS_SELL = [*REENGAGEMENT[:13], "orders_prior_180d", "sales_prior_180d", "orde
 PROMOTION = ["discount_depth", "days_since_last_purchase", "customer_tenure_days", "lifetime_orders", "lifetime_sales", "lifetime_margin", "average_order_value", "average_discount_pct", "discounted_order_share", "lifetime_categories", "lifetime_channels", "lifetime_margin_rate", "orders_prior_180d", "sales_prior_180d", "margin_prior_180d", "categories_prior_180d", "channels_prior_180d", "avg_discount_prior_180d", "discounted_order_share_prior_180d", "offer_category_prior_orders", "offer_category_prior_sales", "offer_category_order_share", "offer_category_seen_before", "recent_margin_rate", "orders_per_30d_tenure", "campaign_month_sin", "campaign_month_cos"]
 PROMOTION_KINDS = {"campaign_channel": ("Email", "SMS", "App"), "offer_category": ("ECONOMY", "STANDARD", "PROMO", "MEDIUM", "SMALL", "LARGE")}
 FORBIDDEN = ("treatment_flag", "purchased_next_90d", "future_orders_90d", "future_sales_90d", "future_margin_90d", "new_categories", "new_category_count", "cross_sell_next_180d", "responded", ID, T)
-# Least AUC, PR lift, top-decile and top-quintile lift; greatest calibration gap.
+# Boosting rounds and leaves, least gains and bands of each model.
 ROUNDS = {"reengagement": (220, 35), "cross_sell": (250, 40), "promotion": (250, 40)}  # boosting rounds, least rows of a leaf
 DECILE_GAIN = {"cross_sell": 0.08, "promotion": 0.05}
 BANDS = {"promotion": (0.5, 0.6, 0.7)}
+# Least AUC, PR lift, top-decile and top-quintile lift; greatest calibration gap.
 GATES = {"reengagement": (0.55, 1.10, 1.20, None, 0.05), "cross_sell": (0.60, 1.10, 1.20, 1.12, 0.05), "promotion": (0.60, 1.08, 1.15, 1.10, 0.05)}
 
 
