@@ -57,7 +57,7 @@ def brute(rows: list[tuple]) -> list[tuple]:
 
 
 def found(df: DataFrame) -> list[tuple]:
-    assert df.columns == COLUMNS
+    assert df.dtypes == [(c, "string" if c == "ends_sha256" else "bigint") for c in COLUMNS]
     return sorted(map(tuple, df.collect()), key=str)
 
 

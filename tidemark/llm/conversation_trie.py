@@ -320,7 +320,7 @@ def trie_nodes(paths: DataFrame, *, run_bytes: int = RUN_BYTES, range_bytes: int
     names = [x.split(" ")[0] for x in NODE.split(", ")]
     parents = whole.select(F.col("key").alias("parent_key"), F.col("conv_id").alias("_up"))
     inner = found.where("not part").join(parents, "parent_key", "left").withColumn("parent_conv_id", F.coalesce("parent_conv_id", "_up"))
-    out = stored(inner.select(*names).unionByName(whole.select(*names)), "nodes")
+    out = stored(inner.select(*names).unionByName(whole.select(*names)).withColumn("depth", F.col("depth").cast("long")), "nodes")
     work.drop()
     return out
 
