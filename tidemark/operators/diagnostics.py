@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.quantiles import with_quantiles
 from tidemark.functions.scalars import safe_divide
 from tidemark.functions.windows import first_by
 
@@ -58,7 +59,7 @@ def enrichment(df: DataFrame, group: str, column: str) -> DataFrame:
 
 def segment_profile(df: DataFrame, segment: str, measures: Sequence[str]) -> DataFrame:
     """Customers and the median of each measure by segment."""
-    return df.groupBy(segment).agg(F.count("*").alias("customers"), *[F.median(m).alias(f"median_{m}") for m in measures])
+    return with_quantiles(df.groupBy(segment).agg(F.count("*").alias("customers")), df, [segment], {f"median_{m}": m for m in measures})
 
 
 def detection_summary(df: DataFrame, truth: str, detected: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.quantiles import group_quantiles
 from tidemark.functions.scalars import band, logit
 from tidemark.functions.windows import positions, qcut_labels, running_sums
 from tidemark.sources.formats import read_json, write_json
@@ -47,7 +48,7 @@ def split_by_time(df: DataFrame, train_from, validation, test) -> dict[str, Data
 def standardised(train: DataFrame, others: dict[str, DataFrame], features: Sequence[str]) -> dict[str, DataFrame]:
     """Missing values take the training median, then training mean 0 and population deviation 1, as one vector column."""
     check_no_leakage(features)
-    med = train.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in features]).head()
+    med = group_quantiles(train, [], {c: c for c in features}).head()
     fill = {c: (float(med[c]) if med and med[c] is not None else 0.0) for c in features}
     filled = lambda df: df.select("*", *[F.coalesce(F.col(c).cast("double"), F.lit(fill[c])).alias(f"_x_{c}") for c in features])
     stats = filled(train).agg(*[s for c in features for s in (F.avg(f"_x_{c}").alias(f"a_{c}"), F.stddev_pop(f"_x_{c}").alias(f"s_{c}"))]).head()

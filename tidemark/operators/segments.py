@@ -10,6 +10,7 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import group_quantiles
 from tidemark.functions.scalars import safe_divide
 from tidemark.operators.cadence import cadence_features
 from tidemark.sources.storage import stored
@@ -45,7 +46,7 @@ def clustering_features(tx: DataFrame) -> DataFrame:
 def prepared(features: DataFrame) -> DataFrame:
     """log1p of four columns, exact medians for missing values, then zero mean and unit population deviation."""
     x = features.select(ID, *[(F.log1p(c) if c in LOGGED else F.col(c).cast("double")).alias(c) for c in FEATURES])
-    med = x.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in FEATURES])
+    med = group_quantiles(x, [], {f"_m_{c}": c for c in FEATURES})
     x = x.crossJoin(F.broadcast(med)).select(ID, *[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) for c in FEATURES])  # one row
     stats = x.agg(*[s for c in FEATURES for s in (F.avg(c).alias(f"_a_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
     z = x.crossJoin(F.broadcast(stats))  # one row

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.quantiles import with_quantiles
 from tidemark.functions.scalars import cents, safe_divide
 
 ID = "golden_customer_id"
@@ -52,8 +53,9 @@ def exposure_by_group(priority: DataFrame) -> DataFrame:
 
 def segment_summary(priority: DataFrame) -> DataFrame:
     """Medians, rates and share of customers of each RFM segment."""
-    g = priority.groupBy("rfm_segment").agg(F.count("*").alias("customers"), F.median("orders").alias("median_orders"), F.median("recency_days").alias("median_recency"), F.avg(F.col("active_customer").cast("int")).alias("active_rate"), F.sum(F.when(F.col("customer_value_tier").isin("High", "Very High"), 1).otherwise(0)).alias("high_value"))
-    return g.withColumn("share", F.col("customers") / F.sum("customers").over(Window.partitionBy()))  # a row for each segment
+    g = priority.groupBy("rfm_segment").agg(F.count("*").alias("customers"), F.avg(F.col("active_customer").cast("int")).alias("active_rate"), F.sum(F.when(F.col("customer_value_tier").isin("High", "Very High"), 1).otherwise(0)).alias("high_value"))
+    g = g.withColumn("share", F.col("customers") / F.sum("customers").over(Window.partitionBy()))  # a row for each segment
+    return with_quantiles(g, priority, ["rfm_segment"], {"median_orders": "orders", "median_recency": "recency_days"})
 
 
 def value_mix(priority: DataFrame) -> DataFrame:
@@ -149,7 +151,8 @@ def search_customers(master: DataFrame, text: str) -> DataFrame:
 
 def lapse_by_lifecycle(features: DataFrame) -> DataFrame:
     """Customers and median lapse ratio of each lifecycle status."""
-    return features.groupBy("lifecycle_status").agg(F.count("*").alias("customers"), F.median("adjusted_lapse_ratio").alias("median_lapse_ratio"))
+    g = features.groupBy("lifecycle_status").agg(F.count("*").alias("customers"))
+    return with_quantiles(g, features, ["lifecycle_status"], {"median_lapse_ratio": "adjusted_lapse_ratio"})
 
 
 def commercial_summary(priority: DataFrame) -> DataFrame:
