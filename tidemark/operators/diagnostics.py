@@ -29,6 +29,42 @@ def cluster_contamination(resolution: DataFrame) -> DataFrame:
     return g.select(ID, "records", "true_people", (pairs(F.col("records")) - F.col("true_pairs")).alias("false_pairs"))
 
 
+def false_pairs(resolution: DataFrame) -> DataFrame:
+    """Golden customers that hold several true people: their false pairs from group sizes, and on what the links rest."""
+    pairs = lambda n: n * (n - 1) / 2
+    per = resolution.groupBy(ID, TRUTH).agg(F.count("*").alias("c"), F.sum("match_confidence").alias("s"), F.count("match_confidence").alias("k"), F.min("match_confidence").alias("least"), F.collect_set("match_method").alias("how"))
+    g = per.groupBy(ID).agg(
+        F.sum("c").alias("records"),
+        F.count("*").alias("true_people"),
+        F.sum(pairs(F.col("c"))).alias("true_pairs"),
+        F.max("c").alias("largest_person_records"),
+        F.try_divide(F.sum("s"), F.sum("k")).alias("mean_confidence"),
+        F.min("least").alias("least_confidence"),
+        F.concat_ws(" | ", F.array_sort(F.array_distinct(F.flatten(F.collect_set("how"))))).alias("methods"),  # sets of a few methods
+    )
+    return g.where("true_people > 1").withColumn("false_pairs", (pairs(F.col("records")) - F.col("true_pairs")).cast("long")).drop("true_pairs")
+
+
+def variant_diagnostics(resolution: DataFrame) -> DataFrame:
+    """Records of each kind of variant, and those whose golden customer holds several true people."""
+    per = resolution.groupBy(ID, TRUTH, "variant_type").agg(F.count("*").alias("c"))
+    mixed = per.groupBy(ID).agg((F.min(TRUTH) != F.max(TRUTH)).alias("contaminated"))
+    g = per.join(mixed, ID).groupBy("variant_type").agg(F.sum("c").alias("records"), F.sum(F.when(F.col("contaminated"), F.col("c")).otherwise(0)).alias("contaminated_records"))
+    return g.withColumn("contamination_rate", F.col("contaminated_records") / F.col("records"))
+
+
+def household_cases(resolution: DataFrame) -> DataFrame:
+    """For each household case its records, true people and golden customers; fewer of these than people is a wrong merge."""
+    g = resolution.where("household_case_id is not null").groupBy("household_case_id").agg(F.count("*").alias("records"), F.countDistinct(TRUTH).alias("true_people"), F.countDistinct(ID).alias("golden_customers"))
+    return g.withColumn("wrongly_merged", F.col("golden_customers") < F.col("true_people"))
+
+
+def household_summary(cases: DataFrame) -> DataFrame:
+    """Records and cases of households, and how many were wrongly merged, in one row; all 0 without cases."""
+    one = cases.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("household_records"), F.count("*").alias("household_cases"), F.count_if("wrongly_merged").alias("household_cases_merged"))
+    return one.withColumn("household_merge_rate", F.coalesce(F.try_divide("household_cases_merged", "household_cases"), F.lit(0.0)))
+
+
 def match_methods(resolution: DataFrame) -> DataFrame:
     """Records, golden customers and mean confidence by how a record was matched."""
     return resolution.groupBy("match_method").agg(F.count("*").alias("records"), F.countDistinct(ID).alias("golden_customers"), F.avg("match_confidence").alias("mean_confidence"), F.min("match_confidence").alias("least_confidence"))

@@ -97,6 +97,21 @@ class Tables:
     def records(self) -> DataFrame:
         return canonical.identity_records(self.spark, self.sf_dir)
 
+    @cached_property
+    def households(self) -> DataFrame:
+        """Identity records in which pairs of people share an address."""
+        return canonical.ambiguous_households(self.records)
+
+    @cached_property
+    def household_resolution(self) -> DataFrame:
+        """Linking that saw no column of the truth, with the truth beside it."""
+        hidden = ["true_person_id", "variant_type", "household_case_id"]
+        return identity.resolve(self.households.drop(*hidden))[0].join(self.households.select("identity_record_id", *hidden), "identity_record_id")
+
+    @cached_property
+    def address_keys(self) -> DataFrame:
+        return identity.address_key_resolution(self.households)
+
     @cached_property
     def clusterings(self) -> DataFrame:
         return segments.evaluate_clusters(segments.clustering_features(self.tx))
@@ -364,3 +379,15 @@ add("uniform_sample", lambda t: views.uniform_sample(t.master, 100).select(ID, "
 add("slugged_columns", lambda t: views.slugged(t.tx.groupBy("channel").agg(F.count("*").alias("Orders & Lines"), F.round(F.sum("net_sales"), 2).alias("Net Sales ($)"))), f"SELECT channel, CAST(count(*) AS BIGINT) AS orders_lines, {r4('floor(sum(net_sales)*100+0.5)/100')} AS net_sales FROM tx GROUP BY 1")
 add("formatted_kpis", lambda t: views.formatted_kpis(views.executive_kpis(t.priority)), "SELECT format('{:,}', count(*)) AS customers, printf('%.1f', 100*avg(active_customer::INT))||'%' AS active_rate, '$'||format('{:,}', CAST(round(sum(trailing_12m_sales)) AS BIGINT)) AS trailing_sales FROM prio")
 add("truth_bridge", lambda t: diagnostics.truth_bridge(t.resolution[0]))
+
+
+# households of two people: how linking, and the plain rule of one customer an address, stand them
+add("identity_households", lambda t: t.households.where("household_case_id is not null").select("identity_record_id", "household_case_id", "variant_type", "address", "postcode"), "SELECT identity_record_id, household_case_id, variant_type, address, postcode FROM idhr WHERE household_case_id IS NOT NULL")
+add("household_diagnostics", lambda t: diagnostics.household_summary(diagnostics.household_cases(t.household_resolution)))
+add("household_variants", lambda t: diagnostics.variant_diagnostics(t.household_resolution))
+add("household_false_pairs", lambda t: diagnostics.false_pairs(t.household_resolution))
+add("household_evaluation", lambda t: identity.evaluate(t.household_resolution))
+add("address_key_households", lambda t: diagnostics.household_summary(diagnostics.household_cases(t.address_keys)), f"SELECT CAST(sum(r) AS BIGINT) AS household_records, CAST(count(*) AS BIGINT) AS household_cases, CAST(count(*) FILTER (g<p) AS BIGINT) AS household_cases_merged, {r4('(count(*) FILTER (g<p))/count(*)::DOUBLE')} AS household_merge_rate FROM (SELECT count(*) r, count(DISTINCT person) p, count(DISTINCT golden) g FROM idhk WHERE household_case_id IS NOT NULL GROUP BY household_case_id)")
+add("address_key_variants", lambda t: diagnostics.variant_diagnostics(t.address_keys), f"SELECT variant_type, CAST(count(*) AS BIGINT) AS records, CAST(count(*) FILTER (people>1) AS BIGINT) AS contaminated_records, {r4('(count(*) FILTER (people>1))/count(*)::DOUBLE')} AS contamination_rate FROM idhk JOIN idhg USING (golden) GROUP BY 1")
+add("address_key_false_pairs", lambda t: diagnostics.false_pairs(t.address_keys), "SELECT golden AS golden_customer_id, CAST(n AS BIGINT) AS records, CAST(people AS BIGINT) AS true_people, CAST(most AS BIGINT) AS largest_person_records, CAST(0.9 AS DOUBLE) AS mean_confidence, CAST(0.9 AS DOUBLE) AS least_confidence, 'Address Key' AS methods, CAST((n*(n-1)-own)/2 AS BIGINT) AS false_pairs FROM idhg WHERE people>1")
+add("address_key_evaluation", lambda t: identity.evaluate(t.address_keys).select("tp", "predicted", "actual", "golden_customers", "true_customers", "precision", "recall", "false_merge_rate", "missed_link_rate", "f1"), "SELECT " + cols("golden_customers, true_customers") + ", " + ", ".join(f"{r4(x)} AS {n}" for n, x in (("tp", "tp"), ("predicted", "predicted"), ("actual", "actual"), ("precision", "tp/predicted"), ("recall", "tp/actual"), ("false_merge_rate", "1-tp/predicted"), ("missed_link_rate", "1-tp/actual"), ("f1", "2*tp/(predicted+actual)"))) + " FROM (SELECT (SELECT sum(own)/2.0::DOUBLE FROM idhg) tp, (SELECT sum(n*(n-1))/2.0::DOUBLE FROM idhg) predicted, (SELECT count(*) FROM idhg) golden_customers, (SELECT sum(c*(c-1))/2.0::DOUBLE FROM (SELECT count(*) c FROM idhk GROUP BY person)) actual, (SELECT count(DISTINCT person) FROM idhk) true_customers)")

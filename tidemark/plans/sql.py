@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from tidemark.functions.scalars import STREET_TYPES
-from tidemark.sources.canonical import FIRST_NAMES, LAST_NAMES, STREETS
+from tidemark.sources.canonical import FIRST_NAMES, LAST_NAMES, STREETS, VARIANTS
 
 AS_OF = "DATE '2001-07-31'"
 
@@ -195,6 +195,16 @@ CTES.update({
     "idz": "SELECT key, count(*) n FROM idb WHERE key IS NOT NULL GROUP BY key",
 })
 
+# households of two people, and one golden customer for each address and postcode
+CTES.update({
+    "idhv": f"SELECT printf('IDR_%07d_%02d', person, k) identity_record_id, person, k, {choose(VARIANTS, 'noise')} variant, CASE WHEN noise=8 THEN replace(st,'Street','St') ELSE st END own_address, CAST(2000+{bucket('person', 'postcode', 800)} AS VARCHAR) own_postcode FROM idp",
+    "idhp": f"SELECT *, row_number() OVER (ORDER BY md5('pair'||CAST(person AS VARCHAR)), person) r, count(*) OVER () n FROM (SELECT person, min(own_address) a, min(own_postcode) b FROM idhv WHERE variant='Canonical' AND {bucket('person', 'household', 1000)}<50 GROUP BY person)",
+    "idhc": "SELECT y.person, (y.r+1)//2 c, CASE WHEN y.r%2=0 THEN x.a END a, CASE WHEN y.r%2=0 THEN x.b END b FROM idhp y JOIN idhp x ON x.r=y.r-(CASE WHEN y.r%2=0 THEN 1 ELSE 0 END) WHERE y.r<y.n OR y.n%2=0",
+    "idhr": "SELECT identity_record_id, v.person, CASE WHEN c IS NOT NULL THEN printf('HH_%07d', c) END household_case_id, variant||CASE WHEN a IS NOT NULL THEN ' | Shared Household' ELSE '' END variant_type, coalesce(a, own_address) address, coalesce(b, own_postcode) postcode FROM idhv v LEFT JOIN idhc h ON h.person=v.person",
+    "idhk": f"SELECT *, {_CLEAN(_STREET)}||'|'||postcode golden FROM idhr",
+    "idhg": "SELECT golden, sum(c) n, count(*) people, max(c) most, sum(c*(c-1)) own FROM (SELECT golden, person, count(*) c FROM idhk GROUP BY 1,2) GROUP BY golden",
+})
+
 # the recommendation on the history up to an earlier day, and what was bought in the 180 days after it
 _OLD = ("pen", "cm0", "cm1", "cmar", "own", "adj", "cand", "sc0", "sc1", "sco")
 CTES.update({f"old_{n}": re.sub(rf"\b({'|'.join(('tx', *_OLD))})\b(?![.(])", r"old_\1", CTES[n]) for n in _OLD})

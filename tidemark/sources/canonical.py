@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Config
 from tidemark.functions.scalars import cents
+from tidemark.functions.windows import positions
 
 # Parts from which identity records and campaigns are made.
 FIRST_NAMES = ("olivia", "noah", "amelia", "jack", "isla", "leo", "mia", "henry", "ava", "lucas", "grace", "ethan", "zoe", "liam", "ruby", "owen")
 LAST_NAMES = ("nguyen", "smith", "patel", "williams", "brown", "jones", "garcia", "wilson", "taylor", "martin", "anderson", "thompson", "walker", "harris", "lewis", "young")
 STREETS = ("High Street", "Station Road", "Park Avenue", "Church Street", "Victoria Drive", "King Street", "Mill Road", "Queen Court")
+VARIANTS = ("Canonical", "First Initial", "Surname Typo", "Missing Email", "Email Case", "Email Alias", "Missing Phone", "Phone Format", "Address Abbreviation", "Exact Copy")
 CHANNELS = ("Email", "SMS", "App")
 DEPTHS = (0.10, 0.15, 0.20, 0.25)
 CAMPAIGNS = tuple(f"{y}-{m}-15" for y in (1999, 2000, 2001) for m in ("02", "05", "08", "11") if (y, m) <= (2001, "05"))
@@ -66,7 +68,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """1 to 5 fragments a customer with md5-chosen noise; true_person_id is for evaluation only."""
+    """1 to 5 fragments a customer with md5-chosen noise; variant_type and true_person_id are for evaluation only."""
     person = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person"))
     draw = bucket(F.col("person"), "fragments", 100)
     count = F.when(draw < 64, 1).when(draw < 87, 2).when(draw < 96, 3).when(draw < 99, 4).otherwise(5)
@@ -91,10 +93,33 @@ def identity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         (2000 + bucket(F.col("person"), "postcode", 800)).cast("string").alias("postcode"),
         F.when(F.col("k") == 1, "Primary").otherwise("Fragment").alias("source_role"),
         (system.isin("POS", "Ecommerce", "Loyalty")).alias("transaction_eligible"),
+        choose(VARIANTS, noise).alias("variant_type"),
         F.col("person").alias("true_person_id"),
     )
 
 
+def ambiguous_households(records: DataFrame, per_thousand: int = 50, same_name: bool = False) -> DataFrame:
+    """Records in which pairs of people live at one address, as household_case_id tells; null for all others.
+
+    People drawn by their md5 are paired in the order of another md5; the second of a pair takes the
+    address and postcode of the first, with same_name the family name too, and its variant_type says
+    so. People without an address or postcode are never drawn, and of an odd number the last stays alone.
+    """
+    person = F.col("true_person_id")
+    home = records.where("variant_type = 'Canonical' and address is not null and postcode is not null").where(bucket(person, "household", 1000) < per_thousand)
+    home = home.groupBy("true_person_id").agg(F.min(F.struct("address", "postcode", "last_name")).alias("home"))
+    order = F.md5(F.concat(F.lit("pair"), person.cast("string")).cast("binary"))
+    ranked = positions(home, [order, person], "true_person_id").where("_rank < _n or _n % 2 = 0").select("true_person_id", F.expr("(_rank + 1) div 2").alias("case"), (F.col("_rank") % 2 == 0).alias("second"))
+    first = ranked.where("not second").join(home, "true_person_id").select("case", "home")
+    dealt = ranked.join(first, "case").select("true_person_id", "case", F.when(F.col("second"), F.col("home")).alias("home"))
+    shared = F.col("home").isNotNull()
+    taken = lambda c: F.when(shared, F.col(f"home.{c}")).otherwise(F.col(c)).alias(c)
+    moved = ["address", "postcode", *(["last_name"] if same_name else [])]
+    variant = F.when(shared, F.concat("variant_type", F.lit(" | Shared Household"))).otherwise(F.col("variant_type")).alias("variant_type")
+    kept = [taken(c) if c in moved else variant if c == "variant_type" else F.col(c) for c in records.columns]
+    return records.join(dealt, "true_person_id", "left").select(*kept, F.format_string("HH_%07d", "case").alias("_hh"), "case").select(*records.columns, F.when(F.col("case").isNotNull(), F.col("_hh")).alias("household_case_id"))
+
+
 def campaign_exposures(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
     """Customers with two earlier orders and 90 days of tenure, by campaign; audience, treatment and offer come from md5 buckets."""
     tx = transactions(spark, sf_dir, cfg)
