@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import activation, decisions, growth, identity, views
 from tidemark.plans import catalog
 
-CHECKED = ["transactions_canonical", "campaign_exposures", "customer_features", "customer_momentum", "cadence_trend", "rfm_scores", "customer_value", "customer_priority", "customer_ltv", "cohort_retention", "movement_events", "growth_monthly", "cohort_summary", "value_funnel", "reengagement_training", "cross_sell_training", "promotion_training", "category_recommendations", "action_scores", "next_best_action", "nba_lifetime_value", "evaluate_predictions", "lift_table", "segment_summary", "lifecycle_by_tier", "retention_heatmap", "stratified_sample", "growth_signals", "segment_enrichment", "reengagement_baseline", "identity_normalised", "identity_candidates", "identity_dropped_blocks", "identity_households", "address_key_households", "address_key_variants", "address_key_false_pairs", "address_key_evaluation", "event_windows_stream", "event_sliding_stream", "event_sessions_stream", "movement_stream"]
+CHECKED = ["transactions_canonical", "campaign_exposures", "customer_features", "customer_momentum", "cadence_trend", "rfm_scores", "customer_value", "customer_priority", "customer_ltv", "cohort_retention", "movement_events", "growth_monthly", "cohort_summary", "value_funnel", "reengagement_training", "cross_sell_training", "promotion_training", "category_recommendations", "action_scores", "next_best_action", "nba_lifetime_value", "evaluate_predictions", "lift_table", "segment_summary", "lifecycle_by_tier", "retention_heatmap", "stratified_sample", "growth_signals", "segment_enrichment", "reengagement_baseline", "identity_normalised", "identity_candidates", "identity_dropped_blocks", "identity_households", "address_key_households", "address_key_variants", "address_key_false_pairs", "address_key_evaluation", "explorer_profile", "explorer_monthly_history", "explorer_gap_series", "explorer_channel_mix", "explorer_category_mix", "explorer_latest", "event_windows_stream", "event_sliding_stream", "event_sessions_stream", "movement_stream"]
 
 
 def plain(v: object) -> object:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.config import DEFAULT
-from tidemark.operators import activation, cadence, decisions, diagnostics, growth, identity, propensity, segments, snapshots, value, views
+from tidemark.operators import activation, cadence, decisions, diagnostics, explorer, growth, identity, propensity, segments, snapshots, value, views
 from tidemark.plans.sql import cents, r4, with_ctes
 from tidemark.sources import canonical, formats
 from tidemark.sources.storage import new_path
@@ -112,6 +112,14 @@ class Tables:
     def address_keys(self) -> DataFrame:
         return identity.address_key_resolution(self.households)
 
+    @cached_property
+    def explorer(self) -> explorer.Explorer:
+        return explorer.Explorer.of(self.tx, self.features)
+
+    @cached_property
+    def busiest(self) -> int:
+        return explorer.busiest(self.tx)
+
     @cached_property
     def clusterings(self) -> DataFrame:
         return segments.evaluate_clusters(segments.clustering_features(self.tx))
@@ -391,3 +399,13 @@ add("address_key_households", lambda t: diagnostics.household_summary(diagnostic
 add("address_key_variants", lambda t: diagnostics.variant_diagnostics(t.address_keys), f"SELECT variant_type, CAST(count(*) AS BIGINT) AS records, CAST(count(*) FILTER (people>1) AS BIGINT) AS contaminated_records, {r4('(count(*) FILTER (people>1))/count(*)::DOUBLE')} AS contamination_rate FROM idhk JOIN idhg USING (golden) GROUP BY 1")
 add("address_key_false_pairs", lambda t: diagnostics.false_pairs(t.address_keys), "SELECT golden AS golden_customer_id, CAST(n AS BIGINT) AS records, CAST(people AS BIGINT) AS true_people, CAST(most AS BIGINT) AS largest_person_records, CAST(0.9 AS DOUBLE) AS mean_confidence, CAST(0.9 AS DOUBLE) AS least_confidence, 'Address Key' AS methods, CAST((n*(n-1)-own)/2 AS BIGINT) AS false_pairs FROM idhg WHERE people>1")
 add("address_key_evaluation", lambda t: identity.evaluate(t.address_keys).select("tp", "predicted", "actual", "golden_customers", "true_customers", "precision", "recall", "false_merge_rate", "missed_link_rate", "f1"), "SELECT " + cols("golden_customers, true_customers") + ", " + ", ".join(f"{r4(x)} AS {n}" for n, x in (("tp", "tp"), ("predicted", "predicted"), ("actual", "actual"), ("precision", "tp/predicted"), ("recall", "tp/actual"), ("false_merge_rate", "1-tp/predicted"), ("missed_link_rate", "1-tp/actual"), ("f1", "2*tp/(predicted+actual)"))) + " FROM (SELECT (SELECT sum(own)/2.0::DOUBLE FROM idhg) tp, (SELECT sum(n*(n-1))/2.0::DOUBLE FROM idhg) predicted, (SELECT count(*) FROM idhg) golden_customers, (SELECT sum(c*(c-1))/2.0::DOUBLE FROM (SELECT count(*) c FROM idhk GROUP BY person)) actual, (SELECT count(DISTINCT person) FROM idhk) true_customers)")
+
+
+# the explorer's lookups of the customer with the most orders, in tables bucketed by customer
+_BUSIEST = "tx WHERE golden_customer_id = (SELECT golden_customer_id FROM tx GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+add("explorer_profile", lambda t: t.explorer.profile(t.busiest).select(ID, "orders", "lifecycle_status", "adjusted_lapse_ratio"), f"SELECT golden_customer_id, CAST(orders AS BIGINT) AS orders, lifecycle_status, {r4('adjusted_lapse_ratio')} AS adjusted_lapse_ratio FROM feat WHERE golden_customer_id = (SELECT golden_customer_id FROM tx GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)")
+add("explorer_monthly_history", lambda t: t.explorer.monthly_history(t.busiest), f"SELECT CAST(date_trunc('month',transaction_date) AS DATE) AS month, CAST(count(DISTINCT order_id) AS BIGINT) AS orders, {r4('sum(net_sales)')} AS sales, {r4('sum(gross_margin)')} AS margin FROM {_BUSIEST} GROUP BY 1")
+add("explorer_gap_series", lambda t: t.explorer.gap_series(t.busiest), f"SELECT * FROM (SELECT transaction_date, CAST(row_number() OVER (ORDER BY transaction_date) AS BIGINT) AS purchase, CAST(date_diff('day', lag(transaction_date) OVER (ORDER BY transaction_date), transaction_date) AS BIGINT) AS gap_days FROM (SELECT DISTINCT transaction_date FROM {_BUSIEST})) WHERE gap_days IS NOT NULL")
+for _c in ("channel", "category"):
+    add(f"explorer_{_c}_mix", lambda t, c=_c: t.explorer.mix(t.busiest, c), f"SELECT {_c}, CAST(count(*) AS BIGINT) AS orders, {r4('sum(net_sales)')} AS sales, {r4('sum(net_sales)/sum(sum(net_sales)) OVER ()')} AS sales_share FROM {_BUSIEST} GROUP BY 1")
+add("explorer_latest", lambda t: t.explorer.latest(t.busiest), f"SELECT order_id, transaction_date, channel, category, {r4('net_sales')} AS net_sales FROM {_BUSIEST} ORDER BY transaction_date DESC, order_id DESC LIMIT 20")
