@@ -40,23 +40,22 @@ def private_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order that follows the sources' target weights."""
+    """All documents in the order that follows the sources' target weights; the packing stage reads it from the files."""
     return mixing.mixed_order(docs, mixing.temperature_weights(docs), block_docs=BLOCK_DOCS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and offsets; pieces of one length come in the mixed order.
+    """The pieces of all documents with their sequences and offsets; pieces of one length come in the order of the files.
 
-    Parquet keeps no order of rows, so the mix is computed again; it depends on the documents alone. Texts are
-    tokenised and hashed where they are read: only pieces and places in the mix, a few numbers each, are shuffled.
+    That is the order which the mixing stage gave them. Documents that are not read from Parquet files have no order yet:
+    they are mixed and written first. Texts are tokenised where they are read: only pieces and their places, a few
+    numbers each, are shuffled.
     """
-    keyed = docs.select("doc_id", "text", "source", mixing.text_digest().alias("digest"), F.monotonically_increasing_id().alias("row"))
-    pieces = stored(packing.pieces_of(keyed, default_path("word_bpe_49k.json"), capacity=4096, end_id=1, order=("source", "digest", "row")), "pieces")
-    each = pieces.where("piece = 0").select("doc_id", "source", "digest", "row")  # with an end id, every document has a first piece
-    mixed = mixing.mix(each, mixing.temperature_weights(each), block_docs=BLOCK_DOCS, digest="digest")
-    placed = stored(pieces.drop("source", "digest").join(mixed.select("row", "slot", "mix_source", "place"), "row").drop("row"), "placed-pieces")
-    return packing.pack(placed, capacity=4096, order=("slot", "mix_source", "place"))
-
+    placed = mixing.file_places(docs, "doc_id", "text")
+    if placed is None:
+        placed = mixing.file_places(stored(mixing_stage(spark, docs, sf_dir), "source-mixing"), "doc_id", "text")
+    pieces = stored(packing.pieces_of(placed, default_path("word_bpe_49k.json"), capacity=4096, end_id=1, order=("file", "row")), "pieces")
+    return packing.pack(stored(mixing.in_file_order(pieces), "placed-pieces"), capacity=4096, order=("at",))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ import corpus_pipeline
 from tests.llm.test_jaccard import brute_components
 from tests.llm.test_quality import base
 from tidemark.llm import mixing, packing
+from tidemark.llm.common import stored
 from tidemark.llm.tokens import default_path
 
 
@@ -62,3 +65,52 @@ def test_sequences_follow_the_mix(spark: SparkSession, small: str, monkeypatch:
         return ids
 
     assert packed(exponent=0.0) != packed(exponent=3.0)
+
+
+def equal_texts(spark: SparkSession) -> DataFrame:
+    return spark.range(240).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "rare").otherwise("hot").alias("source"), F.lit("the same words " * 400).alias("text"))
+
+
+def in_sequence(packed: DataFrame) -> list[int]:
+    return [r.doc_id for r in packed.orderBy("sequence_id", "offset").collect()]
+
+
+def test_packing_follows_what_the_mixing_stage_wrote(spark: SparkSession, small: str, tmp_path: Path) -> None:
+    docs = equal_texts(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for exponent in (0.0, 3.0):
+            weights = mixing.temperature_weights(docs, exponent=exponent)
+            place = {r.doc_id: (r.slot, r.mix_source, r.place) for r in mixing.mix(docs, weights).collect()}
+            path = str(tmp_path / f"mixed-{exponent}")
+            mixing.mixed_order(docs, weights).write.option("maxRecordsPerFile", 17).parquet(path)
+            mixed = spark.read.parquet(path)
+            assert len(mixed.inputFiles()) > 10
+            assert in_sequence(corpus_pipeline.packing_stage(spark, mixed, small)) == sorted(place, key=place.get)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_run_differs_without_the_mixing_stage(spark: SparkSession, tmp_path: Path, monkeypatch: pytest.MonkeyPatch) -> None:
+    docs = equal_texts(spark)
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    place = {r.doc_id: (r.slot, r.mix_source, r.place) for r in mixing.mix(docs, mixing.temperature_weights(docs)).collect()}
+    stages = corpus_pipeline.STAGES
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages[-2:])
+    assert in_sequence(corpus_pipeline.run(spark, str(tmp_path))) == sorted(place, key=place.get)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages[-1:])
+    assert in_sequence(corpus_pipeline.run(spark, str(tmp_path))) == list(range(240))
+
+
+def test_places_in_files(spark: SparkSession, tmp_path: Path) -> None:
+    """Files come by number, and a file's rows by place, whatever the order of reading; clashing names do no harm."""
+    names = [f"part-{n}-{u}-c{c}.snappy.parquet" for n, u, c in (("00002", "u", "000"), ("00010", "u", "000"), ("00010", "u", "999"), ("00010", "u", "1000"), ("100000", "u", "000"), ("99999", "u", "000"))]
+    rows = [(f"file:///x/{name}", row, f"{name} {row}") for name in names for row in range(3)]
+    placed = stored(spark.createDataFrame(rows, "file string, row long, what string"), "places")
+    order = [names[i] for i in (0, 1, 2, 3, 5, 4)]
+    got = mixing.in_file_order(placed).orderBy("at").collect()
+    assert [(r.at, r.what) for r in got] == [(3 * i + k, f"{name} {k}") for i, name in enumerate(order) for k in range(3)]
+    path = str(tmp_path / "clash")
+    spark.range(5).select("id", F.lit("own").alias("_metadata"), F.lit("own").alias("file")).coalesce(1).write.parquet(path)
+    assert [r.row for r in mixing.file_places(spark.read.parquet(path), "id").orderBy("id").collect()] == list(range(5))
+    assert mixing.file_places(spark.range(5), "id") is None

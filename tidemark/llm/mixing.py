@@ -12,6 +12,7 @@ or repeated; the one-block bound holds up to the first slot that a finished sour
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -116,3 +117,28 @@ def mixed_order(docs: DataFrame, weights: DataFrame, *, block_docs: int = 16) ->
     """The documents themselves, sorted into the mixed order; no row is dropped."""
     placed = mix(docs, weights, block_docs=block_docs)
     return placed.orderBy("slot", "mix_source", "place").select(*docs.columns)
+
+
+def file_places(docs: DataFrame, *columns: str) -> DataFrame | None:
+    """The columns, and each row's file and row in it; None where docs have no such places, as they are not read from Parquet.
+
+    Reading keeps no order of rows, but each still knows its place in the files, so a written mixed_order is not lost.
+    """
+    try:
+        read = docs.metadataColumn("_metadata")  # also where docs have a column of that name
+        return docs.select(*columns, read["file_path"].alias("file"), read["row_index"].alias("row"))
+    except AnalysisException:
+        return None
+
+
+def in_file_order(placed: DataFrame) -> DataFrame:
+    """Put `at`, the place in all files together, in the place of file and row; rows of one place stay together.
+
+    Spark numbers the files of a sorted table by its partitions. Rows before a file are summed over the files,
+    a row each, which Spark broadcasts if their table's size allows. `placed` is read twice, so pass a stored table.
+    """
+    number = F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).try_cast("long")
+    earlier = Window.partitionBy().orderBy(number, F.length("file"), "file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    files = placed.groupBy("file").agg((F.max("row") + 1).alias("_n"))
+    starts = stored(files.select("file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("long").alias("_start")), "file-starts")
+    return placed.join(starts, "file").withColumn("at", F.col("_start") + F.col("row")).drop("file", "row", "_start")
