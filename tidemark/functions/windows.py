@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,18 +11,18 @@ from pyspark.sql.window import Window
 from tidemark.sources.storage import stored
 
 
-def running_sums(values: DataFrame, key: str, sums: list[str]) -> DataFrame:
-    """Add {c}_below (the sum of c over smaller keys) and {c}_total for each c; key is unique and not null.
+def running_sums(values: DataFrame, key: str, sums: list[str], by: Sequence[str] = ()) -> DataFrame:
+    """Add {c}_below (the sum of c over smaller keys) and {c}_total for each c; key is unique and not null, in each group of `by` where given.
 
     Rows are dealt by ranges of the key and written, so that the ranges stay the same for both
-    readings; only one row for each range is summed in one task.
+    readings; only one row for each range (and group) is summed in one task.
     """
-    ranged = stored(values.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ranges")
-    parts = ranged.groupBy("_part").agg(*[F.sum(c).alias(c) for c in sums])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    parts = parts.select("_part", *[x for c in sums for x in (F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}_before"), F.sum(c).over(Window.partitionBy()).alias(f"{c}_total"))])
-    inside = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.join(F.broadcast(parts), "_part")
+    ranged = stored(values.repartitionByRange(*by, key).withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = ranged.groupBy("_part", *by).agg(*[F.sum(c).alias(c) for c in sums])
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    parts = parts.select("_part", *by, *[x for c in sums for x in (F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}_before"), F.sum(c).over(Window.partitionBy(*by)).alias(f"{c}_total"))])
+    inside = Window.partitionBy("_part", *by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(F.broadcast(parts), ["_part", *by])
     return placed.select(*values.columns, *[x for c in sums for x in ((F.col(f"_{c}_before") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_below"), F.col(f"{c}_total"))])
 
 
@@ -42,19 +44,20 @@ def pct_rank_average(df: DataFrame, value: str, out: str, source: DataFrame | No
     return placed.withColumn(out, (F.col("_p_below") + (F.col("_p_ties") + 1) / 2) / F.col("_p_n")).drop("_p_below", "_p_ties", "_p_n")
 
 
-def positions(df: DataFrame, order: list[Column], key: str) -> DataFrame:
+def positions(df: DataFrame, order: list[Column], key: str, by: Sequence[str] = (), beside: Sequence[str] = ()) -> DataFrame:
     """(key, _rank from 1, _n): the place of each row in a total order, without a sort or a tied value in one task.
 
     Rows are dealt by ranges of the whole order and written, so a value that many rows share is split
-    by what follows it; only one row for each range is summed in one task. key is unique.
+    by what follows it; only one row for each range is summed in one task. key is unique. With `by`,
+    places in each group, whose columns stand first; `beside` names columns that stay beside the key.
     """
-    named = df.select(F.col(key), *[c.alias(f"_o{i}") for i, c in enumerate(order)])
-    by = [F.col(f"_o{i}") for i in range(len(order))]
-    ranged = stored(named.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "ranges")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    parts = ranged.groupBy("_part").agg(F.count("*").alias("_c")).select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
-    return ranged.join(F.broadcast(parts), "_part").select(key, (F.col("_before") + inside).alias("_rank"), "_n")
+    named = df.select(*by, F.col(key), *beside, *[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    o = [F.col(f"_o{i}") for i in range(len(order))]
+    ranged = stored(named.repartitionByRange(*by, *o).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    parts = ranged.groupBy("_part", *by).agg(F.count("*").alias("_c")).select("_part", *by, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(*by)).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*o))
+    return ranged.join(F.broadcast(parts), ["_part", *by]).select(*by, key, *beside, (F.col("_before") + inside).alias("_rank"), "_n")
 
 
 def quintile_first(df: DataFrame, value: str, key: str, out: str, source: DataFrame | None = None) -> DataFrame:

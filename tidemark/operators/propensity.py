@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window
 from tidemark.functions.quantiles import group_quantiles
 from tidemark.functions.scalars import band, logit
 from tidemark.functions.windows import positions, qcut_labels, running_sums
+from tidemark.session import together
 from tidemark.sources.formats import read_json, write_json
 from tidemark.sources.storage import new_path, stored
 
@@ -46,37 +48,48 @@ def split_by_time(df: DataFrame, train_from, validation, test) -> dict[str, Data
 
 
 def standardised(train: DataFrame, others: dict[str, DataFrame], features: Sequence[str]) -> dict[str, DataFrame]:
-    """Missing values take the training median, then training mean 0 and population deviation 1, as one vector column."""
+    """Missing values take the training median, then training mean 0 and population deviation 1, as one vector column.
+
+    Only features that are missing somewhere need a median; mean and deviation of the filled values
+    follow from those of the values that are there. The tables are read several times: pass stored ones.
+    """
     check_no_leakage(features)
-    med = group_quantiles(train, [], {c: c for c in features}).head()
-    fill = {c: (float(med[c]) if med and med[c] is not None else 0.0) for c in features}
-    filled = lambda df: df.select("*", *[F.coalesce(F.col(c).cast("double"), F.lit(fill[c])).alias(f"_x_{c}") for c in features])
-    stats = filled(train).agg(*[s for c in features for s in (F.avg(f"_x_{c}").alias(f"a_{c}"), F.stddev_pop(f"_x_{c}").alias(f"s_{c}"))]).head()
-    scale = {c: (float(stats[f"a_{c}"] or 0.0), float(stats[f"s_{c}"] or 0.0)) for c in features}
+    there = [F.count("*").alias("n"), *[F.count(c).alias(f"n_{c}") for c in features]]
+    stats = train.agg(*there, *[s for c in features for s in (F.avg(c).alias(f"a_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).head()
+    counts = [stats, *[df.agg(*there).head() for df in others.values()]]
+    holes = [c for c in features if any(row[f"n_{c}"] < row["n"] for row in counts)]
+    med = group_quantiles(train, [], {c: c for c in holes}).head() if holes else None
+    fill = {c: (float(med[c]) if med and c in holes and med[c] is not None else 0.0) for c in features}
+    scale = {}
+    for c in features:
+        n, here, mean, sd = stats["n"], stats[f"n_{c}"], float(stats[f"a_{c}"] or 0.0), float(stats[f"s_{c}"] or 0.0)
+        all_mean = (here * mean + (n - here) * fill[c]) / max(1, n)
+        scale[c] = (all_mean, ((here * (sd**2 + (mean - all_mean) ** 2) + (n - here) * (fill[c] - all_mean) ** 2) / max(1, n)) ** 0.5 if here < n else sd)
+
     def ready(df: DataFrame) -> DataFrame:
-        z = filled(df).select("*", *[((F.col(f"_x_{c}") - scale[c][0]) / (scale[c][1] or 1.0)).alias(f"_z_{c}") for c in features])
-        return VectorAssembler(inputCols=[f"_z_{c}" for c in features], outputCol="vector").transform(z).drop(*[f"_{k}_{c}" for k in "xz" for c in features])
+        z = df.select("*", *[((F.coalesce(F.col(c).cast("double"), F.lit(fill[c])) - scale[c][0]) / (scale[c][1] or 1.0)).alias(f"_z_{c}") for c in features])
+        return VectorAssembler(inputCols=[f"_z_{c}" for c in features], outputCol="vector").transform(z).drop(*[f"_z_{c}" for c in features])
 
     return {k: ready(df) for k, df in {"train": train, **others}.items()}
 
 
+def few_parts(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """The rows joined to a partition for each `each` of them, and no fewer than cores where there are that many rows: a fit is many short jobs, each with a task for each partition."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(1, min(cores, rows // 20_000), rows // each))
+
+
 def fit_logistic(train: DataFrame, label: str):  # noqa: ANN201
     n = max(1, train.count())
-    return LogisticRegression(featuresCol="vector", labelCol=label, regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=100).fit(train)
+    rows = few_parts(train.select("vector", label), n, 250_000)
+    return LogisticRegression(featuresCol="vector", labelCol=label, regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=100).fit(rows)
 
 
 def fit_boosted(train: DataFrame, label: str, key: str, *, rounds: int = 250, least: int = 40):  # noqa: ANN201
-    """Trees of depth 4 (up to 16 leaves) with a step of 0.04, until `rounds` or until a tenth of the rows, held out by a hash of the key, is fitted no better.
-
-    Small tables are joined to few partitions: a round is many short jobs.
-    """
+    """Trees of depth 4 (up to 16 leaves) with a step of 0.04, until `rounds` or until a tenth of the rows, held out by a hash of the key, is fitted no better."""
     held = F.pmod(F.xxhash64(key), F.lit(10)) == 0
-    parts = max(1, min(train.sparkSession.sparkContext.defaultParallelism, train.count() // 20_000))
-    rows = train.withColumn("_held", held).select("vector", F.col(label), "_held")
-    rows = (rows.coalesce(parts) if parts < train.sparkSession.sparkContext.defaultParallelism else rows).persist()
-    model = GBTClassifier(featuresCol="vector", labelCol=label, stepSize=0.04, maxIter=rounds, maxDepth=4, minInstancesPerNode=least, validationIndicatorCol="_held", validationTol=0.001, maxMemoryInMB=512, seed=42).fit(rows)
-    rows.unpersist()
-    return model
+    rows = few_parts(train.withColumn("_held", held).select("vector", F.col(label), "_held"), train.count(), 250_000)
+    return GBTClassifier(featuresCol="vector", labelCol=label, stepSize=0.04, maxIter=rounds, maxDepth=4, minInstancesPerNode=least, validationIndicatorCol="_held", validationTol=0.001, maxMemoryInMB=512, seed=42).fit(rows)
 
 
 def with_probability(model, df: DataFrame, out: str = "raw_score") -> DataFrame:  # noqa: ANN001
@@ -86,7 +99,7 @@ def with_probability(model, df: DataFrame, out: str = "raw_score") -> DataFrame:
 def calibrate(validation: DataFrame, label: str, score: str = "raw_score") -> tuple[float, float]:
     """Slope and intercept of a one-feature logistic fit on the score's log-odds."""
     x = VectorAssembler(inputCols=["_l"], outputCol="_v").transform(validation.withColumn("_l", logit(F.col(score))))
-    m = LogisticRegression(featuresCol="_v", labelCol=label, regParam=1.0 / max(1, validation.count()), standardization=False).fit(x)
+    m = LogisticRegression(featuresCol="_v", labelCol=label, regParam=1.0 / max(1, validation.count()), standardization=False).fit(few_parts(x, validation.count(), 250_000))
     return float(m.coefficients[0]), float(m.intercept)
 
 
@@ -94,19 +107,20 @@ def calibrated(score: Column, fit: tuple[float, float]) -> Column:
     return 1 / (1 + F.exp(-(fit[0] * logit(score) + fit[1])))
 
 
-def evaluate_predictions(df: DataFrame, score: str, label: str) -> DataFrame:
-    """ROC-AUC from average ranks, average precision over score ties, log-loss, Brier, base rate, mean score and their gap."""
+def evaluate_predictions(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """ROC-AUC from average ranks, average precision over score ties, log-loss, Brier, base rate, mean score and their gap; with `by`, of each group, all from one deal."""
     p = F.least(F.greatest(F.col(score), F.lit(1e-6)), F.lit(1 - 1e-6))
-    d = df.select(p.alias("p"), F.col(label).cast("double").alias("y"))
-    v = running_sums(d.groupBy("p").agg(F.sum("y").alias("pos"), F.count("*").alias("n")), "p", ["pos", "n"])
+    d = df.select(*by, p.alias("p"), F.col(label).cast("double").alias("y"))
+    v = running_sums(d.groupBy(*by, "p").agg(F.sum("y").alias("pos"), F.count("*").alias("n")), "p", ["pos", "n"], by)
     v = v.withColumns({"below": F.col("n_below"), "total": F.col("n_total"), "hits_at_least": F.col("pos_total") - F.col("pos_below")})
     auc = (F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2)) - F.sum("pos") * (F.sum("pos") + 1) / 2) / (F.sum("pos") * (F.sum("n") - F.sum("pos")))
     # precision at a score counts all rows scored at least as high
     at_least, hits = F.col("total") - F.col("below"), F.col("hits_at_least")
     ap = F.sum(F.col("pos") * hits / at_least) / F.sum("pos")
-    one = v.agg(auc.alias("roc_auc"), ap.alias("pr_auc"))
-    rest = d.agg(F.count("*").alias("rows"), F.avg(-(F.col("y") * F.ln("p") + (1 - F.col("y")) * F.ln(1 - F.col("p")))).alias("log_loss"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"), F.avg("y").alias("base_rate"), F.avg("p").alias("mean_probability"))
-    return rest.crossJoin(one).withColumn("calibration_gap", F.abs(F.col("mean_probability") - F.col("base_rate")))  # one row each
+    one = v.groupBy(*by).agg(auc.alias("roc_auc"), ap.alias("pr_auc"))
+    rest = d.groupBy(*by).agg(F.count("*").alias("rows"), F.avg(-(F.col("y") * F.ln("p") + (1 - F.col("y")) * F.ln(1 - F.col("p")))).alias("log_loss"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"), F.avg("y").alias("base_rate"), F.avg("p").alias("mean_probability"))
+    both = rest.join(one, list(by)) if by else rest.crossJoin(one)  # one row each
+    return both.withColumn("calibration_gap", F.abs(F.col("mean_probability") - F.col("base_rate")))
 
 
 def ranked_by_score(df: DataFrame, score: str, key: str) -> DataFrame:
@@ -132,6 +146,13 @@ def top_fraction_lift(df: DataFrame, score: str, label: str, key: str, fraction:
     return ranked_by_score(df, score, key).agg(F.try_divide(F.avg(F.when(top, y)), F.avg(y)).alias("lift")).withColumn("fraction", F.lit(fraction))
 
 
+def top_lifts(df: DataFrame, score: str, label: str, key: str, fractions: dict[str, float], by: Sequence[str]) -> DataFrame:
+    """What top_fraction_lift gives, for each group of `by` and each name: fraction, from one deal of all rows."""
+    ranked, y = positions(df, [-F.col(score), F.col(key)], key, by, [label]), F.col(label).cast("double")
+    top = lambda f: F.col("_rank") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * f))
+    return ranked.groupBy(*by).agg(*[F.try_divide(F.avg(F.when(top(f), y)), F.avg(y)).alias(name) for name, f in fractions.items()])
+
+
 def governance(metrics: DataFrame, decile_lift: DataFrame, quintile_lift: DataFrame, baseline_brier: DataFrame, model: str) -> DataFrame:
     """The acceptance gates as rows (gate, value, threshold, passed) and the status."""
     auc, pr, dec, qui, gap = GATES[model]
@@ -212,38 +233,39 @@ def governed_model(data: DataFrame, features: Sequence[str], label: str, dates:
     tables of a few rows (metrics, gates) reach the driver.
     """
     spark = data.sparkSession
-    parts = split_by_time(data, *dates)
-    z = {k: df.select(key, T, F.col(label).cast("double").alias(label), "vector").persist() for k, df in standardised(parts["train"], {k: parts[k] for k in ("validation", "test")}, features).items()}
-    empty = [k for k, df in z.items() if not df.take(1)]
+    rows = stored(data.where(F.col(T) >= F.lit(dates[0])).select(key, T, F.col(label).cast("double").alias(label), *features), f"{model}-rows")
+    parts = split_by_time(rows, *dates)
+    empty = [k for k, df in parts.items() if not df.take(1)]
     if empty:
         raise ValueError(f"no rows in {empty}")
+    later = parts["validation"].withColumn("split", F.lit("validation")).unionByName(parts["test"].withColumn("split", F.lit("test")))
+    z = standardised(parts["train"], {"later": later}, features)
     number, least = ROUNDS[model]
-    fits, rows, tests = {"logistic": fit_logistic(z["train"], label), "boosted": fit_boosted(z["train"], label, key, rounds=rounds or number, least=least)}, None, {}
-    for name, m in fits.items():
-        scored = {s: with_probability(m, z[s]).select(key, T, label, "raw_score") for s in ("validation", "test")}
-        turn = calibrate(scored["validation"], label)
-        for split, df in scored.items():
-            both = df.withColumn("calibrated", calibrated(F.col("raw_score"), turn)).persist()
-            tests[name, split] = both
-            for kind in ("raw_score", "calibrated"):
-                lifts = [top_fraction_lift(both, kind, label, key, f).select(F.col("lift").alias(f"top_{n}_lift")) for f, n in ((0.1, "decile"), (0.2, "quintile"))]
-                one = evaluate_predictions(both, kind, label).crossJoin(lifts[0]).crossJoin(lifts[1]).withColumns({"candidate": F.lit(name), "split": F.lit(split), "score": F.lit(kind)})  # one row each
-                rows = one if rows is None else rows.unionByName(one)
-    found = rows.collect()  # eight rows
-    metrics = spark.createDataFrame(found, rows.schema)
-    champion = select_candidate(found, model)
-    base = baseline(z["validation"], z["test"], label).select(F.col("brier").alias("baseline_brier"))
+    train = z["train"].select(key, label, "vector")
+    logistic, boosted = together(spark, lambda: fit_logistic(train, label), lambda: fit_boosted(train, label, key, rounds=rounds or number, least=least))
+    fits = {"logistic": logistic, "boosted": boosted}
+    tests = [with_probability(m, z["later"]).select(F.lit(name).alias("candidate"), "split", key, T, label, "raw_score") for name, m in fits.items()]
+    scored = stored(tests[0].unionByName(tests[1]), f"{model}-raw")
+    of = lambda name, split: scored.where((F.col("candidate") == name) & (F.col("split") == split))
+    turns = dict(zip(fits, together(spark, *[partial(calibrate, of(name, "validation"), label) for name in fits]), strict=True))
+    scored = scored.withColumn("calibrated", F.coalesce(*[F.when(F.col("candidate") == name, calibrated(F.col("raw_score"), turn)) for name, turn in turns.items()]))
+    kinds = F.explode(F.array(*[F.struct(F.lit(kind).alias("score"), F.col(kind).alias("value")) for kind in ("raw_score", "calibrated")]))
+    long, by = scored.select("candidate", "split", key, label, kinds.alias("_k")).select("candidate", "split", key, label, "_k.score", "_k.value"), ["candidate", "split", "score"]
+    found = evaluate_predictions(long, "value", label, by).join(top_lifts(long, "value", label, key, {"top_decile_lift": 0.1, "top_quintile_lift": 0.2}, by), by)
+    eight = found.collect()  # a row for each candidate, split and score
+    metrics = spark.createDataFrame(eight, found.schema).coalesce(1)
+    champion = select_candidate(eight, model)
+    brier = baseline(of(champion, "validation"), of(champion, "test"), label).head().brier
+    base = spark.createDataFrame([(brier,)], "baseline_brier double").coalesce(1)
     chosen = metrics.where((F.col("candidate") == champion) & (F.col("split") == "test") & (F.col("score") == "calibrated"))
     gates = governance(chosen, chosen.select(F.col("top_decile_lift").alias("lift")), chosen.select(F.col("top_quintile_lift").alias("lift")), base, model)
     gates = stored(gates, f"{model}-governance")
     accepted = model_is_accepted(gates)
     status = "ACCEPTED" if accepted else "REJECTED"
     p = F.col("calibrated")
-    scores = tests[champion, "test"].select(key, T, F.col(label).alias("label"), "raw_score", p.alias("probability"), probability_band(p, model).alias("probability_band"), F.lit(champion).alias("champion"), F.lit(model).alias("model"), F.lit(status).alias("model_status"), F.lit(accepted).alias("eligible_for_activation"))
-    scores = stored(scores, f"{model}-scores")
+    final = scored.where((F.col("candidate") == champion) & (F.col("split") == "test"))
+    scores = final.select(key, T, F.col(label).alias("label"), "raw_score", p.alias("probability"), probability_band(p, model).alias("probability_band"), F.lit(champion).alias("champion"), F.lit(model).alias("model"), F.lit(status).alias("model_status"), F.lit(accepted).alias("eligible_for_activation"))
     about = {"model": model, "version": "1", "champion": champion, "status": status, "activation_allowed": accepted, "train_from": str(dates[0]), "validation": str(dates[1]), "test": str(dates[2]), "features": list(features), "metrics": chosen.drop("candidate", "split", "score").head().asDict()}
     path = new_path(spark, f"{model}-metadata")
     write_json(spark, about, path)
-    for df in (*z.values(), *tests.values()):
-        df.unpersist()
     return Governed(gates, metrics, scores, coefficients(fits["logistic"], features, spark), read_json(spark, path))
