@@ -16,6 +16,10 @@ from tidemark.sources import canonical
 ID = "golden_customer_id"
 
 
+def exchanges(df: DataFrame, what: str) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count(what)
+
+
 def counted(df: DataFrame) -> tuple[DataFrame, object]:
     """The same rows, and a counter of how many were computed."""
     seen = df.sparkSession.sparkContext.accumulator(0)
@@ -28,6 +32,45 @@ def counted(df: DataFrame) -> tuple[DataFrame, object]:
     return df.mapInArrow(run, df.schema), seen
 
 
+def purchases(seed: int) -> list[tuple]:
+    draw, start = random.Random(seed), dt.date(1999, 1, 1)
+    kinds = ["A", "B", "Ç", "D", None]
+    rows = []
+    for who in range(60):
+        for _ in range(draw.randrange(1, 14)):
+            day = start + dt.timedelta(draw.randrange(0, 700))
+            rows += [(len(rows) + k, who, day, draw.choice(kinds), draw.choice(["Store", "Online"]), 2, round(draw.random() * 90, 2), 3.0, draw.choice([None, 0.0, 0.05])) for k in range(draw.choice([1, 1, 2]))]
+    return rows
+
+
+def test_histories_are_dealt_once_and_equal_plain_counts(spark: SparkSession) -> None:
+    rows, dates = purchases(5), [dt.date(1999, 4, 30), dt.date(2000, 1, 31), dt.date(2000, 7, 31)]
+    tx = spark.createDataFrame(rows, f"order_id long, {ID} long, transaction_date date, category string, channel string, units long, net_sales double, gross_margin double, discount_pct double")
+    out = snapshots.history_features(tx, dates, ahead=90, new_ahead=180)
+    assert exchanges(out, "Exchange hashpartitioning") == 1
+    got = {(r[snapshots.T], r[ID]): r for r in out.collect()}
+    want = 0
+    for date in dates:
+        for who in range(60):
+            mine = [r for r in rows if r[1] == who]
+            past, inside = [r for r in mine if r[2] <= date], lambda a, b, m=mine, d=date: [r for r in m if a < (r[2] - d).days <= b]
+            kinds = [r[3] for r in past if r[3]]
+            if not kinds:
+                assert (date, who) not in got
+                continue
+            want, r, days = want + 1, got[date, who], sorted({x[2] for x in past})
+            gaps = [(b - a).days for a, b in zip(days, days[1:], strict=False)]
+            assert (r.lifetime_orders, r.orders_prior_180d, r.prior_orders, r.future_orders_90d) == (len(past), len(inside(-180, 0)), len(inside(-360, -180)), len(inside(0, 90)))
+            assert r.sales_prior_365d == pytest.approx(sum(x[6] for x in inside(-365, 0)))
+            assert (r.days_since_last_purchase, r.observed_purchase_gaps) == ((date - days[-1]).days, len(gaps))
+            assert r.median_purchase_gap_days == (statistics.median(gaps) if gaps else None)
+            assert r.std_purchase_gap_days == (pytest.approx(statistics.stdev(gaps)) if len(gaps) > 1 else None)
+            assert (r.categories_used, r.categories_prior_180d) == (len(set(kinds)), len({x[3] for x in inside(-180, 0)} - {None}))
+            assert r.dominant_category_share == pytest.approx(max(kinds.count(k) for k in kinds) / len(kinds))
+            assert r.new_categories == sorted({x[3] for x in inside(0, 180)} - {None} - set(kinds))
+    assert len(got) == want > 100
+
+
 def test_a_governed_run_reads_its_rows_once(spark: SparkSession) -> None:
     rows = spark.range(900).select(F.col("id").alias(ID), F.when(F.col("id") % 3 == 0, "2001-01-31").when(F.col("id") % 3 == 1, "2001-04-30").otherwise("2000-10-31").cast("date").alias(propensity.T), (F.col("id") * 37 % 101 / 101).alias("lifetime_sales"), F.when(F.col("id") % 7 > 0, F.col("id") % 11 / 1.0).alias("units"))
     data, seen = counted(rows.withColumn("bought", ((F.col("lifetime_sales") + (F.col(ID) * 17 % 29) / 60) > 0.75).cast("int")))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.config import DEFAULT, Config
 from tidemark.functions.scalars import flag, month_cos, month_sin, safe_divide
@@ -14,90 +15,142 @@ from tidemark.functions.scalars import flag, month_cos, month_sin, safe_divide
 ID, T = "golden_customer_id", "observation_date"
 
 
-#: Sums kept by customer and day; orders count rows, as an order is one row of the transactions.
-RUNNING = {"orders": "1", "sales": "net_sales", "margin": "gross_margin", "units": "units", "discount": "coalesce(discount_pct, 0.0D)", "discounted": "cast(coalesce(discount_pct, 0.0D) > 0 as int)"}
+#: Sums kept by customer, day, category and channel; orders count rows, as an order is one row of the transactions.
+SUMS = {"orders": "1", "sales": "net_sales", "margin": "gross_margin", "units": "units", "discount": "coalesce(discount_pct, 0.0D)", "discounted": "cast(coalesce(discount_pct, 0.0D) > 0 as int)"}
+#: Windows in days before and after an observation date: after the first, up to the second. `ahead` stands for None.
+WINDOWS = {"life": (None, 0), "180": (-180, 0), "365": (-365, 0), "before_180": (-360, -180), "next": (0, None)}
 
 
-def running(tx: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
-    """One row for each key with `p`: its days in order, each with the sums of all days so far.
+def histories(tx: DataFrame) -> DataFrame:
+    """One row for each customer with `h`: its sums by day, category and channel, in the order of days.
 
-    A history holds at most a row for each calendar day, however many transactions a customer has.
+    Transactions are dealt by customer once. A history holds at most a row for each day and kinds, however many transactions a customer has.
     """
-    days = tx.groupBy(*keys, F.col("transaction_date").alias("day")).agg(*[F.sum(F.expr(RUNNING[c])).alias(c) for c in sums])
-    upto = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    so_far = days.select(*keys, F.struct("day", *[F.sum(c).over(upto).alias(c) for c in sums]).alias("e"))
-    return so_far.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("p"))
-
-
-def known_on(dates: Sequence, history: DataFrame, ahead: int = 0) -> DataFrame:
-    """Each history beside the observation dates by which (or within so many days after which) it had begun; the dates are a fixed short list."""
-    return history.withColumn(T, F.explode(F.array(*[F.lit(d).cast("date") for d in dates]))).where(F.col("p")[0].day <= F.date_add(T, ahead))
-
-
-def as_of(days: int = 0) -> Column:
-    """The running sums on the observation date, or so many days after it; null before the first day."""
-    return F.try_element_at(F.filter("p", lambda e: e.day <= F.date_add(T, days)), F.lit(-1))
-
-
-def between(sums: str, until: Column, since: Column) -> Column:
-    """What was added to a sum after `since` up to `until`, both as_of(); exactly 0 where no order was."""
-    orders = lambda at: F.coalesce(at.orders, F.lit(0))
-    if sums == "orders":
-        return orders(until) - orders(since)
-    zero = F.lit(0.0)
-    return F.when(orders(until) == orders(since), zero).otherwise(F.coalesce(until[sums], zero) - F.coalesce(since[sums], zero))
-
-
-def _window(name: str, orders: str, until: str, since: str) -> dict[str, Column]:
-    return {orders: between("orders", F.col(until), F.col(since)), **{f"{c}{name}": between(c, F.col(until), F.col(since)) for c in ("sales", "margin")}}
-
-
-def group_shares(tx: DataFrame, dates: Sequence, column: str, *, ahead: int = 0) -> DataFrame:
-    """By date and customer: how many values of a column were bought, ever and lately, how their orders and sales spread, and which values; with `ahead`, those of the days that follow too."""
-    at = known_on(dates, running(tx.where(F.col(column).isNotNull()), [ID, column], ["orders", "sales"]), ahead)
-    at = at.withColumns({"_now": as_of(), "_180": as_of(-180), "_365": as_of(-365), "_next": as_of(ahead)})
-    n, s = F.coalesce(F.col("_now.orders"), F.lit(0)), F.col("_now.sales")
-    new = lambda since: F.count_if(between("orders", F.col("_now"), F.col(since)) > 0)
-    out = at.groupBy(T, ID).agg(
-        F.count_if(n > 0).alias("used"), new("_180").alias("used_180d"), new("_365").alias("used_365d"),
-        safe_divide(F.max(n), F.sum(n)).alias("largest_share"), safe_divide(F.sum(n * n), F.sum(n) * F.sum(n)).alias("concentration"), safe_divide(F.max(s), F.sum(s)).alias("largest_sales_share"),
-        F.collect_set(F.when(n > 0, F.col(column))).alias("past"), F.collect_set(F.when(between("orders", F.col("_next"), F.col("_now")) > 0, F.col(column))).alias("future"),
-    )
-    return out.where("used > 0")
-
-
-def history_features(tx: DataFrame, dates: Sequence, *, ahead: int = 90, categories: DataFrame | None = None) -> DataFrame:
-    """Lifetime, 180-day, 365-day, gap and momentum features of each customer on each date, and orders, sales and margin of the `ahead` days after it (future_*).
-
-    All come from running sums by day: a window is the difference of two of them, so transactions
-    are read and dealt once and are not repeated for each date. `categories` is group_shares of the
-    category column, where the caller has it.
+    dealt = tx.select(ID, F.unix_date("transaction_date").alias("day"), "category", "channel", *[F.expr(x).alias(f"_{c}") for c, x in SUMS.items()]).repartition(ID)
+    days = dealt.groupBy(ID, "day", "category", "channel").agg(*[F.sum(f"_{c}").cast("double").alias(c) for c in SUMS])
+    return days.groupBy(ID).agg(F.sort_array(F.collect_list(F.struct("day", "category", "channel", *SUMS))).alias("h"))
+
+
+def _window_sums(values: np.ndarray, since: np.ndarray, until: np.ndarray) -> np.ndarray:
+    """The sum of values[since:until] for each pair; exactly 0 where that is empty."""
+    at = np.column_stack([since, until]).ravel()
+    return np.where(since < until, np.add.reduceat(np.append(values, 0.0), at)[::2], 0.0)
+
+
+class _Kinds:
+    """Counts of the kinds (categories or channels) of the customers of a batch."""
+
+    def __init__(self, column: pa.Array, who: np.ndarray, day: np.ndarray, orders: np.ndarray, sales: np.ndarray, n: int) -> None:
+        known, coded = column.is_valid().to_numpy(zero_copy_only=False), column.drop_null().dictionary_encode()
+        names = np.array(coded.dictionary.to_pylist(), object)
+        order = np.argsort(names)
+        self.names, code = names[order], np.argsort(order)[coded.indices.to_numpy()]
+        pairs, self.of = np.unique(who[known] * max(1, len(self.names)) + code, return_inverse=True)
+        self.who, self.code = pairs // max(1, len(self.names)), pairs % max(1, len(self.names))
+        self.day, self.orders, self.sales, self.n = day[known], orders[known], sales[known], n
+
+    def count(self, since: int | None, until: int, values: np.ndarray | None = None) -> np.ndarray:
+        inside = (self.day <= until) & (True if since is None else self.day > since)
+        return np.bincount(self.of[inside], (self.orders if values is None else values)[inside], len(self.who))
+
+    def largest(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        np.maximum.at(out, self.who, values)
+        return out
+
+    def on(self, date: int, ahead: int) -> dict[str, np.ndarray | pa.Array]:
+        """How many kinds were bought, ever and lately, how orders and sales spread over them, and which are first bought in the days ahead."""
+        now, sales, total = self.count(None, date), self.count(None, date, self.sales), lambda x: np.bincount(self.who, x, self.n)
+        new = (now == 0) & (self.count(date, date + ahead) > 0)
+        ends = np.append(0, np.cumsum(total(new))).astype(np.int32)
+        return {
+            "used": total(now > 0), "used_180d": total(self.count(date - 180, date) > 0), "used_365d": total(self.count(date - 365, date) > 0),
+            "largest": self.largest(now), "orders": total(now), "squares": total(now * now), "largest_sales": self.largest(sales), "sales": total(sales),
+            "new": pa.ListArray.from_arrays(pa.array(ends), pa.array(self.names[self.code[new]], pa.string())),
+        }
+
+
+KIND_COLUMNS = ("used", "used_180d", "used_365d", "largest", "orders", "squares", "largest_sales", "sales")
+
+
+def _known(batch: pa.RecordBatch, dates: Sequence[int], ahead: int, new_ahead: int) -> Iterator[pa.RecordBatch]:
+    """What was known on each date of the customers whose history had begun: windows are found by binary search in all days of the batch."""
+    ids, h, n = batch.column(0), batch.column(1), batch.num_rows
+    rows, ends = h.flatten(), h.offsets.to_numpy().astype(np.int64)
+    start, who = ends[:-1] - ends[0], np.repeat(np.arange(n), np.diff(ends))
+    field = lambda c: rows.field(c).fill_null(0).to_numpy(zero_copy_only=False)
+    day, sums = field("day").astype(np.int64), {c: field(c) for c in SUMS}
+    far, every = 1 << 24, np.arange(n)  # more than any number of days
+    at = lambda keys, date: np.searchsorted(keys, every * far + date, side="right")
+    keys = who * far + day
+    first = np.append(True, keys[1:] != keys[:-1])  # of a customer's day
+    days, whose = day[first], who[first]
+    day_keys, day_start = whose * far + days, np.searchsorted(whose, every)
+    gap = np.append(0, np.diff(days)) * (np.arange(len(days)) != day_start[whose])
+    by_size = np.lexsort((gap, whose))
+    kinds = {c: _Kinds(rows.field(c), who, day, sums["orders"], sums["sales"], n) for c in ("category", "channel")}
+    for date in dates:
+        out: dict[str, np.ndarray | pa.Array] = {}
+        for name, (since, until) in WINDOWS.items():
+            lo = start if since is None else at(keys, date + since)
+            hi = at(keys, date + (ahead if until is None else until))
+            out |= {f"{name}_{c}": _window_sums(sums[c], lo, hi) for c in (SUMS if name == "life" else ("orders", "sales", "margin"))}
+        last = at(day_keys, date)
+        gaps = np.maximum(0, last - day_start - 1)
+        begun = last > day_start
+        out |= {"first_day": days[day_start], "last_day": days[np.maximum(last - 1, 0)], "gaps": gaps, "gap_squares": _window_sums(gap.astype(float) ** 2, np.minimum(day_start + 1, last), last)}
+        counts = (by_size > day_start[whose[by_size]]) & (by_size < last[whose[by_size]])
+        ordered, before = np.append(gap[by_size[counts]], 0), np.cumsum(gaps) - gaps
+        out |= {"gap_low": ordered[np.where(gaps > 0, before + (gaps - 1) // 2, -1)], "gap_high": ordered[np.where(gaps > 0, before + gaps // 2, -1)]}
+        for c, kind in kinds.items():
+            out |= {f"{c}_{name}": x for name, x in kind.on(date, new_ahead).items()}
+        out.pop("channel_new")
+        arrays = [pa.array(np.full(n, date, np.int32)), ids, out.pop("category_new"), *[pa.array(np.asarray(x, np.float64)) for x in out.values()]]
+        yield pa.RecordBatch.from_arrays(arrays, ["day", ID, "new_categories", *out]).filter(pa.array(begun))
+
+
+def known(tx: DataFrame, dates: Sequence, *, ahead: int, new_ahead: int) -> DataFrame:
+    """A row for each customer and date by which its history had begun: sums of WINDOWS, gaps between its days, and its kinds. The dates are a fixed short list."""
+    numbers = [f"{w}_{c}" for w in WINDOWS for c in (SUMS if w == "life" else ("orders", "sales", "margin"))]
+    numbers += ["first_day", "last_day", "gaps", "gap_squares", "gap_low", "gap_high", *[f"{c}_{k}" for c in ("category", "channel") for k in KIND_COLUMNS]]
+    schema = ", ".join(["day int", f"{ID} long", "new_categories array<string>", *[f"{c} double" for c in numbers]])
+    spark = tx.sparkSession
+    on = [r.d for r in spark.range(1).select(F.explode(F.array(*[F.unix_date(F.lit(d).cast("date")) for d in dates])).alias("d")).collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from _known(batch, on, ahead, new_ahead)
+
+    return histories(tx).select(F.col(ID).cast("long").alias(ID), "h").mapInArrow(run, schema).withColumn(T, F.date_from_unix_date("day")).drop("day")
+
+
+def history_features(tx: DataFrame, dates: Sequence, *, ahead: int = 90, new_ahead: int = 90) -> DataFrame:
+    """Lifetime, 180-day, 365-day, gap and momentum features of each customer on each date, orders, sales and margin of the `ahead` days after it (future_*), and the categories first bought in the `new_ahead` days after it.
+
+    Transactions are read and dealt by customer once and are not repeated for each date.
     """
-    at = known_on(dates, running(tx, [ID], list(RUNNING)))
-    at = at.withColumns({"now": as_of(), "d180": as_of(-180), "d360": as_of(-360), "d365": as_of(-365), "next": as_of(ahead), "days": F.transform(F.filter("p", lambda e: e.day <= F.col(T)), lambda e: e.day)})
-    at = at.withColumn("gaps", F.when(F.size("days") >= 2, F.transform(F.sequence(F.lit(1), F.size("days") - 1), lambda i: F.datediff(F.get("days", i), F.get("days", i - 1)))).otherwise(F.array().cast("array<int>")))
-    n, mean = F.size("gaps"), F.aggregate("gaps", F.lit(0).cast("long"), lambda t, g: t + g) / F.nullif(F.size("gaps"), F.lit(0))
-    middle = F.col("sorted_gaps")
-    at = at.withColumns({"sorted_gaps": F.array_sort("gaps"), "mean_gap": mean})
-    squares = F.aggregate("gaps", F.lit(0.0), lambda t, g: t + (g - F.col("mean_gap")) * (g - F.col("mean_gap")))
-    life = lambda c: F.col(f"now.{c}")
-    base = at.select(
+    c, whole = F.col, lambda x: F.col(x).cast("long")
+    three = lambda window, names: [whole(f"{window}_orders").alias(names[0]), c(f"{window}_sales").alias(names[1]), c(f"{window}_margin").alias(names[2])]
+    n = whole("gaps")
+    mean = (c("last_day") - c("first_day")) / F.nullif(n, F.lit(0))
+    squares = c("gap_squares") - (c("last_day") - c("first_day")) * (c("last_day") - c("first_day")) / F.nullif(n, F.lit(0))
+    today = F.unix_date(T)
+    out = known(tx, dates, ahead=ahead, new_ahead=new_ahead).where("category_used > 0 and channel_used > 0").select(
         T, ID,
-        life("orders").alias("lifetime_orders"), life("sales").alias("lifetime_sales"), life("margin").alias("lifetime_margin"), life("units").alias("lifetime_units"),
-        *[(life(c) / life("orders")).alias(name) for c, name in (("sales", "avg_order_value"), ("margin", "avg_margin_per_order"), ("discount", "avg_discount_pct"), ("discounted", "discounted_order_share"))],
-        F.datediff(T, F.try_element_at("days", F.lit(-1))).alias("days_since_last_purchase"), F.datediff(T, F.get("days", F.lit(0))).alias("purchase_tenure_days"),
-        *[x.alias(name) for a in (_window("_prior_180d", "orders_prior_180d", "now", "d180"), _window("_prior_365d", "orders_prior_365d", "now", "d365")) for name, x in a.items()],
-        *[x.alias(name) for name, x in zip(("recent_orders", "recent_sales", "recent_margin"), _window("", "_", "now", "d180").values(), strict=True)],
-        *[x.alias(name) for name, x in zip(("prior_orders", "prior_sales", "prior_margin"), _window("", "_", "d180", "d360").values(), strict=True)],
-        *[x.alias(f"future_{name}_{ahead}d") for name, x in zip(("orders", "sales", "margin"), _window("", "_", "next", "now").values(), strict=True)],
-        n.cast("long").alias("observed_purchase_gaps"),
-        F.when(n > 0, (F.get(middle, F.floor((n - 1) / 2).cast("int")) + F.get(middle, F.floor(n / 2).cast("int"))) / 2).alias("median_purchase_gap_days"),
-        F.col("mean_gap").alias("mean_purchase_gap_days"), F.when(n > 1, F.sqrt(squares / (n - 1))).alias("std_purchase_gap_days"),
+        whole("life_orders").alias("lifetime_orders"), c("life_sales").alias("lifetime_sales"), c("life_margin").alias("lifetime_margin"), whole("life_units").alias("lifetime_units"),
+        *[(c(f"life_{x}") / c("life_orders")).alias(name) for x, name in (("sales", "avg_order_value"), ("margin", "avg_margin_per_order"), ("discount", "avg_discount_pct"), ("discounted", "discounted_order_share"))],
+        (today - c("last_day")).cast("int").alias("days_since_last_purchase"), (today - c("first_day")).cast("int").alias("purchase_tenure_days"),
+        *three("180", ("orders_prior_180d", "sales_prior_180d", "margin_prior_180d")), *three("365", ("orders_prior_365d", "sales_prior_365d", "margin_prior_365d")),
+        *three("180", ("recent_orders", "recent_sales", "recent_margin")), *three("before_180", ("prior_orders", "prior_sales", "prior_margin")),
+        *three("next", [f"future_{x}_{ahead}d" for x in ("orders", "sales", "margin")]),
+        n.alias("observed_purchase_gaps"), F.when(n > 0, (c("gap_low") + c("gap_high")) / 2).alias("median_purchase_gap_days"), mean.alias("mean_purchase_gap_days"),
+        F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), squares) / (n - 1))).alias("std_purchase_gap_days"),
+        whole("category_used").alias("categories_used"), whole("category_used_180d").alias("categories_prior_180d"), whole("category_used_365d").alias("categories_prior_365d"),
+        safe_divide(c("category_largest"), c("category_orders")).alias("dominant_category_share"), safe_divide(c("category_squares"), c("category_orders") * c("category_orders")).alias("category_concentration"),
+        safe_divide(c("category_largest_sales"), c("category_sales")).alias("dominant_category_sales_share"), "new_categories",
+        whole("channel_used").alias("channels_used"), safe_divide(c("channel_largest"), c("channel_orders")).alias("preferred_channel_share"),
     )
-    kinds = (categories if categories is not None else group_shares(tx, dates, "category")).select(T, ID, F.col("used").alias("categories_used"), F.col("used_180d").alias("categories_prior_180d"), F.col("used_365d").alias("categories_prior_365d"), F.col("largest_share").alias("dominant_category_share"))
-    channels = group_shares(tx, dates, "channel").select(T, ID, F.col("used").alias("channels_used"), F.col("largest_share").alias("preferred_channel_share"))
-    out = base.join(kinds, [T, ID]).join(channels, [T, ID])
-    c = F.col
     out = out.withColumns({
         "margin_rate": safe_divide(c("lifetime_margin"), c("lifetime_sales")),
         "cadence_cv": safe_divide(c("std_purchase_gap_days"), c("mean_purchase_gap_days")),
@@ -120,12 +173,10 @@ def reengagement_training(tx: DataFrame, cfg: Config = DEFAULT, *, eligible_only
 def cross_sell_training(tx: DataFrame, cfg: Config = DEFAULT, *, days: int = 180) -> DataFrame:
     """Customers with room for new categories at each quarter end, and the categories they add within 180 days."""
     total = tx.agg(F.countDistinct("category").alias("total_categories"))
-    categories = group_shares(tx, cfg.cross_sell_dates, "category", ahead=days)
-    sets = categories.select(T, ID, "past", "future", F.col("concentration").alias("category_concentration"), F.col("largest_sales_share").alias("dominant_category_sales_share"))
-    out = history_features(tx, cfg.cross_sell_dates, categories=categories).join(sets, [T, ID]).crossJoin(F.broadcast(total))  # one row
-    out = out.withColumns({"category_whitespace_count": F.col("total_categories") - F.col("categories_used"), "category_coverage_pct": F.col("categories_used") / F.col("total_categories"), "new_categories": F.array_sort(F.array_except("future", "past"))})
+    out = history_features(tx, cfg.cross_sell_dates, new_ahead=days).crossJoin(F.broadcast(total))  # one row
+    out = out.withColumns({"category_whitespace_count": F.col("total_categories") - F.col("categories_used"), "category_coverage_pct": F.col("categories_used") / F.col("total_categories")})
     out = out.withColumns({"new_category_count": F.size("new_categories"), "cross_sell_next_180d": (F.size("new_categories") > 0).cast("int")})
-    return out.where((F.col("lifetime_orders") >= 3) & (F.col("purchase_tenure_days") >= 180) & (F.col("categories_used") >= 1) & (F.col("category_whitespace_count") > 0)).drop("past", "future")
+    return out.where((F.col("lifetime_orders") >= 3) & (F.col("purchase_tenure_days") >= 180) & (F.col("categories_used") >= 1) & (F.col("category_whitespace_count") > 0))
 
 
 def _sums(inside: Column, suffix: str) -> list[Column]:
