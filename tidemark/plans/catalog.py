@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 from tidemark.config import DEFAULT
 from tidemark.operators import activation, cadence, decisions, diagnostics, explorer, growth, identity, propensity, segments, snapshots, value, views
 from tidemark.plans.sql import cents, r4, with_ctes
+from tidemark.session import together
 from tidemark.sources import canonical, formats
-from tidemark.sources.storage import new_path
+from tidemark.sources.storage import Scratch, new_path
 from tidemark.streaming import movement
 
 ID = "golden_customer_id"
@@ -44,6 +45,7 @@ class Tables:
     spark: SparkSession
     sf_dir: str
     held: list[DataFrame] = field(default_factory=list)
+    files: list[Scratch] = field(default_factory=list)
 
     def kept(self, df: DataFrame) -> DataFrame:
         self.held.append(df.persist())
@@ -52,10 +54,24 @@ class Tables:
     def release(self) -> None:
         while self.held:
             self.held.pop().unpersist()
+        while self.files:
+            self.files.pop().drop()
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """Like kept, in files of the shared folder: they are read by columns, in as few partitions as their size needs."""
+        self.files.append(Scratch(self.spark, name))
+        out = self.files[-1].stored(df, name)
+        self.spark._jvm.System.gc()  # Spark deletes shuffle files when the driver collects the plans that made them
+        return out
+
+    @cached_property
+    def tx_files(self) -> DataFrame:
+        """The transactions, for chains that read few of their columns."""
+        return self.written(canonical.transactions(self.spark, self.sf_dir), "transactions")
 
     @cached_property
     def tx(self) -> DataFrame:
-        return self.kept(canonical.transactions(self.spark, self.sf_dir))
+        return self.kept(self.tx_files)
 
     @cached_property
     def master(self) -> DataFrame:
@@ -63,7 +79,7 @@ class Tables:
 
     @cached_property
     def features(self) -> DataFrame:
-        return self.kept(cadence.customer_features(self.tx, self.master))
+        return self.written(cadence.customer_features(self.tx, self.master), "features")
 
     @cached_property
     def momentum(self) -> DataFrame:
@@ -75,11 +91,11 @@ class Tables:
 
     @cached_property
     def value(self) -> DataFrame:
-        return self.kept(value.customer_value(self.tx, self.features))
+        return self.written(value.customer_value(self.tx, self.features), "value")
 
     @cached_property
     def priority(self) -> DataFrame:
-        return self.kept(value.customer_priority(self.value, self.features, self.momentum, self.trend))
+        return self.written(value.customer_priority(self.value, self.features, self.momentum, self.trend), "priority")
 
     @cached_property
     def ltv(self) -> DataFrame:
@@ -87,7 +103,11 @@ class Tables:
 
     @cached_property
     def exposures(self) -> DataFrame:
-        return canonical.campaign_exposures(self.spark, self.sf_dir)
+        return canonical.campaign_exposures(self.spark, self.sf_dir, tx=self.tx_files)
+
+    @cached_property
+    def promotion_rows(self) -> DataFrame:
+        return self.written(snapshots.promotion_training(self.tx_files, self.exposures), "promotion")
 
     @cached_property
     def nba(self) -> DataFrame:
@@ -130,24 +150,32 @@ class Tables:
 
     @cached_property
     def reengagement_model(self) -> propensity.Governed:
-        return propensity.governed_model(snapshots.reengagement_training(self.tx), propensity.REENGAGEMENT, "purchased_next_90d", ("1999-10-31", "2001-01-31", "2001-04-30"), "reengagement", ID)
+        return propensity.governed_model(snapshots.reengagement_training(self.tx_files), propensity.REENGAGEMENT, "purchased_next_90d", ("1999-10-31", "2001-01-31", "2001-04-30"), "reengagement", ID)
 
     @cached_property
     def cross_sell_model(self) -> propensity.Governed:
-        return propensity.governed_model(snapshots.cross_sell_training(self.tx), propensity.CROSS_SELL, "cross_sell_next_180d", ("1999-07-31", "2000-10-31", "2001-01-31"), "cross_sell", ID)
+        return propensity.governed_model(snapshots.cross_sell_training(self.tx_files), propensity.CROSS_SELL, "cross_sell_next_180d", ("1999-07-31", "2000-10-31", "2001-01-31"), "cross_sell", ID)
 
     @cached_property
     def promotion_model(self) -> propensity.Governed:
-        treated = snapshots.promotion_training(self.tx, self.exposures).where("treatment_flag = 1").withColumn(propensity.T, F.col("campaign_date"))
+        treated = self.promotion_rows.where("treatment_flag = 1").withColumn(propensity.T, F.col("campaign_date"))
         hot, names = propensity.one_hot(treated, propensity.PROMOTION_KINDS)
         return propensity.governed_model(hot, [*propensity.PROMOTION, *names], "responded", ("1999-08-15", "2001-02-15", "2001-05-15"), "promotion", "exposure_id")
 
+    @property
+    def models(self) -> tuple[propensity.Governed, propensity.Governed, propensity.Governed]:
+        """The three models, fitted side by side."""
+        self.tx_files  # noqa: B018 written once, before they share it
+        together(self.spark, lambda: self.reengagement_model, lambda: self.cross_sell_model, lambda: self.promotion_model)
+        return self.reengagement_model, self.cross_sell_model, self.promotion_model
+
     @cached_property
     def offers(self) -> DataFrame:
         """The best offer of each customer, none while the promotion model is not accepted."""
         model = self.promotion_model
-        training = snapshots.promotion_training(self.tx, self.exposures)
-        return activation.operational_scores(training, activation.offers_at(self.priority, self.tx), model.gates, champion=model.about["champion"])
+        if not propensity.model_is_accepted(model.gates):  # no offer is made, so none is built
+            return activation.operational_scores(self.promotion_rows, self.promotion_rows, None)
+        return activation.operational_scores(self.promotion_rows, activation.offers_at(self.priority, self.tx), model.gates, champion=model.about["champion"])
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -296,7 +324,7 @@ add("propensity_reengagement", lambda t: t.reengagement_model.scores)
 add("propensity_cross_sell", lambda t: t.cross_sell_model.scores)
 add("propensity_promotion", lambda t: t.promotion_model.scores)
 add("model_coefficients", lambda t: t.cross_sell_model.coefficients)
-add("model_metadata", lambda t: t.spark.createDataFrame([(str(k), str(v)) for m in (t.reengagement_model, t.cross_sell_model, t.promotion_model) for k, v in {"model": m.about["model"], **m.about}.items()], "field string, value string"))
+add("model_metadata", lambda t: t.spark.createDataFrame([(str(k), str(v)) for m in t.models for k, v in {"model": m.about["model"], **m.about}.items()], "field string, value string"))
 
 # presentation
 add("executive_kpis", lambda t: views.executive_kpis(t.priority), f"SELECT CAST(count(*) AS BIGINT) AS customers, CAST(count(*) FILTER (active_customer) AS BIGINT) AS active_customers, {r4('avg(active_customer::INT)')} AS active_rate, CAST(count(*) FILTER (decision_group='Protect Now') AS BIGINT) AS protect_now, CAST(count(*) FILTER (decision_group='Proactive Retention') AS BIGINT) AS proactive_retention, " + r4("sum(CASE WHEN priority_band IN ('Critical','High') THEN trailing_12m_margin ELSE 0 END)") + f" AS priority_margin, {r4('sum(trailing_12m_sales)')} AS trailing_sales, {r4('sum(trailing_12m_margin)')} AS trailing_margin FROM prio")
@@ -350,6 +378,8 @@ add("operational_offers", lambda t: t.offers)
 def governed(t: Tables) -> DataFrame:
     """Actions in which each accepted model's probabilities count: cross-sell from the test date's scores, promotion from today's offers."""
     accepted = lambda m, scores, p: scores.select(ID, F.col(p).alias("probability")) if propensity.model_is_accepted(m.gates) else None
+    t.tx  # noqa: B018 written once, before they share it
+    together(t.spark, lambda: t.cross_sell_model, lambda: t.promotion_model, lambda: t.priority)
     return activation.governed_actions(t.priority, t.tx, cross_sell=accepted(t.cross_sell_model, t.cross_sell_model.scores, "probability"), promotion=accepted(t.promotion_model, t.offers, "promotion_propensity"))
 
 

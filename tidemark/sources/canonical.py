@@ -34,7 +34,9 @@ def choose(values: tuple, index: Column) -> Column:
 
 def transactions(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
     """One row for each order with lines: the dominant line gives category and discount, money is summed and rounded to cents."""
-    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size").hint("shuffle_hash")
+    lines = read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey").withColumnRenamed("p_partkey", "l_partkey")
+    lines = lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "p_type", "p_size").repartition("l_orderkey")  # lines are dealt, not partial sums, which are wider and hardly fewer
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     main = F.max(F.struct("l_extendedprice", -F.col("l_partkey"), -F.col("l_suppkey"), -F.col("l_linenumber"), "l_discount", "p_type"))
     orders = lines.groupBy("l_orderkey").agg(
@@ -120,28 +122,29 @@ def ambiguous_households(records: DataFrame, per_thousand: int = 50, same_name:
     return records.join(dealt, "true_person_id", "left").select(*kept, F.format_string("HH_%07d", "case").alias("_hh"), "case").select(*records.columns, F.when(F.col("case").isNotNull(), F.col("_hh")).alias("household_case_id"))
 
 
-def campaign_exposures(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
+def campaign_exposures(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT, tx: DataFrame | None = None) -> DataFrame:
     """Customers with two earlier orders and 90 days of tenure, by campaign; audience, treatment and offer come from md5 buckets."""
-    tx = transactions(spark, sf_dir, cfg)
+    tx = transactions(spark, sf_dir, cfg) if tx is None else tx
+    categories = ("ECONOMY", "STANDARD", "PROMO", "MEDIUM", "SMALL", "LARGE")
     dates = F.explode(F.array(*[F.lit(d).cast("date") for d in CAMPAIGNS]))
-    history = tx.select("golden_customer_id", "transaction_date", "category").withColumn("campaign_date", dates)
-    near = (F.col("transaction_date") > F.col("campaign_date")) & (F.col("transaction_date") <= F.date_add("campaign_date", 30))
-    base = history.groupBy("golden_customer_id", "campaign_date").agg(
-        F.count_if(F.col("transaction_date") < F.col("campaign_date")).alias("prior"),
-        F.min(F.when(F.col("transaction_date") < F.col("campaign_date"), F.col("transaction_date"))).alias("first"),
-        F.collect_set(F.when(near, F.col("category"))).alias("bought"),
-    )
-    base = base.where((F.col("prior") >= 2) & (F.datediff("campaign_date", "first") >= 90))
     unit = F.concat_ws("|", F.col("golden_customer_id").cast("string"), F.col("campaign_date").cast("string"))
-    categories = ("ECONOMY", "STANDARD", "PROMO", "MEDIUM", "SMALL", "LARGE")
-    out = base.where(bucket(unit, "audience", 100) < 38).select(
+    days = tx.select("golden_customer_id", "transaction_date", "category").repartition("golden_customer_id").groupBy("golden_customer_id", "transaction_date", "category").agg(F.count("*").alias("n"))
+    # repeated for each campaign only inside the task that holds the customer
+    history = days.withColumn("campaign_date", dates).where(F.col("transaction_date") <= F.date_add("campaign_date", 30))
+    before, after = F.col("transaction_date") < F.col("campaign_date"), F.col("transaction_date") > F.col("campaign_date")
+    offer = choose(categories, bucket(unit, "offer", 6))
+    base = history.groupBy("golden_customer_id", "campaign_date").agg(F.max("campaign_date").alias("day"), F.sum(F.when(before, F.col("n"))).alias("prior"), F.min(F.when(before, F.col("transaction_date"))).alias("first"), F.count_if(after & (F.col("category") == offer)).alias("bought"))
+    enough = (F.col("prior") >= 2) & (F.datediff("campaign_date", "first") >= 90)
+    # the audience is drawn from `day`, not from the key it equals: as a filter on a key it would be moved below the sums and drawn for each row
+    invited = bucket(F.concat_ws("|", F.col("golden_customer_id").cast("string"), F.col("day").cast("string")), "audience", 100) < 38
+    out = base.where(enough & invited).select(
         F.concat(F.lit("EXP_"), F.md5(unit.cast("binary"))).alias("exposure_id"),
         F.date_format("campaign_date", "'CMP_'yyyyMM").alias("campaign_id"),
         "campaign_date",
         "golden_customer_id",
         (bucket(unit, "treat", 100) < 80).cast("int").alias("treatment_flag"),
         choose(CHANNELS, bucket(unit, "channel", 3)).alias("campaign_channel"),
-        choose(categories, bucket(unit, "offer", 6)).alias("offer_category"),
+        offer.alias("offer_category"),
         choose(DEPTHS, bucket(unit, "depth", 4)).alias("discount_depth"),
         F.lit(30).alias("response_window_days"),
         F.date_add("campaign_date", 30).alias("response_window_end"),
@@ -149,4 +152,4 @@ def campaign_exposures(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT)
         bucket(unit, "respond", 1000).alias("draw"),
     )
     chance = F.when(F.col("treatment_flag") == 1, 60 + 600 * F.col("discount_depth")).otherwise(40)
-    return out.withColumn("responded", (F.array_contains("bought", F.col("offer_category")) | (F.col("draw") < chance)).cast("int")).drop("bought", "draw")
+    return out.withColumn("responded", ((F.col("bought") > 0) | (F.col("draw") < chance)).cast("int")).drop("bought", "draw")
