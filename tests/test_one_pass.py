@@ -71,6 +71,15 @@ def test_histories_are_dealt_once_and_equal_plain_counts(spark: SparkSession) ->
     assert len(got) == want > 100
 
 
+def test_promotion_rows_are_neither_expanded_nor_dealt_by_exposure(spark: SparkSession, small: str) -> None:
+    tx = canonical.transactions(spark, small).persist()
+    exposures = canonical.campaign_exposures(spark, small, tx=tx)
+    out = snapshots.promotion_training(tx, exposures)
+    assert exchanges(out, "Expand") == 0 and exchanges(out, "hashpartitioning(exposure_id") == 0
+    assert exchanges(exposures, "hashpartitioning(golden_customer_id#") == 1 and exchanges(exposures, "campaign_date#") > exchanges(exposures, "hashpartitioning(campaign_date")
+    tx.unpersist()
+
+
 def test_a_governed_run_reads_its_rows_once(spark: SparkSession) -> None:
     rows = spark.range(900).select(F.col("id").alias(ID), F.when(F.col("id") % 3 == 0, "2001-01-31").when(F.col("id") % 3 == 1, "2001-04-30").otherwise("2000-10-31").cast("date").alias(propensity.T), (F.col("id") * 37 % 101 / 101).alias("lifetime_sales"), F.when(F.col("id") % 7 > 0, F.col("id") % 11 / 1.0).alias("units"))
     data, seen = counted(rows.withColumn("bought", ((F.col("lifetime_sales") + (F.col(ID) * 17 % 29) / 60) > 0.75).cast("int")))

@@ -181,35 +181,44 @@ def cross_sell_training(tx: DataFrame, cfg: Config = DEFAULT, *, days: int = 180
 
 def _sums(inside: Column, suffix: str) -> list[Column]:
     when = lambda c: F.when(inside, F.col(c))
-    return [F.countDistinct(when("order_id")).alias(f"orders_{suffix}"), F.coalesce(F.sum(when("net_sales")), F.lit(0.0)).alias(f"sales_{suffix}"), F.coalesce(F.sum(when("gross_margin")), F.lit(0.0)).alias(f"margin_{suffix}")]
+    return [F.count_if(inside).alias(f"orders_{suffix}"), F.coalesce(F.sum(when("net_sales")), F.lit(0.0)).alias(f"sales_{suffix}"), F.coalesce(F.sum(when("gross_margin")), F.lit(0.0)).alias(f"margin_{suffix}")]
 
 
 def promotion_training(tx: DataFrame, exposures: DataFrame) -> DataFrame:
-    """History before each campaign date joined to its exposures; needs 90 days of tenure and two orders."""
+    """History before each campaign date joined to its exposures; needs 90 days of tenure and two orders.
+
+    Both sides are dealt by customer once, and an exposure's sums are made where they were joined.
+    An order is one row of the transactions; kinds are collected as small sets, so that rows are not
+    repeated for each distinct count.
+    """
     day = F.col("campaign_date")
-    h = exposures.select("exposure_id", ID, "campaign_date", "offer_category").join(tx, ID).where(F.col("transaction_date") < day)
+    others = [c for c in exposures.columns if c not in ("exposure_id", ID)]
+    needed = tx.select(ID, "transaction_date", "category", "channel", "net_sales", "gross_margin", "discount_pct")
+    h = exposures.join(needed, ID).where(F.col("transaction_date") < day)
     near = F.col("transaction_date") >= F.date_sub("campaign_date", 180)
     offer = F.col("category") == F.col("offer_category")
-    f = h.groupBy("exposure_id").agg(
-        F.countDistinct("order_id").alias("lifetime_orders"),
+    kinds = lambda c: F.size(F.collect_set(c))
+    f = h.groupBy(ID, "exposure_id").agg(
+        F.first(F.struct(*others)).alias("_e"),
+        F.count("*").alias("lifetime_orders"),
         F.sum("net_sales").alias("lifetime_sales"),
         F.sum("gross_margin").alias("lifetime_margin"),
         F.avg("net_sales").alias("average_order_value"),
         F.avg("discount_pct").alias("average_discount_pct"),
         F.avg((F.coalesce("discount_pct", F.lit(0.0)) > 0).cast("int")).alias("discounted_order_share"),
-        F.countDistinct("category").alias("lifetime_categories"),
-        F.countDistinct("channel").alias("lifetime_channels"),
-        F.countDistinct(F.when(near, F.col("category"))).alias("categories_prior_180d"),
-        F.countDistinct(F.when(near, F.col("channel"))).alias("channels_prior_180d"),
+        kinds("category").alias("lifetime_categories"),
+        kinds("channel").alias("lifetime_channels"),
+        kinds(F.when(near, F.col("category"))).alias("categories_prior_180d"),
+        kinds(F.when(near, F.col("channel"))).alias("channels_prior_180d"),
         F.avg(F.when(near, F.col("discount_pct"))).alias("avg_discount_prior_180d"),
         F.avg(F.when(near, (F.col("discount_pct") > 0).cast("int"))).alias("discounted_order_share_prior_180d"),
         F.datediff(F.first("campaign_date"), F.max("transaction_date")).alias("days_since_last_purchase"),
         F.datediff(F.first("campaign_date"), F.min("transaction_date")).alias("customer_tenure_days"),
         *_sums(near, "prior_180d"),
-        F.countDistinct(F.when(offer, F.col("order_id"))).alias("offer_category_prior_orders"),
+        F.count_if(offer).alias("offer_category_prior_orders"),
         F.coalesce(F.sum(F.when(offer, F.col("net_sales"))), F.lit(0.0)).alias("offer_category_prior_sales"),
     )
-    out = exposures.join(f, "exposure_id").where((F.col("customer_tenure_days") >= 90) & (F.col("lifetime_orders") >= 2))
+    out = f.select("exposure_id", ID, "_e.*", *[c for c in f.columns if c not in ("exposure_id", ID, "_e")]).where((F.col("customer_tenure_days") >= 90) & (F.col("lifetime_orders") >= 2))
     return out.withColumns({
         "offer_category_order_share": safe_divide(F.col("offer_category_prior_orders"), F.col("lifetime_orders")),
         "offer_category_seen_before": (F.col("offer_category_prior_orders") > 0).cast("int"),
