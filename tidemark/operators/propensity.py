@@ -74,9 +74,9 @@ def standardised(train: DataFrame, others: dict[str, DataFrame], features: Seque
 
 
 def few_parts(df: DataFrame, rows: int, each: int) -> DataFrame:
-    """The rows joined to a partition for each `each` of them, and no fewer than cores where there are that many rows: a fit is many short jobs, each with a task for each partition."""
+    """The rows joined to a partition for each `each` of them, and to as many as cores from 100,000 a core: a fit is many short jobs, each with a task for each partition."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(max(1, min(cores, rows // 20_000), rows // each))
+    return df.coalesce(max(1, min(cores, rows // 100_000), rows // each))
 
 
 def fit_logistic(train: DataFrame, label: str):  # noqa: ANN201
