@@ -100,3 +100,13 @@ def test_missing_values_take_the_median_before_scaling(spark: SparkSession) -> N
     for c, column in enumerate((filled, list(map(float, range(6))))):
         mean, sd = statistics.mean(column), statistics.pstdev(column)
         assert [v[c] for v in got] == pytest.approx([(x - mean) / sd for x in column])
+
+
+def test_offers_are_built_once(spark: SparkSession) -> None:
+    fixed = {c: F.lit(1.0) for c in propensity.PROMOTION}
+    kinds = {"campaign_channel": F.lit("Email"), "offer_category": F.lit("PROMO")}
+    rows = spark.range(400).select(F.col("id").alias(ID), F.col("id").cast("string").alias("exposure_id")).withColumns(fixed | kinds | {"discount_depth": F.col(ID) % 4 / 10, "lifetime_sales": F.col(ID) % 13 / 1.0})
+    training = rows.withColumns({"treatment_flag": F.lit(1), "campaign_date": F.when(F.col(ID) % 2 == 0, "2001-02-15").otherwise("2001-05-15").cast("date"), "responded": (F.col(ID) % 13 + F.col(ID) % 5 > 8).cast("int")})
+    offers, seen = counted(rows.withColumn("margin_after_discount", F.lit(0.3)))
+    out = activation.operational_scores(training, offers, spark.createDataFrame([("ACCEPTED",)], "model_status string"))
+    assert out.count() == 400 and seen.value == 400

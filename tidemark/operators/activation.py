@@ -9,6 +9,7 @@ from tidemark.config import DEFAULT, Config
 from tidemark.functions.scalars import clip, one_place, zero
 from tidemark.functions.windows import first_by
 from tidemark.operators import decisions, propensity, snapshots
+from tidemark.sources.storage import stored
 
 ID = "golden_customer_id"
 
@@ -45,6 +46,7 @@ def operational_scores(training: DataFrame, offers: DataFrame, gates: DataFrame
         return training.sparkSession.createDataFrame([], schema)
     train, names = propensity.one_hot(training.where("treatment_flag = 1"), propensity.PROMOTION_KINDS)
     target, _ = propensity.one_hot(offers, propensity.PROMOTION_KINDS)
+    target = stored(target.select(ID, "campaign_channel", "offer_category", "discount_depth", "average_order_value", "margin_after_discount", *[c for c in [*propensity.PROMOTION, *names] if c not in ("discount_depth", "average_order_value")]), "offers")
     early, last = train.where(F.col("campaign_date") < F.lit(until)), train.where(F.col("campaign_date") == F.lit(until))
     z = propensity.standardised(early, {"last": last, "offers": target}, [*propensity.PROMOTION, *names])
     number, least = propensity.ROUNDS["promotion"]
